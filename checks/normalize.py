@@ -22,13 +22,21 @@ def _flat(col: Column, dtype: T.DataType, name: str):
     if isinstance(dtype, T.ArrayType):
         elem = dtype.elementType
         if isinstance(elem, T.StructType):
-            text = F.transform(col, lambda x: F.to_json(x))
-        else:
-            text = F.transform(col, lambda x: _scalar(x, elem))
+            # One sorted text column per entry field, plus the entry count.
+            out = [F.size(col).cast("bigint").alias(f"{name}_size")]
+            for field in elem.fields:
+                text = F.transform(col, _field_text(field))
+                out.append(F.array_join(F.array_sort(text), "|").alias(f"{name}_{field.name}"))
+            return out
+        text = F.transform(col, lambda x: _scalar(x, elem).cast("string"))
         return [F.array_join(F.array_sort(text), "|").alias(name)]
     return [_scalar(col, dtype).alias(name)]
 
 
+def _field_text(field: T.StructField):
+    return lambda x: _scalar(x.getField(field.name), field.dataType).cast("string")
+
+
 def _scalar(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return col.cast("bigint")

@@ -29,7 +29,7 @@ def rental_days(start, end) -> Column:
 
 def parse_iso_date(text) -> Column:
     """``yyyy-MM-dd`` text to a date; unparsable text gives NULL instead of an error."""
-    return F.try_to_date(_c(text), F.lit(ISO_DATE))
+    return F.try_to_date(_c(text), ISO_DATE)
 
 
 def doc_rental_days(start_text, end_text) -> Column:
