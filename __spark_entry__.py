@@ -31,9 +31,16 @@ from rentwise.operators import relational as R  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
+_TABLE_CACHE: dict = {}
+
+
 def _tables(spark: SparkSession, sf_dir: str):
-    apply_scale_conf(spark)
-    return td.rental_tables(spark, sf_dir)
+    """The mapped rental tables; the lazy plans are built once per session and folder."""
+    key = (id(spark), sf_dir)
+    if key not in _TABLE_CACHE:
+        apply_scale_conf(spark)
+        _TABLE_CACHE[key] = td.rental_tables(spark, sf_dir)
+    return _TABLE_CACHE[key]
 
 
 def _docs(spark: SparkSession, sf_dir: str):

@@ -71,6 +71,31 @@ def given(value) -> bool:
     return value is not None and value != ""
 
 
+# Stored bookings are partitioned by the year of their start date.
+START_YEAR = "start_year"
+
+
+def start_date_window(df, lower: str | None = None, upper: str | None = None, upper_inclusive: bool = True):
+    """Conditions for ``lower <= start_date <= upper`` (or ``< upper``), each bound optional.
+
+    When the bookings carry the ``start_year`` partition column, the matching
+    year bounds are added too, so the scan skips whole partitions.
+    """
+    start = F.col("start_date")
+    conds = []
+    if given(lower):
+        lo = F.lit(lower).cast("date")
+        conds.append(start >= lo)
+        if START_YEAR in df.columns:
+            conds.append(F.col(START_YEAR) >= F.year(lo))
+    if given(upper):
+        hi = F.lit(upper).cast("date")
+        conds.append(start <= hi if upper_inclusive else start < hi)
+        if START_YEAR in df.columns:
+            conds.append(F.col(START_YEAR) <= F.year(hi))
+    return conds
+
+
 # Display format of money (Austrian German, euro).
 EURO_SIGN = "€"
 EURO_SPACE = "\u00a0"  # no-break space

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise.functions.rules import doc_rental_days, num_or_zero, where_all, given
-from rentwise.plans.joins import broadcast_if_bounded, catalogue_id_array
+from rentwise.plans.joins import catalogue_id_array
 
 
 def _extras_sum(arr) -> F.Column:
@@ -113,7 +113,7 @@ def doc_service_options(docs, booking_ids: DataFrame) -> DataFrame:
     held = F.transform(F.coalesce(F.col("additionalServices"), F.array()), lambda s: s.getField("service_id"))
     services = docs["services"]
     free = b.select("booking_id", F.explode(F.array_except(catalogue_id_array(services, key="_id"), held)).alias("_id"))
-    available = free.join(broadcast_if_bounded(services), "_id").select(
+    available = free.join(services, "_id").select(
         "booking_id", F.lit("available").alias("status"), F.col("_id").alias("additional_service_id"),
         "description", "costs")
     return current.unionByName(available).orderBy("booking_id", "status", "description")

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise.functions.rules import truthy_text
-from rentwise.plans.joins import broadcast_if_bounded
 
 COLLECTIONS = ["persons", "vehicles", "services", "ratings", "bookings"]
 
@@ -76,7 +75,7 @@ def service_arrays(tables) -> DataFrame:
     bounded by the catalogue size (the link table is keyed by booking and
     service), so collecting it per key is safe.
     """
-    services = broadcast_if_bounded(tables["additional_service"])
+    services = tables["additional_service"]
     entry = F.struct(
         F.col("additional_service_id").alias("service_id"), "description", _text("costs").alias("costs"))
     return tables["booking_service"].join(services, "additional_service_id").groupBy("booking_id").agg(

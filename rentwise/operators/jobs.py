@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise import schema
-from rentwise.functions.rules import doc_rental_days, num_or_zero, rental_days, truthy_text
+from rentwise.functions.rules import (doc_rental_days, num_or_zero, rental_days, start_date_window,
+                                     truthy_text, where_all)
 from rentwise.operators.documents import SERVICE_ENTRY
 from rentwise.operators.relational import extras_by_booking
-from rentwise.plans.joins import broadcast_if_bounded
+from rentwise.session import checkpoint_dir
+from rentwise.sources.tables import write_table
 
 # Reject codes of the request rules.
 MISSING_FIELDS = "missing fields"
@@ -69,6 +71,11 @@ def create_bookings(tables, requests: DataFrame):
     checked and reversed dates cost one day, as in the source.
     Returns ``(new_bookings, outcome)``.
     """
+    return bookings_from_judged(judge_booking_requests(tables, requests))
+
+
+def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
+    """Each booking request with its status and priced total."""
     vehicles = tables["vehicle"].select(F.col("vehicle_id").alias("v_id"), F.col("costs_per_day").alias("v_cost"))
     customers = _exists_flag(tables["customer"], "person_id", "c_id")
     r = (requests.join(vehicles, F.col("vehicle_id") == F.col("v_id"), "left")
@@ -80,8 +87,11 @@ def create_bookings(tables, requests: DataFrame):
         (F.col("c_id_ok").isNull(), INVALID_CUSTOMER),
     ])
     total = F.coalesce(F.col("v_cost").cast("double"), F.lit(0.0)) * rental_days("start_date", "end_date")
-    judged = r.select("request_id", "customer_id", "vehicle_id", "start_date", "end_date", "way_of_billing",
-                      status.alias("status"), total.alias("total"))
+    return r.select("request_id", "customer_id", "vehicle_id", "start_date", "end_date", "way_of_billing",
+                    status.alias("status"), total.alias("total"))
+
+
+def bookings_from_judged(judged: DataFrame):
     accepted = judged.filter(F.col("status") == ACCEPTED)
     new_bookings = accepted.select(
         _new_booking_id(F.col("request_id")).alias("booking_id"), "start_date", "end_date",
@@ -98,7 +108,7 @@ def create_bookings(tables, requests: DataFrame):
 def _service_checks(requests: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
     """Per request: whether every distinct requested id exists in the catalogue."""
     picked = requests.select("request_id", F.explode(F.array_distinct("service_ids")).alias("sid"))
-    known = picked.join(broadcast_if_bounded(catalogue.select(F.col(key).alias("sid"))), "sid")
+    known = picked.join(catalogue.select(F.col(key).alias("sid")), "sid")
     return known.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_known"))
 
 
@@ -118,7 +128,7 @@ def _judge_service_requests(requests, booking_ok: DataFrame, has_account: DataFr
     return r.select("request_id", "booking_id", "customer_id", "service_ids", status.alias("status"))
 
 
-def add_services(tables, requests: DataFrame, as_of: str):
+def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | None = None):
     """Validate add-service requests, insert links (existing ones ignored), reprice.
 
     Rules in order: customer given; ids given; payment confirmed; booking is
@@ -129,14 +139,8 @@ def add_services(tables, requests: DataFrame, as_of: str):
     """
     bookings = tables["booking"]
     links = tables["booking_service"]
-    active = bookings.filter(F.col("start_date") >= F.lit(as_of).cast("date")).select(
-        F.col("booking_id").alias("b_id"), F.col("customer_id").alias("b_cust"))
-    booking_ok = requests.join(active, (F.col("booking_id") == F.col("b_id")) & (F.col("customer_id") == F.col("b_cust"))) \
-        .select("request_id", F.lit(True).alias("booking_found"))
-    has_account = _exists_flag(tables["bankaccount"], "person_id", "acct_id")
-    n_known = _service_checks(requests, tables["additional_service"], "additional_service_id")
-    judged = _judge_service_requests(requests, booking_ok, has_account, n_known)
-
+    if judged is None:
+        judged = judge_service_requests(tables, requests, as_of)
     accepted = judged.filter(F.col("status") == ACCEPTED)
     wanted = accepted.select("booking_id", F.explode(F.array_distinct("service_ids")).alias("additional_service_id"))
     inserted = wanted.distinct().join(links, ["booking_id", "additional_service_id"], "left_anti")
@@ -164,6 +168,50 @@ def add_services(tables, requests: DataFrame, as_of: str):
     return new_links, new_bookings, outcome
 
 
+def judge_service_requests(tables, requests: DataFrame, as_of: str) -> DataFrame:
+    """Each add-service request with the status of its first failing rule."""
+    bookings = tables["booking"]
+    active = where_all(bookings, start_date_window(bookings, lower=as_of)).select(
+        F.col("booking_id").alias("b_id"), F.col("customer_id").alias("b_cust"))
+    booking_ok = requests.join(active, (F.col("booking_id") == F.col("b_id")) & (F.col("customer_id") == F.col("b_cust"))) \
+        .select("request_id", F.lit(True).alias("booking_found"))
+    has_account = _exists_flag(tables["bankaccount"], "person_id", "acct_id")
+    n_known = _service_checks(requests, tables["additional_service"], "additional_service_id")
+    return _judge_service_requests(requests, booking_ok, has_account, n_known)
+
+
+def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str) -> DataFrame:
+    """R4 as a write job: append the accepted bookings to ``target_dir/booking``.
+
+    The judged batch is checkpointed to the shared checkpoint folder, so the
+    appended rows and the returned outcome come from one evaluation and a lost
+    executor does not re-run the validation joins. Booking ids already stored
+    are skipped, so running the same batch again appends nothing.
+    """
+    checkpoint_dir(spark)
+    judged = judge_booking_requests(tables, requests).checkpoint()
+    new_bookings, outcome = bookings_from_judged(judged)
+    fresh = new_bookings.join(tables["booking"].select("booking_id"), "booking_id", "left_anti")
+    write_table(fresh, "booking", target_dir, "append")
+    return outcome
+
+
+def run_add_services(spark, tables, requests: DataFrame, as_of: str, out_dir: str) -> DataFrame:
+    """R8 as a write job: new link and booking tables under ``out_dir`` plus the outcome.
+
+    ``out_dir`` must not be the folder the tables are read from (plain
+    Parquet has no in-place update). The judged batch is checkpointed once and
+    reused for all three outputs.
+    """
+    checkpoint_dir(spark)
+    judged = judge_service_requests(tables, requests, as_of).checkpoint()
+    links, bookings, outcome = add_services(tables, requests, as_of, judged=judged)
+    write_table(links, "booking_service", out_dir, "overwrite")
+    write_table(bookings, "booking", out_dir, "overwrite")
+    outcome.write.mode("overwrite").parquet(f"{out_dir}/outcome")
+    return spark.read.parquet(f"{out_dir}/outcome")
+
+
 # --- N3 -------------------------------------------------------------------
 
 def default_customer_id(persons: DataFrame) -> F.Column:
@@ -248,7 +296,7 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
     judged = _judge_service_requests(requests, booking_ok, has_account, n_known)
 
     accepted = judged.filter(F.col("status") == ACCEPTED)
-    catalogue = broadcast_if_bounded(docs["services"]).select(
+    catalogue = docs["services"].select(
         F.col("_id").alias("sid"), F.struct(F.col("_id").alias("service_id"), "description", "costs").alias("entry"))
     wanted = accepted.select(F.col("booking_id").alias("_id"), F.explode(F.array_distinct("service_ids")).alias("sid")) \
         .distinct().join(catalogue, "sid")

@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import given, money, rental_days, where_all
-from rentwise.plans.joins import broadcast_if_bounded, catalogue_id_array
+from rentwise.functions.rules import given, money, rental_days, start_date_window, where_all
+from rentwise.plans.joins import catalogue_id_array
 
 
 def _date(value: str):
@@ -24,12 +24,12 @@ def _date(value: str):
 
 
 def priced_links(tables) -> DataFrame:
-    """Links joined to the catalogue (broadcast when its size is proven small).
+    """Links joined to the catalogue (a small dimension: the planner broadcasts it).
 
     Links naming an unknown service carry no price and drop out; sums and
     counts over them are the same as with the outer joins of the reports.
     """
-    services = broadcast_if_bounded(tables["additional_service"])
+    services = tables["additional_service"]
     return tables["booking_service"].join(services, "additional_service_id")
 
 
@@ -76,7 +76,7 @@ def customer_profiles(tables) -> DataFrame:
 
 def booked_vehicle_ids(bookings: DataFrame, start: str, end: str) -> DataFrame:
     """Distinct vehicles with a booking overlapping [start, end] (closed on both ends)."""
-    overlapping = bookings.filter((F.col("start_date") <= _date(end)) & (F.col("end_date") >= _date(start)))
+    overlapping = where_all(bookings, start_date_window(bookings, upper=end) + [F.col("end_date") >= _date(start)])
     return overlapping.select("vehicle_id").distinct()
 
 
@@ -94,8 +94,8 @@ def booking_cost_report(tables, date_from: str | None = None, date_to: str | Non
     Bookings without extras are kept (left join on the pre-aggregated extras),
     bookings whose customer or vehicle is unknown are not (inner joins).
     """
-    bookings = where_all(tables["booking"], [
-        F.col("start_date") >= _date(date_from) if given(date_from) else None,
+    b = tables["booking"]
+    bookings = where_all(b, start_date_window(b, lower=date_from) + [
         F.col("end_date") <= _date(date_to) if given(date_to) else None,
     ]).select("booking_id", "customer_id", "vehicle_id", "start_date", "end_date")
     vehicles = tables["vehicle"].select("vehicle_id", "producer", "model", "costs_per_day")
@@ -121,8 +121,8 @@ def active_bookings(tables, as_of: str, customer_id: str | None = None) -> DataF
     Returns the stored total next to the recomputed one; the recomputed total
     is the sum of the two money values as doubles.
     """
-    bookings = where_all(tables["booking"], [
-        F.col("start_date") >= _date(as_of),
+    b = tables["booking"]
+    bookings = where_all(b, start_date_window(b, lower=as_of) + [
         F.col("customer_id") == F.lit(customer_id) if customer_id is not None else None,
     ])
     vehicles = tables["vehicle"].select("vehicle_id", "model", "producer", "costs_per_day",
@@ -149,7 +149,7 @@ def service_options(tables, booking_ids: DataFrame) -> DataFrame:
     (a bounded scalar subquery) minus the booking's current keys; no cross join.
     """
     ids = booking_ids.select("booking_id").distinct()
-    services = broadcast_if_bounded(tables["additional_service"])
+    services = tables["additional_service"]
     current_links = tables["booking_service"].join(ids, "booking_id", "left_semi")
     current = current_links.join(services, "additional_service_id").withColumn("status", F.lit("current"))
     held = current_links.groupBy("booking_id").agg(F.collect_set("additional_service_id").alias("held"))
@@ -182,10 +182,9 @@ def service_booking_report(tables, date_from: str | None = None, date_to: str |
     All joins are inner: customers without account and vehicles without a
     known retailer drop out.
     """
-    bookings = where_all(tables["booking"], [
-        F.col("start_date") >= _date(date_from) if given(date_from) else None,
-        F.col("start_date") < _date(date_to) if given(date_to) else None,
-    ]).select("booking_id", "start_date", "end_date", "customer_id", "vehicle_id")
+    b = tables["booking"]
+    bookings = where_all(b, start_date_window(b, lower=date_from, upper=date_to, upper_inclusive=False)) \
+        .select("booking_id", "start_date", "end_date", "customer_id", "vehicle_id")
     accounts = tables["bankaccount"].select(F.col("person_id").alias("customer_id"),
                                             F.col("iban").alias("customer_iban"), F.col("bic").alias("customer_bic"))
     vehicles = tables["vehicle"].select("vehicle_id", "model", "producer", "costs_per_day", "retailer_id")
@@ -221,7 +220,7 @@ def quote_services(tables, selections: DataFrame) -> DataFrame:
     picked = sel.select("request_id", "booking_id",
                         F.explode(F.array_distinct("service_ids")).alias("additional_service_id"))
     new = (picked.join(tables["booking_service"], ["booking_id", "additional_service_id"], "left_anti")
-           .join(broadcast_if_bounded(tables["additional_service"]), "additional_service_id")
+           .join(tables["additional_service"], "additional_service_id")
            .groupBy("request_id").agg(F.sum(money("costs")).alias("selected_extras")))
     out = sel.join(totals, "booking_id", "left").join(new, "request_id", "left")
     base = F.coalesce(F.col("base_cost"), F.lit(0.0))

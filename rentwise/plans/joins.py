@@ -1,13 +1,13 @@
 """Join helpers with explicit size bounds.
 
-Broadcasting is decided in two ways:
-
-* implicitly by Catalyst/AQE (``spark.sql.autoBroadcastJoinThreshold`` and
-  its adaptive twin look at estimated or runtime sizes and fall back to a
-  shuffle join beyond them), which is what all fact-to-dimension joins rely on;
-* explicitly here, only for a side whose row count was checked against a
-  bound first. Beyond the bound the plain join is returned, so the plan
-  degrades to a shuffle join instead of an executor running out of memory.
+Broadcast decisions are left to Catalyst and adaptive execution: a side is
+broadcast only when its estimated size (planning) or measured size (runtime,
+after a shuffle stage) is below ``spark.sql.autoBroadcastJoinThreshold`` /
+``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond that the join stays
+a shuffle (sort-merge) join. The operators therefore give no broadcast hints.
+
+The one place where a whole relation is inlined into every row is the
+catalogue key array of the service listings; its size is bounded here.
 """
 
 from __future__ import annotations
@@ -15,29 +15,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A dimension with at most this many rows is shipped to every executor.
-BROADCAST_MAX_ROWS = 100_000
 # Catalogue arrays are inlined into each row; keep them small.
 CATALOGUE_MAX_ROWS = 10_000
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no more than max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only for a side proven to have at most ``max_rows`` rows."""
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
-
 def catalogue_id_array(services: DataFrame, key: str = "additional_service_id",
                        max_rows: int = CATALOGUE_MAX_ROWS) -> Column:
     """All catalogue keys as one sorted array, evaluated once as a scalar subquery.
 
-    The subquery result is inlined into every row, so its size is checked
-    first; a catalogue beyond the bound is refused rather than replicated.
+    The subquery reads at most ``max_rows + 1`` rows (LIMIT) and fails with a
+    clear error when it saw more, so the inlined array is bounded without a
+    separate sizing job.
     """
-    if not row_count_at_most(services, max_rows):
-        raise ValueError(f"catalogue has more than {max_rows} rows; per-booking listings need a bounded catalogue")
-    return services.select(F.array_sort(F.collect_set(F.col(key)))).scalar()
+    capped = services.select(F.col(key).alias("k")).limit(max_rows + 1)
+    checked = F.when(F.count(F.lit(1)) <= max_rows, F.array_sort(F.collect_set("k"))).otherwise(
+        F.raise_error(F.lit(f"catalogue has more than {max_rows} rows; listings need a bounded catalogue"))
+        .cast("array<string>"))
+    return capped.select(checked).scalar()

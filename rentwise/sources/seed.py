@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 
 from rentwise import schema
-from rentwise.sources.tables import SERVICE_CATALOGUE, load_tables
+from rentwise.sources.tables import SERVICE_CATALOGUE, load_tables, write_table
 
 # The initial data set of the marketplace.
 SEED_PERSONS = [
@@ -105,5 +105,5 @@ def bootstrap_if_empty(spark: SparkSession, source: dict[str, DataFrame], target
              "additional_service", "booking_service", "rating"]
     for name in order:
         if name in source:
-            source[name].write.mode("append").parquet(f"{target_dir}/{name}")
+            write_table(source[name], name, target_dir, "append")
     return True

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentwise import schema
+from rentwise.functions.rules import START_YEAR
 
 # The catalogue of additional services (id, description, costs).
 SERVICE_CATALOGUE = [
@@ -19,26 +18,34 @@ SERVICE_CATALOGUE = [
 ]
 
 
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 def catalogue_frame(spark: SparkSession) -> DataFrame:
-    rows = [(sid, desc, Decimal(cost)) for sid, desc, cost in SERVICE_CATALOGUE]
-    return spark.createDataFrame(rows, schema.ADDITIONAL_SERVICE)
+    """The catalogue as an inline VALUES relation.
+
+    It is planned as a JVM-side local relation with an exact size, so the
+    optimizer broadcasts it without a Python worker or a sizing job.
+    """
+    values = ", ".join(f"({_sql_text(sid)}, {_sql_text(desc)}, CAST({cost} AS DECIMAL(10,2)))"
+                       for sid, desc, cost in SERVICE_CATALOGUE)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(additional_service_id, description, costs)")
 
 
 def load_tables(spark: SparkSession, base_dir: str, names=None) -> dict[str, DataFrame]:
     """Read the rental tables from ``base_dir/<name>`` with their declared schemas.
 
-    An explicit schema means no inference pass over the files; column pruning
-    and filter pushdown reach the Parquet scan as usual. ``booking`` is conformed
-    (S5) so older files without ``total_costs`` still read.
+    An explicit schema means no inference pass over the files (and an empty
+    table still reads); column pruning and filter pushdown reach the Parquet
+    scan as usual. Older booking files without ``total_costs`` read it as NULL
+    (S5).
     """
     tables = {}
     for name in names or schema.SCHEMAS:
-        path = f"{base_dir}/{name}"
-        if name == "booking":
-            df = spark.read.parquet(path)
-            tables[name] = conform_bookings(df)
-        else:
-            tables[name] = spark.read.schema(schema.SCHEMAS[name]).parquet(path)
+        # The partition column of stored bookings is discovered from the folder names.
+        df = spark.read.schema(schema.SCHEMAS[name]).parquet(f"{base_dir}/{name}")
+        tables[name] = conform_bookings(df) if name == "booking" else df
     return tables
 
 
@@ -55,7 +62,10 @@ def conform_bookings(bookings: DataFrame) -> DataFrame:
     """
     if "total_costs" not in bookings.columns:
         bookings = bookings.withColumn("total_costs", F.lit(None).cast(schema.MONEY))
-    return bookings.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.BOOKING.fields])
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.BOOKING.fields]
+    if START_YEAR in bookings.columns:  # keep the partition column for pruning
+        cols.append(F.col(START_YEAR))
+    return bookings.select(*cols)
 
 
 def write_tables(tables: dict[str, DataFrame], base_dir: str, mode: str = "overwrite") -> None:
@@ -64,8 +74,13 @@ def write_tables(tables: dict[str, DataFrame], base_dir: str, mode: str = "overw
     Date-range reports then prune whole years at the scan.
     """
     for name, df in tables.items():
-        writer = df.write.mode(mode)
-        if name == "booking":
-            df = df.withColumn("start_year", F.year("start_date"))
-            writer = df.write.mode(mode).partitionBy("start_year")
-        writer.parquet(f"{base_dir}/{name}")
+        write_table(df, name, base_dir, mode)
+
+
+def write_table(df: DataFrame, name: str, base_dir: str, mode: str = "append") -> None:
+    """Write one table; bookings are laid out by start year."""
+    if name == "booking":
+        df = df.withColumn(START_YEAR, F.year("start_date"))
+        df.write.mode(mode).partitionBy(START_YEAR).parquet(f"{base_dir}/{name}")
+    else:
+        df.write.mode(mode).parquet(f"{base_dir}/{name}")
