@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rentwise.functions.rules import doc_rental_days, num_or_zero, where_all, given
 from rentwise.plans.joins import catalogue_id_array
+from rentwise.plans.skew import hot_keys, salted_join
 
 
 def _extras_sum(arr) -> F.Column:
@@ -83,7 +84,8 @@ def doc_active_bookings(docs, as_of: str, customer_id: str | None = None) -> Dat
         F.col("_id").alias("ref_id"), F.col("model").alias("ref_model"), F.col("producer").alias("ref_producer"),
         F.col("costs_per_day").alias("ref_costs"), F.col("plate_number").alias("ref_plate"),
         F.col("number_of_seats").alias("ref_seats"))
-    j = b.join(ref, F.col("vehicle.vehicle_id") == F.col("ref_id"), "left")
+    b = b.withColumn("__vid", F.col("vehicle.vehicle_id"))
+    j = salted_join(b, ref, "__vid", how="left", spread="_id", dim_key="ref_id").drop("__vid")
     per_day = num_or_zero(F.coalesce(F.col("vehicle.costs_per_day"), F.col("ref_costs")))
     days = doc_rental_days("start_date", "end_date")
     base = days * per_day
@@ -137,9 +139,10 @@ def doc_service_booking_report(docs, date_from: str | None = None, date_to: str
     companies = persons.select(F.col("_id").alias("ret_person"),
                                F.col("roles.retailer.company_name").alias("ret_company"))
     retailer_id = F.coalesce(F.col("retailer.person_id"), F.col("vehicle.retailer_id"))
-    j = (b.withColumn("rid", retailer_id)
-         .join(accounts, F.col("customer.person_id") == F.col("acct_person"), "left")
-         .join(companies, F.col("rid") == F.col("ret_person"), "left"))
+    b = b.withColumn("rid", retailer_id).withColumn("__cust", F.col("customer.person_id"))
+    j = salted_join(b, accounts, "__cust", how="left", spread="_id", dim_key="acct_person")
+    j = salted_join(j, companies, "rid", how="left", spread="_id", dim_key="ret_person",
+                    hot=hot_keys(b, "rid")).drop("__cust")
     days = doc_rental_days("start_date", "end_date")
     per_day = num_or_zero("vehicle.costs_per_day")
     base = days * per_day

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise.functions.rules import truthy_text
+from rentwise.plans.skew import hot_keys, salted_join
 
 COLLECTIONS = ["persons", "vehicles", "services", "ratings", "bookings"]
 
@@ -87,15 +88,16 @@ def booking_docs(tables) -> DataFrame:
 
     Joins to customer, person, vehicle and retailer are inner, as in the
     source: bookings whose vehicle has no known retailer do not become
-    documents. The extras are aggregated per booking **before** the wide join.
+    documents. The extras are aggregated per booking **before** the wide join;
+    the customer and vehicle joins are salted on hot keys.
     """
     person = tables["person"].select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
     customers = tables["customer"].select(F.col("person_id").alias("customer_id")).join(person, "customer_id")
-    vehicles = tables["vehicle"]
     retailers = tables["retailer"].select(F.col("person_id").alias("retailer_id"), "company_name")
-    joined = (tables["booking"].join(customers, "customer_id")
-              .join(vehicles, "vehicle_id")
-              .join(retailers, "retailer_id")
+    vehicles = salted_join(tables["vehicle"], retailers, "retailer_id", spread="vehicle_id")
+    bookings = tables["booking"]
+    joined = salted_join(bookings, customers, "customer_id")
+    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot_keys(bookings, "vehicle_id"))
               .join(service_arrays(tables), "booking_id", "left"))
     return joined.select(
         F.col("booking_id").alias("_id"),

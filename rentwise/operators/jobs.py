@@ -20,6 +20,7 @@ from rentwise.functions.rules import (doc_rental_days, num_or_zero, rental_days,
                                      truthy_text, where_all)
 from rentwise.operators.documents import SERVICE_ENTRY
 from rentwise.operators.relational import extras_by_booking
+from rentwise.plans.skew import hot_keys, salted_join
 from rentwise.session import checkpoint_dir
 from rentwise.sources.tables import write_table
 
@@ -76,14 +77,16 @@ def create_bookings(tables, requests: DataFrame):
 
 def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
     """Each booking request with its status and priced total."""
-    vehicles = tables["vehicle"].select(F.col("vehicle_id").alias("v_id"), F.col("costs_per_day").alias("v_cost"))
+    vehicles = tables["vehicle"].select(F.col("vehicle_id").alias("v_id"), F.col("costs_per_day").alias("v_cost"),
+                                        F.lit(True).alias("v_ok"))
     customers = _exists_flag(tables["customer"], "person_id", "c_id")
-    r = (requests.join(vehicles, F.col("vehicle_id") == F.col("v_id"), "left")
-         .join(customers, F.col("customer_id") == F.col("c_id"), "left"))
+    r = salted_join(requests, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_id")
+    r = salted_join(r, customers, "customer_id", how="left", spread="request_id", dim_key="c_id",
+                    hot=hot_keys(requests, "customer_id"))
     status = _first_failure([
         (_fields_missing(), MISSING_FIELDS),
         (~truthy_text("customer_id"), MISSING_CUSTOMER),
-        (F.col("v_id").isNull(), INVALID_VEHICLE),
+        (F.col("v_ok").isNull(), INVALID_VEHICLE),
         (F.col("c_id_ok").isNull(), INVALID_CUSTOMER),
     ])
     total = F.coalesce(F.col("v_cost").cast("double"), F.lit(0.0)) * rental_days("start_date", "end_date")
@@ -112,10 +115,23 @@ def _service_checks(requests: DataFrame, catalogue: DataFrame, key: str) -> Data
     return known.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_known"))
 
 
+def _booking_found(requests: DataFrame, active: DataFrame) -> DataFrame:
+    """Requests whose booking is active and belongs to the requesting customer.
+
+    ``active`` has (b_id, b_cust). Many requests may name one booking, so the
+    join on the booking key is salted.
+    """
+    found = salted_join(requests.select("request_id", "booking_id", "customer_id"), active, "booking_id",
+                        spread="request_id", dim_key="b_id")
+    return found.filter(F.col("customer_id") == F.col("b_cust")).select(
+        "request_id", F.lit(True).alias("booking_found"))
+
+
 def _judge_service_requests(requests, booking_ok: DataFrame, has_account: DataFrame, n_known: DataFrame):
-    r = (requests.join(booking_ok, ["request_id"], "left")
-         .join(has_account, F.col("customer_id") == F.col("acct_id"), "left")
-         .join(n_known, "request_id", "left"))
+    r = requests.join(booking_ok, ["request_id"], "left")
+    r = salted_join(r, has_account, "customer_id", how="left", spread="request_id", dim_key="acct_id",
+                    hot=hot_keys(requests, "customer_id"))
+    r = r.join(n_known, "request_id", "left")
     ids = F.array_distinct("service_ids")
     status = _first_failure([
         (~truthy_text("customer_id"), MISSING_CUSTOMER),
@@ -162,7 +178,7 @@ def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | No
         *[F.coalesce(F.col("total_cost").cast(schema.MONEY), F.col("total_costs")).alias("total_costs")
           if f.name == "total_costs" else F.col(f.name) for f in schema.BOOKING.fields])
     ok = F.col("status") == ACCEPTED
-    outcome = judged.join(totals, "booking_id", "left").select(
+    outcome = salted_join(judged, totals, "booking_id", how="left", spread="request_id").select(
         "request_id", "booking_id", "status",
         *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_links, new_bookings, outcome
@@ -173,8 +189,7 @@ def judge_service_requests(tables, requests: DataFrame, as_of: str) -> DataFrame
     bookings = tables["booking"]
     active = where_all(bookings, start_date_window(bookings, lower=as_of)).select(
         F.col("booking_id").alias("b_id"), F.col("customer_id").alias("b_cust"))
-    booking_ok = requests.join(active, (F.col("booking_id") == F.col("b_id")) & (F.col("customer_id") == F.col("b_cust"))) \
-        .select("request_id", F.lit(True).alias("booking_found"))
+    booking_ok = _booking_found(requests, active)
     has_account = _exists_flag(tables["bankaccount"], "person_id", "acct_id")
     n_known = _service_checks(requests, tables["additional_service"], "additional_service_id")
     return _judge_service_requests(requests, booking_ok, has_account, n_known)
@@ -231,17 +246,20 @@ def doc_create_bookings(docs, requests: DataFrame):
     Returns ``(new_booking_docs, outcome)``.
     """
     persons = docs["persons"]
-    vehicles = docs["vehicles"].select(
-        F.col("_id").alias("v_id"), F.col("model").alias("v_model"), F.col("producer").alias("v_producer"),
-        F.col("costs_per_day").alias("v_costs"), F.col("retailer_id").alias("v_retailer"))
-    people = persons.select(F.col("_id").alias("p_id"), F.col("name").alias("p_name"))
     companies = persons.select(F.col("_id").alias("r_id"), F.col("roles.retailer.company_name").alias("r_company"))
+    vehicles = docs["vehicles"].select(
+        F.col("_id").alias("v_id"), F.col("_id").alias("v_key"), F.col("model").alias("v_model"),
+        F.col("producer").alias("v_producer"), F.col("costs_per_day").alias("v_costs"),
+        F.col("retailer_id").alias("v_retailer"))
+    vehicles = salted_join(vehicles, companies, "v_retailer", how="left", spread="v_id", dim_key="r_id")
+    people = persons.select(F.col("_id").alias("p_id"), F.col("_id").alias("p_key"), F.col("name").alias("p_name"))
     fallback = default_customer_id(persons)
     resolved = F.when(truthy_text("customer_id"), F.col("customer_id")).otherwise(fallback)
-    r = (requests.withColumn("resolved_customer", resolved)
-         .join(people, F.col("resolved_customer") == F.col("p_id"), "left")
-         .join(vehicles, F.col("vehicle_id") == F.col("v_id"), "left")
-         .join(companies, F.col("v_retailer") == F.col("r_id"), "left"))
+    # Every request without a customer resolves to the same default: a hot key by design.
+    asked = requests.withColumn("resolved_customer", resolved)
+    r = salted_join(asked, people, "resolved_customer", how="left", spread="request_id", dim_key="p_key")
+    r = salted_join(r, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_key",
+                    hot=hot_keys(asked, "vehicle_id"))
     status = _first_failure([
         (_fields_missing(), MISSING_FIELDS),
         (F.col("resolved_customer").isNull(), NO_CUSTOMERS),
@@ -288,8 +306,7 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
     bookings = docs["bookings"]
     active = bookings.filter(F.col("start_date") >= F.lit(as_of)).select(
         F.col("_id").alias("b_id"), F.col("customer.person_id").alias("b_cust"))
-    booking_ok = requests.join(active, (F.col("booking_id") == F.col("b_id")) & (F.col("customer_id") == F.col("b_cust"))) \
-        .select("request_id", F.lit(True).alias("booking_found"))
+    booking_ok = _booking_found(requests, active)
     has_account = docs["persons"].filter(F.col("bankAccount").isNotNull()).select(
         F.col("_id").alias("acct_id"), F.lit(True).alias("acct_id_ok"))
     n_known = _service_checks(requests, docs["services"], "_id")
@@ -321,7 +338,8 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
          .otherwise(F.col("pricing")).alias("pricing") if c == "pricing" else F.col(c)
         for c in bookings.columns])
     ok = F.col("status") == ACCEPTED
-    outcome = judged.join(updated.withColumnRenamed("_id", "booking_id").drop("new_services"), "booking_id", "left") \
+    outcome = salted_join(judged, updated.withColumnRenamed("_id", "booking_id").drop("new_services"), "booking_id",
+                          how="left", spread="request_id") \
         .select("request_id", "booking_id", "status",
                 *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_bookings, outcome

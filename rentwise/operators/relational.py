@@ -8,6 +8,10 @@ returns a lazy DataFrame. Two shapes recur:
   the joined result by seven to thirteen columns.
 * Anti joins are written as ``left_anti`` (never a left join + IS NULL, never
   NOT IN, which would turn null-aware).
+* Dimensions are pre-joined per key (customer with person and account,
+  vehicle with retailer), so the booking fact is shuffled once per key, and
+  each fact-to-dimension join is salted on its hot keys
+  (:mod:`rentwise.plans.skew`).
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 
 from rentwise.functions.rules import given, money, rental_days, start_date_window, where_all
 from rentwise.plans.joins import catalogue_id_array
+from rentwise.plans.skew import hot_keys, salted_join
 
 
 def _date(value: str):
@@ -53,6 +58,28 @@ def customer_names(tables) -> DataFrame:
     return tables["customer"].select(F.col("person_id").alias("customer_id")).join(person, "customer_id")
 
 
+def customer_dim(tables, with_account: bool = False) -> DataFrame:
+    """Customers keyed by ``customer_id`` with name (and account columns)."""
+    dim = customer_names(tables)
+    if with_account:
+        accounts = tables["bankaccount"].select(F.col("person_id").alias("customer_id"),
+                                                F.col("iban").alias("customer_iban"),
+                                                F.col("bic").alias("customer_bic"))
+        dim = dim.join(accounts, "customer_id")
+    return dim
+
+
+def vehicle_dim(tables, cols, with_retailer: bool = False) -> DataFrame:
+    """Vehicles keyed by ``vehicle_id`` (and their retailer's name, inner)."""
+    vehicles = tables["vehicle"].select("vehicle_id", *cols, *(["retailer_id"] if with_retailer else []))
+    if not with_retailer:
+        return vehicles
+    retailers = tables["retailer"].select(F.col("person_id").alias("retailer_id"),
+                                          F.col("company_name").alias("retailer_name"))
+    # One retailer may own a large share of the fleet: salt its key too.
+    return salted_join(vehicles, retailers, "retailer_id", spread="vehicle_id")
+
+
 def _customers_with_account(tables) -> DataFrame:
     person = tables["person"].withColumnRenamed("id", "person_id")
     return (tables["customer"].join(person, "person_id")
@@ -98,13 +125,13 @@ def booking_cost_report(tables, date_from: str | None = None, date_to: str | Non
     bookings = where_all(b, start_date_window(b, lower=date_from) + [
         F.col("end_date") <= _date(date_to) if given(date_to) else None,
     ]).select("booking_id", "customer_id", "vehicle_id", "start_date", "end_date")
-    vehicles = tables["vehicle"].select("vehicle_id", "producer", "model", "costs_per_day")
+    vehicles = vehicle_dim(tables, ["producer", "model", "costs_per_day"])
     extras = extras_by_booking(tables).select("booking_id", "extras")
     days = rental_days("start_date", "end_date")
     base = F.col("costs_per_day") * F.col("days")
     additional = F.coalesce(F.col("extras"), F.lit(0).cast("decimal(10,2)"))
-    joined = (bookings.join(customer_names(tables), "customer_id")
-              .join(vehicles, "vehicle_id")
+    joined = salted_join(bookings, customer_dim(tables), "customer_id")
+    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot_keys(bookings, "vehicle_id"))
               .join(extras, "booking_id", "left")
               .withColumn("days", days))
     return joined.select(
@@ -125,10 +152,9 @@ def active_bookings(tables, as_of: str, customer_id: str | None = None) -> DataF
     bookings = where_all(b, start_date_window(b, lower=as_of) + [
         F.col("customer_id") == F.lit(customer_id) if customer_id is not None else None,
     ])
-    vehicles = tables["vehicle"].select("vehicle_id", "model", "producer", "costs_per_day",
-                                        "plate_number", "number_of_seats")
+    vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day", "plate_number", "number_of_seats"])
     extras = extras_by_booking(tables).select("booking_id", "extras")
-    joined = (bookings.join(vehicles, "vehicle_id").join(extras, "booking_id", "left")
+    joined = (salted_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
               .withColumn("days", rental_days("start_date", "end_date")))
     base = money(F.col("days") * F.col("costs_per_day"))
     extras_cost = F.coalesce(money("extras"), F.lit(0.0))
@@ -167,9 +193,9 @@ def booking_totals(tables, booking_ids: DataFrame) -> DataFrame:
     """Base and extras of the given bookings; total as the sum of both doubles."""
     ids = booking_ids.select("booking_id").distinct()
     bookings = tables["booking"].join(ids, "booking_id", "left_semi")
-    vehicles = tables["vehicle"].select("vehicle_id", "costs_per_day")
+    vehicles = vehicle_dim(tables, ["costs_per_day"])
     extras = extras_by_booking(tables).select("booking_id", "extras")
-    joined = bookings.join(vehicles, "vehicle_id").join(extras, "booking_id", "left")
+    joined = salted_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
     base = money(rental_days("start_date", "end_date") * F.col("costs_per_day"))
     extras_cost = F.coalesce(money("extras"), F.lit(0.0))
     return joined.select("booking_id", base.alias("base_cost"), extras_cost.alias("extras_cost"),
@@ -185,18 +211,13 @@ def service_booking_report(tables, date_from: str | None = None, date_to: str |
     b = tables["booking"]
     bookings = where_all(b, start_date_window(b, lower=date_from, upper=date_to, upper_inclusive=False)) \
         .select("booking_id", "start_date", "end_date", "customer_id", "vehicle_id")
-    accounts = tables["bankaccount"].select(F.col("person_id").alias("customer_id"),
-                                            F.col("iban").alias("customer_iban"), F.col("bic").alias("customer_bic"))
-    vehicles = tables["vehicle"].select("vehicle_id", "model", "producer", "costs_per_day", "retailer_id")
-    retailers = tables["retailer"].select(F.col("person_id").alias("retailer_id"),
-                                          F.col("company_name").alias("retailer_name"))
+    vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day"], with_retailer=True)
     extras = extras_by_booking(tables)
-    joined = (bookings.join(extras, "booking_id")
-              .join(customer_names(tables), "customer_id")
-              .join(accounts, "customer_id")
-              .join(vehicles, "vehicle_id")
-              .join(retailers, "retailer_id")
-              .withColumn("rental_days", rental_days("start_date", "end_date")))
+    joined = bookings.join(extras, "booking_id")
+    joined = salted_join(joined, customer_dim(tables, with_account=True), "customer_id",
+                         hot=hot_keys(bookings, "customer_id"))
+    joined = salted_join(joined, vehicles, "vehicle_id", hot=hot_keys(bookings, "vehicle_id")) \
+        .withColumn("rental_days", rental_days("start_date", "end_date"))
     base = F.col("rental_days") * F.col("costs_per_day")
     return joined.select(
         "booking_id", "start_date", "end_date", "customer_id", "customer_name", "customer_iban", "customer_bic",
@@ -222,7 +243,7 @@ def quote_services(tables, selections: DataFrame) -> DataFrame:
     new = (picked.join(tables["booking_service"], ["booking_id", "additional_service_id"], "left_anti")
            .join(tables["additional_service"], "additional_service_id")
            .groupBy("request_id").agg(F.sum(money("costs")).alias("selected_extras")))
-    out = sel.join(totals, "booking_id", "left").join(new, "request_id", "left")
+    out = salted_join(sel, totals, "booking_id", how="left", spread="request_id").join(new, "request_id", "left")
     base = F.coalesce(F.col("base_cost"), F.lit(0.0))
     booked = F.coalesce(F.col("booked_extras"), F.lit(0.0))
     selected = F.coalesce(F.col("selected_extras"), F.lit(0.0))

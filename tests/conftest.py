@@ -12,7 +12,7 @@ from rentwise.sources.seed import seed_tables  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("local[4]", 4, app_name="rentwise-tests")
+    s = build_session("local[4]", 4, app_name="rentwise-tests", extra={"spark.driver.memory": "6g"})
     yield s
     s.stop()
 
