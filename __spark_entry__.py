@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,9 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import oracle  # noqa: E402
 from checks.normalize import flatten  # noqa: E402
-from rentwise.session import apply_scale_conf  # noqa: E402
+from rentwise.session import apply_scale_conf, checkpoint_dir  # noqa: E402
 from rentwise.sources import testdata as td  # noqa: E402
+from rentwise.sources.tables import load_tables, write_tables  # noqa: E402
 from rentwise.operators import doc_queries as N  # noqa: E402
 from rentwise.operators import documents as M  # noqa: E402
 from rentwise.operators import explore as X  # noqa: E402
@@ -31,20 +33,63 @@ from rentwise.operators import relational as R  # noqa: E402
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 
-_TABLE_CACHE: dict = {}
+_CACHE: dict = {}
 
 
-def _tables(spark: SparkSession, sf_dir: str):
-    """The mapped rental tables; the lazy plans are built once per session and folder."""
-    key = (id(spark), sf_dir)
-    if key not in _TABLE_CACHE:
+def _stored(spark: SparkSession, sf_dir: str, what: str, build):
+    """Write what ``build`` derives from the driver's tables once per session, then read it back.
+
+    The rental model lives in stored tables (as in the source's database), so
+    every query runs on Parquet scans with pushdown and pruning; the folder is
+    inside the session's checkpoint folder.
+    """
+    key = (id(spark), sf_dir, what)
+    if key not in _CACHE:
         apply_scale_conf(spark)
-        _TABLE_CACHE[key] = td.rental_tables(spark, sf_dir)
-    return _TABLE_CACHE[key]
+        base = checkpoint_dir(spark).rstrip("/") + f"/{what}-{uuid.uuid4().hex[:12]}"
+        _CACHE[key] = build(spark, sf_dir, base)
+    return _CACHE[key]
+
+
+def _build_tables(spark, sf_dir, base):
+    write_tables(td.rental_tables(spark, sf_dir), base)
+    return load_tables(spark, base)
+
+
+def _build_docs(spark, sf_dir, base):
+    M.migrate_all(_tables(spark, sf_dir), base)
+    return M.load_docs(spark, base)
+
+
+def _build_requests(spark, sf_dir, base):
+    td.booking_requests(spark, sf_dir).write.parquet(base + "/booking_requests")
+    td.service_requests(spark, sf_dir).write.parquet(base + "/service_requests")
+    return {name: spark.read.parquet(f"{base}/{name}") for name in ("booking_requests", "service_requests")}
+
+
+def _tables(spark: SparkSession, sf_dir: str):
+    """The rental tables, derived from the driver's tables and stored (S1 layout)."""
+    return _stored(spark, sf_dir, "rental", _build_tables)
 
 
 def _docs(spark: SparkSession, sf_dir: str):
-    return M.migrate_docs(_tables(spark, sf_dir))
+    """The document collections, migrated from the stored tables (M6) and read back."""
+    return _stored(spark, sf_dir, "docs", _build_docs)
+
+
+def _booking_requests(spark: SparkSession, sf_dir: str):
+    return _stored(spark, sf_dir, "requests", _build_requests)["booking_requests"]
+
+
+def _service_requests(spark: SparkSession, sf_dir: str):
+    return _stored(spark, sf_dir, "requests", _build_requests)["service_requests"]
+
+
+def setup(spark: SparkSession, sf_dir: str) -> None:
+    """Store tables, documents and request batches for ``sf_dir`` (done lazily otherwise)."""
+    _tables(spark, sf_dir)
+    _docs(spark, sf_dir)
+    _booking_requests(spark, sf_dir)
 
 
 def _search_vehicles(spark, sf_dir):
@@ -65,15 +110,15 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "R3_booking_cost_report": lambda s, d: R.booking_cost_report(t(s, d), td.REPORT_FROM, td.REPORT_TO),
         "R5_customer_profiles": lambda s, d: R.customer_profiles(t(s, d)),
         "R6_active_bookings": lambda s, d: R.active_bookings(t(s, d), td.AS_OF),
-        "R7_service_options": lambda s, d: R.service_options(t(s, d), td.service_requests(s, d)),
-        "R9_booking_totals": lambda s, d: R.booking_totals(t(s, d), td.service_requests(s, d)),
+        "R7_service_options": lambda s, d: R.service_options(t(s, d), _service_requests(s, d)),
+        "R9_booking_totals": lambda s, d: R.booking_totals(t(s, d), _service_requests(s, d)),
         "R10_service_booking_report": lambda s, d: R.service_booking_report(t(s, d), td.REPORT_FROM,
                                                                             td.SERVICE_REPORT_TO),
-        "R11_quote_services": lambda s, d: R.quote_services(t(s, d), td.service_requests(s, d)),
+        "R11_quote_services": lambda s, d: R.quote_services(t(s, d), _service_requests(s, d)),
         "R12_service_report_export": lambda s, d: X.service_report_export(
             R.service_booking_report(t(s, d), td.REPORT_FROM, td.SERVICE_REPORT_TO)),
-        "R4_create_bookings": lambda s, d: J.create_bookings(t(s, d), td.booking_requests(s, d))[1],
-        "R8_add_services": lambda s, d: J.add_services(t(s, d), td.service_requests(s, d), td.AS_OF)[2],
+        "R4_create_bookings": lambda s, d: J.create_bookings(t(s, d), _booking_requests(s, d))[1],
+        "R8_add_services": lambda s, d: J.add_services(t(s, d), _service_requests(s, d), td.AS_OF)[2],
         "M1_person_docs": lambda s, d: M.person_docs(t(s, d)),
         "M2_vehicle_docs": lambda s, d: M.vehicle_docs(t(s, d)),
         "M3_service_docs": lambda s, d: M.service_docs(t(s, d)),
@@ -82,13 +127,13 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "N1_doc_customers": lambda s, d: N.doc_customers(_docs(s, d)),
         "N2_doc_available_vehicles": lambda s, d: N.doc_available_vehicles(_docs(s, d), td.WINDOW_START,
                                                                            td.WINDOW_END),
-        "N3_doc_create_bookings": lambda s, d: J.doc_create_bookings(_docs(s, d), td.booking_requests(s, d))[1],
+        "N3_doc_create_bookings": lambda s, d: J.doc_create_bookings(_docs(s, d), _booking_requests(s, d))[1],
         "N4_doc_booking_cost_report": lambda s, d: N.doc_booking_cost_report(_docs(s, d), td.REPORT_FROM,
                                                                              td.REPORT_TO),
         "N5_doc_customer_profiles": lambda s, d: N.doc_customer_profiles(_docs(s, d)),
         "N6_doc_active_bookings": lambda s, d: N.doc_active_bookings(_docs(s, d), td.AS_OF),
-        "N7_doc_service_options": lambda s, d: N.doc_service_options(_docs(s, d), td.service_requests(s, d)),
-        "N8_doc_add_services": lambda s, d: J.doc_add_services(_docs(s, d), td.service_requests(s, d), td.AS_OF)[1],
+        "N7_doc_service_options": lambda s, d: N.doc_service_options(_docs(s, d), _service_requests(s, d)),
+        "N8_doc_add_services": lambda s, d: J.doc_add_services(_docs(s, d), _service_requests(s, d), td.AS_OF)[1],
         "N9_doc_service_booking_report": lambda s, d: N.doc_service_booking_report(_docs(s, d), td.REPORT_FROM,
                                                                                    td.SERVICE_REPORT_TO),
         "S3_preview_table": lambda s, d: X.preview_table(t(s, d), "Booking", 50),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import euro_text
+from rentwise.functions.rules import START_YEAR, euro_text
 
 # The tables a user may preview, by their display names.
 PREVIEW_TABLES = {
@@ -45,7 +45,10 @@ def preview_table(tables, name: str, limit=DEFAULT_PREVIEW) -> DataFrame:
     key = PREVIEW_TABLES.get(name, name if name in PREVIEW_TABLES.values() else None)
     if key is None:
         raise ValueError(f"Unknown table: {name}")
-    return tables[key].limit(clamp_limit(limit))
+    df = tables[key]
+    if START_YEAR in df.columns:  # storage layout column, not part of the model
+        df = df.drop(START_YEAR)
+    return df.limit(clamp_limit(limit))
 
 
 def _cell_text(col_name: str) -> F.Column:

@@ -130,7 +130,7 @@ def _booking_found(requests: DataFrame, active: DataFrame) -> DataFrame:
 def _judge_service_requests(requests, booking_ok: DataFrame, has_account: DataFrame, n_known: DataFrame):
     r = requests.join(booking_ok, ["request_id"], "left")
     r = salted_join(r, has_account, "customer_id", how="left", spread="request_id", dim_key="acct_id",
-                    hot=hot_keys(requests, "customer_id"))
+                    hot=hot_keys(requests, "customer_id"))  # detected on the batch, not on the join result
     r = r.join(n_known, "request_id", "left")
     ids = F.array_distinct("service_ids")
     status = _first_failure([
@@ -178,7 +178,8 @@ def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | No
         *[F.coalesce(F.col("total_cost").cast(schema.MONEY), F.col("total_costs")).alias("total_costs")
           if f.name == "total_costs" else F.col(f.name) for f in schema.BOOKING.fields])
     ok = F.col("status") == ACCEPTED
-    outcome = salted_join(judged, totals, "booking_id", how="left", spread="request_id").select(
+    outcome = salted_join(judged, totals, "booking_id", how="left", spread="request_id",
+                          hot=hot_keys(requests, "booking_id")).select(
         "request_id", "booking_id", "status",
         *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_links, new_bookings, outcome
@@ -339,7 +340,7 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
         for c in bookings.columns])
     ok = F.col("status") == ACCEPTED
     outcome = salted_join(judged, updated.withColumnRenamed("_id", "booking_id").drop("new_services"), "booking_id",
-                          how="left", spread="request_id") \
+                          how="left", spread="request_id", hot=hot_keys(requests, "booking_id")) \
         .select("request_id", "booking_id", "status",
                 *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_bookings, outcome

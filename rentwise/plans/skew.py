@@ -31,8 +31,10 @@ _KEY, _HOT, _SALT = "__hot_key", "__is_hot", "__salt"
 
 def hot_keys(fact: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys of ``fact`` holding more than 1/share of its rows (at most ``share`` keys)."""
-    total = fact.select(F.count(F.lit(1))).scalar()
     counts = fact.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(_KEY)).agg(F.count(F.lit(1)).alias("__n"))
+    # The total comes from the same per-key counts, so the subquery and the
+    # filter share one shuffle stage (adaptive execution reuses it).
+    total = counts.select(F.sum("__n")).scalar()
     return counts.filter(F.col("__n") * F.lit(share) > total).select(_KEY)
 
 
@@ -53,10 +55,10 @@ def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", s
     hot = F.broadcast(hot.withColumn(_HOT, F.lit(True)))
     salt = F.when(F.col(_HOT), F.pmod(F.xxhash64(F.col(spread)), F.lit(buckets)).cast("int")).otherwise(F.lit(0))
     f = fact.join(hot, F.col(key) == F.col(_KEY), "left").withColumn(_SALT, salt).drop(_KEY, _HOT)
-    d_hot = dim.join(hot, F.col(dim_key) == F.col(_KEY), "left_semi") \
-        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    d_cold = dim.join(hot, F.col(dim_key) == F.col(_KEY), "left_anti").withColumn(_SALT, F.lit(0))
-    d = d_hot.unionByName(d_cold)
+    # One pass over the dimension: hot rows are repeated once per salt value.
+    salts = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
+    d = (dim.join(hot, F.col(dim_key) == F.col(_KEY), "left")
+         .withColumn(_SALT, F.explode(salts)).drop(_KEY, _HOT))
     if dim_key == key:
         return f.join(d, [key, _SALT], how).drop(_SALT)
     d = d.withColumnRenamed(_SALT, "__dsalt")
