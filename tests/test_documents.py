@@ -109,3 +109,32 @@ def test_m6_writes_and_reads_back(spark, seed, scratch):
     assert back["bookings"].count() == 5 and back["persons"].count() == 6
     M.migrate_all(seed, scratch + "/docs")  # full refresh, not append
     assert M.load_docs(spark, scratch + "/docs")["persons"].count() == 6
+
+
+def test_n9_fallbacks_and_missing_account(spark, seed, docs):
+    # booking document without embedded retailer: id from the vehicle, name from the person document
+    odd = docs["bookings"].filter("_id = 'b2'").withColumn("_id", F.lit("b2r")) \
+        .withColumn("retailer", F.lit(None).cast("struct<person_id:string,company_name:string>"))
+    d = dict(docs, bookings=docs["bookings"].unionByName(odd),
+             persons=docs["persons"].withColumn(
+                 "bankAccount", F.when(F.col("_id") == "p_cust2", F.lit(None)).otherwise(F.col("bankAccount"))))
+    got = {r[0]: r[1:] for r in rows(N.doc_service_booking_report(d), "booking_id", "retailer_id", "retailer_name",
+                                     "customer_iban", "additional_services_list")}
+    assert got["b2r"] == ("p_ret2", "Green Motors", None, "Navigation")
+    assert got["b2"][2] is None  # account missing: kept with NULL (the relational twin drops it)
+
+
+def test_catalogue_array_is_bounded(spark, seed):
+    from rentwise.plans.joins import catalogue_id_array
+    big = spark.range(20).selectExpr("concat('as', id) as additional_service_id")
+    ok = spark.range(1).select(catalogue_id_array(seed["additional_service"]).alias("ids")).first()["ids"]
+    assert ok == ["as1", "as2", "as3", "as4", "as5"]
+    with pytest.raises(Exception, match="more than 10 rows"):
+        spark.range(1).select(catalogue_id_array(big, max_rows=10).alias("ids")).collect()
+
+
+def test_hot_keys_bound(spark):
+    from rentwise.plans.skew import hot_keys
+    fact = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id) end as k")
+    assert rows(hot_keys(fact, "k", share=1000)) == [("hot",)]
+    assert hot_keys(spark.range(3000).selectExpr("concat('k', id) as k"), "k", share=1000).count() == 0
