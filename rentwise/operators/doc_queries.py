@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rentwise.functions.rules import doc_rental_days, num_or_zero, where_all, given
 from rentwise.plans.joins import catalogue_id_array
-from rentwise.plans.skew import hot_keys, salted_join
+from rentwise.plans.skew import hot_key_sets, salted_join
 
 
 def _extras_sum(arr) -> F.Column:
@@ -140,9 +140,10 @@ def doc_service_booking_report(docs, date_from: str | None = None, date_to: str
                                F.col("roles.retailer.company_name").alias("ret_company"))
     retailer_id = F.coalesce(F.col("retailer.person_id"), F.col("vehicle.retailer_id"))
     b = b.withColumn("rid", retailer_id).withColumn("__cust", F.col("customer.person_id"))
-    j = salted_join(b, accounts, "__cust", how="left", spread="_id", dim_key="acct_person")
+    hot = hot_key_sets(b, ["__cust", "rid"])
+    j = salted_join(b, accounts, "__cust", how="left", spread="_id", dim_key="acct_person", hot=hot["__cust"])
     j = salted_join(j, companies, "rid", how="left", spread="_id", dim_key="ret_person",
-                    hot=hot_keys(b, "rid")).drop("__cust")
+                    hot=hot["rid"]).drop("__cust")
     days = doc_rental_days("start_date", "end_date")
     per_day = num_or_zero("vehicle.costs_per_day")
     base = days * per_day

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise.functions.rules import truthy_text
-from rentwise.plans.skew import hot_keys, salted_join
+from rentwise.plans.skew import hot_key_sets, salted_join
 
 COLLECTIONS = ["persons", "vehicles", "services", "ratings", "bookings"]
 
@@ -96,8 +96,9 @@ def booking_docs(tables) -> DataFrame:
     retailers = tables["retailer"].select(F.col("person_id").alias("retailer_id"), "company_name")
     vehicles = salted_join(tables["vehicle"], retailers, "retailer_id", spread="vehicle_id")
     bookings = tables["booking"]
-    joined = salted_join(bookings, customers, "customer_id")
-    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot_keys(bookings, "vehicle_id"))
+    hot = hot_key_sets(bookings, ["customer_id", "vehicle_id"])
+    joined = salted_join(bookings, customers, "customer_id", hot=hot["customer_id"])
+    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot["vehicle_id"])
               .join(service_arrays(tables), "booking_id", "left"))
     return joined.select(
         F.col("booking_id").alias("_id"),

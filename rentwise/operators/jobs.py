@@ -20,7 +20,7 @@ from rentwise.functions.rules import (doc_rental_days, num_or_zero, rental_days,
                                      truthy_text, where_all)
 from rentwise.operators.documents import SERVICE_ENTRY
 from rentwise.operators.relational import extras_by_booking
-from rentwise.plans.skew import hot_keys, salted_join
+from rentwise.plans.skew import hot_key_sets, salted_join
 from rentwise.session import checkpoint_dir
 from rentwise.sources.tables import write_table
 
@@ -80,9 +80,11 @@ def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
     vehicles = tables["vehicle"].select(F.col("vehicle_id").alias("v_id"), F.col("costs_per_day").alias("v_cost"),
                                         F.lit(True).alias("v_ok"))
     customers = _exists_flag(tables["customer"], "person_id", "c_id")
-    r = salted_join(requests, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_id")
+    hot = hot_key_sets(requests, ["vehicle_id", "customer_id"])
+    r = salted_join(requests, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_id",
+                    hot=hot["vehicle_id"])
     r = salted_join(r, customers, "customer_id", how="left", spread="request_id", dim_key="c_id",
-                    hot=hot_keys(requests, "customer_id"))
+                    hot=hot["customer_id"])
     status = _first_failure([
         (_fields_missing(), MISSING_FIELDS),
         (~truthy_text("customer_id"), MISSING_CUSTOMER),
@@ -115,6 +117,11 @@ def _service_checks(requests: DataFrame, catalogue: DataFrame, key: str) -> Data
     return known.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_known"))
 
 
+def _request_hot_keys(requests: DataFrame) -> dict[str, DataFrame]:
+    """Hot bookings and customers of a request batch (one aggregation)."""
+    return hot_key_sets(requests, ["booking_id", "customer_id"])
+
+
 def _booking_found(requests: DataFrame, active: DataFrame) -> DataFrame:
     """Requests whose booking is active and belongs to the requesting customer.
 
@@ -122,7 +129,7 @@ def _booking_found(requests: DataFrame, active: DataFrame) -> DataFrame:
     join on the booking key is salted.
     """
     found = salted_join(requests.select("request_id", "booking_id", "customer_id"), active, "booking_id",
-                        spread="request_id", dim_key="b_id")
+                        spread="request_id", dim_key="b_id", hot=_request_hot_keys(requests)["booking_id"])
     return found.filter(F.col("customer_id") == F.col("b_cust")).select(
         "request_id", F.lit(True).alias("booking_found"))
 
@@ -130,7 +137,7 @@ def _booking_found(requests: DataFrame, active: DataFrame) -> DataFrame:
 def _judge_service_requests(requests, booking_ok: DataFrame, has_account: DataFrame, n_known: DataFrame):
     r = requests.join(booking_ok, ["request_id"], "left")
     r = salted_join(r, has_account, "customer_id", how="left", spread="request_id", dim_key="acct_id",
-                    hot=hot_keys(requests, "customer_id"))  # detected on the batch, not on the join result
+                    hot=_request_hot_keys(requests)["customer_id"])  # detected on the batch, not the join
     r = r.join(n_known, "request_id", "left")
     ids = F.array_distinct("service_ids")
     status = _first_failure([
@@ -179,7 +186,7 @@ def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | No
           if f.name == "total_costs" else F.col(f.name) for f in schema.BOOKING.fields])
     ok = F.col("status") == ACCEPTED
     outcome = salted_join(judged, totals, "booking_id", how="left", spread="request_id",
-                          hot=hot_keys(requests, "booking_id")).select(
+                          hot=_request_hot_keys(requests)["booking_id"]).select(
         "request_id", "booking_id", "status",
         *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_links, new_bookings, outcome
@@ -258,9 +265,11 @@ def doc_create_bookings(docs, requests: DataFrame):
     resolved = F.when(truthy_text("customer_id"), F.col("customer_id")).otherwise(fallback)
     # Every request without a customer resolves to the same default: a hot key by design.
     asked = requests.withColumn("resolved_customer", resolved)
-    r = salted_join(asked, people, "resolved_customer", how="left", spread="request_id", dim_key="p_key")
+    hot = hot_key_sets(asked, ["resolved_customer", "vehicle_id"])
+    r = salted_join(asked, people, "resolved_customer", how="left", spread="request_id", dim_key="p_key",
+                    hot=hot["resolved_customer"])
     r = salted_join(r, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_key",
-                    hot=hot_keys(asked, "vehicle_id"))
+                    hot=hot["vehicle_id"])
     status = _first_failure([
         (_fields_missing(), MISSING_FIELDS),
         (F.col("resolved_customer").isNull(), NO_CUSTOMERS),
@@ -340,7 +349,7 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
         for c in bookings.columns])
     ok = F.col("status") == ACCEPTED
     outcome = salted_join(judged, updated.withColumnRenamed("_id", "booking_id").drop("new_services"), "booking_id",
-                          how="left", spread="request_id", hot=hot_keys(requests, "booking_id")) \
+                          how="left", spread="request_id", hot=_request_hot_keys(requests)["booking_id"]) \
         .select("request_id", "booking_id", "status",
                 *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_bookings, outcome

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rentwise.functions.rules import given, money, rental_days, start_date_window, where_all
 from rentwise.plans.joins import catalogue_id_array
-from rentwise.plans.skew import hot_keys, salted_join
+from rentwise.plans.skew import hot_key_sets, salted_join
 
 
 def _date(value: str):
@@ -130,8 +130,9 @@ def booking_cost_report(tables, date_from: str | None = None, date_to: str | Non
     days = rental_days("start_date", "end_date")
     base = F.col("costs_per_day") * F.col("days")
     additional = F.coalesce(F.col("extras"), F.lit(0).cast("decimal(10,2)"))
-    joined = salted_join(bookings, customer_dim(tables), "customer_id")
-    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot_keys(bookings, "vehicle_id"))
+    hot = hot_key_sets(bookings, ["customer_id", "vehicle_id"])
+    joined = salted_join(bookings, customer_dim(tables), "customer_id", hot=hot["customer_id"])
+    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot["vehicle_id"])
               .join(extras, "booking_id", "left")
               .withColumn("days", days))
     return joined.select(
@@ -213,10 +214,10 @@ def service_booking_report(tables, date_from: str | None = None, date_to: str |
         .select("booking_id", "start_date", "end_date", "customer_id", "vehicle_id")
     vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day"], with_retailer=True)
     extras = extras_by_booking(tables)
+    hot = hot_key_sets(bookings, ["customer_id", "vehicle_id"])
     joined = bookings.join(extras, "booking_id")
-    joined = salted_join(joined, customer_dim(tables, with_account=True), "customer_id",
-                         hot=hot_keys(bookings, "customer_id"))
-    joined = salted_join(joined, vehicles, "vehicle_id", hot=hot_keys(bookings, "vehicle_id")) \
+    joined = salted_join(joined, customer_dim(tables, with_account=True), "customer_id", hot=hot["customer_id"])
+    joined = salted_join(joined, vehicles, "vehicle_id", hot=hot["vehicle_id"]) \
         .withColumn("rental_days", rental_days("start_date", "end_date"))
     base = F.col("rental_days") * F.col("costs_per_day")
     return joined.select(

@@ -32,12 +32,21 @@ _KEY, _HOT, _SALT = "__hot_key", "__is_hot", "__salt"
 def hot_keys(fact: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """Keys of ``fact`` holding more than 1/share of its rows (at most ``share`` keys)."""
     counts = fact.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(_KEY)).agg(F.count(F.lit(1)).alias("__n"))
-    # The total comes from the same per-key counts, so the subquery and the
-    # filter share one shuffle stage (adaptive execution reuses it).
+    # The total comes from the same per-key counts, so the scalar subquery and
+    # the filter share one shuffle stage (adaptive execution reuses it).
     total = counts.select(F.sum("__n")).scalar()
     return counts.filter(F.col("__n") * F.lit(share) > total).select(_KEY)
 
 
+def hot_key_sets(fact: DataFrame, keys, share: int = HOT_SHARE) -> dict[str, DataFrame]:
+    """Hot keys of several key columns of ``fact``, detected on ``fact`` itself.
+
+    Detecting on the base table (not on a join result built from it) keeps
+    the detection from re-running upstream joins.
+    """
+    return {k: hot_keys(fact, k, share) for k in keys}
+
+
 def salted_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", spread: str = "booking_id",
                 dim_key: str | None = None, hot: DataFrame | None = None, buckets: int = SALT_BUCKETS,
                 share: int = HOT_SHARE) -> DataFrame:
