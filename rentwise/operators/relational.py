@@ -28,24 +28,30 @@ def _date(value: str):
     return F.lit(value).cast("date")
 
 
-def priced_links(tables) -> DataFrame:
+def priced_links(tables, bookings: DataFrame | None = None) -> DataFrame:
     """Links joined to the catalogue (a small dimension: the planner broadcasts it).
 
     Links naming an unknown service carry no price and drop out; sums and
     counts over them are the same as with the outer joins of the reports.
+    With ``bookings`` (e.g. a date window) only their links are kept, before
+    any aggregation.
     """
-    services = tables["additional_service"]
-    return tables["booking_service"].join(services, "additional_service_id")
+    links = tables["booking_service"]
+    if bookings is not None:
+        links = links.join(bookings.select("booking_id"), "booking_id", "left_semi")
+    return links.join(tables["additional_service"], "additional_service_id")
 
 
-def extras_by_booking(tables) -> DataFrame:
+def extras_by_booking(tables, bookings: DataFrame | None = None) -> DataFrame:
     """One row per booking with extras: sum of costs, count, sorted description list.
 
     Partial aggregation happens map-side, so a booking key shuffles at most one
     row per map task. The collected list is bounded by the catalogue size
     because (booking_id, additional_service_id) is the link table's key.
+    Reports over a booking window pass their bookings, so a one-year report
+    aggregates one year of links rather than the whole history.
     """
-    return priced_links(tables).groupBy("booking_id").agg(
+    return priced_links(tables, bookings).groupBy("booking_id").agg(
         F.sum("costs").alias("extras"),
         F.count("additional_service_id").alias("n_extras"),
         F.array_sort(F.collect_list("description")).alias("extras_descriptions"),
@@ -126,7 +132,7 @@ def booking_cost_report(tables, date_from: str | None = None, date_to: str | Non
         F.col("end_date") <= _date(date_to) if given(date_to) else None,
     ]).select("booking_id", "customer_id", "vehicle_id", "start_date", "end_date")
     vehicles = vehicle_dim(tables, ["producer", "model", "costs_per_day"])
-    extras = extras_by_booking(tables).select("booking_id", "extras")
+    extras = extras_by_booking(tables, bookings).select("booking_id", "extras")
     days = rental_days("start_date", "end_date")
     base = F.col("costs_per_day") * F.col("days")
     additional = F.coalesce(F.col("extras"), F.lit(0).cast("decimal(10,2)"))
@@ -154,7 +160,7 @@ def active_bookings(tables, as_of: str, customer_id: str | None = None) -> DataF
         F.col("customer_id") == F.lit(customer_id) if customer_id is not None else None,
     ])
     vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day", "plate_number", "number_of_seats"])
-    extras = extras_by_booking(tables).select("booking_id", "extras")
+    extras = extras_by_booking(tables, bookings).select("booking_id", "extras")
     joined = (salted_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
               .withColumn("days", rental_days("start_date", "end_date")))
     base = money(F.col("days") * F.col("costs_per_day"))
@@ -195,7 +201,7 @@ def booking_totals(tables, booking_ids: DataFrame) -> DataFrame:
     ids = booking_ids.select("booking_id").distinct()
     bookings = tables["booking"].join(ids, "booking_id", "left_semi")
     vehicles = vehicle_dim(tables, ["costs_per_day"])
-    extras = extras_by_booking(tables).select("booking_id", "extras")
+    extras = extras_by_booking(tables, bookings).select("booking_id", "extras")
     joined = salted_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
     base = money(rental_days("start_date", "end_date") * F.col("costs_per_day"))
     extras_cost = F.coalesce(money("extras"), F.lit(0.0))
@@ -213,7 +219,7 @@ def service_booking_report(tables, date_from: str | None = None, date_to: str |
     bookings = where_all(b, start_date_window(b, lower=date_from, upper=date_to, upper_inclusive=False)) \
         .select("booking_id", "start_date", "end_date", "customer_id", "vehicle_id")
     vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day"], with_retailer=True)
-    extras = extras_by_booking(tables)
+    extras = extras_by_booking(tables, bookings)
     hot = hot_key_sets(bookings, ["customer_id", "vehicle_id"])
     joined = bookings.join(extras, "booking_id")
     joined = salted_join(joined, customer_dim(tables, with_account=True), "customer_id", hot=hot["customer_id"])
