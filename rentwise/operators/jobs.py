@@ -165,15 +165,17 @@ def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | No
     if judged is None:
         judged = judge_service_requests(tables, requests, as_of)
     accepted = judged.filter(F.col("status") == ACCEPTED)
-    wanted = accepted.select("booking_id", F.explode(F.array_distinct("service_ids")).alias("additional_service_id"))
-    inserted = wanted.distinct().join(links, ["booking_id", "additional_service_id"], "left_anti")
+    inserted = inserted_links(links, accepted)
     new_links = links.unionByName(inserted)
 
     touched = accepted.select("booking_id").distinct()
+    touched_bookings = bookings.join(touched, "booking_id", "left_semi")
     updated = dict(tables, booking_service=new_links)
     vehicles = tables["vehicle"].select("vehicle_id", "costs_per_day")
-    totals = (bookings.join(touched, "booking_id", "left_semi").join(vehicles, "vehicle_id")
-              .join(extras_by_booking(updated).select("booking_id", "extras"), "booking_id", "left")
+    # Only the links of touched bookings are re-aggregated, not the whole table.
+    extras = extras_by_booking(updated, touched_bookings).select("booking_id", "extras")
+    totals = (touched_bookings.join(vehicles, "vehicle_id")
+              .join(extras, "booking_id", "left")
               .select("booking_id",
                       (rental_days("start_date", "end_date") * F.col("costs_per_day")).cast("double").alias("base_cost"),
                       F.coalesce(F.col("extras").cast("double"), F.lit(0.0)).alias("extras_cost")))
@@ -192,6 +194,19 @@ def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | No
     return new_links, new_bookings, outcome
 
 
+def inserted_links(links: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Links the accepted requests add (insert-ignore): requested pairs not stored yet.
+
+    The stored links are first narrowed to the batch's bookings (a semi join
+    whose small side is the batch), so the anti join never shuffles the whole
+    link table for a small batch.
+    """
+    wanted = accepted.select("booking_id", F.explode(F.array_distinct("service_ids")).alias("additional_service_id")) \
+        .distinct()
+    stored = links.join(wanted.select("booking_id").distinct(), "booking_id", "left_semi")
+    return wanted.join(stored, ["booking_id", "additional_service_id"], "left_anti")
+
+
 def judge_service_requests(tables, requests: DataFrame, as_of: str) -> DataFrame:
     """Each add-service request with the status of its first failing rule."""
     bookings = tables["booking"]
@@ -214,7 +229,10 @@ def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str) ->
     checkpoint_dir(spark)
     judged = judge_booking_requests(tables, requests).checkpoint()
     new_bookings, outcome = bookings_from_judged(judged)
-    fresh = new_bookings.join(tables["booking"].select("booking_id"), "booking_id", "left_anti")
+    # Ids already stored (a rerun of the batch): found with a semi join whose
+    # small side is the batch, so the stored ids are not shuffled.
+    stored = tables["booking"].select("booking_id").join(new_bookings.select("booking_id"), "booking_id", "left_semi")
+    fresh = new_bookings.join(stored, "booking_id", "left_anti")
     write_table(fresh, "booking", target_dir, "append")
     return outcome
 

@@ -56,8 +56,9 @@ def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_
     def handle(batch: DataFrame, batch_id: int) -> None:
         tables = load_tables(spark, tables_dir)
         judged = jobs.judge_service_requests(tables, batch, as_of).checkpoint()
-        links, _, outcome = jobs.add_services(tables, batch, as_of, judged=judged)
-        inserted = links.join(tables["booking_service"], ["booking_id", "additional_service_id"], "left_anti")
+        _, _, outcome = jobs.add_services(tables, batch, as_of, judged=judged)
+        accepted = judged.filter(F.col("status") == jobs.ACCEPTED)
+        inserted = jobs.inserted_links(tables["booking_service"], accepted)
         _write_outcome(outcome, out_dir, batch_id)
         write_table(inserted, "booking_service", tables_dir, "append")
     return handle
