@@ -79,8 +79,10 @@ def test_q1_keys(spark, seed):
     assert Q.audit_keys(seed).count() == 0
     t = with_rows(spark, seed, "vehicle", [("veh1", "Dup", "X", "1.00", "W-AB123C", 2, None)])
     t = with_rows(spark, t, "customer", [("p_ret1", "C-1001", None), ("p_ret2", None, None)])
+    t = with_rows(spark, t, "booking_service", [(None, "as1"), (None, "as2"), ("b1", None)])
     got = sorted(rows(Q.audit_keys(t), "table_name", "rule", "columns", "key_value", "n_rows"))
     assert got == [
+        ("booking_service", "null primary key", "booking_id,additional_service_id", None, 3),
         ("customer", "duplicate unique value", "customer_number", "C-1001", 2),
         ("vehicle", "duplicate primary key", "vehicle_id", "veh1", 2),
         ("vehicle", "duplicate unique value", "plate_number", "W-AB123C", 2),

@@ -65,3 +65,11 @@ def test_hot_customer_is_spread_over_tasks(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_window_report_restricts_links_before_aggregating(spark):
+    t = td.rental_tables(spark, SF)
+    text = plan_text(R.booking_cost_report(t, td.REPORT_FROM, td.REPORT_TO), "simple")
+    agg_at = text.index("partial_sum(costs")
+    semi_at = text.index("LeftSemi", agg_at)  # below the partial aggregate in the printed tree
+    assert semi_at > agg_at
