@@ -3,6 +3,8 @@
 The settings that matter at cluster scale are adaptive execution (runtime
 re-planning, partition coalescing, skew-join splitting of hot keys) and a UTC
 session zone, so that "today" and date casts mean the same on every executor.
+``spark.sql.shuffle.partitions`` is left to the deployment (size it to
+about input bytes / 200 MB); adaptive execution coalesces from there.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ SCALE_CONF = {
     # Split hot partitions even when that costs an extra shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64MB",
+    # Coalesce small shuffle partitions towards the advisory size (not towards
+    # maximal parallelism): on a large cluster this keeps tasks a useful size.
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
