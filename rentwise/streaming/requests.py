@@ -55,7 +55,7 @@ def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         tables = load_tables(spark, tables_dir)
-        judged = jobs.judge_service_requests(tables, batch, as_of).checkpoint()
+        judged = jobs._materialize(jobs.judge_service_requests(tables, batch, as_of))
         _, _, outcome = jobs.add_services(tables, batch, as_of, judged=judged)
         accepted = judged.filter(F.col("status") == jobs.ACCEPTED)
         inserted = jobs.inserted_links(tables["booking_service"], accepted)
