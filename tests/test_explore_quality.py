@@ -68,9 +68,9 @@ def test_r12_export_text(spark, seed, scratch):
     assert b1["Bank account"] == "AT611904300234573201 / BKAUATWW"
     assert b1["Period"] == "2026-01-05 → 2026-01-10"
     assert b1["Additional services"] == "ChildSeat, FullInsurance (2)"
-    assert b1["Total"] == "€ 420,00"
+    assert b1["Total"] == "€\u00a0420,00"
     big = spark.createDataFrame([(1234.5,), (-3.0,), (None,)], "x double").select(euro_text("x").alias("t"))
-    assert [r[0] for r in big.collect()] == ["€ 1.234,50", "-€ 3,00", "€ 0,00"]
+    assert [r[0] for r in big.collect()] == ["€\u00a01.234,50", "-€\u00a03,00", "€\u00a00,00"]
     X.export_csv(rep, scratch + "/r12")
     assert spark.read.option("header", True).csv(scratch + "/r12").count() == 5
 
@@ -115,3 +115,21 @@ def test_q4_cascade_then_no_orphans(spark, seed):
     assert Q.audit_references(left).count() == 0
     counts = dict(rows(Q.table_counts(left)))
     assert counts["person"] == 4 and counts["additional_service"] == 5
+
+
+def test_s1_views_answer_sql(spark, seed, scratch):
+    from rentwise.sources.tables import register_views
+    write_tables(seed, scratch + "/rel")
+    register_views(load_tables(spark, scratch + "/rel"))
+    got = spark.sql("select count(*) from rental_booking b join rental_booking_service s using (booking_id) "
+                    "where b.start_date >= date'2026-03-01'").first()[0]
+    assert got == 5  # b3 (2), b4 (1), b5 (2)
+
+
+def test_r12_export_of_the_document_report(seed):
+    from rentwise.operators import doc_queries as N
+    from rentwise.operators import documents as M
+    rep = X.service_report_export(N.doc_service_booking_report(M.migrate_docs(seed)))
+    b5 = rep.filter("Booking = 'b5'").first()
+    assert b5["Retailer"] == "Dual Mobility (p_both1)" and b5["Days"] == "6"
+    assert b5["Additional services"] == "ChildSeat, Navigation (2)" and b5["Total"] == "€\u00a0395,00"
