@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rentwise.operators import jobs
 from rentwise.session import checkpoint_dir
+from rentwise.operators.documents import load_docs
 from rentwise.sources.tables import load_tables, write_table
 
 BOOKING_REQUEST_SCHEMA = ("request_id string, customer_id string, vehicle_id string, start_date date, "
@@ -47,6 +48,21 @@ def handle_booking_batch(spark: SparkSession, tables_dir: str, out_dir: str):
     return handle
 
 
+def handle_doc_booking_batch(spark: SparkSession, docs_dir: str, out_dir: str):
+    """foreachBatch function for booking requests against the documents.
+
+    New booking documents are appended to the ``bookings`` collection unless
+    their id is stored already (a replayed batch appends nothing).
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        docs = load_docs(spark, docs_dir)
+        new_docs, outcome = jobs.doc_create_bookings(docs, batch)
+        stored = docs["bookings"].select("_id").join(new_docs.select("_id"), "_id", "left_semi")
+        _write_outcome(outcome, out_dir, batch_id)
+        new_docs.join(stored, "_id", "left_anti").write.mode("append").parquet(f"{docs_dir}/bookings")
+    return handle
+
+
 def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_of: str):
     """foreachBatch function for add-service requests.
 
@@ -66,11 +82,17 @@ def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_
 
 def start_intake(spark: SparkSession, kind: str, requests_path: str, tables_dir: str, out_dir: str,
                  checkpoint_location: str, as_of: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Start the intake stream of ``kind`` ('booking' or 'service')."""
+    """Start the intake stream of ``kind``: 'booking' (R4), 'service' (R8) or 'doc_booking' (N3).
+
+    For 'doc_booking', ``tables_dir`` is the folder of the document collections.
+    """
     checkpoint_dir(spark)  # judged batches are checkpointed to the shared folder
     if kind == "booking":
         stream = request_stream(spark, requests_path, BOOKING_REQUEST_SCHEMA)
         handler = handle_booking_batch(spark, tables_dir, out_dir)
+    elif kind == "doc_booking":
+        stream = request_stream(spark, requests_path, BOOKING_REQUEST_SCHEMA)
+        handler = handle_doc_booking_batch(spark, tables_dir, out_dir)
     elif kind == "service":
         stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA)
         handler = handle_service_batch(spark, tables_dir, out_dir, as_of or "1970-01-01")

@@ -80,3 +80,22 @@ def test_streaming_service_intake(spark, seed, scratch):
     assert got == [("s1", "accepted", 425.0), ("s2", "invalid service selection", None)]
     links = load_tables(spark, path)["booking_service"]
     assert links.count() == 9 and links.filter("booking_id = 'b5' and additional_service_id = 'as2'").count() == 1
+
+
+def test_streaming_doc_booking_intake(spark, seed, scratch):
+    from rentwise.operators.documents import load_docs, migrate_all
+    docs_dir = scratch + "/docs"
+    migrate_all(seed, docs_dir)
+    inbox = scratch + "/inbox"
+    schema = ("request_id string, customer_id string, vehicle_id string, start_date date, end_date date, "
+              "way_of_billing string")
+    spark.createDataFrame([("r1", None, "veh2", D("2026-10-01"), D("2026-10-03"), "Card"),
+                           ("r2", "p_cust2", "veh_x", D("2026-10-01"), D("2026-10-03"), "Card")], schema) \
+        .write.parquet(inbox + "/f1")
+    q = start_intake(spark, "doc_booking", inbox + "/*", docs_dir, scratch + "/out", scratch + "/ckpt",
+                     available_now=True)
+    q.awaitTermination(120)
+    got = sorted(rows(read_outcomes(spark, scratch + "/out"), "request_id", "status", "customer_id"))
+    assert got == [("r1", "accepted", "p_cust1"), ("r2", "invalid vehicle", None)]
+    new = load_docs(spark, docs_dir)["bookings"].filter("_id = 'b_r1'").first()
+    assert new["customer"]["name"] == "Alice Example" and new["additionalServices"] == []
