@@ -1,7 +1,6 @@
 """Sources (S1, S2, S5), explorer (S3, S4), export (R12) and audits (Q1-Q4)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from rentwise import schema
 from rentwise.operators import explore as X
