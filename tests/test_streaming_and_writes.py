@@ -4,6 +4,7 @@ import datetime as dt
 
 from rentwise.operators import jobs as J
 from rentwise.operators import relational as R
+from rentwise.plans.inspect import plan_text
 from rentwise.sources.tables import load_tables, write_tables
 from rentwise.streaming.requests import read_outcomes, start_intake
 from tests.helpers import rows
@@ -18,8 +19,8 @@ def _store(spark, seed, path):
 
 def test_stored_bookings_prune_by_start_year(spark, seed, scratch):
     t = _store(spark, seed, scratch + "/rel")
-    plan = R.booking_cost_report(t, "2026-03-01", None)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(start_year" in plan and "start_year#" in plan
+    plan = plan_text(R.booking_cost_report(t, "2026-03-01", None), "formatted")
+    assert "PartitionFilters: [isnotnull(start_year" in plan and "(start_year" in plan and ">= 2026)" in plan
     assert [r[0] for r in rows(R.booking_cost_report(t, "2026-03-01"), "booking_id")] == ["b5", "b4", "b3"]
 
 
