@@ -43,12 +43,14 @@ def _stored(spark: SparkSession, sf_dir: str, what: str, build):
     every query runs on Parquet scans with pushdown and pruning; the folder is
     inside the session's checkpoint folder.
     """
-    key = (id(spark), sf_dir, what)
-    if key not in _CACHE:
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    owner, value = _CACHE.get(key, (None, None))
+    if owner is not spark:  # first use, or a new session: never reuse another session's plans
         apply_scale_conf(spark)
         base = checkpoint_dir(spark).rstrip("/") + f"/{what}-{uuid.uuid4().hex[:12]}"
-        _CACHE[key] = build(spark, sf_dir, base)
-    return _CACHE[key]
+        value = build(spark, sf_dir, base)
+        _CACHE[key] = (spark, value)
+    return value
 
 
 def _build_tables(spark, sf_dir, base):
