@@ -4,7 +4,9 @@ Broadcast decisions are left to Catalyst and adaptive execution: a side is
 broadcast only when its estimated size (planning) or measured size (runtime,
 after a shuffle stage) is below ``spark.sql.autoBroadcastJoinThreshold`` /
 ``spark.sql.adaptive.autoBroadcastJoinThreshold``; beyond that the join stays
-a shuffle (sort-merge) join. The operators therefore give no broadcast hints.
+a shuffle (sort-merge) join. The operators therefore give no broadcast hints,
+except for the hot-key sets of :mod:`rentwise.plans.skew`, which hold at most
+``HOT_SHARE`` keys by construction.
 
 The one place where a whole relation is inlined into every row is the
 catalogue key array of the service listings; its size is bounded here.
