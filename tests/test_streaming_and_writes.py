@@ -100,3 +100,25 @@ def test_streaming_doc_booking_intake(spark, seed, scratch):
     assert got == [("r1", "accepted", "p_cust1"), ("r2", "invalid vehicle", None)]
     new = load_docs(spark, docs_dir)["bookings"].filter("_id = 'b_r1'").first()
     assert new["customer"]["name"] == "Alice Example" and new["additionalServices"] == []
+
+
+def test_replayed_micro_batches_change_nothing(spark, seed, scratch):
+    """At-least-once delivery: a batch handled twice leaves the same tables and outcome."""
+    from rentwise.streaming.requests import handle_booking_batch, handle_service_batch
+    path, out = scratch + "/rel", scratch + "/out"
+    _store(spark, seed, path)
+    bookings = spark.createDataFrame(
+        [("r1", "p_cust2", "veh2", D("2026-10-01"), D("2026-10-03"), "Card")],
+        "request_id string, customer_id string, vehicle_id string, start_date date, end_date date, "
+        "way_of_billing string")
+    services = spark.createDataFrame(
+        [("s1", "b5", "p_cust1", ["as2", "as4"], True)],
+        "request_id string, booking_id string, customer_id string, service_ids array<string>, "
+        "confirm_payment boolean")
+    for _ in range(2):  # the second call is the replay of the same batch id
+        handle_booking_batch(spark, path, out + "/b")(bookings, 7)
+        handle_service_batch(spark, path, out + "/s", "2026-04-01")(services, 7)
+    t = load_tables(spark, path)
+    assert t["booking"].filter("booking_id = 'b_r1'").count() == 1 and t["booking"].count() == 6
+    assert t["booking_service"].count() == 10  # 8 + as2 + as4 on b5, once
+    assert read_outcomes(spark, out + "/b").count() == 1 and read_outcomes(spark, out + "/s").count() == 1
