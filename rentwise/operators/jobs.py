@@ -109,6 +109,7 @@ def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
 
 
 def bookings_from_judged(judged: DataFrame):
+    """New booking rows of the accepted requests, and the outcome of every request."""
     accepted = judged.filter(F.col("status") == ACCEPTED)
     new_bookings = accepted.select(
         _new_booking_id(F.col("request_id")).alias("booking_id"), "start_date", "end_date",
@@ -123,14 +124,14 @@ def bookings_from_judged(judged: DataFrame):
 # --- R8 -------------------------------------------------------------------
 
 def _service_checks(requests: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
-    """Per request: whether every distinct requested id exists in the catalogue."""
+    """Per request: how many of its distinct requested ids exist in the catalogue."""
     picked = requests.select("request_id", F.explode(F.array_distinct("service_ids")).alias("sid"))
     known = picked.join(catalogue.select(F.col(key).alias("sid")), "sid")
     return known.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_known"))
 
 
 def _request_hot_keys(requests: DataFrame) -> dict[str, DataFrame]:
-    """Hot bookings and customers of a request batch (one aggregation)."""
+    """Hot bookings and customers of a request batch, detected on the batch itself."""
     return hot_key_sets(requests, ["booking_id", "customer_id"])
 
 
