@@ -86,20 +86,28 @@ def seed_tables(spark: SparkSession, with_bookings: bool = True) -> dict[str, Da
     return {name: spark.createDataFrame(data, schema.SCHEMAS[name]) for name, data in rows.items()}
 
 
+def seed_status(spark: SparkSession, target_dir: str) -> bool:
+    """True when the model under ``target_dir`` holds data (its Person table has a row).
+
+    ``isEmpty`` stops at the first row found, so the check reads one split;
+    a missing target counts as empty.
+    """
+    try:
+        return not load_tables(spark, target_dir, ["person"])["person"].isEmpty()
+    except Exception as exc:
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            raise
+        return False
+
+
 def bootstrap_if_empty(spark: SparkSession, source: dict[str, DataFrame], target_dir: str) -> bool:
     """Append ``source`` into ``target_dir`` only when its Person table has no row.
 
     Returns True when data was loaded and False when the model was already
     filled ("already loaded"); a second call therefore changes nothing.
-    ``isEmpty`` stops at the first row found, so the check reads one split.
     """
-    try:
-        person = load_tables(spark, target_dir, ["person"])["person"]
-        if not person.isEmpty():
-            return False
-    except Exception as exc:  # a missing target counts as empty
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
+    if seed_status(spark, target_dir):
+        return False
     # Dependent tables last, parents first, as a relational load would require.
     order = ["person", "customer", "retailer", "bankaccount", "vehicle", "booking",
              "additional_service", "booking_service", "rating"]

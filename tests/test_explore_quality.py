@@ -7,7 +7,7 @@ from rentwise.operators import explore as X
 from rentwise.operators import quality as Q
 from rentwise.functions.rules import euro_text
 from rentwise.operators import relational as R
-from rentwise.sources.seed import bootstrap_if_empty, seed_tables
+from rentwise.sources.seed import bootstrap_if_empty, seed_status, seed_tables
 from rentwise.sources.tables import conform_bookings, load_tables, write_tables
 from tests.helpers import rows, with_rows
 
@@ -24,7 +24,9 @@ def test_s1_write_and_load_typed(spark, seed, scratch):
 
 def test_s2_bootstrap_only_into_empty(spark, scratch):
     target = scratch + "/boot"
+    assert seed_status(spark, target) is False
     assert bootstrap_if_empty(spark, seed_tables(spark, with_bookings=False), target) is True
+    assert seed_status(spark, target) is True
     assert bootstrap_if_empty(spark, seed_tables(spark, with_bookings=False), target) is False
     t = load_tables(spark, target)
     assert t["person"].count() == 6 and t["booking"].count() == 0 and t["additional_service"].count() == 5
