@@ -77,15 +77,20 @@ def write_tables(tables: dict[str, DataFrame], base_dir: str, mode: str = "overw
         write_table(df, name, base_dir, mode)
 
 
-def write_table(df: DataFrame, name: str, base_dir: str, mode: str = "append") -> None:
+def write_table(df: DataFrame, name: str, base_dir: str, mode: str = "append",
+                replace_partitions: bool = False) -> None:
     """Write one table; bookings are laid out by start year.
 
     Within each write task bookings are sorted by start date (a local sort,
     no shuffle), so Parquet row-group statistics let pushed date filters skip
-    row groups inside a year partition.
+    row groups inside a year partition. ``replace_partitions`` overwrites only
+    the start-year partitions present in ``df`` (dynamic partition overwrite).
     """
     if name == "booking":
         df = df.withColumn(START_YEAR, F.year("start_date")).sortWithinPartitions(START_YEAR, "start_date")
-        df.write.mode(mode).partitionBy(START_YEAR).parquet(f"{base_dir}/{name}")
+        writer = df.write.mode("overwrite" if replace_partitions else mode).partitionBy(START_YEAR)
+        if replace_partitions:
+            writer = writer.option("partitionOverwriteMode", "dynamic")
+        writer.parquet(f"{base_dir}/{name}")
     else:
         df.write.mode(mode).parquet(f"{base_dir}/{name}")

@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rentwise.operators import jobs
 from rentwise.session import checkpoint_dir
 from rentwise.operators.documents import load_docs
+from rentwise.functions.rules import START_YEAR
 from rentwise.sources.tables import load_tables, write_table
 
 BOOKING_REQUEST_SCHEMA = ("request_id string, customer_id string, vehicle_id string, start_date date, "
@@ -66,8 +67,10 @@ def handle_doc_booking_batch(spark: SparkSession, docs_dir: str, out_dir: str):
 def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_of: str):
     """foreachBatch function for add-service requests.
 
-    New links are appended to the link table (insert-ignore by key); the
-    repriced totals of the touched bookings are part of the outcome log.
+    New links are appended to the link table (insert-ignore by key). The
+    touched bookings are repriced in place: only the start-year partitions
+    that hold them are rewritten, from a checkpointed copy (so the rewrite
+    does not read the files it replaces). A replay recomputes the same totals.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         tables = load_tables(spark, tables_dir)
@@ -77,9 +80,23 @@ def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_
         inserted = jobs.inserted_links(tables["booking_service"], accepted)
         _write_outcome(outcome, out_dir, batch_id)
         write_table(inserted, "booking_service", tables_dir, "append")
+        _reprice_stored_bookings(spark, tables_dir, batch, as_of, judged, accepted)
     return handle
 
 
+def _reprice_stored_bookings(spark, tables_dir, batch, as_of, judged, accepted) -> None:
+    tables = load_tables(spark, tables_dir)  # with the links just appended
+    bookings = tables["booking"]
+    # The start years of the touched bookings: a handful of values.
+    years = [r[0] for r in bookings.join(accepted.select("booking_id").distinct(), "booking_id", "left_semi")
+             .select(START_YEAR).distinct().collect()]
+    if not years:
+        return
+    in_years = dict(tables, booking=bookings.filter(F.col(START_YEAR).isin(years)))
+    _, repriced, _ = jobs.add_services(in_years, batch, as_of, judged=judged)
+    write_table(jobs._materialize(repriced), "booking", tables_dir, replace_partitions=True)
+
+
 def start_intake(spark: SparkSession, kind: str, requests_path: str, tables_dir: str, out_dir: str,
                  checkpoint_location: str, as_of: str | None = None, available_now: bool = False) -> StreamingQuery:
     """Start the intake stream of ``kind``: 'booking' (R4), 'service' (R8) or 'doc_booking' (N3).

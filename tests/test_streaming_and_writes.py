@@ -79,8 +79,11 @@ def test_streaming_service_intake(spark, seed, scratch):
     q.awaitTermination(120)
     got = sorted(rows(read_outcomes(spark, scratch + "/out"), "request_id", "status", "total_cost"))
     assert got == [("s1", "accepted", 425.0), ("s2", "invalid service selection", None)]
-    links = load_tables(spark, path)["booking_service"]
+    t = load_tables(spark, path)
+    links = t["booking_service"]
     assert links.count() == 9 and links.filter("booking_id = 'b5' and additional_service_id = 'as2'").count() == 1
+    stored = {r[0]: r[1] for r in rows(t["booking"], "booking_id", "total_costs")}
+    assert float(stored["b5"]) == 425.0 and stored["b1"] is None and len(stored) == 5
 
 
 def test_streaming_doc_booking_intake(spark, seed, scratch):
@@ -121,4 +124,5 @@ def test_replayed_micro_batches_change_nothing(spark, seed, scratch):
     t = load_tables(spark, path)
     assert t["booking"].filter("booking_id = 'b_r1'").count() == 1 and t["booking"].count() == 6
     assert t["booking_service"].count() == 10  # 8 + as2 + as4 on b5, once
+    assert float(t["booking"].filter("booking_id = 'b5'").first()["total_costs"]) == 475.0
     assert read_outcomes(spark, out + "/b").count() == 1 and read_outcomes(spark, out + "/s").count() == 1
