@@ -59,3 +59,23 @@ def test_euro_text_matches_rule(spark, values):
     df = spark.createDataFrame([(str(v),) for v in values], "v string")
     got = [r[0] for r in df.select(euro_text(F.col("v").cast("decimal(12,2)"))).collect()]
     assert got == [_euro(float(v)) for v in values]
+
+
+KEYS = st.one_of(st.none(), st.sampled_from(["k0", "k1", "k2", "k3", "hot"]))
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(KEYS, min_size=1, max_size=300), st.sampled_from(["inner", "left"]), st.booleans())
+def test_salted_join_equals_plain_join(spark, keys, how, rename):
+    from rentwise.plans.skew import salted_join
+    fact = spark.createDataFrame([(f"f{i}", k) for i, k in enumerate(keys + ["hot"] * len(keys))],
+                                 "fid string, key string")
+    dim_key = "dkey" if rename else "key"
+    dim = spark.createDataFrame([("k0", 1), ("k1", 2), ("hot", 3), ("k9", 4)], f"{dim_key} string, v int")
+    cond = "key" if not rename else fact["key"] == dim["dkey"]
+    plain = fact.join(dim, cond, how)
+    if rename:
+        plain = plain.drop("dkey")
+    salted = salted_join(fact, dim, "key", how=how, spread="fid", dim_key=dim_key, share=10)
+    cols = ["fid", "key", "v"]
+    assert sorted(salted.select(*cols).collect()) == sorted(plain.select(*cols).collect())
