@@ -57,7 +57,7 @@ def _new_booking_id(request_id) -> F.Column:
     return F.concat(F.lit("b_"), request_id)
 
 
-def _materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> DataFrame:
     """Checkpoint a judged request batch into the shared checkpoint folder.
 
     The judged batch feeds the inserted links, the repriced totals and the
@@ -176,7 +176,7 @@ def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | No
     bookings = tables["booking"]
     links = tables["booking_service"]
     if judged is None:
-        judged = _materialize(judge_service_requests(tables, requests, as_of))
+        judged = materialize(judge_service_requests(tables, requests, as_of))
     accepted = judged.filter(F.col("status") == ACCEPTED)
     inserted = inserted_links(links, accepted)
     new_links = links.unionByName(inserted)
@@ -239,7 +239,7 @@ def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str) ->
     executor does not re-run the validation joins. Booking ids already stored
     are skipped, so running the same batch again appends nothing.
     """
-    judged = _materialize(judge_booking_requests(tables, requests))
+    judged = materialize(judge_booking_requests(tables, requests))
     new_bookings, outcome = bookings_from_judged(judged)
     # Ids already stored (a rerun of the batch): found with a semi join whose
     # small side is the batch, so the stored ids are not shuffled.
@@ -256,7 +256,7 @@ def run_add_services(spark, tables, requests: DataFrame, as_of: str, out_dir: st
     Parquet has no in-place update). The judged batch is checkpointed once and
     reused for all three outputs.
     """
-    judged = _materialize(judge_service_requests(tables, requests, as_of))
+    judged = materialize(judge_service_requests(tables, requests, as_of))
     links, bookings, outcome = add_services(tables, requests, as_of, judged=judged)
     write_table(links, "booking_service", out_dir, "overwrite")
     write_table(bookings, "booking", out_dir, "overwrite")
@@ -349,7 +349,7 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
     has_account = docs["persons"].filter(F.col("bankAccount").isNotNull()).select(
         F.col("_id").alias("acct_id"), F.lit(True).alias("acct_id_ok"))
     n_known = _service_checks(requests, docs["services"], "_id")
-    judged = _materialize(_judge_service_requests(requests, booking_ok, has_account, n_known))
+    judged = materialize(_judge_service_requests(requests, booking_ok, has_account, n_known))
 
     accepted = judged.filter(F.col("status") == ACCEPTED)
     catalogue = docs["services"].select(

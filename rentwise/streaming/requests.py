@@ -74,7 +74,7 @@ def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         tables = load_tables(spark, tables_dir)
-        judged = jobs._materialize(jobs.judge_service_requests(tables, batch, as_of))
+        judged = jobs.materialize(jobs.judge_service_requests(tables, batch, as_of))
         _, _, outcome = jobs.add_services(tables, batch, as_of, judged=judged)
         accepted = judged.filter(F.col("status") == jobs.ACCEPTED)
         inserted = jobs.inserted_links(tables["booking_service"], accepted)
@@ -94,7 +94,7 @@ def _reprice_stored_bookings(spark, tables_dir, batch, as_of, judged, accepted)
         return
     in_years = dict(tables, booking=bookings.filter(F.col(START_YEAR).isin(years)))
     _, repriced, _ = jobs.add_services(in_years, batch, as_of, judged=judged)
-    write_table(jobs._materialize(repriced), "booking", tables_dir, replace_partitions=True)
+    write_table(jobs.materialize(repriced), "booking", tables_dir, replace_partitions=True)
 
 
 def start_intake(spark: SparkSession, kind: str, requests_path: str, tables_dir: str, out_dir: str,
