@@ -165,3 +165,23 @@ def test_twin_r3_n4_on_driver_data(spark):
     vehicles = t["booking"].join(missing, "booking_id", "left_semi").join(t["vehicle"], "vehicle_id")
     known = vehicles.join(t["retailer"].withColumnRenamed("person_id", "retailer_id"), "retailer_id", "left_semi")
     assert known.count() == 0
+
+
+def test_twin_r10_n9_on_driver_data(spark):
+    """R10 ⊆ N9 on the driver's tables; N9 adds the bookings of customers without account."""
+    import os
+    import __spark_entry__ as E
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver test data not present")
+    t, docs = E._tables(spark, sf), E._docs(spark, sf)
+    cols = ["booking_id", "customer_id", "customer_iban", "retailer_id", "retailer_name", "rental_days",
+            "additional_services_count", "additional_services_list", "base_cost", "additional_costs", "total_cost"]
+    rel = {r[0]: r for r in rows(R.service_booking_report(t), *cols)}
+    doc = {r[0]: r for r in rows(N.doc_service_booking_report(docs), *cols)}
+    assert rel and set(rel) <= set(doc)
+    for b in rel:
+        assert rel[b][:8] == doc[b][:8]
+        assert all(math.isclose(x, y, rel_tol=1e-12) for x, y in zip(rel[b][8:], doc[b][8:]))
+    extra = [doc[b] for b in set(doc) - set(rel)]
+    assert extra and all(r[2] is None for r in extra)  # no account: IBAN NULL
