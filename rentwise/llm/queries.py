@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, ngram_join
+from . import decontaminate, exact_dedup, ngram_join, quality
 from .sql import ORACLES  # noqa: F401  (read by the registry)
 
 
@@ -16,6 +16,10 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
 
