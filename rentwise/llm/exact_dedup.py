@@ -44,8 +44,9 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
     spark = digests.sparkSession
     found = spark.sql(f"""
         SELECT inline(approx_top_k_estimate(approx_top_k_combine(part, {tracked}), {tracked}))
-        FROM (SELECT approx_top_k_accumulate(xxhash64(text_sha256), {tracked}) AS part
-              FROM llm_digests GROUP BY pmod(spark_partition_id(), 256))""")
+        FROM (SELECT approx_top_k_accumulate(xxhash64(text_sha256), {tracked}) AS part, slot
+              FROM (SELECT text_sha256, pmod(spark_partition_id(), 256) AS slot FROM llm_digests) GROUP BY slot)
+        GROUP BY pmod(slot, 1)""")  # a group, so that a task without summaries adds no empty one
     likely = staged(found.select(F.col("item").alias("h")).distinct(), "dedup-likely")  # <= tracked rows
     exact = (digests.withColumn("h", F.xxhash64("text_sha256")).join(F.broadcast(likely), "h", "left_semi")
              .groupBy("text_sha256").agg(*GROUP).where("group_size > 1"))
@@ -62,9 +63,6 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", tracke
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, hot (decided on the map side)."""
     digests = staged(text_digests(docs, key, text), "dedup-digests")
     out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "hot"]
-    if digests.isEmpty():
-        return digests.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"),
-                              F.lit(True).alias("kept"), "text_sha256", F.lit(False).alias("hot"))
     winners = staged(frequent_digests(digests, tracked), "dedup-winners")
     stays = (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
     hot = digests.join(F.broadcast(winners), "text_sha256").withColumn("hot", F.lit(True))
