@@ -185,8 +185,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     ``held_out`` is a condition on doc_id: its labels are not learned from.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
+    bound_batches(docs.sparkSession)
     held = bucket_of(F.col("doc_id"), 4) == 2 if held_out is None else held_out
     held = F.coalesce(held, F.lit(False))
     rows = staged(feature_rows(source(docs, doc_id=key, text=text).withColumn(
@@ -196,12 +195,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     sample = (rows.dropDuplicates(["doc_id"]).join(marks, "doc_id")
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("f", "y").toPandas())
     x = np.stack(sample.f.to_list()).astype(np.float32) if len(sample) else np.empty((0, len(FEATURES)), np.float32)
-    model = spark.sparkContext.broadcast(AdditiveModel().fit(x, sample.y.to_numpy(np.float64)))
+    model = AdditiveModel().fit(x, sample.y.to_numpy(np.float64))  # a few thousand numbers, sent with the task
 
     def run(batches):
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            scores = model.value.score(flat.reshape(-1, len(FEATURES)))
+            scores = model.score(flat.reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
 
     scored = rows.mapInArrow(run, "doc_id long, score double")
