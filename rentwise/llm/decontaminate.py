@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, ids_join, source, staged
-from .shingles import WordHashes, shingle_set
+from .shingles import Hasher
 
 CONTAINMENT_PERCENT = 75
 MAX_SKETCH = 256
@@ -41,9 +41,9 @@ def sketch_size(n: int, percent: int) -> int:
 def item_sets(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
     """item_id, n, shingles (sorted hashes as bytes), block; items without words are left out."""
     def run(batches):
-        hashes = WordHashes()
+        hasher = Hasher()
         for batch in batches:
-            ids, sets = batch.column(0), [shingle_set(t, hashes) for t in batch.column(1).to_pylist()]
+            ids, sets = batch.column(0), [hasher.shingles(t) for t in batch.column(1).to_pylist()]
             keep = [i for i, s in enumerate(sets) if len(s)]
             yield pa.RecordBatch.from_pydict({
                 "item_id": ids.take(pa.array(keep, pa.int64())), "n": pa.array([len(sets[i]) for i in keep], pa.int64()),
@@ -99,12 +99,12 @@ def _search(rows: DataFrame, part, percent: int) -> DataFrame:
     shipped = spark.sparkContext.broadcast(_index(part, percent))  # at most BLOCK_ITEMS items
 
     def run(batches):
-        hashes = WordHashes()
+        hasher = Hasher()
         ids, sizes, sketch, full = shipped.value
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = shingle_set(text, hashes)
+                own = hasher.shingles(text)
                 likely = np.unique(_owners(own, sketch)) if len(own) else ()
                 if not len(likely):
                     continue

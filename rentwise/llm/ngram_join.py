@@ -8,11 +8,13 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    only orders the shingles, rare ones first: any order gives the same result.
 2. Of n shingles, an l-prefix holds the first n - ceil(0.75 n) + l. Two linked
    sets share at least l of their l-prefixes (Wang et al., SIGMOD 2012). l grows
-   with the document's estimated candidate cost, read from the count table; a
-   pair must share as many prefix shingles as the smaller of its two l.
+   with the document's estimated candidate cost: its size, which a verification
+   reads, and the list entries that the count table lets expect. A pair must
+   share as many prefix shingles as the smaller of its two l.
 3. Prefix shingles held by one class only are dropped. Those held by at most
    ``LIST`` classes produce pairs, at most LIST / 2 per row; pairs with too few
-   shared prefix shingles are dropped, the others verified on their whole sets.
+   shared prefix shingles are dropped, the others verified on their whole sets:
+   first every class's likeliest pair, then all pairs not yet in one component.
 4. A prefix shingle in more classes than ``LIST`` produces no pairs. The classes
    that such shingles connect are split into blocks of bounded size, and every two
    blocks of such a region are compared exactly inside one task, which returns
@@ -37,13 +39,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, components, ids_join, source, staged
-from .shingles import WordHashes, shingle_set
+from .shingles import Hasher
 
 PERCENT = 75
 ORDER_BITS = 18
 LIST = 32                  # classes of a prefix shingle that produce pairs directly
-COST_STEP = 64             # estimated candidates for which one more shared shingle is asked
-MAX_MATCH = 8
+COST_STEP = 32             # shingles to read in verifications for which one more shared shingle is asked
 BLOCK_SHINGLES = 400_000   # shingles of one block of a dense region
 SEEN = 100_000             # classes a task remembers, to send a copied class's prefix only once
 
@@ -55,15 +56,14 @@ def _bytes_of(docs: DataFrame) -> DataFrame:
 def _classes_and_counts(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n, cls), and per task the non-zero shingle counts in 64 blocks of buckets."""
     def run(batches):
-        hashes, counts = WordHashes(), np.zeros(1 << ORDER_BITS, np.int64)
+        hasher, counts = Hasher(), np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
-            ns, cls = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, hashes)
-                ns.append(len(s))
-                cls.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-                np.add.at(counts, (s >> np.uint64(64 - ORDER_BITS)).astype(np.int64), 1)
-            size = len(ns)
+            sets = [hasher.shingles(text) for text in batch.column(1).to_pylist()]
+            cls = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+            ns, size = [len(s) for s in sets], len(sets)
+            if size:
+                counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64),
+                                      minlength=1 << ORDER_BITS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int32()), pa.array(np.array(cls, np.uint64).view(np.int64)),
                  pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], NAMES)
@@ -106,9 +106,9 @@ def prefix_of(s: np.ndarray, table: np.ndarray, ground: float) -> tuple[np.ndarr
     count = table[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
     order = np.argsort((count << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF)), kind="stable")
     need = -(-PERCENT * n // 100)
-    short = order[:n - need + 1]
-    cost = np.maximum(count[short].astype(np.float64) - ground, 0).sum()  # expected list entries met
-    match = int(min(need, MAX_MATCH, 1 + cost // COST_STEP))
+    met = np.maximum(count[order[:n - need + 1]].astype(np.float64) - ground, 0).sum()  # expected list entries
+    cost = n + met  # a candidate costs the reading of a set
+    match = int(min(need, max(8, n // 20), 1 + cost // COST_STEP))
     return s[order[:n - need + match]], match
 
 
@@ -116,7 +116,7 @@ def _prefix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        counts, hashes, seen = shipped.value, WordHashes(), set()
+        counts, hasher, seen = shipped.value, Hasher(), set()
         middle = counts[counts > 0]
         level = float(np.median(middle)) if len(middle) else 0.0
         ground = level + 2 * level ** 0.5  # what a bucket holds besides a shingle of its own
@@ -124,7 +124,7 @@ def _prefix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
             for at in range(0, batch.num_rows, 100):
                 tokens, cls, ns, ls = [np.empty(0, np.uint64)], [], [], []
                 for text in batch.column(1).slice(at, 100).to_pylist():
-                    s = shingle_set(text, hashes)
+                    s = hasher.shingles(text)
                     key = xxhash.xxh3_64_intdigest(s.tobytes())
                     if not len(s) or key in seen:
                         continue
@@ -155,9 +155,9 @@ def _shared_postings(rows: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, shingles (sorted hashes) of the documents whose ids are given, read again from their texts."""
     def run(batches):
-        hashes = WordHashes()
+        hasher = Hasher()
         for batch in batches:
-            sets = [shingle_set(t, hashes) for t in batch.column(1).to_pylist()]
+            sets = [hasher.shingles(t) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
@@ -227,22 +227,24 @@ def _dense_links(docs: DataFrame, dense: DataFrame) -> DataFrame:
         lambda pdf: _block_links(pdf), "a long, b long")
 
 
-def _light_links(docs: DataFrame, light: DataFrame, dense_reps: DataFrame) -> DataFrame:
-    """Links between classes that share only prefix shingles of few classes."""
+def _light_pairs(light: DataFrame, dense_reps: DataFrame) -> DataFrame:
+    """Candidates (a, b, matches) that share prefix shingles of few classes."""
     l, r = light.alias("l"), light.alias("r")
     sized = 100 * F.least("l.n", "r.n") >= PERCENT * F.greatest("l.n", "r.n")
     pairs = (l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.rep") < F.col("r.rep")) & sized)
              .groupBy(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-             .agg(F.count("*").alias("matches"), F.min(F.least("l.match", "r.match")).alias("need"),
-                  F.first("l.n").alias("na"), F.first("r.n").alias("nb")))
-    # the count misses shingles of long lists, so where both sets hold such, any match is enough
+             .agg(F.count("*").alias("matches"), F.min(F.least("l.match", "r.match")).alias("need")))
+    # the count misses shingles of long lists; a pair that shares such is compared in its region as well
     marked = dense_reps.withColumn("dense", F.lit(True))
-    pairs = (pairs.join(marked.select(F.col("rep").alias("a"), F.col("dense").alias("da")), "a", "left")
-             .join(marked.select(F.col("rep").alias("b"), F.col("dense").alias("db")), "b", "left")
-             .where("matches >= need OR (da AND db)").select("a", "b", "na", "nb"))
-    pairs = staged(pairs, "ngram-pairs")
+    return (pairs.join(marked.select(F.col("rep").alias("a"), F.col("dense").alias("da")), "a", "left")
+            .join(marked.select(F.col("rep").alias("b"), F.col("dense").alias("db")), "b", "left")
+            .where("matches >= need OR (da AND db)").select("a", "b", "matches"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
     ids = staged(pairs.select("a").union(pairs.select("b")).distinct(), "ngram-ids")
-    sets = staged(_sets(docs, ids).dropDuplicates(["doc_id"]), "ngram-sets")
+    sets = staged(_sets(docs, ids), "ngram-sets")
     both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -250,8 +252,15 @@ def _light_links(docs: DataFrame, light: DataFrame, dense_reps: DataFrame) -> Da
             .where(F.expr(f"100 * shared >= {PERCENT} * (both - shared)")).select("a", "b"))
 
 
-def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text) -> links between class representatives, and members (doc_id, n, rep)."""
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not yet in one component."""
+    return (pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+            .join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+            .where("NOT coalesce(ra, a) = coalesce(rb, b)").select("a", "b"))
+
+
+def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text) -> components of class representatives (node, root), and members (doc_id, n, rep)."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = staged(_classes_and_counts(docs), "ngram-classes")
@@ -265,17 +274,24 @@ def similarity_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     posts = staged(posts.join(held, "token"), "ngram-lists")
     dense = posts.where(f"held > {LIST}")
     dense_reps = staged(dense.select("rep").distinct(), "ngram-dense")
-    links = _light_links(named, posts.where(f"held <= {LIST}"), dense_reps)
+    pairs = staged(_light_pairs(posts.where(f"held <= {LIST}"), dense_reps), "ngram-pairs")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
+    links = _verified(named, staged(best, "ngram-best"))
     if not dense_reps.isEmpty():
         links = links.union(_dense_links(named, dense))
-    return links, own.join(reps, ["cls", "n"], "left").select("doc_id", "n", "rep")
+    roots = staged(components(links, "ngram"), "ngram-roots")
+    rest = staged(_across(pairs, roots), "ngram-rest")
+    more = staged(_verified(named, rest), "ngram-more")
+    if not more.isEmpty():
+        roots = staged(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more),
+                                  "ngram"), "ngram-roots")
+    return roots, own.join(reps, ["cls", "n"], "left").select("doc_id", "n", "rep")
 
 
 def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    links, members = similarity_links(source(docs, doc_id=key, text=text))
-    roots = staged(components(links, "ngram"), "ngram-roots").withColumnRenamed("node", "rep")
-    return members.join(roots, "rep", "left").select(
+    roots, members = class_roots(source(docs, doc_id=key, text=text))
+    return members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 
