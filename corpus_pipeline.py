@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentwise.llm import decontaminate, exact_dedup, ngram_join
+from rentwise.llm import decontaminate, exact_dedup, ngram_join, pieces, quality
 from rentwise.llm.common import staged
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
@@ -20,8 +27,12 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("exact dedup", exact_copies), ("n-gram jaccard join", near_copies),
-          ("benchmark decontamination", benchmark_leaks)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(docs, PIECES)
+
+
+STAGES = [("quality classifier", good_documents), ("exact dedup", exact_copies), ("n-gram jaccard join", near_copies),
+          ("benchmark decontamination", benchmark_leaks), ("sentencepiece", encoded)]
 
 # The quality model is trained, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None

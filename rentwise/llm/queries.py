@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, quality
+from . import decontaminate, exact_dedup, ngram_join, pieces, quality
 from .sql import ORACLES  # noqa: F401  (read by the registry)
 
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -16,6 +20,11 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark, sf_dir, model=PIECES):
+    coded = pieces.encode_documents(table(spark, sf_dir, "documents"), model, decoded=True)
+    return coded.select("doc_id", "n_ids", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
