@@ -22,7 +22,7 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    pairs is ever written, however large a group of near copies is.
 5. Components over the verified links.
 
-Sets are compared as 64-bit shingle hashes.
+Shingles and classes are compared as 64-bit hashes.
 
 Defined cases: a text without words has no shingles and links with nothing, as
 does a row with a null doc_id (its component_id is null). Rows that repeat a
@@ -143,28 +143,43 @@ def _prefix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return _bytes_of(docs).mapInArrow(run, "token long, cls long, n int, match int")
 
 
-def _shared_postings(rows: DataFrame) -> DataFrame:
-    """Rows of prefix shingles that at least two classes hold (one row per class and shingle)."""
-    by = Window.partitionBy("token").orderBy("n", "cls")
-    last, after = F.lag("cls").over(by), F.lead("cls").over(by)
-    kept = (rows.withColumn("last", last).withColumn("after", after)
-            .where("NOT (last <=> cls) AND (last IS NOT NULL OR after <> cls)"))
-    return kept.select("token", "cls", "n", "match")
-
-
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, shingles (sorted hashes) of the documents whose ids are given, read again from their texts."""
+def _meetings(rows: DataFrame) -> DataFrame:
+    """What meets in the prefix shingles that at least two rows hold, from one sort by shingle.
+
+    Rows (a, b, matches, need) for every pair that shares shingles of short
+    lists, and rows (token, b, n) for every class in a long list.
+    """
+    by = Window.partitionBy("token")
+    before = by.orderBy("n", "cls").rowsBetween(1 - LIST, -1)
+    near = F.filter("before", lambda x: (x["cls"] != F.col("cls")) & (100 * x["n"] >= PERCENT * F.col("n")))
+    pair = F.transform(near, lambda x: F.struct(
+        F.lit(None).cast("long").alias("token"), F.least(x["cls"], "cls").alias("a"), F.greatest(x["cls"], "cls").alias("b"),
+        F.lit(0).alias("n"), F.least(x["match"], "match").alias("need")))
+    alone = F.array(F.struct(F.col("token"), F.lit(None).cast("long").alias("a"), F.col("cls").alias("b"), "n",
+                             F.lit(0).alias("need")))
+    met = (rows.withColumn("held", F.count("*").over(by))
+           .withColumn("before", F.collect_list(F.struct("cls", "n", "match")).over(before))
+           .where("held > 1").select(F.explode(F.when(F.col("held") <= LIST, pair).otherwise(alone)).alias("x"))
+           .select("x.*"))
+    return met.groupBy("token", "a", "b").agg(F.count("*").alias("matches"), F.min("need").alias("need"),
+                                              F.max("n").alias("n"))
+
+
+def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """cls, shingles (sorted hashes) of the classes given (cls), read again from their representatives' texts."""
+    named = staged(reps.join(nodes, "cls").select("rep", "cls"), "ngram-named")
     def run(batches):
         hasher = Hasher()
         for batch in batches:
             sets = [hasher.shingles(t) for t in batch.column(1).to_pylist()]
+            cls = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                                             ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                                             ["cls", "shingles"])
 
-    rows = ids_join(docs, ids, "doc_id", "left_semi")
-    return _bytes_of(rows).mapInArrow(run, "doc_id long, shingles array<long>")
+    rows = ids_join(docs, named.select("rep"), "doc_id", "left_semi")
+    return _bytes_of(rows).mapInArrow(run, "cls long, shingles array<long>")
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -185,7 +200,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     """All links between the sets of two blocks (or inside one), as a spanning forest."""
-    pdf = pdf.drop_duplicates("doc_id")
+    pdf = pdf.drop_duplicates("cls")
     sets = [np.asarray(s, np.int64) for s in pdf.shingles]
     sizes = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
@@ -202,51 +217,35 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     shared = shared.astype(np.int64)
     linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
     np.fill_diagonal(linked, False)
-    ids = pdf.doc_id.to_numpy()
+    ids = pdf.cls.to_numpy()
     edges = _forest(linked)
     return pd.DataFrame({"a": ids[[a for a, _ in edges]], "b": ids[[b for _, b in edges]]}, dtype="int64")
 
 
-def _dense_links(docs: DataFrame, dense: DataFrame) -> DataFrame:
-    """Links inside the regions that prefix shingles of many classes connect."""
-    first = staged(dense.groupBy("token").agg(F.min("rep").alias("b")), "ngram-first")
-    regions = staged(components(dense.select("token", F.col("rep").alias("a")).join(first, "token")
-                                .select("a", "b"), "ngram-region"), "ngram-region")
-    members = regions.join(dense.select(F.col("rep").alias("node"), "n").distinct(), "node")
+def _dense_links(docs: DataFrame, reps: DataFrame, dense: DataFrame) -> DataFrame:
+    """Links inside the regions that prefix shingles of many classes connect; ``dense``: (token, b, n)."""
+    first = staged(dense.groupBy("token").agg(F.min("b").alias("a")), "ngram-first")
+    regions = staged(components(dense.select("token", "b").join(first, "token").select("a", "b"), "ngram-region"),
+                     "ngram-region")
+    members = regions.join(dense.select(F.col("b").alias("node"), "n").distinct(), "node")
     weight = staged(members.groupBy("root").agg(F.sum("n").alias("weight")), "ngram-weight")
     blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
     cut = staged(members.join(weight, "root").withColumn("blocks", blocks)
                  .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-                 .select("root", "node", "block", "blocks"), "ngram-blocks")
+                 .select("root", F.col("node").alias("cls"), "block", "blocks"), "ngram-blocks")
     # every block meets every block of its region: a row goes to as many tasks as the region has blocks
     met = (cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("root", F.col("node").alias("doc_id"), F.least("block", "other").alias("x"),
-                   F.greatest("block", "other").alias("y")))
-    sets = staged(_sets(docs, cut.select("node").distinct()), "ngram-dense-sets")
-    return met.join(sets, "doc_id").groupBy("root", "x", "y").applyInPandas(
-        lambda pdf: _block_links(pdf), "a long, b long")
-
-
-def _light_pairs(light: DataFrame, dense_reps: DataFrame) -> DataFrame:
-    """Candidates (a, b, matches) that share prefix shingles of few classes."""
-    l, r = light.alias("l"), light.alias("r")
-    sized = 100 * F.least("l.n", "r.n") >= PERCENT * F.greatest("l.n", "r.n")
-    pairs = (l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.rep") < F.col("r.rep")) & sized)
-             .groupBy(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
-             .agg(F.count("*").alias("matches"), F.min(F.least("l.match", "r.match")).alias("need")))
-    # the count misses shingles of long lists; a pair that shares such is compared in its region as well
-    marked = dense_reps.withColumn("dense", F.lit(True))
-    return (pairs.join(marked.select(F.col("rep").alias("a"), F.col("dense").alias("da")), "a", "left")
-            .join(marked.select(F.col("rep").alias("b"), F.col("dense").alias("db")), "b", "left")
-            .where("matches >= need OR (da AND db)").select("a", "b", "matches"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+           .select("root", "cls", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
+    sets = staged(_sets(docs, reps, cut.select("cls").distinct()), "ngram-dense-sets")
+    return met.join(sets, "cls").groupBy("root", "x", "y").applyInPandas(lambda pdf: _block_links(pdf), "a long, b long")
+
+
+def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    ids = staged(pairs.select("a").union(pairs.select("b")).distinct(), "ngram-ids")
-    sets = staged(_sets(docs, ids), "ngram-sets")
-    both = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b"))
+    nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ngram-nodes")
+    sets = staged(_sets(docs, reps, nodes), "ngram-sets")
+    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
     shared = F.size(F.array_intersect("sa", "sb"))
     return (both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
             .where(F.expr(f"100 * shared >= {PERCENT} * (both - shared)")).select("a", "b"))
@@ -260,40 +259,47 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text) -> components of class representatives (node, root), and members (doc_id, n, rep)."""
+    """``docs`` (doc_id, text) -> components of classes (node, root), and members (doc_id, n, cls)."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = staged(_classes_and_counts(docs), "ngram-classes")
     own = found.where("block IS NULL").select("doc_id", "n", "cls")
-    reps = staged(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "n")
-                  .agg(F.min("doc_id").alias("rep")), "ngram-reps")
-    named = docs.where("doc_id IS NOT NULL")
-    shared = staged(_shared_postings(_prefix_rows(named, _order_table(found))), "ngram-postings")
-    posts = staged(shared.join(reps, ["cls", "n"]).select("token", "rep", "n", "match"), "ngram-posts")
-    held = staged(posts.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"), "ngram-held")
-    posts = staged(posts.join(held, "token"), "ngram-lists")
-    dense = posts.where(f"held > {LIST}")
-    dense_reps = staged(dense.select("rep").distinct(), "ngram-dense")
-    pairs = staged(_light_pairs(posts.where(f"held <= {LIST}"), dense_reps), "ngram-pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    links = _verified(named, staged(best, "ngram-best"))
-    if not dense_reps.isEmpty():
-        links = links.union(_dense_links(named, dense))
+    reps = staged(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "ngram-reps")
+    docs = docs.where("doc_id IS NOT NULL")
+    met = staged(_meetings(_prefix_rows(docs, _order_table(found))), "ngram-met")
+    dense = met.where("token IS NOT NULL").select("token", "b", "n")
+    # the count of matches misses shingles of long lists; a pair that shares such is compared in its region as
+    # well, so a pair of two such classes is a candidate whatever its count
+    inside = staged(dense.select("b").distinct(), "ngram-inside")
+    marked = inside.withColumn("dense", F.lit(True))
+    pairs = (met.where("token IS NULL").join(marked.withColumnRenamed("dense", "db"), "b", "left")
+             .join(marked.select(F.col("b").alias("a"), F.col("dense").alias("da")), "a", "left")
+             .where("matches >= need OR (da AND db)").select("a", "b", "matches"))
+    pairs = staged(pairs, "ngram-pairs")
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
+    links = _verified(docs, reps, staged(best, "ngram-best"))
+    if not inside.isEmpty():
+        links = links.union(_dense_links(docs, reps, dense))
     roots = staged(components(links, "ngram"), "ngram-roots")
     rest = staged(_across(pairs, roots), "ngram-rest")
-    more = staged(_verified(named, rest), "ngram-more")
+    more = staged(_verified(docs, reps, rest), "ngram-more")
     if not more.isEmpty():
         roots = staged(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more),
                                   "ngram"), "ngram-roots")
-    return roots, own.join(reps, ["cls", "n"], "left").select("doc_id", "n", "rep")
+    return roots, own
 
 
 def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    roots, members = class_roots(source(docs, doc_id=key, text=text))
-    return members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+    roots, own = class_roots(source(docs, doc_id=key, text=text))
+    own = own.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    own = staged(own, "ngram-own")
+    # documents without shingles are alone; all others get their component's smallest id
+    low = staged(own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("low")), "ngram-low-ids")
+    return own.join(low, "root", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")))
+        .alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
