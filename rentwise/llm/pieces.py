@@ -37,8 +37,8 @@ from .common import bound_batches, source
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CHUNK = 300_000   # characters indexed at once
-CACHE = 200_000   # distinct units a task remembers
+CHUNK = 500_000   # characters indexed at once
+CACHE = 400_000   # distinct units a task remembers
 KNOWN = 1 << 20    # slots of pair decisions
 
 
