@@ -222,11 +222,15 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[[a for a, _ in edges]], "b": ids[[b for _, b in edges]]}, dtype="int64")
 
 
-def _dense_links(docs: DataFrame, reps: DataFrame, dense: DataFrame) -> DataFrame:
-    """Links inside the regions that prefix shingles of many classes connect; ``dense``: (token, b, n)."""
+def _regions(dense: DataFrame) -> DataFrame:
+    """The regions (node, root) that prefix shingles of many classes connect; ``dense``: (token, b, n)."""
     first = staged(dense.groupBy("token").agg(F.min("b").alias("a")), "ngram-first")
-    regions = staged(components(dense.select("token", "b").join(first, "token").select("a", "b"), "ngram-region"),
-                     "ngram-region")
+    return staged(components(dense.select("token", "b").join(first, "token").select("a", "b"), "ngram-region"),
+                  "ngram-region")
+
+
+def _dense_links(docs: DataFrame, reps: DataFrame, dense: DataFrame, regions: DataFrame) -> DataFrame:
+    """All links inside the regions."""
     members = regions.join(dense.select(F.col("b").alias("node"), "n").distinct(), "node")
     weight = staged(members.groupBy("root").agg(F.sum("n").alias("weight")), "ngram-weight")
     blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
@@ -268,18 +272,17 @@ def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.where("doc_id IS NOT NULL")
     met = staged(_meetings(_prefix_rows(docs, _order_table(found))), "ngram-met")
     dense = met.where("token IS NOT NULL").select("token", "b", "n")
-    # the count of matches misses shingles of long lists; a pair that shares such is compared in its region as
-    # well, so a pair of two such classes is a candidate whatever its count
-    inside = staged(dense.select("b").distinct(), "ngram-inside")
-    marked = inside.withColumn("dense", F.lit(True))
-    pairs = (met.where("token IS NULL").join(marked.withColumnRenamed("dense", "db"), "b", "left")
-             .join(marked.select(F.col("b").alias("a"), F.col("dense").alias("da")), "a", "left")
-             .where("matches >= need OR (da AND db)").select("a", "b", "matches"))
+    regions = _regions(dense)
+    # a pair inside a region is compared there; any other shares no shingle of a long list, so its count is whole
+    pairs = (met.where("token IS NULL")
+             .join(regions.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
+             .join(regions.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+             .where("matches >= need AND (ra IS NULL OR rb IS NULL OR ra <> rb)").select("a", "b", "matches"))
     pairs = staged(pairs, "ngram-pairs")
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
     links = _verified(docs, reps, staged(best, "ngram-best"))
-    if not inside.isEmpty():
-        links = links.union(_dense_links(docs, reps, dense))
+    if not regions.isEmpty():
+        links = links.union(_dense_links(docs, reps, dense, regions))
     roots = staged(components(links, "ngram"), "ngram-roots")
     rest = staged(_across(pairs, roots), "ngram-rest")
     more = staged(_verified(docs, reps, rest), "ngram-more")
