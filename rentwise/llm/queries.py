@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, ngram_join, pieces, quality, toxicity
+from . import decontaminate, exact_dedup, html_text, ngram_join, pieces, quality, toxicity
 from .sql import ORACLES  # noqa: F401  (read by the registry)
 
 
@@ -24,6 +24,10 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_sentencepiece(spark, sf_dir, model=PIECES):
     coded = pieces.encode_documents(table(spark, sf_dir, "documents"), model, decoded=True)
     return coded.select("doc_id", "n_ids", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
