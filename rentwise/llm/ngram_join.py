@@ -10,7 +10,8 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    sets share at least l of their l-prefixes (Wang et al., SIGMOD 2012). l grows
    with the document's estimated candidate cost: its size, which a verification
    reads, and the list entries that the count table lets expect. A pair must
-   share as many prefix shingles as the smaller of its two l.
+   share as many prefix shingles as the smaller of its two l, and as many as its
+   two sizes ask for if all that may follow the prefixes is shared as well.
 3. Prefix shingles held by one class only are dropped. Those held by at most
    ``LIST`` classes produce pairs, at most LIST / 2 per row; pairs with too few
    shared prefix shingles are dropped, the others verified on their whole sets:
@@ -43,9 +44,9 @@ from .shingles import Hasher
 
 PERCENT = 75
 ORDER_BITS = 18
-LIST = 32                  # classes of a prefix shingle that produce pairs directly
+LIST = 64                  # classes of a prefix shingle that produce pairs directly
 COST_STEP = 32             # shingles to read in verifications for which one more shared shingle is asked
-BLOCK_SHINGLES = 400_000   # shingles of one block of a dense region
+BLOCK_SHINGLES = 800_000   # shingles of one block of a dense region
 SEEN = 100_000             # classes a task remembers, to send a copied class's prefix only once
 
 
@@ -152,9 +153,14 @@ def _meetings(rows: DataFrame) -> DataFrame:
     by = Window.partitionBy("token")
     before = by.orderBy("n", "cls").rowsBetween(1 - LIST, -1)
     near = F.filter("before", lambda x: (x["cls"] != F.col("cls")) & (100 * x["n"] >= PERCENT * F.col("n")))
+    least_shared = lambda n: F.ceil(F.lit(PERCENT) * n / 100)  # noqa: E731  by any set similar to one of n shingles
+    # shingles past the one prefix or the other can add no more than the larger rest to the matches
+    past = lambda x: F.greatest(least_shared(x["n"]) - x["match"], least_shared(F.col("n")) - F.col("match"))
+    asked = lambda x: F.greatest(
+        F.least(x["match"], "match"), F.ceil(PERCENT * (x["n"] + F.col("n")) / (100 + PERCENT)) - past(x)).cast("int")
     pair = F.transform(near, lambda x: F.struct(
         F.lit(None).cast("long").alias("token"), F.least(x["cls"], "cls").alias("a"), F.greatest(x["cls"], "cls").alias("b"),
-        F.lit(0).alias("n"), F.least(x["match"], "match").alias("need")))
+        F.lit(0).alias("n"), asked(x).alias("need")))
     alone = F.array(F.struct(F.col("token"), F.lit(None).cast("long").alias("a"), F.col("cls").alias("b"), "n",
                              F.lit(0).alias("need")))
     met = (rows.withColumn("held", F.count("*").over(by))
