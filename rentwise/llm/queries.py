@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rentwise.session import checkpoint_dir
 
-from . import decontaminate, exact_dedup, html_text, ngram_join, pieces, quality, rollups, secret_scan, toxicity
+from . import decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, rollups, secret_scan, toxicity
 from .common import ids_join, staged
 from .sql import ORACLES  # noqa: F401  (read by the registry)
 
@@ -23,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
