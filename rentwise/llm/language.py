@@ -163,7 +163,7 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
                       table, F.array(*[F.lit(0.0)] * n))
 
     names = F.array(*map(F.lit, langs))
-    logs = lambda c: F.transform(c, F.log)
+    logs = lambda c: F.transform(c, lambda x: F.log(x))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     fused = (seen.join(hosts, ["host", "domain"], "left").join(domains, "domain", "left")
              .withColumn("prior", F.coalesce("prior", "above", F.array(*map(F.lit, prior))))
