@@ -49,14 +49,15 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
         GROUP BY pmod(slot, 1)""")  # a group, so that a task without summaries adds no empty one
     likely = staged(found.select(F.col("item").alias("h")).distinct(), "dedup-likely")  # <= tracked rows
     exact = (digests.withColumn("h", F.xxhash64("text_sha256")).join(F.broadcast(likely), "h", "left_semi")
-             .groupBy("text_sha256").agg(*GROUP).where("group_size > 1"))
+             .groupBy("text_sha256").agg(*group_columns()).where("group_size > 1"))
     return exact
 
 
-# Of equal texts the one with the most code points, then the smallest doc_id stays.
-GROUP = (F.count("*").alias("group_size"),
-         F.max_by("n_points", F.struct("n_points", -F.col("doc_id"))).alias("keep_points"),
-         F.max_by("doc_id", F.struct("n_points", -F.col("doc_id"))).alias("keep_id"))
+def group_columns():
+    """Of equal texts the one with the most code points, then the smallest doc_id stays."""
+    order = F.struct("n_points", -F.col("doc_id"))
+    return (F.count("*").alias("group_size"), F.max_by("n_points", order).alias("keep_points"),
+            F.max_by("doc_id", order).alias("keep_id"))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", tracked: int = TRACKED) -> DataFrame:

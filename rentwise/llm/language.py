@@ -153,7 +153,7 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     def trust(column: str):
         """log P(what is declared | l) for every declared value, as one array per value (few values)."""
         found = {r[0]: r[1] for r in _counts(decided, [column], langs, "c").collect()}
-        values = sorted({*found, *langs, "none", "other"})
+        values = sorted({*found, *langs} - {"none", "other"})  # what is not declared tells nothing
         return {v: [float(np.log((found.get(v, [0] * n)[k] + SMOOTH) / (total[k] + SMOOTH * len(values))))
                     for k in range(n)] for v in values}
 

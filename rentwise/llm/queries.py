@@ -28,7 +28,7 @@ def op1_language_id(spark, sf_dir):
 
 
 def op2_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("hot")
 
 
 def op3_toxicity(spark, sf_dir):
