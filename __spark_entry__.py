@@ -139,12 +139,13 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "N8_doc_add_services": lambda s, d: J.doc_add_services(_docs(s, d), _service_requests(s, d), td.AS_OF)[1],
         "N9_doc_service_booking_report": lambda s, d: N.doc_service_booking_report(_docs(s, d), td.REPORT_FROM,
                                                                                    td.SERVICE_REPORT_TO),
+        "R4_new_bookings": lambda s, d: J.create_bookings(t(s, d), _booking_requests(s, d))[0],
         "S3_preview_table": lambda s, d: X.preview_table(t(s, d), "Booking", 50),
         "S4_search_rows": _search_vehicles,
         "S4_search_counts": lambda s, d: X.search_counts(t(s, d)["vehicle"], oracle.SEARCH_QUERY),
-        "Q1_audit_keys": lambda s, d: Q.audit_keys(t(s, d)),
-        "Q2_audit_references": lambda s, d: Q.audit_references(t(s, d)),
-        "Q3_audit_values": lambda s, d: Q.audit_values(t(s, d)),
+        "Q1_audit_keys": lambda s, d: Q.audit_keys(td.dirty_tables(s, d, t(s, d))),
+        "Q2_audit_references": lambda s, d: Q.audit_references(td.dirty_tables(s, d, t(s, d))),
+        "Q3_audit_values": lambda s, d: Q.audit_values(td.dirty_tables(s, d, t(s, d))),
         "Q4_cascade_delete": lambda s, d: _cascade_counts(t(s, d)),
     }
 

@@ -32,14 +32,34 @@ def parse_iso_date(text) -> Column:
     return F.try_to_date(_c(text), ISO_DATE)
 
 
-def doc_rental_days(start_text, end_text) -> Column:
-    """Rental days for documents, whose dates are text; bad or missing text gives 1."""
-    return rental_days(parse_iso_date(start_text), parse_iso_date(end_text))
+def parse_loose_date(text) -> Column:
+    """Three numbers between ``-`` to a date: unpadded parts, text after a number and days past a
+    month's end are fine (they roll over); a missing or zero part, or another form, gives NULL."""
+    parts = F.split(_c(text), "-")
+    year, month, day = (F.regexp_extract(F.get(parts, F.lit(i)), r"^\s*([+-]?\d{1,5})", 1).try_cast("int")
+                        for i in range(3))
+    usable = (F.size(parts) == 3) & year.between(1, 9999) & month.between(1, 99999) & day.between(1, 99999)
+    first = F.make_date(F.when(usable, year), F.lit(1), F.lit(1))
+    return F.date_add(F.add_months(first, F.when(usable, month) - 1), F.when(usable, day) - 1)
+
+
+def doc_rental_days(start_text, end_text, strict: bool = False) -> Column:
+    """Rental days for documents, whose dates are text; bad or missing text gives 1.
+
+    The booking cost report reads ``yyyy-MM-dd`` only (``strict``), all others loosely.
+    """
+    parse = parse_iso_date if strict else parse_loose_date
+    return rental_days(parse(start_text), parse(end_text))
+
+
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
 def num_or_zero(x) -> Column:
     """Untyped money to double: NULL, unparsable, NaN and infinite values count 0."""
-    value = _c(x).cast("string").try_cast("double")
+    text = _c(x).cast("string")
+    # Spark also reads type suffixes such as 12d; those are not numbers here.
+    value = F.when(text.rlike(NUMBER), text).try_cast("double")
     finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
     return F.when(finite, value).otherwise(F.lit(0.0))
 

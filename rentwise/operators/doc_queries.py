@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise.functions.rules import doc_rental_days, num_or_zero, where_all, given
-from rentwise.plans.joins import catalogue_id_array
 from rentwise.plans.skew import hot_key_sets, salted_join
 
 
@@ -52,7 +51,7 @@ def doc_booking_cost_report(docs, date_from: str | None = None, date_to: str | N
         F.col("end_date") <= F.lit(date_to) if given(date_to) else None,
     ])
     per_day = num_or_zero("vehicle.costs_per_day")
-    days = doc_rental_days("start_date", "end_date")
+    days = doc_rental_days("start_date", "end_date", strict=True)
     extras = _extras_sum(F.col("additionalServices"))
     base = per_day * days
     return b.select(
@@ -102,23 +101,25 @@ def doc_active_bookings(docs, as_of: str, customer_id: str | None = None) -> Dat
     ).orderBy("start_date", "booking_id")
 
 
-def doc_service_options(docs, booking_ids: DataFrame) -> DataFrame:
-    """Current and available services of booking documents.
+def doc_service_options(docs, asked: DataFrame) -> DataFrame:
+    """The state of the services asked for a booking document.
 
-    Unlike the relational twin, an unknown booking gives no row at all.
+    As R7, but an unknown booking gives no row at all, and a current service
+    shows the description and costs stored in the booking.
     """
-    ids = booking_ids.select(F.col("booking_id").alias("_id")).distinct()
-    b = docs["bookings"].join(ids, "_id", "left_semi").select(F.col("_id").alias("booking_id"), "additionalServices")
-    current = b.select("booking_id", F.explode("additionalServices").alias("s")).select(
-        "booking_id", F.lit("current").alias("status"), F.col("s.service_id").alias("additional_service_id"),
-        F.col("s.description").alias("description"), F.col("s.costs").alias("costs"))
-    held = F.transform(F.coalesce(F.col("additionalServices"), F.array()), lambda s: s.getField("service_id"))
-    services = docs["services"]
-    free = b.select("booking_id", F.explode(F.array_except(catalogue_id_array(services, key="_id"), held)).alias("_id"))
-    available = free.join(services, "_id").select(
-        "booking_id", F.lit("available").alias("status"), F.col("_id").alias("additional_service_id"),
-        "description", "costs")
-    return current.unionByName(available).orderBy("booking_id", "status", "description")
+    pairs = asked.select(F.col("booking_id").alias("_id"), F.explode("service_ids").alias("sid")).distinct()
+    held = F.filter(F.coalesce("additionalServices", F.array()), lambda s: s.getField("service_id") == F.col("sid"))
+    entry = F.get(held, F.lit(0))
+    services = docs["services"].select(F.col("_id").alias("sid"), F.col("description").alias("listed"),
+                                       F.col("costs").alias("listed_costs"), F.lit(True).alias("known"))
+    b = pairs.join(docs["bookings"].select("_id", "additionalServices"), "_id").withColumn("entry", entry)
+    current = F.col("entry").isNotNull()
+    status = F.when(current, "current").when(F.col("known"), "available").otherwise("unknown")
+    return b.join(services, "sid", "left").select(
+        F.col("_id").alias("booking_id"), status.alias("status"), F.col("sid").alias("additional_service_id"),
+        F.when(current, F.col("entry.description")).otherwise(F.col("listed")).alias("description"),
+        F.when(current, F.col("entry.costs")).otherwise(F.col("listed_costs")).alias("costs"),
+    ).orderBy("booking_id", "status", "description")
 
 
 def doc_service_booking_report(docs, date_from: str | None = None, date_to: str | None = None) -> DataFrame:

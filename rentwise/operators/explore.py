@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -26,14 +28,9 @@ MAX_PREVIEW = 500
 
 
 def clamp_limit(limit) -> int:
-    """Row limit of a preview: integer text or number, default 50, clamped to 1..500."""
-    try:
-        n = int(str(limit).strip()) if limit is not None else None
-    except ValueError:
-        n = None
-    if n is None:
-        return DEFAULT_PREVIEW
-    return min(max(n, 1), MAX_PREVIEW)
+    """Row limit of a preview: the leading integer of the text or number, default 50, clamped to 1..500."""
+    found = re.match(r"\s*([+-]?\d+)", str(limit)) if limit is not None else None
+    return min(max(int(found[1]), 1), MAX_PREVIEW) if found else DEFAULT_PREVIEW
 
 
 def preview_table(tables, name: str, limit=DEFAULT_PREVIEW) -> DataFrame:

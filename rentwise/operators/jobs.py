@@ -19,7 +19,7 @@ from rentwise import schema
 from rentwise.functions.rules import (doc_rental_days, num_or_zero, rental_days, start_date_window,
                                      truthy_text, where_all)
 from rentwise.operators.documents import SERVICE_ENTRY
-from rentwise.operators.relational import extras_by_booking
+from rentwise.operators.relational import extras_by_booking, one_per_request
 from rentwise.plans.skew import hot_key_sets, salted_join
 from rentwise.session import checkpoint_dir
 from rentwise.sources.tables import write_table
@@ -35,6 +35,7 @@ NOT_CONFIRMED = "payment not confirmed"
 BOOKING_NOT_FOUND = "booking not found or inactive"
 NO_BANK_ACCOUNT = "no bank account"
 INVALID_SERVICES = "invalid service selection"
+CONFLICTING = "conflicting requests with one id"
 ACCEPTED = "accepted"
 
 
@@ -91,6 +92,7 @@ def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
     """Each booking request with its status and priced total."""
     vehicles = tables["vehicle"].select(F.col("vehicle_id").alias("v_id"), F.col("costs_per_day").alias("v_cost"),
                                         F.lit(True).alias("v_ok"))
+    requests = one_per_request(requests)
     customers = _exists_flag(tables["customer"], "person_id", "c_id")
     hot = hot_key_sets(requests, ["vehicle_id", "customer_id"])
     r = salted_join(requests, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_id",
@@ -98,6 +100,7 @@ def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
     r = salted_join(r, customers, "customer_id", how="left", spread="request_id", dim_key="c_id",
                     hot=hot["customer_id"])
     status = _first_failure([
+        (F.col("conflicting"), CONFLICTING),
         (_fields_missing(), MISSING_FIELDS),
         (~truthy_text("customer_id"), MISSING_CUSTOMER),
         (F.col("v_ok").isNull(), INVALID_VEHICLE),
@@ -154,6 +157,7 @@ def _judge_service_requests(requests, booking_ok: DataFrame, has_account: DataFr
     r = r.join(n_known, "request_id", "left")
     ids = F.array_distinct("service_ids")
     status = _first_failure([
+        (F.col("conflicting"), CONFLICTING),
         (~truthy_text("customer_id"), MISSING_CUSTOMER),
         (F.col("service_ids").isNull() | (F.size("service_ids") == 0), NO_SERVICES),
         (~F.coalesce(F.col("confirm_payment"), F.lit(False)), NOT_CONFIRMED),
@@ -222,6 +226,7 @@ def inserted_links(links: DataFrame, accepted: DataFrame) -> DataFrame:
 
 def judge_service_requests(tables, requests: DataFrame, as_of: str) -> DataFrame:
     """Each add-service request with the status of its first failing rule."""
+    requests = one_per_request(requests)
     bookings = tables["booking"]
     active = where_all(bookings, start_date_window(bookings, lower=as_of)).select(
         F.col("booking_id").alias("b_id"), F.col("customer_id").alias("b_cust"))
@@ -293,13 +298,14 @@ def doc_create_bookings(docs, requests: DataFrame):
     fallback = default_customer_id(persons)
     resolved = F.when(truthy_text("customer_id"), F.col("customer_id")).otherwise(fallback)
     # Every request without a customer resolves to the same default: a hot key by design.
-    asked = requests.withColumn("resolved_customer", resolved)
+    asked = one_per_request(requests).withColumn("resolved_customer", resolved)
     hot = hot_key_sets(asked, ["resolved_customer", "vehicle_id"])
     r = salted_join(asked, people, "resolved_customer", how="left", spread="request_id", dim_key="p_key",
                     hot=hot["resolved_customer"])
     r = salted_join(r, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_key",
                     hot=hot["vehicle_id"])
     status = _first_failure([
+        (F.col("conflicting"), CONFLICTING),
         (_fields_missing(), MISSING_FIELDS),
         (F.col("resolved_customer").isNull(), NO_CUSTOMERS),
         (F.col("p_id").isNull(), INVALID_CUSTOMER),
@@ -343,6 +349,7 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
     set to base + extras of the final array. Returns ``(bookings, outcome)``.
     """
     bookings = docs["bookings"]
+    requests = one_per_request(requests)
     active = bookings.filter(F.col("start_date") >= F.lit(as_of)).select(
         F.col("_id").alias("b_id"), F.col("customer.person_id").alias("b_cust"))
     booking_ok = _booking_found(requests, active)

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise.functions.rules import given, money, rental_days, start_date_window, where_all
-from rentwise.plans.joins import catalogue_id_array
 from rentwise.plans.skew import hot_key_sets, salted_join
 
 
@@ -173,31 +172,26 @@ def active_bookings(tables, as_of: str, customer_id: str | None = None) -> DataF
     ).orderBy("start_date", "booking_id")
 
 
-def service_options(tables, booking_ids: DataFrame) -> DataFrame:
-    """For each asked booking, its current services and the still available ones.
+def service_options(tables, asked: DataFrame) -> DataFrame:
+    """The state of the services asked for a booking.
 
-    Rows are (booking_id, status, additional_service_id, description, costs)
-    with status ``current`` or ``available``. An unknown booking lists the
-    whole catalogue as available. The available set is the catalogue key array
-    (a bounded scalar subquery) minus the booking's current keys; no cross join.
+    ``asked`` has (booking_id, service_ids). One row per distinct asked pair:
+    ``current`` (on the booking), ``available`` (in the catalogue, not on the
+    booking; also for an unknown booking) or ``unknown`` (not in the catalogue).
     """
-    ids = booking_ids.select("booking_id").distinct()
-    services = tables["additional_service"]
-    current_links = tables["booking_service"].join(ids, "booking_id", "left_semi")
-    current = current_links.join(services, "additional_service_id").withColumn("status", F.lit("current"))
-    held = current_links.groupBy("booking_id").agg(F.collect_set("additional_service_id").alias("held"))
-    free = ids.join(held, "booking_id", "left").select(
-        "booking_id",
-        F.explode(F.array_except(catalogue_id_array(tables["additional_service"]),
-                                 F.coalesce(F.col("held"), F.array().cast("array<string>")))).alias("additional_service_id"),
-    )
-    available = free.join(services, "additional_service_id").withColumn("status", F.lit("available"))
-    cols = ["booking_id", "status", "additional_service_id", "description", money("costs").alias("costs")]
-    return current.select(*cols).unionByName(available.select(*cols)).orderBy("booking_id", "status", "description")
+    pairs = asked.select("booking_id", F.explode("service_ids").alias("additional_service_id")).distinct()
+    services = tables["additional_service"].select("additional_service_id", "description", "costs",
+                                                   F.lit(True).alias("listed"))
+    held = tables["booking_service"].join(pairs, ["booking_id", "additional_service_id"], "left_semi").withColumn(
+        "held", F.lit(True))
+    status = F.when(F.col("listed").isNull(), "unknown").when(F.col("held"), "current").otherwise("available")
+    return (pairs.join(held, ["booking_id", "additional_service_id"], "left").join(services, "additional_service_id", "left")
+            .select("booking_id", status.alias("status"), "additional_service_id", "description",
+                    money("costs").alias("costs")).orderBy("booking_id", "status", "description"))
 
 
 def booking_totals(tables, booking_ids: DataFrame) -> DataFrame:
-    """Base and extras of the given bookings; total as the sum of both doubles."""
+    """Base and extras of the given bookings; total as the sum of both doubles. Unknown bookings have zeros."""
     ids = booking_ids.select("booking_id").distinct()
     bookings = tables["booking"].join(ids, "booking_id", "left_semi")
     vehicles = vehicle_dim(tables, ["costs_per_day"])
@@ -205,8 +199,9 @@ def booking_totals(tables, booking_ids: DataFrame) -> DataFrame:
     joined = salted_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
     base = money(rental_days("start_date", "end_date") * F.col("costs_per_day"))
     extras_cost = F.coalesce(money("extras"), F.lit(0.0))
-    return joined.select("booking_id", base.alias("base_cost"), extras_cost.alias("extras_cost"),
-                         (base + extras_cost).alias("total_cost"))
+    totals = joined.select("booking_id", base.alias("base_cost"), extras_cost.alias("extras_cost"),
+                           (base + extras_cost).alias("total_cost"))
+    return ids.join(totals, "booking_id", "left").na.fill(0.0, ["base_cost", "extras_cost", "total_cost"])
 
 
 def service_booking_report(tables, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -236,6 +231,21 @@ def service_booking_report(tables, date_from: str | None = None, date_to: str |
     ).orderBy(F.col("start_date").desc(), "booking_id")
 
 
+def one_per_request(requests: DataFrame) -> DataFrame:
+    """One row per request_id, with the flag ``conflicting``.
+
+    A request that is delivered twice with equal content is one request. Where
+    one id comes with different contents, the least row stands for them and is
+    marked. Rows without an id cannot be told apart and stay as they are.
+    """
+    cols = [c for c in requests.columns if c != "request_id"]
+    content = F.struct(*cols)
+    known = requests.where(F.col("request_id").isNotNull()).groupBy("request_id").agg(
+        F.min(content).alias("c"), (F.min(content) != F.max(content)).alias("conflicting"))
+    anonymous = requests.where(F.col("request_id").isNull()).withColumn("conflicting", F.lit(False))
+    return known.select("request_id", "c.*", "conflicting").unionByName(anonymous)
+
+
 def quote_services(tables, selections: DataFrame) -> DataFrame:
     """What-if price of a selection of services for a booking.
 
@@ -243,7 +253,7 @@ def quote_services(tables, selections: DataFrame) -> DataFrame:
     count only when they are in the catalogue and not yet on the booking.
     Totals add doubles in the order base + booked + selected.
     """
-    sel = selections.select("request_id", "booking_id", "service_ids")
+    sel = one_per_request(selections.select("request_id", "booking_id", "service_ids")).drop("conflicting")
     totals = booking_totals(tables, sel).select("booking_id", "base_cost", F.col("extras_cost").alias("booked_extras"))
     picked = sel.select("request_id", "booking_id",
                         F.explode(F.array_distinct("service_ids")).alias("additional_service_id"))

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rentwise import schema
-from rentwise.sources.tables import catalogue_frame
 
 # Parameters of the test workload over the driver's tables.
 REPORT_FROM = "1998-01-01"
@@ -90,14 +89,19 @@ def rental_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     booking = orders.select(
         _id("b_", o).alias("booking_id"), start.alias("start_date"),
         F.date_add(start, (o % 15).cast("int")).alias("end_date"),
-        F.lit(None).cast(schema.MONEY).alias("total_costs"),
+        F.col("o_totalprice").cast(schema.MONEY).alias("total_costs"),
         F.col("o_orderpriority").alias("way_of_billing"), _id("c_", "o_custkey").alias("customer_id"),
         _id("v_", (o * 7) % n_parts).alias("vehicle_id"),
     )
 
-    # lineitem repeats (orderkey, linenumber); the link table has a key, hence distinct.
-    booking_service = lineitem.filter((F.col("l_linenumber") <= 5) & (F.col("l_orderkey") % 4 != 0)).select(
-        _id("b_", "l_orderkey").alias("booking_id"), _id("as", "l_linenumber").alias("additional_service_id"),
+    # Every supplier offers one extra, so the catalogue grows with the data.
+    additional_service = supplier.select(
+        _id("as", s).alias("additional_service_id"), F.concat(F.lit("Extra of "), "s_name").alias("description"),
+        (F.lit(10) + s % 50).cast(schema.MONEY).alias("costs"))
+
+    # lineitem repeats (orderkey, suppkey); the link table has a key, hence distinct.
+    booking_service = lineitem.select(
+        _id("b_", "l_orderkey").alias("booking_id"), _id("as", "l_suppkey").alias("additional_service_id"),
     ).distinct()
 
     rating = lineitem.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_custkey", "l_suppkey").agg(
@@ -113,14 +117,14 @@ def rental_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "bankaccount": bankaccount,
         "vehicle": vehicle,
         "booking": booking,
-        "additional_service": catalogue_frame(spark),
+        "additional_service": additional_service,
         "booking_service": booking_service,
     }
 
 
 def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch of booking requests taken from click events (with missing and unknown values)."""
-    events = _read(spark, sf_dir, "events").filter(F.col("event_type") == "click")
+    """Batch of booking requests taken from all events (with missing and unknown values)."""
+    events = _read(spark, sf_dir, "events")
     part = _read(spark, sf_dir, "part")
     e = F.col("event_id")
     n_parts = part.count()
@@ -137,17 +141,30 @@ def booking_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batch of add-service requests: events joined to the booking they name."""
-    events = _read(spark, sf_dir, "events").filter(F.col("event_type").isin("purchase", "click", "view"))
+    """Batch of add-service requests from all events; many name a booking that does not exist."""
+    events = _read(spark, sf_dir, "events")
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     e = F.col("event_id")
     ids = F.when(e % 17 == 0, F.lit(None).cast("array<string>")) \
-        .when(e % 13 == 0, F.array(F.lit("as9"))) \
+        .when(e % 13 == 0, F.array(F.lit("as_missing"))) \
         .otherwise(F.array(_id("as", e % 5 + 1), _id("as", e % 3 + 1)))
-    return events.join(orders, orders.o_orderkey == e).select(
-        _id("req_", e).alias("request_id"), _id("b_", "o_orderkey").alias("booking_id"),
+    return events.join(orders, orders.o_orderkey == e, "left").select(
+        _id("req_", e).alias("request_id"), _id("b_", e).alias("booking_id"),
         F.when(e % 37 == 0, F.lit(None).cast("string")).when(e % 7 == 0, F.lit("c_missing"))
-         .otherwise(_id("c_", "o_custkey")).alias("customer_id"),
+         .otherwise(_id("c_", F.coalesce("o_custkey", "user_id"))).alias("customer_id"),
         ids.alias("service_ids"),
         (e % 19 != 0).alias("confirm_payment"),
     )
+
+
+def dirty_tables(spark: SparkSession, sf_dir: str, tables) -> dict[str, DataFrame]:
+    """The tables with broken rows for the audits: repeated links, requests taken as bookings
+    (repeated keys, unknown and missing customers and vehicles, missing dates), stars out of range."""
+    links = _read(spark, sf_dir, "lineitem").select(
+        _id("b_", "l_orderkey").alias("booking_id"), _id("as", "l_suppkey").alias("additional_service_id"))
+    names = [f.name for f in schema.BOOKING.fields]
+    asked = booking_requests(spark, sf_dir).withColumn(
+        "booking_id", F.concat(F.lit("b_"), F.expr("substr(request_id, 5)"))).withColumn(
+        "total_costs", F.lit(None).cast(schema.MONEY))
+    return dict(tables, booking_service=links, booking=tables["booking"].select(names).unionByName(asked.select(names)),
+                rating=tables["rating"].withColumn("stars", F.col("stars") * 2 - 1))

@@ -14,6 +14,8 @@ Progress is kept in ``checkpoint_location`` (a shared folder on a cluster).
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -112,7 +114,7 @@ def start_intake(spark: SparkSession, kind: str, requests_path: str, tables_dir:
         handler = handle_doc_booking_batch(spark, tables_dir, out_dir)
     elif kind == "service":
         stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA)
-        handler = handle_service_batch(spark, tables_dir, out_dir, as_of or "1970-01-01")
+        handler = handle_service_batch(spark, tables_dir, out_dir, as_of or datetime.now(timezone.utc).date().isoformat())
     else:
         raise ValueError(f"unknown request kind: {kind}")
     writer = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint_location)

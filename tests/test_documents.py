@@ -98,10 +98,21 @@ def test_n6_vehicle_fallback(spark, docs):
 
 
 def test_n7_unknown_booking_gives_nothing(spark, docs):
-    ids = spark.createDataFrame([("b1",), ("b_unknown",)], "booking_id string")
-    got = rows(N.doc_service_options(docs, ids), "booking_id", "status", "additional_service_id")
-    assert {r[0] for r in got} == {"b1"}
-    assert sorted(r[2] for r in got if r[1] == "available") == ["as2", "as3", "as5"]
+    asked = spark.createDataFrame([("b1", ["as1", "as2", "as_missing"]), ("b_unknown", ["as1"])],
+                                  "booking_id string, service_ids array<string>")
+    got = rows(N.doc_service_options(docs, asked), "booking_id", "additional_service_id", "status")
+    assert sorted(got) == [("b1", "as1", "current"), ("b1", "as2", "available"), ("b1", "as_missing", "unknown")]
+
+
+def test_document_dates_and_numbers(spark):
+    from rentwise.functions.rules import doc_rental_days, num_or_zero
+    dates = spark.createDataFrame([("2026-1-5", "2026-1-10"), ("2026-01-05T10:00", "2026-01-10T09:00"),
+                                   ("2026-02-27", "2026-02-31"), ("2026-01", "2026-02-03"), (None, "2026-02-03"),
+                                   ("2026-0-1", "2026-1-9")], "a string, b string")
+    got = [tuple(r) for r in dates.select(doc_rental_days("a", "b"), doc_rental_days("a", "b", strict=True)).collect()]
+    assert got == [(5, 1), (5, 1), (4, 1), (1, 1), (1, 1), (1, 1)]
+    texts = spark.createDataFrame([(x,) for x in ("12d", "12f", " 12.5 ", "1e3", "x", "", "Infinity")], "t string")
+    assert [r[0] for r in texts.select(num_or_zero("t")).collect()] == [0.0, 0.0, 12.5, 1000.0, 0.0, 0.0, 0.0]
 
 
 def test_m6_writes_and_reads_back(spark, seed, scratch):
@@ -126,15 +137,6 @@ def test_n9_fallbacks_and_missing_account(spark, seed, docs):
     assert got["b2"][2] is None  # account missing: kept with NULL (the relational twin drops it)
 
 
-def test_catalogue_array_is_bounded(spark, seed):
-    from rentwise.plans.joins import catalogue_id_array
-    big = spark.range(20).selectExpr("concat('as', id) as additional_service_id")
-    ok = spark.range(1).select(catalogue_id_array(seed["additional_service"]).alias("ids")).first()["ids"]
-    assert ok == ["as1", "as2", "as3", "as4", "as5"]
-    with pytest.raises(Exception, match="more than 10 rows"):
-        spark.range(1).select(catalogue_id_array(big, max_rows=10).alias("ids")).collect()
-
-
 def test_hot_keys_bound(spark):
     from rentwise.plans.skew import hot_keys
     fact = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id) end as k")

@@ -88,13 +88,34 @@ def test_r6_active_bookings(seed):
 
 
 def test_r7_options_and_unknown_booking(spark, seed):
-    ids = spark.createDataFrame([("b1",), ("b_unknown",)], "booking_id string")
-    got = rows(R.service_options(seed, ids), "booking_id", "status", "additional_service_id")
-    b1 = [r for r in got if r[0] == "b1"]
-    assert [(s, i) for _, s, i in b1 if s == "current"] == [("current", "as1"), ("current", "as4")]
-    assert sorted(i for _, s, i in b1 if s == "available") == ["as2", "as3", "as5"]
-    unknown = [r for r in got if r[0] == "b_unknown"]
-    assert len(unknown) == 5 and all(s == "available" for _, s, _ in unknown)
+    asked = spark.createDataFrame([("b1", ["as1", "as2", "as_missing"]), ("b1", ["as1"]), ("b_unknown", ["as3"]),
+                                   ("b2", None)], "booking_id string, service_ids array<string>")
+    got = rows(R.service_options(seed, asked), "booking_id", "additional_service_id", "status")
+    assert sorted(got) == [("b1", "as1", "current"), ("b1", "as2", "available"), ("b1", "as_missing", "unknown"),
+                           ("b_unknown", "as3", "available")]
+
+
+def test_r7_large_catalogue(spark, seed):
+    """The answer is as large as the question, whatever the catalogue's size."""
+    many = spark.range(50_000).selectExpr("concat('x', id) as additional_service_id", "'d' as description",
+                                          "cast(1 as decimal(10,2)) as costs")
+    tables = dict(seed, additional_service=seed["additional_service"].unionByName(many))
+    asked = spark.createDataFrame([("b1", ["as1", "x7"])], "booking_id string, service_ids array<string>")
+    assert sorted(rows(R.service_options(tables, asked), "additional_service_id", "status")) == [
+        ("as1", "current"), ("x7", "available")]
+
+
+def test_one_request_one_outcome(spark, seed):
+    """Equal deliveries of a request collapse; different contents under one id are rejected."""
+    from rentwise.operators import jobs as J
+    r = ("r1", "p_cust1", "veh1", "2026-07-01", "2026-07-03", "CARD")
+    batch = spark.createDataFrame([r, r, ("r2", *r[1:]), ("r2", "p_cust1", "veh2", *r[3:])],
+                                  "request_id string, customer_id string, vehicle_id string, start_date string, "
+                                  "end_date string, way_of_billing string").selectExpr(
+        "request_id", "customer_id", "vehicle_id", "date(start_date) start_date", "date(end_date) end_date", "way_of_billing")
+    new, outcome = J.create_bookings(seed, batch)
+    assert sorted(rows(outcome, "request_id", "status")) == [("r1", "accepted"), ("r2", J.CONFLICTING)]
+    assert rows(new, "booking_id") == [("b_r1",)]
 
 
 def test_r9_and_r11(spark, seed):
