@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -140,7 +141,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "N9_doc_service_booking_report": lambda s, d: N.doc_service_booking_report(_docs(s, d), td.REPORT_FROM,
                                                                                    td.SERVICE_REPORT_TO),
         "R4_new_bookings": lambda s, d: J.create_bookings(t(s, d), _booking_requests(s, d))[0],
-        "S3_preview_table": lambda s, d: X.preview_table(t(s, d), "Booking", 50),
+        "S1_load_tables": lambda s, d: Q.table_counts(t(s, d)),
+        "S3_preview_table": lambda s, d: _preview_facts(t(s, d)),
         "S4_search_rows": _search_vehicles,
         "S4_search_counts": lambda s, d: X.search_counts(t(s, d)["vehicle"], oracle.SEARCH_QUERY),
         "Q1_audit_keys": lambda s, d: Q.audit_keys(td.dirty_tables(s, d, t(s, d))),
@@ -150,6 +152,14 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _preview_facts(tables):
+    """S3 in a form without order: rows and columns of the preview, and rows found in the stored table."""
+    preview = X.preview_table(tables, "Booking", 50)
+    stored = tables["booking"].select("booking_id").distinct().withColumn("stored", F.lit(1))
+    return preview.join(stored, "booking_id", "left").agg(
+        F.count("*").alias("n_rows"), F.count("stored").alias("n_found")).withColumn("n_columns", F.lit(len(preview.columns)))
+
+
 def _cascade_counts(tables):
     """Q4 on the driver's data: delete the persons rated 0 stars, count what is left."""
     gone = tables["person"].filter("stars = 0").select("id")
