@@ -23,7 +23,8 @@ from checks import oracle  # noqa: E402
 from checks.normalize import flatten  # noqa: E402
 from rentwise.session import apply_scale_conf, checkpoint_dir  # noqa: E402
 from rentwise.sources import testdata as td  # noqa: E402
-from rentwise.sources.tables import load_tables, write_tables  # noqa: E402
+from rentwise.functions.rules import START_YEAR  # noqa: E402
+from rentwise.sources.tables import conform_bookings, load_tables, write_tables  # noqa: E402
 from rentwise.operators import doc_queries as N  # noqa: E402
 from rentwise.operators import documents as M  # noqa: E402
 from rentwise.operators import explore as X  # noqa: E402
@@ -88,11 +89,9 @@ def _service_requests(spark: SparkSession, sf_dir: str):
     return _stored(spark, sf_dir, "requests", _build_requests)["service_requests"]
 
 
-def setup(spark: SparkSession, sf_dir: str) -> None:
-    """Store tables, documents and request batches for ``sf_dir`` (done lazily otherwise)."""
-    _tables(spark, sf_dir)
-    _docs(spark, sf_dir)
-    _booking_requests(spark, sf_dir)
+def setup_steps():
+    """(name, function): what stores tables, documents and request batches (done lazily otherwise)."""
+    return [("store_tables", _tables), ("store_documents", _docs), ("store_requests", _booking_requests)]
 
 
 def _search_vehicles(spark, sf_dir):
@@ -140,6 +139,13 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "N8_doc_add_services": lambda s, d: J.doc_add_services(_docs(s, d), _service_requests(s, d), td.AS_OF)[1],
         "N9_doc_service_booking_report": lambda s, d: N.doc_service_booking_report(_docs(s, d), td.REPORT_FROM,
                                                                                    td.SERVICE_REPORT_TO),
+        "R8_new_links": lambda s, d: J.add_services(t(s, d), _service_requests(s, d), td.AS_OF)[0],
+        "R8_new_bookings": lambda s, d: J.add_services(t(s, d), _service_requests(s, d), td.AS_OF)[1],
+        "N3_new_docs": lambda s, d: J.doc_create_bookings(_docs(s, d), _booking_requests(s, d))[0],
+        "N8_new_docs": lambda s, d: J.doc_add_services(_docs(s, d), _service_requests(s, d), td.AS_OF)[0].select(
+            "_id", "additionalServices", "pricing"),
+        "M6_migrate_all": lambda s, d: Q.table_counts(_docs(s, d)),
+        "S5_conform_bookings": lambda s, d: conform_bookings(t(s, d)["booking"].drop("total_costs", START_YEAR)),
         "R4_new_bookings": lambda s, d: J.create_bookings(t(s, d), _booking_requests(s, d))[0],
         "S1_load_tables": lambda s, d: Q.table_counts(t(s, d)),
         "S3_preview_table": lambda s, d: _preview_facts(t(s, d)),

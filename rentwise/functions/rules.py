@@ -6,6 +6,7 @@ built-in ``pyspark.sql.functions``.
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,6 +94,39 @@ def given(value) -> bool:
 
 # Stored bookings are partitioned by the year of their start date.
 START_YEAR = "start_year"
+# Stored booking documents by the first four characters of its text, where they are digits.
+START_KEY, NO_YEAR = "start_key", "other"
+
+
+def today() -> str:
+    """The current date (UTC) as ISO text: the default of the "active from" date."""
+    return datetime.now(timezone.utc).date().isoformat()
+
+
+def start_key(start_text) -> Column:
+    """Partition of a booking document."""
+    text = _c(start_text)
+    return F.when(text.rlike("^[0-9]{4}"), F.substring(text, 1, 4)).otherwise(F.lit(NO_YEAR))
+
+
+def doc_start_window(df, lower: str | None = None, upper: str | None = None, upper_inclusive: bool = True):
+    """Conditions on the text ``start_date`` of booking documents, each bound optional.
+
+    Text order implies the order of first characters, so stored documents skip
+    partitions; those whose date starts with no year are always read.
+    """
+    start = F.col("start_date")
+    partition = F.col(START_KEY) if START_KEY in df.columns else None
+    conds = []
+    if given(lower):
+        conds.append(start >= F.lit(lower))
+        if partition is not None:
+            conds.append((partition >= lower[:4]) | (partition == NO_YEAR))
+    if given(upper):
+        conds.append(start <= F.lit(upper) if upper_inclusive else start < F.lit(upper))
+        if partition is not None:
+            conds.append((partition <= upper[:4]) | (partition == NO_YEAR))
+    return conds
 
 
 def start_date_window(df, lower: str | None = None, upper: str | None = None, upper_inclusive: bool = True):

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import doc_rental_days, num_or_zero, where_all, given
-from rentwise.plans.skew import hot_key_sets, salted_join
+from rentwise.functions.rules import doc_rental_days, doc_start_window, given, num_or_zero, today, where_all
+from rentwise.plans.skew import fact_join
 
 
 def _extras_sum(arr) -> F.Column:
@@ -34,8 +34,8 @@ def doc_customers(docs) -> DataFrame:
 
 def doc_available_vehicles(docs, start: str, end: str) -> DataFrame:
     """Vehicles whose id is not among the booked ids of the window (text dates)."""
-    booked = docs["bookings"].filter((F.col("start_date") <= F.lit(end)) & (F.col("end_date") >= F.lit(start))) \
-        .select(F.col("vehicle.vehicle_id").alias("_id")).distinct()
+    b = docs["bookings"]
+    booked = where_all(b, doc_start_window(b, upper=end) + [F.col("end_date") >= F.lit(start)]).select(F.col("vehicle.vehicle_id").alias("_id")).distinct()
     return docs["vehicles"].join(booked, "_id", "left_anti").select(
         F.col("_id").alias("vehicle_id"), "model", "producer", "costs_per_day", "plate_number")
 
@@ -46,8 +46,7 @@ def doc_booking_cost_report(docs, date_from: str | None = None, date_to: str | N
     ``start_date >= from`` and ``end_date <= to`` on text; days from parsed
     dates (bad or missing text gives 1); money with 0 on error.
     """
-    b = where_all(docs["bookings"], [
-        F.col("start_date") >= F.lit(date_from) if given(date_from) else None,
+    b = where_all(docs["bookings"], doc_start_window(docs["bookings"], lower=date_from) + [
         F.col("end_date") <= F.lit(date_to) if given(date_to) else None,
     ])
     per_day = num_or_zero("vehicle.costs_per_day")
@@ -73,10 +72,9 @@ def doc_customer_profiles(docs) -> DataFrame:
     ).orderBy("name", "person_id")
 
 
-def doc_active_bookings(docs, as_of: str, customer_id: str | None = None) -> DataFrame:
-    """Active booking documents; vehicle fields fall back to the vehicles collection."""
-    b = where_all(docs["bookings"], [
-        F.col("start_date") >= F.lit(as_of),
+def doc_active_bookings(docs, as_of: str | None = None, customer_id: str | None = None) -> DataFrame:
+    """Booking documents starting on or after ``as_of`` (default today); vehicle fields fall back to the vehicles collection."""
+    b = where_all(docs["bookings"], doc_start_window(docs["bookings"], lower=as_of or today()) + [
         F.col("customer.person_id") == F.lit(customer_id) if customer_id is not None else None,
     ])
     ref = docs["vehicles"].select(
@@ -84,7 +82,7 @@ def doc_active_bookings(docs, as_of: str, customer_id: str | None = None) -> Dat
         F.col("costs_per_day").alias("ref_costs"), F.col("plate_number").alias("ref_plate"),
         F.col("number_of_seats").alias("ref_seats"))
     b = b.withColumn("__vid", F.col("vehicle.vehicle_id"))
-    j = salted_join(b, ref, "__vid", how="left", spread="_id", dim_key="ref_id").drop("__vid")
+    j = fact_join(b, ref, "__vid", "left", "ref_id").drop("__vid")
     per_day = num_or_zero(F.coalesce(F.col("vehicle.costs_per_day"), F.col("ref_costs")))
     days = doc_rental_days("start_date", "end_date")
     base = days * per_day
@@ -129,11 +127,8 @@ def doc_service_booking_report(docs, date_from: str | None = None, date_to: str
     The retailer id falls back from the booking's retailer to the vehicle's,
     its name from the booking to the retailer's person document.
     """
-    b = where_all(docs["bookings"], [
-        F.size(F.coalesce(F.col("additionalServices"), F.array())) > 0,
-        F.col("start_date") >= F.lit(date_from) if given(date_from) else None,
-        F.col("start_date") < F.lit(date_to) if given(date_to) else None,
-    ])
+    b = where_all(docs["bookings"], doc_start_window(docs["bookings"], date_from, date_to, upper_inclusive=False) + [
+        F.size(F.coalesce(F.col("additionalServices"), F.array())) > 0])
     persons = docs["persons"]
     accounts = persons.select(F.col("_id").alias("acct_person"), F.col("bankAccount.iban").alias("customer_iban"),
                               F.col("bankAccount.bic").alias("customer_bic"))
@@ -141,10 +136,8 @@ def doc_service_booking_report(docs, date_from: str | None = None, date_to: str
                                F.col("roles.retailer.company_name").alias("ret_company"))
     retailer_id = F.coalesce(F.col("retailer.person_id"), F.col("vehicle.retailer_id"))
     b = b.withColumn("rid", retailer_id).withColumn("__cust", F.col("customer.person_id"))
-    hot = hot_key_sets(b, ["__cust", "rid"])
-    j = salted_join(b, accounts, "__cust", how="left", spread="_id", dim_key="acct_person", hot=hot["__cust"])
-    j = salted_join(j, companies, "rid", how="left", spread="_id", dim_key="ret_person",
-                    hot=hot["rid"]).drop("__cust")
+    j = fact_join(b, accounts, "__cust", "left", "acct_person")
+    j = fact_join(j, companies, "rid", "left", "ret_person").drop("__cust")
     days = doc_rental_days("start_date", "end_date")
     per_day = num_or_zero("vehicle.costs_per_day")
     base = days * per_day

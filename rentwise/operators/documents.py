@@ -13,13 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import truthy_text
-from rentwise.plans.skew import hot_key_sets, salted_join
+from rentwise.functions.rules import START_KEY, start_key, truthy_text
+from rentwise.operators.relational import with_customer
+from rentwise.plans.skew import fact_join
 
 COLLECTIONS = ["persons", "vehicles", "services", "ratings", "bookings"]
 
 SERVICE_ENTRY = "struct<service_id:string,description:string,costs:string>"
 
+# The stored collections, so that reading them needs no pass over the files.
+DOC_SCHEMAS = {
+    "persons": "_id string, name string, phone_number string, eMail string, address string, stars double, "
+               "roles struct<customer:struct<customer_number:string,driver_licencse_number:string>,"
+               "retailer:struct<company_name:string,tax_number:string>>, "
+               "bankAccount struct<account_id:string,iban:string,bic:string>",
+    "vehicles": "_id string, model string, producer string, costs_per_day string, plate_number string, "
+                "number_of_seats int, retailer_id string",
+    "services": "_id string, description string, costs string",
+    "ratings": "_id struct<rater_id:string,rated_id:string>, stars double",
+    "bookings": "_id string, start_date string, end_date string, way_of_billing string, "
+                "customer struct<person_id:string,name:string>, "
+                "vehicle struct<vehicle_id:string,model:string,producer:string,costs_per_day:string,"
+                "plate_number:string,number_of_seats:int,retailer_id:string>, "
+                f"retailer struct<person_id:string,company_name:string>, additionalServices array<{SERVICE_ENTRY}>, "
+                f"pricing struct<total_costs:string>, {START_KEY} string",
+}
+
 
 def _text(col) -> F.Column:
     return F.col(col).cast("string") if isinstance(col, str) else col.cast("string")
@@ -88,17 +107,12 @@ def booking_docs(tables) -> DataFrame:
 
     Joins to customer, person, vehicle and retailer are inner, as in the
     source: bookings whose vehicle has no known retailer do not become
-    documents. The extras are aggregated per booking **before** the wide join;
-    the customer and vehicle joins are salted on hot keys.
+    documents. The extras are aggregated per booking **before** the wide join.
     """
-    person = tables["person"].select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
-    customers = tables["customer"].select(F.col("person_id").alias("customer_id")).join(person, "customer_id")
     retailers = tables["retailer"].select(F.col("person_id").alias("retailer_id"), "company_name")
-    vehicles = salted_join(tables["vehicle"], retailers, "retailer_id", spread="vehicle_id")
-    bookings = tables["booking"]
-    hot = hot_key_sets(bookings, ["customer_id", "vehicle_id"])
-    joined = salted_join(bookings, customers, "customer_id", hot=hot["customer_id"])
-    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot["vehicle_id"])
+    vehicles = fact_join(tables["vehicle"], retailers, "retailer_id")
+    joined = with_customer(tables["booking"], tables)
+    joined = (fact_join(joined, vehicles, "vehicle_id")
               .join(service_arrays(tables), "booking_id", "left"))
     return joined.select(
         F.col("booking_id").alias("_id"),
@@ -122,6 +136,18 @@ def migrate_docs(tables) -> dict[str, DataFrame]:
     }
 
 
+def write_booking_docs(docs: DataFrame, path: str, mode: str = "append", replace_partitions: bool = False) -> None:
+    """Write booking documents, laid out like the relational bookings: by start year and sorted by start date.
+
+    ``replace_partitions`` overwrites only the partitions present in ``docs``.
+    """
+    docs = docs.withColumn(START_KEY, start_key("start_date")).sortWithinPartitions(START_KEY, "start_date")
+    writer = docs.write.mode("overwrite" if replace_partitions else mode).partitionBy(START_KEY)
+    if replace_partitions:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
+
+
 def migrate_all(tables, out_dir: str) -> dict[str, str]:
     """M6: replace all five collections under ``out_dir`` (full refresh).
 
@@ -131,10 +157,14 @@ def migrate_all(tables, out_dir: str) -> dict[str, str]:
     paths = {}
     for name, df in migrate_docs(tables).items():
         path = f"{out_dir}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        if name == "bookings":
+            write_booking_docs(df, path, "overwrite")
+        else:
+            df.write.mode("overwrite").parquet(path)
         paths[name] = path
     return paths
 
 
 def load_docs(spark, base_dir: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{base_dir}/{name}") for name in COLLECTIONS}
+    """The stored collections, read with their declared schemas."""
+    return {name: spark.read.schema(DOC_SCHEMAS[name]).parquet(f"{base_dir}/{name}") for name in COLLECTIONS}

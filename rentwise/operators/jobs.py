@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise import schema
-from rentwise.functions.rules import (doc_rental_days, num_or_zero, rental_days, start_date_window,
-                                     truthy_text, where_all)
-from rentwise.operators.documents import SERVICE_ENTRY
+from rentwise.functions.rules import (START_KEY, START_YEAR, doc_rental_days, doc_start_window, num_or_zero, rental_days,
+                                      start_date_window, today, truthy_text, where_all)
+from rentwise.operators.documents import SERVICE_ENTRY, load_docs, write_booking_docs
 from rentwise.operators.relational import extras_by_booking, one_per_request
-from rentwise.plans.skew import hot_key_sets, salted_join
-from rentwise.session import checkpoint_dir
-from rentwise.sources.tables import write_table
+from rentwise.plans.skew import fact_join
+from rentwise.session import staged
+from rentwise.sources.tables import load_tables, write_table
 
 # Reject codes of the request rules.
 MISSING_FIELDS = "missing fields"
@@ -59,20 +59,18 @@ def _new_booking_id(request_id) -> F.Column:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint a judged request batch into the shared checkpoint folder.
+    """Store a judged request batch (or what it touches) as Parquet in the shared checkpoint folder.
 
     The judged batch feeds the inserted links, the repriced totals and the
-    outcome; without the checkpoint each of them would re-run the validation
-    joins (and their hot-key detection). A reliable checkpoint also survives
-    the loss of the executors that computed it.
+    outcome; otherwise each of them would re-run the validation joins. The
+    files survive the loss of the executors that computed them.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    return staged(df, "requests")
 
 
 def _exists_flag(df: DataFrame, key: str, alias: str) -> DataFrame:
-    """Distinct keys of ``df`` with a TRUE flag, for a left join that tests existence."""
-    return df.select(F.col(key).alias(alias)).distinct().withColumn(alias + "_ok", F.lit(True))
+    """Keys of ``df`` (unique there) with a TRUE flag, for a left join that tests existence."""
+    return df.select(F.col(key).alias(alias)).withColumn(alias + "_ok", F.lit(True))
 
 
 # --- R4 -------------------------------------------------------------------
@@ -94,11 +92,8 @@ def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
                                         F.lit(True).alias("v_ok"))
     requests = one_per_request(requests)
     customers = _exists_flag(tables["customer"], "person_id", "c_id")
-    hot = hot_key_sets(requests, ["vehicle_id", "customer_id"])
-    r = salted_join(requests, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_id",
-                    hot=hot["vehicle_id"])
-    r = salted_join(r, customers, "customer_id", how="left", spread="request_id", dim_key="c_id",
-                    hot=hot["customer_id"])
+    r = fact_join(requests, vehicles, "vehicle_id", "left", "v_id")
+    r = fact_join(r, customers, "customer_id", "left", "c_id")
     status = _first_failure([
         (F.col("conflicting"), CONFLICTING),
         (_fields_missing(), MISSING_FIELDS),
@@ -133,27 +128,19 @@ def _service_checks(requests: DataFrame, catalogue: DataFrame, key: str) -> Data
     return known.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_known"))
 
 
-def _request_hot_keys(requests: DataFrame) -> dict[str, DataFrame]:
-    """Hot bookings and customers of a request batch, detected on the batch itself."""
-    return hot_key_sets(requests, ["booking_id", "customer_id"])
-
-
 def _booking_found(requests: DataFrame, active: DataFrame) -> DataFrame:
     """Requests whose booking is active and belongs to the requesting customer.
 
-    ``active`` has (b_id, b_cust). Many requests may name one booking, so the
-    join on the booking key is salted.
+    ``active`` has (b_id, b_cust).
     """
-    found = salted_join(requests.select("request_id", "booking_id", "customer_id"), active, "booking_id",
-                        spread="request_id", dim_key="b_id", hot=_request_hot_keys(requests)["booking_id"])
+    found = fact_join(requests.select("request_id", "booking_id", "customer_id"), active, "booking_id", dim_key="b_id")
     return found.filter(F.col("customer_id") == F.col("b_cust")).select(
         "request_id", F.lit(True).alias("booking_found"))
 
 
 def _judge_service_requests(requests, booking_ok: DataFrame, has_account: DataFrame, n_known: DataFrame):
     r = requests.join(booking_ok, ["request_id"], "left")
-    r = salted_join(r, has_account, "customer_id", how="left", spread="request_id", dim_key="acct_id",
-                    hot=_request_hot_keys(requests)["customer_id"])  # detected on the batch, not the join
+    r = fact_join(r, has_account, "customer_id", "left", "acct_id")
     r = r.join(n_known, "request_id", "left")
     ids = F.array_distinct("service_ids")
     status = _first_failure([
@@ -168,11 +155,11 @@ def _judge_service_requests(requests, booking_ok: DataFrame, has_account: DataFr
     return r.select("request_id", "booking_id", "customer_id", "service_ids", status.alias("status"))
 
 
-def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | None = None):
+def add_services(tables, requests: DataFrame, as_of: str | None = None, judged: DataFrame | None = None):
     """Validate add-service requests, insert links (existing ones ignored), reprice.
 
     Rules in order: customer given; ids given; payment confirmed; booking is
-    the customer's and starts on or after ``as_of``; customer has a bank
+    the customer's and starts on or after ``as_of`` (default today); customer has a bank
     account; all distinct ids exist. Returns ``(links, bookings, outcome)``:
     the full new link table, the full booking table with the totals of the
     touched bookings replaced by base + extras, and one row per request.
@@ -199,13 +186,12 @@ def add_services(tables, requests: DataFrame, as_of: str, judged: DataFrame | No
     totals = touched.join(totals, "booking_id", "left").select(
         "booking_id", F.coalesce("base_cost", F.lit(0.0)).alias("base_cost"),
         F.coalesce("extras_cost", F.lit(0.0)).alias("extras_cost"))
-    totals = totals.withColumn("total_cost", F.col("base_cost") + F.col("extras_cost"))
+    totals = materialize(totals.withColumn("total_cost", F.col("base_cost") + F.col("extras_cost")))
     new_bookings = bookings.join(totals.select("booking_id", "total_cost"), "booking_id", "left").select(
         *[F.coalesce(F.col("total_cost").cast(schema.MONEY), F.col("total_costs")).alias("total_costs")
           if f.name == "total_costs" else F.col(f.name) for f in schema.BOOKING.fields])
     ok = F.col("status") == ACCEPTED
-    outcome = salted_join(judged, totals, "booking_id", how="left", spread="request_id",
-                          hot=_request_hot_keys(requests)["booking_id"]).select(
+    outcome = fact_join(judged, totals, "booking_id", "left").select(
         "request_id", "booking_id", "status",
         *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_links, new_bookings, outcome
@@ -224,11 +210,11 @@ def inserted_links(links: DataFrame, accepted: DataFrame) -> DataFrame:
     return wanted.join(stored, ["booking_id", "additional_service_id"], "left_anti")
 
 
-def judge_service_requests(tables, requests: DataFrame, as_of: str) -> DataFrame:
+def judge_service_requests(tables, requests: DataFrame, as_of: str | None = None) -> DataFrame:
     """Each add-service request with the status of its first failing rule."""
     requests = one_per_request(requests)
     bookings = tables["booking"]
-    active = where_all(bookings, start_date_window(bookings, lower=as_of)).select(
+    active = where_all(bookings, start_date_window(bookings, lower=as_of or today())).select(
         F.col("booking_id").alias("b_id"), F.col("customer_id").alias("b_cust"))
     booking_ok = _booking_found(requests, active)
     has_account = _exists_flag(tables["bankaccount"], "person_id", "acct_id")
@@ -239,9 +225,8 @@ def judge_service_requests(tables, requests: DataFrame, as_of: str) -> DataFrame
 def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str) -> DataFrame:
     """R4 as a write job: append the accepted bookings to ``target_dir/booking``.
 
-    The judged batch is checkpointed to the shared checkpoint folder, so the
-    appended rows and the returned outcome come from one evaluation and a lost
-    executor does not re-run the validation joins. Booking ids already stored
+    The judged batch is stored first, so the appended rows and the returned
+    outcome come from one evaluation. Booking ids already stored
     are skipped, so running the same batch again appends nothing.
     """
     judged = materialize(judge_booking_requests(tables, requests))
@@ -254,19 +239,32 @@ def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str) ->
     return outcome
 
 
-def run_add_services(spark, tables, requests: DataFrame, as_of: str, out_dir: str) -> DataFrame:
-    """R8 as a write job: new link and booking tables under ``out_dir`` plus the outcome.
+def run_add_services(spark, requests: DataFrame, as_of: str | None, tables_dir: str) -> DataFrame:
+    """R8 as a write job on the stored tables; returns the outcome.
 
-    ``out_dir`` must not be the folder the tables are read from (plain
-    Parquet has no in-place update). The judged batch is checkpointed once and
-    reused for all three outputs.
+    New links are appended (insert-ignore by key). Of the bookings only the
+    start-year partitions that hold a touched one are written anew, from a
+    stored copy, so the rewrite does not read the files it replaces. The same
+    batch again adds no link and recomputes the same totals.
     """
+    tables = load_tables(spark, tables_dir)
     judged = materialize(judge_service_requests(tables, requests, as_of))
-    links, bookings, outcome = add_services(tables, requests, as_of, judged=judged)
-    write_table(links, "booking_service", out_dir, "overwrite")
-    write_table(bookings, "booking", out_dir, "overwrite")
-    outcome.write.mode("overwrite").parquet(f"{out_dir}/outcome")
-    return spark.read.parquet(f"{out_dir}/outcome")
+    outcome = materialize(add_services(tables, requests, as_of, judged)[2])
+    accepted = judged.filter(F.col("status") == ACCEPTED)
+    write_table(materialize(inserted_links(tables["booking_service"], accepted)), "booking_service", tables_dir, "append")
+    tables = load_tables(spark, tables_dir)  # with the links just appended
+    years = _touched_partitions(tables["booking"], accepted, "booking_id", START_YEAR)
+    if years:
+        part = tables["booking"].filter(F.col(START_YEAR).isin(years))
+        repriced = add_services(dict(tables, booking=part), requests, as_of, judged)[1]
+        write_table(materialize(repriced), "booking", tables_dir, replace_partitions=True)
+    return outcome
+
+
+def _touched_partitions(bookings: DataFrame, accepted: DataFrame, key: str, partition: str) -> list:
+    """Partition values that hold a booking of an accepted request: as many as there are years at most."""
+    touched = accepted.select(F.col("booking_id").alias(key)).distinct()
+    return [r[0] for r in bookings.join(touched, key, "left_semi").select(partition).distinct().collect()]
 
 
 # --- N3 -------------------------------------------------------------------
@@ -293,17 +291,14 @@ def doc_create_bookings(docs, requests: DataFrame):
         F.col("_id").alias("v_id"), F.col("_id").alias("v_key"), F.col("model").alias("v_model"),
         F.col("producer").alias("v_producer"), F.col("costs_per_day").alias("v_costs"),
         F.col("retailer_id").alias("v_retailer"))
-    vehicles = salted_join(vehicles, companies, "v_retailer", how="left", spread="v_id", dim_key="r_id")
+    vehicles = fact_join(vehicles, companies, "v_retailer", "left", "r_id")
     people = persons.select(F.col("_id").alias("p_id"), F.col("_id").alias("p_key"), F.col("name").alias("p_name"))
     fallback = default_customer_id(persons)
     resolved = F.when(truthy_text("customer_id"), F.col("customer_id")).otherwise(fallback)
     # Every request without a customer resolves to the same default: a hot key by design.
     asked = one_per_request(requests).withColumn("resolved_customer", resolved)
-    hot = hot_key_sets(asked, ["resolved_customer", "vehicle_id"])
-    r = salted_join(asked, people, "resolved_customer", how="left", spread="request_id", dim_key="p_key",
-                    hot=hot["resolved_customer"])
-    r = salted_join(r, vehicles, "vehicle_id", how="left", spread="request_id", dim_key="v_key",
-                    hot=hot["vehicle_id"])
+    r = fact_join(asked, people, "resolved_customer", "left", "p_key")
+    r = fact_join(r, vehicles, "vehicle_id", "left", "v_key")
     status = _first_failure([
         (F.col("conflicting"), CONFLICTING),
         (_fields_missing(), MISSING_FIELDS),
@@ -315,7 +310,7 @@ def doc_create_bookings(docs, requests: DataFrame):
     total = num_or_zero("v_costs") * doc_rental_days(start, end)
     retailer = F.when(truthy_text("v_retailer"), F.struct(F.col("v_retailer").alias("person_id"),
                                                           F.col("r_company").alias("company_name")))
-    judged = r.select("*", status.alias("status"), total.alias("total"), retailer.alias("retailer"))
+    judged = materialize(r.select("*", status.alias("status"), total.alias("total"), retailer.alias("retailer")))
     accepted = judged.filter(F.col("status") == ACCEPTED)
     new_docs = accepted.select(
         _new_booking_id(F.col("request_id")).alias("_id"), start.alias("start_date"), end.alias("end_date"),
@@ -327,7 +322,7 @@ def doc_create_bookings(docs, requests: DataFrame):
                  F.col("v_retailer").alias("retailer_id")).alias("vehicle"),
         "retailer",
         F.array().cast(f"array<{SERVICE_ENTRY}>").alias("additionalServices"),
-        F.struct(F.col("total").cast("string").alias("total_costs")).alias("pricing"),
+        F.struct(F.col("total").cast(schema.MONEY).cast("string").alias("total_costs")).alias("pricing"),
     )
     ok = F.col("status") == ACCEPTED
     outcome = judged.select(
@@ -341,7 +336,7 @@ def doc_create_bookings(docs, requests: DataFrame):
 
 # --- N8 -------------------------------------------------------------------
 
-def doc_add_services(docs, requests: DataFrame, as_of: str):
+def doc_add_services(docs, requests: DataFrame, as_of: str | None = None):
     """Add-service requests against the booking documents.
 
     Same rules as R8. Accepted services not yet in a booking's array are
@@ -350,7 +345,7 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
     """
     bookings = docs["bookings"]
     requests = one_per_request(requests)
-    active = bookings.filter(F.col("start_date") >= F.lit(as_of)).select(
+    active = where_all(bookings, doc_start_window(bookings, lower=as_of or today())).select(
         F.col("_id").alias("b_id"), F.col("customer.person_id").alias("b_cust"))
     booking_ok = _booking_found(requests, active)
     has_account = docs["persons"].filter(F.col("bankAccount").isNotNull()).select(
@@ -374,18 +369,42 @@ def doc_add_services(docs, requests: DataFrame, as_of: str):
     extras = F.aggregate(merged, F.lit(0.0), lambda acc, s: acc + num_or_zero(s.getField("costs")))
     updated = touched.select(
         "_id", merged.alias("new_services"), base.alias("base_cost"), extras.alias("extras_cost"))
-    updated = updated.withColumn("total_cost", F.col("base_cost") + F.col("extras_cost"))
+    updated = materialize(updated.withColumn("total_cost", F.col("base_cost") + F.col("extras_cost")))
     out = bookings.join(updated, "_id", "left")
     is_new = F.col("new_services").isNotNull()
     new_bookings = out.select(*[
         F.when(is_new, F.col("new_services")).otherwise(F.col("additionalServices")).alias("additionalServices")
         if c == "additionalServices" else
-        F.when(is_new, F.struct(F.col("total_cost").cast("string").alias("total_costs")))
+        F.when(is_new, F.struct(F.col("total_cost").cast(schema.MONEY).cast("string").alias("total_costs")))
          .otherwise(F.col("pricing")).alias("pricing") if c == "pricing" else F.col(c)
         for c in bookings.columns])
     ok = F.col("status") == ACCEPTED
-    outcome = salted_join(judged, updated.withColumnRenamed("_id", "booking_id").drop("new_services"), "booking_id",
-                          how="left", spread="request_id", hot=_request_hot_keys(requests)["booking_id"]) \
+    outcome = fact_join(judged, updated.withColumnRenamed("_id", "booking_id").drop("new_services"), "booking_id", "left") \
         .select("request_id", "booking_id", "status",
                 *[F.when(ok, F.col(c)).alias(c) for c in ("base_cost", "extras_cost", "total_cost")])
     return new_bookings, outcome
+
+
+def run_doc_create_bookings(spark, requests: DataFrame, docs_dir: str) -> DataFrame:
+    """N3 as a write job: append the new booking documents whose id is not stored yet; returns the outcome."""
+    docs = load_docs(spark, docs_dir)
+    new_docs, outcome = doc_create_bookings(docs, requests)
+    stored = docs["bookings"].select("_id").join(new_docs.select("_id"), "_id", "left_semi")
+    write_booking_docs(materialize(new_docs.join(stored, "_id", "left_anti")), f"{docs_dir}/bookings")
+    return outcome
+
+
+def run_doc_add_services(spark, requests: DataFrame, as_of: str | None, docs_dir: str) -> DataFrame:
+    """N8 as a write job: the partitions with a touched document are written anew; returns the outcome.
+
+    The same batch again finds the services held and leaves the documents as they are.
+    """
+    docs = load_docs(spark, docs_dir)
+    bookings, outcome = doc_add_services(docs, requests, as_of)
+    outcome = materialize(outcome)
+    accepted = outcome.filter(F.col("status") == ACCEPTED)
+    keys = _touched_partitions(docs["bookings"], accepted, "_id", START_KEY)
+    if keys:
+        write_booking_docs(materialize(bookings.filter(F.col(START_KEY).isin(keys))), f"{docs_dir}/bookings",
+                           replace_partitions=True)
+    return outcome

@@ -8,10 +8,9 @@ returns a lazy DataFrame. Two shapes recur:
   the joined result by seven to thirteen columns.
 * Anti joins are written as ``left_anti`` (never a left join + IS NULL, never
   NOT IN, which would turn null-aware).
-* Dimensions are pre-joined per key (customer with person and account,
-  vehicle with retailer), so the booking fact is shuffled once per key, and
-  each fact-to-dimension join is salted on its hot keys
-  (:mod:`rentwise.plans.skew`).
+* The booking fact is shuffled once per key at most: the tables with the
+  customer's key are joined in a chain, vehicles get their retailer first;
+  adaptive execution splits hot keys (:mod:`rentwise.plans.skew`).
 """
 
 from __future__ import annotations
@@ -19,8 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import given, money, rental_days, start_date_window, where_all
-from rentwise.plans.skew import hot_key_sets, salted_join
+from rentwise.functions.rules import given, money, rental_days, start_date_window, today, where_all
+from rentwise.plans.skew import fact_join
+from rentwise.session import staged
 
 
 def _date(value: str):
@@ -57,21 +57,23 @@ def extras_by_booking(tables, bookings: DataFrame | None = None) -> DataFrame:
     )
 
 
-def customer_names(tables) -> DataFrame:
-    """Customer ⋈ Person on the person key: (customer_id, customer_name)."""
-    person = tables["person"].select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
-    return tables["customer"].select(F.col("person_id").alias("customer_id")).join(person, "customer_id")
+def with_customer(bookings: DataFrame, tables, with_account: bool = False) -> DataFrame:
+    """``bookings`` of known customers with the customer's name (and account columns, inner).
 
-
-def customer_dim(tables, with_account: bool = False) -> DataFrame:
-    """Customers keyed by ``customer_id`` with name (and account columns)."""
-    dim = customer_names(tables)
+    The tables are joined one by one: all of them have the booking's key, so a
+    chain shuffles the bookings once, and a hot customer is split in each join. A
+    dimension joined from them first could not be split (its join input would
+    be no shuffle).
+    """
+    known = tables["customer"].select(F.col("person_id").alias("customer_id"))
+    names = tables["person"].select(F.col("id").alias("customer_id"), F.col("name").alias("customer_name"))
+    out = fact_join(fact_join(bookings, known, "customer_id", "left_semi"), names, "customer_id")
     if with_account:
         accounts = tables["bankaccount"].select(F.col("person_id").alias("customer_id"),
                                                 F.col("iban").alias("customer_iban"),
                                                 F.col("bic").alias("customer_bic"))
-        dim = dim.join(accounts, "customer_id")
-    return dim
+        out = fact_join(out, accounts, "customer_id")
+    return out
 
 
 def vehicle_dim(tables, cols, with_retailer: bool = False) -> DataFrame:
@@ -81,8 +83,7 @@ def vehicle_dim(tables, cols, with_retailer: bool = False) -> DataFrame:
         return vehicles
     retailers = tables["retailer"].select(F.col("person_id").alias("retailer_id"),
                                           F.col("company_name").alias("retailer_name"))
-    # One retailer may own a large share of the fleet: salt its key too.
-    return salted_join(vehicles, retailers, "retailer_id", spread="vehicle_id")
+    return fact_join(vehicles, retailers, "retailer_id")
 
 
 def _customers_with_account(tables) -> DataFrame:
@@ -135,9 +136,8 @@ def booking_cost_report(tables, date_from: str | None = None, date_to: str | Non
     days = rental_days("start_date", "end_date")
     base = F.col("costs_per_day") * F.col("days")
     additional = F.coalesce(F.col("extras"), F.lit(0).cast("decimal(10,2)"))
-    hot = hot_key_sets(bookings, ["customer_id", "vehicle_id"])
-    joined = salted_join(bookings, customer_dim(tables), "customer_id", hot=hot["customer_id"])
-    joined = (salted_join(joined, vehicles, "vehicle_id", hot=hot["vehicle_id"])
+    joined = with_customer(bookings, tables)
+    joined = (fact_join(joined, vehicles, "vehicle_id")
               .join(extras, "booking_id", "left")
               .withColumn("days", days))
     return joined.select(
@@ -148,19 +148,19 @@ def booking_cost_report(tables, date_from: str | None = None, date_to: str | Non
     ).orderBy(F.col("start_date").desc(), "booking_id")
 
 
-def active_bookings(tables, as_of: str, customer_id: str | None = None) -> DataFrame:
-    """Bookings starting on or after ``as_of`` (of one customer, or of all).
+def active_bookings(tables, as_of: str | None = None, customer_id: str | None = None) -> DataFrame:
+    """Bookings starting on or after ``as_of`` (default today; of one customer, or of all).
 
     Returns the stored total next to the recomputed one; the recomputed total
     is the sum of the two money values as doubles.
     """
     b = tables["booking"]
-    bookings = where_all(b, start_date_window(b, lower=as_of) + [
+    bookings = where_all(b, start_date_window(b, lower=as_of or today()) + [
         F.col("customer_id") == F.lit(customer_id) if customer_id is not None else None,
     ])
     vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day", "plate_number", "number_of_seats"])
     extras = extras_by_booking(tables, bookings).select("booking_id", "extras")
-    joined = (salted_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
+    joined = (fact_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
               .withColumn("days", rental_days("start_date", "end_date")))
     base = money(F.col("days") * F.col("costs_per_day"))
     extras_cost = F.coalesce(money("extras"), F.lit(0.0))
@@ -196,7 +196,7 @@ def booking_totals(tables, booking_ids: DataFrame) -> DataFrame:
     bookings = tables["booking"].join(ids, "booking_id", "left_semi")
     vehicles = vehicle_dim(tables, ["costs_per_day"])
     extras = extras_by_booking(tables, bookings).select("booking_id", "extras")
-    joined = salted_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
+    joined = fact_join(bookings, vehicles, "vehicle_id").join(extras, "booking_id", "left")
     base = money(rental_days("start_date", "end_date") * F.col("costs_per_day"))
     extras_cost = F.coalesce(money("extras"), F.lit(0.0))
     totals = joined.select("booking_id", base.alias("base_cost"), extras_cost.alias("extras_cost"),
@@ -215,11 +215,9 @@ def service_booking_report(tables, date_from: str | None = None, date_to: str |
         .select("booking_id", "start_date", "end_date", "customer_id", "vehicle_id")
     vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day"], with_retailer=True)
     extras = extras_by_booking(tables, bookings)
-    hot = hot_key_sets(bookings, ["customer_id", "vehicle_id"])
     joined = bookings.join(extras, "booking_id")
-    joined = salted_join(joined, customer_dim(tables, with_account=True), "customer_id", hot=hot["customer_id"])
-    joined = salted_join(joined, vehicles, "vehicle_id", hot=hot["vehicle_id"]) \
-        .withColumn("rental_days", rental_days("start_date", "end_date"))
+    joined = with_customer(joined, tables, with_account=True)
+    joined = fact_join(joined, vehicles, "vehicle_id").withColumn("rental_days", rental_days("start_date", "end_date"))
     base = F.col("rental_days") * F.col("costs_per_day")
     return joined.select(
         "booking_id", "start_date", "end_date", "customer_id", "customer_name", "customer_iban", "customer_bic",
@@ -254,13 +252,14 @@ def quote_services(tables, selections: DataFrame) -> DataFrame:
     Totals add doubles in the order base + booked + selected.
     """
     sel = one_per_request(selections.select("request_id", "booking_id", "service_ids")).drop("conflicting")
-    totals = booking_totals(tables, sel).select("booking_id", "base_cost", F.col("extras_cost").alias("booked_extras"))
+    # staged, so that a booking that many requests name is split in the join below
+    totals = staged(booking_totals(tables, sel), "quote-totals").select("booking_id", "base_cost", F.col("extras_cost").alias("booked_extras"))
     picked = sel.select("request_id", "booking_id",
                         F.explode(F.array_distinct("service_ids")).alias("additional_service_id"))
     new = (picked.join(tables["booking_service"], ["booking_id", "additional_service_id"], "left_anti")
            .join(tables["additional_service"], "additional_service_id")
            .groupBy("request_id").agg(F.sum(money("costs")).alias("selected_extras")))
-    out = salted_join(sel, totals, "booking_id", how="left", spread="request_id").join(new, "request_id", "left")
+    out = fact_join(sel, totals, "booking_id", "left").join(new, "request_id", "left")
     base = F.coalesce(F.col("base_cost"), F.lit(0.0))
     booked = F.coalesce(F.col("booked_extras"), F.lit(0.0))
     selected = F.coalesce(F.col("selected_extras"), F.lit(0.0))

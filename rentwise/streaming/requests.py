@@ -14,17 +14,13 @@ Progress is kept in ``checkpoint_location`` (a shared folder on a cluster).
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rentwise.operators import jobs
 from rentwise.session import checkpoint_dir
-from rentwise.operators.documents import load_docs
-from rentwise.functions.rules import START_YEAR
-from rentwise.sources.tables import load_tables, write_table
+from rentwise.sources.tables import load_tables
 
 BOOKING_REQUEST_SCHEMA = ("request_id string, customer_id string, vehicle_id string, start_date date, "
                           "end_date date, way_of_billing string")
@@ -52,60 +48,33 @@ def handle_booking_batch(spark: SparkSession, tables_dir: str, out_dir: str):
 
 
 def handle_doc_booking_batch(spark: SparkSession, docs_dir: str, out_dir: str):
-    """foreachBatch function for booking requests against the documents.
-
-    New booking documents are appended to the ``bookings`` collection unless
-    their id is stored already (a replayed batch appends nothing).
-    """
+    """foreachBatch function for booking requests against the documents."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        docs = load_docs(spark, docs_dir)
-        new_docs, outcome = jobs.doc_create_bookings(docs, batch)
-        stored = docs["bookings"].select("_id").join(new_docs.select("_id"), "_id", "left_semi")
-        _write_outcome(outcome, out_dir, batch_id)
-        new_docs.join(stored, "_id", "left_anti").write.mode("append").parquet(f"{docs_dir}/bookings")
+        _write_outcome(jobs.run_doc_create_bookings(spark, batch, docs_dir), out_dir, batch_id)
     return handle
 
 
-def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_of: str):
-    """foreachBatch function for add-service requests.
-
-    New links are appended to the link table (insert-ignore by key). The
-    touched bookings are repriced in place: only the start-year partitions
-    that hold them are rewritten, from a checkpointed copy (so the rewrite
-    does not read the files it replaces). A replay recomputes the same totals.
-    """
+def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_of: str | None = None):
+    """foreachBatch function for add-service requests (R8); ``as_of`` defaults to the day of the batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        tables = load_tables(spark, tables_dir)
-        judged = jobs.materialize(jobs.judge_service_requests(tables, batch, as_of))
-        _, _, outcome = jobs.add_services(tables, batch, as_of, judged=judged)
-        accepted = judged.filter(F.col("status") == jobs.ACCEPTED)
-        inserted = jobs.inserted_links(tables["booking_service"], accepted)
-        _write_outcome(outcome, out_dir, batch_id)
-        write_table(inserted, "booking_service", tables_dir, "append")
-        _reprice_stored_bookings(spark, tables_dir, batch, as_of, judged, accepted)
+        _write_outcome(jobs.run_add_services(spark, batch, as_of, tables_dir), out_dir, batch_id)
     return handle
 
 
-def _reprice_stored_bookings(spark, tables_dir, batch, as_of, judged, accepted) -> None:
-    tables = load_tables(spark, tables_dir)  # with the links just appended
-    bookings = tables["booking"]
-    # The start years of the touched bookings: a handful of values.
-    years = [r[0] for r in bookings.join(accepted.select("booking_id").distinct(), "booking_id", "left_semi")
-             .select(START_YEAR).distinct().collect()]
-    if not years:
-        return
-    in_years = dict(tables, booking=bookings.filter(F.col(START_YEAR).isin(years)))
-    _, repriced, _ = jobs.add_services(in_years, batch, as_of, judged=judged)
-    write_table(jobs.materialize(repriced), "booking", tables_dir, replace_partitions=True)
+def handle_doc_service_batch(spark: SparkSession, docs_dir: str, out_dir: str, as_of: str | None = None):
+    """foreachBatch function for add-service requests against the documents."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        _write_outcome(jobs.run_doc_add_services(spark, batch, as_of, docs_dir), out_dir, batch_id)
+    return handle
 
 
 def start_intake(spark: SparkSession, kind: str, requests_path: str, tables_dir: str, out_dir: str,
                  checkpoint_location: str, as_of: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Start the intake stream of ``kind``: 'booking' (R4), 'service' (R8) or 'doc_booking' (N3).
+    """Start the intake stream of ``kind``: 'booking' (R4), 'service' (R8), 'doc_booking' (N3) or 'doc_service' (N8).
 
-    For 'doc_booking', ``tables_dir`` is the folder of the document collections.
+    For the last two, ``tables_dir`` is the folder of the document collections.
     """
-    checkpoint_dir(spark)  # judged batches are checkpointed to the shared folder
+    checkpoint_dir(spark)  # judged batches are stored in the shared folder
     if kind == "booking":
         stream = request_stream(spark, requests_path, BOOKING_REQUEST_SCHEMA)
         handler = handle_booking_batch(spark, tables_dir, out_dir)
@@ -114,7 +83,10 @@ def start_intake(spark: SparkSession, kind: str, requests_path: str, tables_dir:
         handler = handle_doc_booking_batch(spark, tables_dir, out_dir)
     elif kind == "service":
         stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA)
-        handler = handle_service_batch(spark, tables_dir, out_dir, as_of or datetime.now(timezone.utc).date().isoformat())
+        handler = handle_service_batch(spark, tables_dir, out_dir, as_of)
+    elif kind == "doc_service":
+        stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA)
+        handler = handle_doc_service_batch(spark, tables_dir, out_dir, as_of)
     else:
         raise ValueError(f"unknown request kind: {kind}")
     writer = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint_location)

@@ -137,13 +137,6 @@ def test_n9_fallbacks_and_missing_account(spark, seed, docs):
     assert got["b2"][2] is None  # account missing: kept with NULL (the relational twin drops it)
 
 
-def test_hot_keys_bound(spark):
-    from rentwise.plans.skew import hot_keys
-    fact = spark.range(3000).selectExpr("case when id % 3 = 0 then 'hot' else concat('k', id) end as k")
-    assert rows(hot_keys(fact, "k", share=1000)) == [("hot",)]
-    assert hot_keys(spark.range(3000).selectExpr("concat('k', id) as k"), "k", share=1000).count() == 0
-
-
 def test_twin_r3_n4_on_driver_data(spark):
     """On the driver's tables: R3 and N4 agree on every booking both models hold."""
     import os

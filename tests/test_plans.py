@@ -1,14 +1,16 @@
 """Plan shape: pushdown, pruning, no products or Python nodes, skew splitting."""
 
+import contextlib
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from rentwise.operators import doc_queries as N
 from rentwise.operators import relational as R
 from rentwise.plans.inspect import forbidden_nodes, plan_text
-from rentwise.plans.skew import salted_join
 from rentwise.sources import testdata as td
 
 SF = "/root/testdata/sf0.001"
@@ -39,32 +41,62 @@ def test_extras_aggregated_before_the_join(spark):
     assert "partial_sum(costs" in text
 
 
-def test_hot_customer_is_spread_over_tasks(spark):
-    """One customer owns a third of the bookings: the salted join spreads its rows."""
-    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.coalescePartitions.enabled": "false",
-            "spark.sql.shuffle.partitions": "16"}
+@contextlib.contextmanager
+def settings(spark, conf):
     old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        t = td.rental_tables(spark, "/root/testdata/sf0.01")
-        hot = t["booking"].withColumn(
-            "customer_id", F.when(F.abs(F.hash("booking_id")) % 3 == 0, F.lit("c_1")).otherwise(F.col("customer_id")))
-        dim = R.customer_dim(t)
-        salted = salted_join(hot, dim, "customer_id")
-        plain = hot.join(dim, "customer_id")
-        assert sorted(salted.collect()) == sorted(plain.collect())
-        tasks = salted.filter("customer_id = 'c_1'").select(F.spark_partition_id().alias("p")).distinct().count()
-        assert tasks >= 8  # the plain join puts all of them into one task
-        assert plain.filter("customer_id = 'c_1'").select(F.spark_partition_id()).distinct().count() == 1
+        yield
     finally:
         for k, v in old.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hot_bookings(bookings):
+    """One customer and one vehicle own a third of the bookings each."""
+    third = lambda h, key, hot: F.when(F.abs(h) % 3 == 0, F.lit(hot)).otherwise(F.col(key))
+    return (bookings.withColumn("customer_id", third(F.hash("booking_id"), "customer_id", "c_1"))
+            .withColumn("vehicle_id", third(F.xxhash64("booking_id"), "vehicle_id", "v_1")))
+
+
+def test_hot_keys_are_split_in_every_join(spark, scratch):
+    """Without broadcasts, adaptive execution splits the hot customer and the hot vehicle, in R3 and R10."""
+    t = td.rental_tables(spark, "/root/testdata/sf0.01")
+    # several files: a partition is split between the map tasks that fed it
+    hot_bookings(t["booking"]).repartition(8).write.parquet(scratch + "/booking")
+    t["booking"] = spark.read.parquet(scratch + "/booking")
+    plain = [sorted(q(t).collect()) for q in (R.booking_cost_report, R.service_booking_report)]
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                          "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                          "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+                          "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+                          "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+                          "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+                          "spark.sql.shuffle.partitions": "32"}):
+        for q, want in zip((R.booking_cost_report, R.service_booking_report), plain):
+            df = q(t)
+            assert sorted(df.collect()) == want
+            final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            joins = [ln for ln in final.splitlines() if re.search(r"SortMergeJoin.*\[(customer|vehicle)_id", ln)]
+            assert len(joins) >= 3 and all("skew=true" in ln for ln in joins), final
+
+
+def test_small_dimensions_broadcast_statically(spark):
+    t = E._tables(spark, "/root/testdata/sf0.01")
+    r3 = plan_text(R.booking_cost_report(t), "simple")
+    for key in ("customer_id", "vehicle_id"):
+        assert [ln for ln in r3.splitlines() if f"BroadcastHashJoin [{key}" in ln], r3
+    assert sum("/booking]" in ln or "/booking," in ln for ln in r3.splitlines() if "FileScan" in ln) <= 2
+
+
+def test_document_windows_prune_partitions(spark):
+    docs = E._docs(spark, SF)
+    for df in (N.doc_available_vehicles(docs, td.WINDOW_START, td.WINDOW_END),
+               N.doc_booking_cost_report(docs, td.REPORT_FROM), N.doc_active_bookings(docs, td.AS_OF),
+               N.doc_service_booking_report(docs, td.REPORT_FROM, td.SERVICE_REPORT_TO)):
+        scans = [ln for ln in plan_text(df).splitlines() if "PartitionFilters: [" in ln]
+        assert any("start_key" in ln for ln in scans)
 
 
 def test_window_report_restricts_links_before_aggregating(spark):

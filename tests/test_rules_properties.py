@@ -61,21 +61,15 @@ def test_euro_text_matches_rule(spark, values):
     assert got == [_euro(float(v)) for v in values]
 
 
-KEYS = st.one_of(st.none(), st.sampled_from(["k0", "k1", "k2", "k3", "hot"]))
-
-
-@settings(max_examples=4, deadline=None)
-@given(st.lists(KEYS, min_size=1, max_size=300), st.sampled_from(["inner", "left"]), st.booleans())
-def test_salted_join_equals_plain_join(spark, keys, how, rename):
-    from rentwise.plans.skew import salted_join
-    fact = spark.createDataFrame([(f"f{i}", k) for i, k in enumerate(keys + ["hot"] * len(keys))],
-                                 "fid string, key string")
-    dim_key = "dkey" if rename else "key"
-    dim = spark.createDataFrame([("k0", 1), ("k1", 2), ("hot", 3), ("k9", 4)], f"{dim_key} string, v int")
-    cond = "key" if not rename else fact["key"] == dim["dkey"]
-    plain = fact.join(dim, cond, how)
-    if rename:
-        plain = plain.drop("dkey")
-    salted = salted_join(fact, dim, "key", how=how, spread="fid", dim_key=dim_key, share=10)
-    cols = ["fid", "key", "v"]
-    assert sorted(salted.select(*cols).collect()) == sorted(plain.select(*cols).collect())
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(
+    ["1998-03-01", "1998", "199", "", "1999-1-5", "abc", "2001-01-01T10", "0", "20010"]))), min_size=1, max_size=20),
+    st.sampled_from(["1998-03-01", "1999", "", "b", "2"]), st.sampled_from(["1998-12-31", "2001-01-01", "c", "1"]))
+def test_document_partitions_prune_no_row(spark, dates, lower, upper):
+    """The partition condition keeps every document that the text condition keeps."""
+    from rentwise.functions.rules import START_KEY, doc_start_window, start_key, where_all
+    docs = spark.createDataFrame(dates, "start_date string")
+    stored = docs.withColumn(START_KEY, start_key("start_date"))
+    for inclusive in (True, False):
+        window = lambda df: where_all(df, doc_start_window(df, lower, upper, inclusive)).select("start_date")
+        assert sorted(window(stored).collect()) == sorted(window(docs).collect())

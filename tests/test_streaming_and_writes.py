@@ -1,7 +1,11 @@
-"""Write jobs with checkpoints, partition pruning of stored bookings, streaming intake."""
+"""Write jobs, partition pruning of stored bookings, streaming intake."""
 
 import datetime as dt
+import pathlib
 
+from pyspark.sql import functions as F
+
+from rentwise.operators import documents as M
 from rentwise.operators import jobs as J
 from rentwise.operators import relational as R
 from rentwise.plans.inspect import plan_text
@@ -38,16 +42,58 @@ def test_run_create_bookings_is_idempotent(spark, seed, scratch):
     assert load_tables(spark, path)["booking"].count() == 6
 
 
-def test_run_add_services_writes_new_versions(spark, seed, scratch):
-    t = _store(spark, seed, scratch + "/rel")
-    req = spark.createDataFrame([("s1", "b4", "p_both1", ["as5"], True)],
-                                "request_id string, booking_id string, customer_id string, "
-                                "service_ids array<string>, confirm_payment boolean")
-    out = J.run_add_services(spark, t, req, "2026-04-01", scratch + "/v2")
-    assert rows(out, "status", "total_cost") == [("accepted", 265.0)]
-    v2 = load_tables(spark, scratch + "/v2", ["booking", "booking_service"])
-    assert v2["booking_service"].count() == 9
-    assert float(v2["booking"].filter("booking_id = 'b4'").first()["total_costs"]) == 265.0
+SERVICE_REQUEST = ("request_id string, booking_id string, customer_id string, service_ids array<string>, "
+                   "confirm_payment boolean")
+
+
+def _files(path):
+    return sorted(str(p) for p in pathlib.Path(path).rglob("*.parquet"))
+
+
+def test_run_add_services_rewrites_touched_years_only(spark, seed, scratch):
+    path = scratch + "/rel"
+    older = seed["booking"].filter("booking_id = 'b1'").withColumns(
+        {"booking_id": F.lit("b_old"), "start_date": F.lit("2020-02-01").cast("date")})
+    t = _store(spark, dict(seed, booking=seed["booking"].unionByName(older)), path)
+    before = _files(path + "/booking/start_year=2020"), _files(path + "/booking/start_year=2026")
+    req = spark.createDataFrame([("s1", "b4", "p_both1", ["as5"], True)], SERVICE_REQUEST)
+    for _ in range(2):  # the second run changes nothing
+        out = J.run_add_services(spark, req, "2026-04-01", path)
+        assert rows(out, "status", "total_cost") == [("accepted", 265.0)]
+        t = load_tables(spark, path, ["booking", "booking_service"])
+        assert t["booking_service"].count() == 9 and t["booking"].count() == 6
+        assert float(t["booking"].filter("booking_id = 'b4'").first()["total_costs"]) == 265.0
+    after = _files(path + "/booking/start_year=2020"), _files(path + "/booking/start_year=2026")
+    assert after[0] == before[0] and after[1] != before[1]
+
+
+def test_streaming_doc_service_intake(spark, seed, scratch):
+    from rentwise.operators.documents import load_docs, migrate_all
+    docs_dir = scratch + "/docs"
+    migrate_all(seed, docs_dir)
+    spark.createDataFrame([("s1", "b5", "p_cust1", ["as2"], True), ("s2", "b5", "p_cust1", ["as9"], True)],
+                          SERVICE_REQUEST).write.parquet(scratch + "/inbox/f1")
+    q = start_intake(spark, "doc_service", scratch + "/inbox/*", docs_dir, scratch + "/out", scratch + "/ckpt",
+                     as_of="2026-04-01", available_now=True)
+    q.awaitTermination(120)
+    got = sorted(rows(read_outcomes(spark, scratch + "/out"), "request_id", "status", "total_cost"))
+    assert got == [("s1", "accepted", 425.0), ("s2", "invalid service selection", None)]
+    stored = load_docs(spark, docs_dir)["bookings"]
+    b5 = stored.filter("_id = 'b5'").first()
+    assert "as2" in [s["service_id"] for s in b5["additionalServices"]] and b5["pricing"]["total_costs"] == "425.00"
+    replay = J.run_doc_add_services(spark, spark.read.parquet(scratch + "/inbox/f1"), "2026-04-01", docs_dir)
+    assert rows(replay.filter("request_id = 's1'"), "total_cost") == [(425.0,)]
+    again = load_docs(spark, docs_dir)["bookings"]
+    assert again.filter("_id = 'b5'").first() == b5 and again.count() == M.booking_docs(seed).count()
+
+
+def test_active_from_today_by_default(spark, seed):
+    far = seed["booking"].withColumns({"start_date": F.date_add(F.current_date(), 30),
+                                       "end_date": F.date_add(F.current_date(), 31)})
+    t = dict(seed, booking=far)
+    assert R.active_bookings(t).count() == R.active_bookings(t, "1970-01-01").count() > 0
+    past = dict(seed, booking=far.withColumn("start_date", F.lit("2001-01-01").cast("date")))
+    assert R.active_bookings(past).count() == 0
 
 
 def test_streaming_booking_intake(spark, seed, scratch):
