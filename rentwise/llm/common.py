@@ -52,6 +52,14 @@ def bucket_of(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string")) % modulus
 
 
+def hashed_share(key: Column, share: float) -> Column:
+    """About the given share of the keys: those with the smallest ``xxhash64``.
+
+    Before a ranking by that hash it bounds the rows that the ranking task gets.
+    """
+    return F.xxhash64(key) <= F.lit(min(2 ** 63 - 1, int(share * 2 ** 64) - 2 ** 63))
+
+
 def components(edges: DataFrame, what: str) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): one row (node, root), root the smallest node.
 

@@ -17,10 +17,14 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    shared prefix shingles are dropped, the others verified on their whole sets:
    first every class's likeliest pair, then all pairs not yet in one component.
 4. A prefix shingle in more classes than ``LIST`` produces no pairs. The classes
-   that such shingles connect are split into blocks of bounded size, and every two
-   blocks of such a region are compared exactly inside one task, which returns
-   a spanning forest of the links it finds. No link is lost and no list of all
-   pairs is ever written, however large a group of near copies is.
+   that such shingles connect form regions. In a region beyond one block's size,
+   all classes are first compared with a few pivots (the class with the most
+   such shingles and some by hash): those that link with a pivot are in its component and need
+   no comparison with each other, which settles most of a large group of near
+   copies in linear work. The rest is split into blocks of bounded size, and every
+   two blocks that a pivot has not settled are compared exactly inside one task,
+   which returns a spanning forest of the links it finds. No link is lost and no
+   list of all pairs is ever written.
 5. Components over the verified links.
 
 Shingles and classes are compared as 64-bit hashes.
@@ -36,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, components, ids_join, source, staged
@@ -47,6 +51,7 @@ ORDER_BITS = 18
 LIST = 64                  # classes of a prefix shingle that produce pairs directly
 COST_STEP = 32             # shingles to read in verifications for which one more shared shingle is asked
 BLOCK_SHINGLES = 800_000   # shingles of one block of a dense region
+PIVOTS = 4                 # classes of a large region that all of it is compared with
 SEEN = 100_000             # classes a task remembers, to send a copied class's prefix only once
 
 
@@ -235,19 +240,54 @@ def _regions(dense: DataFrame) -> DataFrame:
                   "ngram-region")
 
 
+def _similar(a, b) -> Column:
+    """Whether two columns with sets link."""
+    shared = F.size(F.array_intersect(a, b))
+    return 100 * shared >= PERCENT * (F.size(a) + F.size(b) - shared)
+
+
+def _pivot_links(sets: DataFrame, large: DataFrame) -> DataFrame:
+    """(pivot, cls) of the classes in the regions ``large`` (root) that link with a pivot: the first of its
+    region's pivots that they link with. ``sets``: (root, cls, heavy, shingles)."""
+    inside = sets.join(large, "root", "left_semi")
+    chosen = inside.groupBy("root").agg(
+        F.max_by("cls", F.struct("heavy", "cls")).alias("p0"),
+        *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)])
+    chosen = staged(chosen.select("root", F.posexplode(F.array_distinct(F.array([f"p{i}" for i in range(PIVOTS)])))
+                                  .alias("rank", "cls")), "ngram-pivots")
+    pivots = (sets.select("cls", "shingles").join(chosen, "cls").groupBy("root")
+              .agg(F.array_sort(F.collect_set(F.struct("rank", "cls", "shingles"))).alias("pivots")))  # PIVOTS sets
+    first = F.get(F.filter("pivots", lambda p: _similar(F.col("shingles"), p["shingles"])), F.lit(0))
+    return (inside.join(staged(pivots, "ngram-pivots"), "root").select(first["cls"].alias("pivot"), "cls")
+            .where("pivot IS NOT NULL").distinct())
+
+
 def _dense_links(docs: DataFrame, reps: DataFrame, dense: DataFrame, regions: DataFrame) -> DataFrame:
-    """All links inside the regions."""
-    members = regions.join(dense.select(F.col("b").alias("node"), "n").distinct(), "node")
-    weight = staged(members.groupBy("root").agg(F.sum("n").alias("weight")), "ngram-weight")
-    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
-    cut = staged(members.join(weight, "root").withColumn("blocks", blocks)
-                 .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-                 .select("root", F.col("node").alias("cls"), "block", "blocks"), "ngram-blocks")
-    # every block meets every block of its region: a row goes to as many tasks as the region has blocks
-    met = (cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-           .select("root", "cls", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")))
-    sets = staged(_sets(docs, reps, cut.select("cls").distinct()), "ngram-dense-sets")
-    return met.join(sets, "cls").groupBy("root", "x", "y").applyInPandas(lambda pdf: _block_links(pdf), "a long, b long")
+    """All links inside the regions, but for those between classes that one pivot already connects."""
+    classes = dense.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("heavy"), F.max("n").alias("n"))
+    members = staged(regions.join(classes, "node").select("root", F.col("node").alias("cls"), "heavy", "n"), "ngram-members")
+    sets = staged(_sets(docs, reps, members.select("cls")).join(members, "cls"), "ngram-dense-sets")
+    large = staged(members.groupBy("root").agg(F.sum("n").alias("weight")).where(F.col("weight") > BLOCK_SHINGLES)
+                   .select("root"), "ngram-large")
+    links = staged(_pivot_links(sets, large), "ngram-star")
+    # blocks by region and pivot; the classes without a pivot have blocks of their own
+    held = members.join(links, "cls", "left")
+    weight = staged(held.groupBy("root", "pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")),
+                    "ngram-weight")
+    block = lambda number: F.struct("pivot", number.cast("int").alias("number"))
+    every = weight.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block)).alias("block"))
+    every = every.groupBy("root").agg(F.collect_list("block").alias("all"))  # a row for 800,000 shingles
+    sizes = staged(weight.join(every, "root"), "ngram-blocks").select(
+        F.col("root").alias("r"), F.col("pivot").alias("p"), "blocks", "all")
+    cut = (held.join(sizes, (F.col("root") == F.col("r")) & F.col("pivot").eqNullSafe(F.col("p")))
+           .withColumn("number", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("own", block(F.col("number"))))
+    # a row goes to as many tasks as its region has blocks, other than its pivot's
+    met = (cut.withColumn("other", F.explode("all"))
+           .where("own.pivot IS NULL OR other.pivot IS NULL OR own.pivot <> other.pivot")
+           .select("root", "cls", F.xxhash64(F.least("own", "other"), F.greatest("own", "other")).alias("blocks")))
+    compared = (met.join(sets.select("cls", "shingles"), "cls").groupBy("root", "blocks")
+                .applyInPandas(lambda pdf: _block_links(pdf), "a long, b long"))
+    return compared.union(links.where("pivot <> cls").select("pivot", "cls"))
 
 
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -256,9 +296,7 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
     sets = staged(_sets(docs, reps, nodes), "ngram-sets")
     both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return (both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
-            .where(F.expr(f"100 * shared >= {PERCENT} * (both - shared)")).select("a", "b"))
+    return both.where(_similar("sa", "sb")).select("a", "b")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:

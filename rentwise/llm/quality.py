@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bucket_of, ids_join, source, staged
+from .common import bound_batches, bucket_of, hashed_share, ids_join, source, staged
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, LEAVES = 64, 8, 4
@@ -192,7 +192,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         "doc_id", F.col("doc_id").cast("long"))), "quality-features")
     marks = (source(labels, doc_id=key, y=label).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held)
              .groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y")))
-    sample = (rows.dropDuplicates(["doc_id"]).join(marks, "doc_id")
+    marks = staged(marks, "quality-labels")
+    # four times the sample by hash: neither the join nor the ranking grows with the labels
+    few = marks.where(hashed_share(F.col("doc_id"), 4 * SAMPLE / max(1, marks.count())))
+    sample = (rows.join(few, "doc_id").dropDuplicates(["doc_id"])
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("f", "y").toPandas())
     x = np.stack(sample.f.to_list()).astype(np.float32) if len(sample) else np.empty((0, len(FEATURES)), np.float32)
     model = AdditiveModel().fit(x, sample.y.to_numpy(np.float64))  # a few thousand numbers, sent with the task

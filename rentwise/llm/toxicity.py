@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bucket_of, source, staged
+from .common import bound_batches, bucket_of, hashed_share, source, staged
 
 SAMPLE = 3_000       # labelled rows of each class
 BITS, FACTORS = 20, 4
@@ -144,7 +144,11 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """slots, y, n (labelled rows of that class) of at most ``SAMPLE`` labelled rows of each class."""
     first = Window.partitionBy("y").orderBy("h", "doc_id")
     counts = labels.groupBy("y").agg(F.count("*").alias("n"))
-    picked = staged(labels.withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(first))
+    # four times the sample by hash, so that the ranking of a class doesn't grow with the labels
+    few = F.lit(False)
+    for r in counts.collect():  # two classes
+        few = few | ((F.col("y") == r.y) & hashed_share(F.col("doc_id"), 4 * SAMPLE / r.n))
+    picked = staged(labels.where(few).withColumn("h", F.xxhash64("doc_id")).withColumn("k", F.row_number().over(first))
                     .where(f"k <= {SAMPLE}").join(F.broadcast(counts), "y").select("doc_id", "y", "n"), "toxic-sample")
 
     def run(batches):
@@ -167,7 +171,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     docs = source(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     marks = (source(labels, doc_id=key, y=label).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held)
              .groupBy("doc_id").agg(F.max("y").cast("int").alias("y")))
-    sample = _sample(docs, marks).collect()
+    sample = _sample(docs, staged(marks, "toxic-labels")).collect()
     total = {r.y: r.n for r in sample}
     y = np.array([r.y for r in sample], np.float64)
     taken = {k: max(1, int((y == k).sum())) for k in total}
