@@ -6,7 +6,8 @@ the page and, by grouped aggregation, over all pages. A path's ratio is its text
 per block; the page's own figures are smoothed towards those of the same path in
 the whole corpus, so that a short page is judged with its template's help. The
 text ratio and the punctuation ratio are fused by their product (Wu et al.,
-WWW 2013), weighted by what the path's tags and names say, and paths at or above
+WWW 2013), weighted by what the path's tags and names say (names lower the marked
+subtree, unless it holds most of the page's text), and paths at or above
 a share of the page's best path are content. Their blocks are returned in page
 order.
 
@@ -34,6 +35,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
     figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td
     tfoot th thead tr ul""".split())
 NEVER = frozenset("nav header footer aside form menu dialog head fieldset".split())
+AROUND = frozenset("form dialog fieldset".split())  # of these, such as are also put around a whole page
 # words of class and id names, and of roles, that mark what is not the article
 NAMES = frozenset("""ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
     cookies discuss disqus footer header login masthead menu modal nav navbar navigation newsletter notice pagination
@@ -47,6 +49,7 @@ NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.
 END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 MARKS = re.compile(r"[.,;:!?…。，！？]")
 
+LOWERED = 0.2   # weight of paths below a name of NAMES
 PRIOR = 3.0     # blocks of the corpus that a page's own path figures are mixed with
 SHARE = 0.08    # of the best path's score, from which a path is content
 
@@ -104,17 +107,53 @@ def blocks(page: str) -> list[tuple[str, str]]:
     return out
 
 
-def said(path: str) -> float:
-    """What a path's tags and names tell: 0 for parts that are never the article."""
-    weight = 1.0
+def wrappers(own: dict[str, list[int]]) -> set[str]:
+    """Ancestors that hold most of the page's text, so that their names tell nothing about it.
+
+    A subtree beside which an article (by tag or name) has a part of the text is none: long comments stay comments.
+    """
+    steps = {path: path.split("/") for path in own}
+    names = {path: [step.split(".")[0] for step in s] for path, s in steps.items()}
+    chars = {path: t[1] for path, t in own.items() if not any(n in NEVER and n not in AROUND for n in names[path])}
+    held: dict[str, int] = {}
+    for path, n in chars.items():
+        for k in range(1, len(steps[path]) + 1):
+            prefix = "/".join(steps[path][:k])
+            held[prefix] = held.get(prefix, 0) + n
+    total = sum(chars.values())
+    articles = {path: n for path, n in chars.items() if any(_is_article(step) for step in steps[path])}
+    beside = lambda prefix: sum(n for p, n in articles.items() if not (p + "/").startswith(prefix + "/"))
+    return {p for p, n in held.items() if 2 * n > total and 10 * beside(p) < total}
+
+
+def _words(step: str) -> tuple[str, set[str]]:
+    name, *names = step.split(".")
+    return name, {w for n in names for w in re.split(r"[-_]|(?<=[a-z])(?=[0-9])", n)}
+
+
+def _is_article(step: str) -> bool:
+    name, words = _words(step)
+    return name in ("article", "main") or bool(words & CONTENT)
+
+
+def said(path: str, around: set[str]) -> float:
+    """What a path's tags and names tell: 0 below tags that are never the article, little below names of other parts.
+
+    Names of html, body and of the ancestors ``around`` (see ``wrappers``) lower nothing.
+    """
+    weight, lowered, prefix = 1.0, 1.0, ""
     for step in path.split("/"):
-        name, *names = step.split(".")
-        words = {w for n in names for w in re.split(r"[-_]|(?<=[a-z])(?=[0-9])", n)}
-        if name in NEVER or (words & NAMES and not words & CONTENT):
-            return 0.0
-        if name in ("article", "main") or words & CONTENT:
+        prefix = f"{prefix}/{step}" if prefix else step
+        name, words = _words(step)
+        if _is_article(step):
             weight = 2.0
-    return weight
+        if name in ("html", "body") or (prefix in around and (name not in NEVER or name in AROUND)):
+            continue
+        if name in NEVER:
+            return 0.0
+        if words & NAMES and not words & CONTENT:
+            lowered = LOWERED
+    return weight * lowered
 
 
 def path_totals(found: list[tuple[str, str]]) -> dict[str, list[int]]:
@@ -130,18 +169,20 @@ def path_totals(found: list[tuple[str, str]]) -> dict[str, list[int]]:
 
 def content_paths(own: dict[str, list[int]], corpus: dict[str, tuple[float, float]]) -> set[str]:
     """Paths whose smoothed and fused ratio reaches a share of the best one's."""
+    around = wrappers(own)
+    told = {path: said(path, around) for path in own}
     scores = {}
     for path, (n, chars, marks) in own.items():
         mean_chars, mean_marks = corpus.get(path, (chars / n, marks / n))
         ratio = (chars + PRIOR * mean_chars) / (n + PRIOR)
         punctuation = (marks + PRIOR * mean_marks) / (n + PRIOR)
-        scores[path] = said(path) * (ratio * (1 + punctuation)) ** 0.5
+        scores[path] = told[path] * (ratio * (1 + punctuation)) ** 0.5
     best = max(scores.values(), default=0)
     chosen = {p for p, s in scores.items() if best > 0 and s >= SHARE * best}
     # headings and lists beside chosen paragraphs belong to the same article
     homes = {p.rsplit("/", 1)[0] for p in chosen}
     inside = {h for h in homes if re.search(r"(^|/)(article|main)\b[^/]*$", h)}
-    return chosen | {p for p in own if said(p) and any(p.startswith(h + "/") for h in inside)}
+    return chosen | {p for p in own if told[p] >= 1 and any(p.startswith(h + "/") for h in inside)}
 
 
 def _pages(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:

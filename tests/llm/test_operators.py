@@ -195,6 +195,26 @@ def test_op5_article_only(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def texts_of_pages(spark, bodies):
+    pages = spark.createDataFrame([(i, "u", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    return [r.text for r in html_text.extract_text(pages).orderBy("page_id").collect()]
+
+
+STORY = "".join(f"<p>Paragraph {'abcde'[k]} of the story goes on, at some length, and tells what happened, where, and why; "
+                "then it stops, after a while, as such stories do.</p>" for k in range(5))
+
+
+def test_op5_names_of_wrappers_lower_nothing(spark):
+    want = "\n".join(t for _, t in html_text.blocks(STORY))
+    side = '<div class="sidebar"><p>Links, and more links.</p></div><div id="comments"><p>Great post, thanks!</p></div>'
+    bodies = [f'<html><body class="{c}">{STORY}{side}</body></html>' for c in ("has-sidebar", "no-comments", "menu ad")]
+    bodies += [f'<html class="no-cookies"><body><div id="menu-wrapper"><div class="text">{STORY}</div>{side}</div></body></html>',
+               f'<body><div class="widget">{STORY}</div><p>Short.</p>{side}</body>',
+               f'<body><form action="x"><div class="notice">{STORY}</div>{side}</form><nav>Home</nav></body>']
+    got = texts_of_pages(spark, bodies)
+    assert all(want in t for t in got) and not any("Links" in t or "Great" in t for t in got)
+
+
 def test_op1_fuses_the_evidence(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(
         [("the house and the garden with the old tree", "en"), ("das Haus und der Garten mit dem alten Baum", "de")] * 40)],
