@@ -7,9 +7,10 @@ per block; the page's own figures are smoothed towards those of the same path in
 the whole corpus, so that a short page is judged with its template's help. The
 text ratio and the punctuation ratio are fused by their product (Wu et al.,
 WWW 2013), weighted by what the path's tags and names say (names lower the marked
-subtree, unless it holds most of the page's text), and paths at or above
-a share of the page's best path are content. Their blocks are returned in page
-order.
+subtree, unless it holds most of the page's text). The threshold comes from the
+distribution of the page's scores: paths half a deviation above the mean, or near the
+best one, are content, inside article and main too; so are the headings, items and cells
+beside them. Their blocks are returned in page order.
 
 Defined cases: a null or empty page, or one without visible text, has an empty
 text. Unclosed and crossing tags are repaired as far as the paths need it: a block tag
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from statistics import mean, pstdev
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +37,9 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
     figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td
     tfoot th thead tr ul""".split())
 NEVER = frozenset("nav header footer aside form menu dialog head fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = HEADINGS | frozenset("""ul ol li dl dt dd table caption thead tbody tfoot tr th td blockquote pre figure
+    figcaption""".split())
 AROUND = frozenset("form dialog fieldset".split())  # of these, such as are also put around a whole page
 # words of class and id names, and of roles, that mark what is not the article
 NAMES = frozenset("""ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
@@ -51,7 +56,9 @@ MARKS = re.compile(r"[.,;:!?…。，！？]")
 
 LOWERED = 0.2   # weight of paths below a name of NAMES
 PRIOR = 3.0     # blocks of the corpus that a page's own path figures are mixed with
-SHARE = 0.08    # of the best path's score, from which a path is content
+SPREAD = 0.5    # deviations above the mean of a page's scores, from which a path is content
+SHARE = 0.4     # of the best path's score, from which it is content in any case: a page may hold nothing else
+EASED = 0.4     # of that threshold, for items beside chosen paragraphs outside article and main
 
 
 def blocks(page: str) -> list[tuple[str, str]]:
@@ -168,7 +175,7 @@ def path_totals(found: list[tuple[str, str]]) -> dict[str, list[int]]:
 
 
 def content_paths(own: dict[str, list[int]], corpus: dict[str, tuple[float, float]]) -> set[str]:
-    """Paths whose smoothed and fused ratio reaches a share of the best one's."""
+    """Paths whose smoothed and fused ratio stands out among the page's."""
     around = wrappers(own)
     told = {path: said(path, around) for path in own}
     scores = {}
@@ -177,12 +184,35 @@ def content_paths(own: dict[str, list[int]], corpus: dict[str, tuple[float, floa
         ratio = (chars + PRIOR * mean_chars) / (n + PRIOR)
         punctuation = (marks + PRIOR * mean_marks) / (n + PRIOR)
         scores[path] = told[path] * (ratio * (1 + punctuation)) ** 0.5
-    best = max(scores.values(), default=0)
-    chosen = {p for p, s in scores.items() if best > 0 and s >= SHARE * best}
-    # headings and lists beside chosen paragraphs belong to the same article
+    known = [x for x in scores.values() if x > 0]
+    if not known:
+        return set()
+    level = min(mean(known) + SPREAD * pstdev(known), SHARE * max(known))
+    chosen = {p for p, x in scores.items() if x >= level}
+    # headings, items and cells beside chosen paragraphs belong to the same article, however short they are
     homes = {p.rsplit("/", 1)[0] for p in chosen}
-    inside = {h for h in homes if re.search(r"(^|/)(article|main)\b[^/]*$", h)}
-    return chosen | {p for p in own if told[p] >= 1 and any(p.startswith(h + "/") for h in inside)}
+    above = {h[:k] for h in homes for k in (*(m.start() for m in re.finditer("/", h)), len(h))}
+    for path in own.keys() - chosen:
+        home, heading = _home(path)
+        if home is None or told[path] < 1:
+            continue
+        if told[path] > 1 and home in above:
+            chosen.add(path)
+        elif home in homes and (heading or scores[path] >= EASED * level):
+            chosen.add(path)
+    return chosen
+
+
+def _home(path: str) -> tuple[str | None, bool]:
+    """The container of a heading, list item, cell or quotation, and whether it is a heading; None for other blocks."""
+    steps = path.split("/")
+    names = [step.split(".")[0] for step in steps]
+    heading = names[-1] in HEADINGS
+    k = len(steps) - (names[-1] == "p")
+    end = k
+    while k and names[k - 1] in ITEMS:
+        k -= 1
+    return ("/".join(steps[:k]), heading) if k < end else (None, False)
 
 
 def _pages(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:

@@ -215,6 +215,22 @@ def test_op5_names_of_wrappers_lower_nothing(spark):
     assert all(want in t for t in got) and not any("Links" in t or "Great" in t for t in got)
 
 
+def test_op5_threshold_of_the_distribution(spark):
+    want = "\n".join(t for _, t in html_text.blocks(STORY))
+    menu = '<div class="links"><ul>' + "".join(f"<li>Topic number {k} here" for k in range(12)) + "</ul></div>"
+    rest = ('<div class="bottom">(c) 2024 Example Media Ltd. All rights reserved.</div><div class="box">Buy now, half price!</div>'
+            '<div class="strip"><p>We use them, accept.</p></div><section class="talk"><p>Great post, thanks!</p></section>')
+    item = "<h2>Part</h2><ul><li>one<li>two</ul><blockquote><p>Said so.</p></blockquote><table><tr><td>1<td>2</table>"
+    inside = '<div class="bar">Tell your friends</div>'
+    comments = f'<div class="comments">{STORY.replace("Paragraph", "Comment") * 3}</div>'
+    got = texts_of_pages(spark, [
+        f"<body>{menu}<div class='text'>{STORY}</div>{rest}</body>", f"<body>{menu}<article>{STORY}{inside}</article>{rest}</body>",
+        f"<body>{menu}<main><h1>Title</h1>{inside}<div class='a'>{STORY}{item}</div>{inside}</main>{rest}</body>",
+        f"<body><article>{STORY}</article>{comments}</body>", f"<body><h1>Title</h1>{STORY}{menu}</body>"])
+    assert got[0] == got[1] == got[3] == want and got[4] == "Title\n" + want
+    assert got[2] == "Title\n" + want + "\nPart\none\ntwo\nSaid so.\n1\n2"
+
+
 def test_op1_fuses_the_evidence(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(
         [("the house and the garden with the old tree", "en"), ("das Haus und der Garten mit dem alten Baum", "de")] * 40)],
