@@ -1,7 +1,7 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is cut into blocks of text; every block has its root-to-leaf path of tags
-(with class and id). Text length and punctuation are aggregated per path, over
+(with class, role and the telling words of ids, numbers folded). Text length and punctuation are aggregated per path, over
 the page and, by grouped aggregation, over all pages. A path's ratio is its text
 per block; the page's own figures are smoothed towards those of the same path in
 the whole corpus, so that a short page is judged with its template's help. The
@@ -22,11 +22,14 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 from statistics import mean, pstdev
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import bound_batches, source, staged
 
@@ -107,13 +110,24 @@ def blocks(page: str) -> list[tuple[str, str]]:
             ends = END[name].search(page, at)
             at = ends.end() if ends else len(page)
             continue
-        named = "".join("." + ".".join(sorted(value.strip("\"'").lower().split()))
-                        for _, value in NAMED.findall(found[3] or ""))
-        stack.append((name, name + named))
+        stack.append((name, name + "".join(_label(*x) for x in NAMED.findall(found[3] or ""))))
     flush()
     return out
 
 
+@lru_cache(100_000)
+def _label(kind: str, value: str) -> str:
+    """A class, id or role as part of a path: numbers are folded, and of ids only the words that tell something stay."""
+    words = set(re.sub(r"[0-9]+", "0", value.strip("\"'").lower()).split())
+    if kind.lower() == "id":
+        words = {w for word in words for w in _parts(word)} & (NAMES | CONTENT)
+    return "".join("." + w for w in sorted(words))
+
+
+def _parts(word: str) -> list[str]:
+    return re.split(r"[-_]|(?<=[a-z])(?=[0-9])", word)
+
+
 def wrappers(own: dict[str, list[int]]) -> set[str]:
     """Ancestors that hold most of the page's text, so that their names tell nothing about it.
 
@@ -133,11 +147,13 @@ def wrappers(own: dict[str, list[int]]) -> set[str]:
     return {p for p, n in held.items() if 2 * n > total and 10 * beside(p) < total}
 
 
+@lru_cache(100_000)
 def _words(step: str) -> tuple[str, set[str]]:
     name, *names = step.split(".")
-    return name, {w for n in names for w in re.split(r"[-_]|(?<=[a-z])(?=[0-9])", n)}
+    return name, {w for n in names for w in _parts(n)}
 
 
+@lru_cache(100_000)
 def _is_article(step: str) -> bool:
     name, words = _words(step)
     return name in ("article", "main") or bool(words & CONTENT)
@@ -239,7 +255,12 @@ def path_ratios(pages: DataFrame) -> DataFrame:
                                     (F.sum("marks") / F.sum("n")).alias("marks"), F.sum("n").alias("n"))
 
 
-COMMON = 50_000  # paths whose corpus figures are sent to every task; rarer paths are judged by their own page
+COMMON = 50_000  # paths whose corpus figures are sent to every task; those of rarer paths reach their pages by a shuffle
+
+
+def _text(found: list[tuple[str, str]], own: dict[str, list[int]], corpus: dict[str, tuple[float, float]]) -> str:
+    chosen = content_paths(own, corpus)
+    return "\n".join(text for path, text in found if path in chosen)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
@@ -250,16 +271,45 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", marku
     ratios = staged(path_ratios(rows), "html-paths")
     common = ratios.orderBy(F.desc("n"), "path").limit(COMMON).collect()
     corpus = spark.sparkContext.broadcast({r.path: (r.chars, r.marks) for r in common})
+    more = ratios.count() > len(common)
 
     def run(batches):
+        # a page with rarer paths keeps its markup, named by its digest, instead of getting a text
         for batch in batches:
-            texts = []
+            texts, markups, names, rare = [], [], [], []
             for page in batch.column(2).to_pylist():
                 found = blocks(page or "")
-                chosen = content_paths(path_totals(found), corpus.value)
-                texts.append("\n".join(text for path, text in found if path in chosen))
+                own = path_totals(found)
+                missing = [p for p in own if p not in corpus.value] if more else []
+                texts.append(None if missing else _text(found, own, corpus.value))
+                markups.append(page if missing else None)
+                names.append(xxhash.xxh3_128_hexdigest(page) if missing else None)
+                rare.append(missing)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
-                ["page_id", "url", "text", "n_chars"])
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(markups, pa.string()),
+                 pa.array(names, pa.string()), pa.array(rare, pa.list_(pa.string()))], TRIED.names)
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    def again(batches):
+        for batch in batches:
+            texts = []
+            for page, figures in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                found = blocks(page)
+                own = path_totals(found)
+                known = {p: corpus.value[p] for p in own if p in corpus.value}
+                texts.append(_text(found, own, known | {x["path"]: (x["chars"], x["marks"]) for x in figures}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
+                                             ["page_id", "url", "text"])
+
+    TRIED = StructType.fromDDL("page_id long, url string, text string, html string, name string, rare array<string>")
+    tried = rows.mapInArrow(run, TRIED)
+    done = lambda df: df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    if not more:
+        return done(tried)
+    tried = staged(tried, "html-tried")
+    # equal markup has equal paths: the figures meet once per digest, and only pages that need some are shuffled
+    asked = tried.where("html IS NOT NULL").select("name", F.explode("rare").alias("path")).distinct()
+    figures = (asked.join(ratios.select("path", "chars", "marks"), "path").groupBy("name")
+               .agg(F.collect_list(F.struct("path", "chars", "marks")).alias("figures")))
+    rest = (tried.where("html IS NOT NULL").join(staged(figures, "html-figures"), "name")
+            .select("page_id", "url", "html", "figures").mapInArrow(again, "page_id long, url string, text string"))
+    return done(tried.where("html IS NULL")).union(done(rest))

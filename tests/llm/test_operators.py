@@ -231,6 +231,22 @@ def test_op5_threshold_of_the_distribution(spark):
     assert got[2] == "Title\n" + want + "\nPart\none\ntwo\nSaid so.\n1\n2"
 
 
+@pytest.mark.parametrize("common", [1, 2, 50_000])
+def test_op5_rare_paths_get_their_corpus_figures(spark, monkeypatch, common):
+    # the short page is judged by the many long texts of its template, however few paths are sent to all tasks
+    template = "<body><div class='lead'>{}</div><div class='text'>{}</div></body>"
+    long = [template.format("Some words in the lead of page, and more of them, as ever.", f"Sentence {k}, and so on. " * 40)
+            for k in range(20)]
+    short = template.format("Some words, in the lead, of this page, and more, of them.", "Brief.")
+    monkeypatch.setattr(html_text, "COMMON", common)
+    bodies = long + [short, short, None, ""] + [f"<body><p>{k}" for k in range(60)]
+    got = texts_of_pages(spark, bodies)
+    assert len(got) == len(bodies) and "Brief." in got[20] and "lead" not in got[20] and got[21] == got[20]
+    assert got[22:24] == ["", ""] and got[24] == "0"
+    labels = html_text.blocks('<div id="post-12" class="col-3 b"><p id="x17">a</p></div><p class="p9" id="sidebar2">b')
+    assert [p for p, _ in labels] == ["div.post.b.col-0/p", "p.p0.sidebar"]
+
+
 def test_op1_fuses_the_evidence(spark):
     docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(
         [("the house and the garden with the old tree", "en"), ("das Haus und der Garten mit dem alten Baum", "de")] * 40)],
