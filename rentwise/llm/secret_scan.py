@@ -32,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # whole runs, so the same spans as runs of any length that are then measured
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # other opaque tokens: long runs of letters and digits, both cases and digits
-OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{24,200}(?![A-Za-z0-9_+/-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{24,}(?![A-Za-z0-9_+/-])")
 
 OWNERS = 2       # owners from which a value is a copied example
 ENTROPY = 3.0    # bits per character from which a value looks random

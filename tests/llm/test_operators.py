@@ -179,6 +179,14 @@ def test_op4_base_spans_and_ownership(spark):
     assert secret_scan.scan_secrets(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_op4_long_tokens(spark):
+    rng = random.Random(8)
+    long = {n: "aB3" + "".join(rng.choice("abcXYZ0123456789+/_-") for _ in range(n - 3)) for n in (24, 200, 201, 5000)}
+    got = by_id(secret_scan.scan_secrets(docs_of(spark, [f"my {v} here" for v in long.values()] + [f"so {long[5000]}"])))
+    assert [got[i].spans for i in range(3)] == [f"token:3:{3 + n}" for n in (24, 200, 201)]
+    assert got[3].n_copied == got[4].n_copied == 1  # counted whatever the length
+
+
 PAGE = """<html lang=en><head><title>T</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
 <div class="cookie-notice">We use cookies, accept.</div><nav><ul><li>Home<li>About</ul></nav><article><h1>Title &amp; more</h1>
 <p>First para\n with <b>bold</b> text, and more.<p>Second; it has&nbsp;more, much more text.<!-- no --></p></article>
