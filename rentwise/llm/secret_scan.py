@@ -2,9 +2,10 @@
 
 Every text is scanned for secrets by fixed patterns, and for other opaque tokens
 that may be one. The values' hashes are aggregated over the whole corpus by
-distinct repositories and distinct owners. A value that several owners hold is a
-copied example; one that a single owner holds, and that looks random, is a
-live-looking credential. The spans of the fixed patterns always stay; of the other
+documents, distinct repositories and distinct owners. A value that is spread widely is a
+copied example: held by ``OWNERS`` owners, or by ``REPOS`` repositories in ``DOCS``
+documents, or in ``MANY`` documents, whoever owns them. Any other that looks random is a
+live-looking credential, also where two owners hold it. The spans of the fixed patterns always stay; of the other
 tokens those become spans that turn out live-looking.
 
 Defined cases: a null text counts as empty and has no spans. A null repository or
@@ -34,7 +35,9 @@ HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 # other opaque tokens: long runs of letters and digits, both cases and digits
 OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{24,}(?![A-Za-z0-9_+/-])")
 
-OWNERS = 2       # owners from which a value is a copied example
+OWNERS = 3       # owners from which a value is a copied example
+REPOS, DOCS = 3, 10  # repositories, with so many documents among them, from which it is one
+MANY = 100       # documents from which it is one
 ENTROPY = 3.0    # bits per character from which a value looks random
 
 
@@ -61,6 +64,12 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
+def first_seen(values: list[str]) -> list[int]:
+    """1 for the first place of every value, 0 for its repetitions."""
+    seen: set[str] = set()
+    return [0 if v in seen or seen.add(v) else 1 for v in values]
+
+
 def _scanned(docs: DataFrame) -> DataFrame:
     """doc_id, repo, owner, text_hash and the candidates as arrays, for every row."""
     def run(batches):
@@ -71,11 +80,13 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), batch.column(2), batch.column(4), pick(lambda x: x[0], pa.int64()),
                  pick(lambda x: x[1], pa.int32()), pick(lambda x: x[2], pa.int64()),
                  pick(lambda x: f"{xxhash.xxh3_128_hexdigest(x[3])}", pa.string()),
-                 pick(lambda x: entropy(x[3]) >= ENTROPY, pa.bool_())],
-                ["doc_id", "repo", "owner", "text_hash", "start", "kind", "stop", "value", "random"])
+                 pick(lambda x: entropy(x[3]) >= ENTROPY, pa.bool_()),
+                 pa.array([first_seen([x[3] for x in r]) for r in rows], pa.list_(pa.int32()))],
+                ["doc_id", "repo", "owner", "text_hash", "start", "kind", "stop", "value", "random", "docs"])
 
     return docs.mapInArrow(run, "doc_id long, repo string, owner string, text_hash long, start array<long>, "
-                                "kind array<int>, stop array<long>, value array<string>, random array<boolean>")
+                                "kind array<int>, stop array<long>, value array<string>, random array<boolean>, "
+                                "docs array<int>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -95,7 +106,8 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repo:
     """One row per document: the base spans' counts and digest, all spans, and how the values are owned.
 
     doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live (spans of
-    live-looking values), n_copied (candidates whose value several owners hold).
+    live-looking values), n_copied (candidates whose value several owners hold),
+    n_examples (candidates whose value is a copied example).
     """
     bound_batches(docs.sparkSession)
     rows = source(docs, doc_id=key, repo=repo, owner=owner, text=text).select(
@@ -103,27 +115,31 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repo:
         F.col("text").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     found = staged(_scanned(rows), "secret-candidates")
     each = (found.where(F.size("value") > 0).select("doc_id", "text_hash", "repo", "owner", F.posexplode(
-        F.arrays_zip("value", "random")).alias("spot", "x")).select("doc_id", "text_hash", "repo", "owner", "spot", "x.*"))
-    owned = staged(ownership(each.withColumn("docs", F.lit(1))), "secret-values")
-    # only values held by several owners are looked up; all others have one owner
-    copied = staged(owned.where(f"n_owners >= {OWNERS}").select("value"), "secret-copied")
-    hits = (each.join(copied, "value").select("doc_id", "text_hash", "spot").distinct()
-            .groupBy("doc_id", "text_hash").agg(F.collect_set("spot").alias("copied")))
+        F.arrays_zip("value", "docs")).alias("spot", "x")).select("doc_id", "text_hash", "repo", "owner", "spot", "x.*"))
+    owned = staged(ownership(each), "secret-values")
+    # only values that are spread are looked up; all others have one owner and are no examples
+    example = F.expr(f"n_owners >= {OWNERS} OR (n_repos >= {REPOS} AND n_docs >= {DOCS}) OR n_docs >= {MANY}")
+    spread = staged(owned.select("value", (F.col("n_owners") > 1).alias("several"), example.alias("example"))
+                    .where("several OR example"), "secret-spread")
+    spots = lambda where: F.collect_set(F.when(F.col(where), F.col("spot")))
+    hits = (each.join(spread, "value").groupBy("doc_id", "text_hash")
+            .agg(spots("several").alias("copied"), spots("example").alias("examples")))
     hits = staged(hits, "secret-hits")
     same = (found["doc_id"].eqNullSafe(hits["doc_id"])) & (found["text_hash"] == hits["text_hash"])
     spans = F.arrays_zip("start", "kind", "stop", "random", F.sequence(F.lit(0), F.size("start") - 1).alias("spot"))
     listed = (found.join(hits, same, "left")
               .select(found["doc_id"], "start", "kind", "stop", "random",
-                      F.coalesce("copied", F.array().cast("array<int>")).alias("copied")))
+                      *[F.coalesce(c, F.array().cast("array<int>")).alias(c) for c in ("copied", "examples")]))
     listed = listed.withColumn("x", F.when(F.size("start") > 0, spans).otherwise(F.array()))
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["stop"])
     base = F.filter("x", lambda x: x["kind"] < 3)
-    live = lambda x: x["random"] & ~F.array_contains("copied", x["spot"])
+    live = lambda x: x["random"] & ~F.array_contains("examples", x["spot"])
     kept = F.filter("x", lambda x: (x["kind"] < 3) | live(x))
     count = lambda k: F.size(F.filter("kind", lambda x: x == k)).cast("long")
     return listed.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(F.array_join(F.transform(base, shown), ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.transform(kept, shown), ",").alias("spans"),
-        F.size(F.filter("x", live)).cast("long").alias("n_live"), F.size("copied").cast("long").alias("n_copied"))
+        F.size(F.filter("x", live)).cast("long").alias("n_live"), F.size("copied").cast("long").alias("n_copied"),
+        F.size("examples").cast("long").alias("n_examples"))

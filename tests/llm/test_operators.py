@@ -187,6 +187,22 @@ def test_op4_long_tokens(spark):
     assert got[3].n_copied == got[4].n_copied == 1  # counted whatever the length
 
 
+def test_op4_spread_by_documents_repositories_and_owners(spark):
+    hot, wide, two, live, often, three = (f"Zx9Kq2Lm7Pw4Rt8Vb3Nc6Yd{k}" for k in ("hot", "wide", "two", "live", "often", "three"))
+    rows = [(f"a {hot}", "big", f"big/{k % 4}") for k in range(40)]         # all repositories of one owner
+    rows += [(f"b {wide} {k}", "big", "big/0") for k in range(120)]         # very many documents of one repository
+    rows += [(f"c {two}", f"s{k}", f"s{k}/0") for k in range(2)]            # two holders alone
+    rows += [(f"d {live}", "s7", f"s7/{k % 4}") for k in range(4)]          # a few documents of one owner
+    rows += [(f"e {often} " * 150, "s8", "s8/0")]                           # one document, many times
+    rows += [(f"f {three}", f"s{k}", None) for k in range(3)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string, repo string")
+    got = by_id(secret_scan.scan_secrets(docs, repo="repo"))
+    kind = lambda text: {(r.n_live, r.n_examples) for i, r in got.items() if rows[i][0].startswith(text)}
+    assert [kind(c) for c in "abcdf"] == [{(0, 1)}, {(0, 1)}, {(1, 0)}, {(1, 0)}, {(0, 1)}]
+    assert kind("e") == {(150, 0)}
+    assert all(got[i].n_copied == (rows[i][0][0] in "cf") for i in got)
+
+
 PAGE = """<html lang=en><head><title>T</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header>
 <div class="cookie-notice">We use cookies, accept.</div><nav><ul><li>Home<li>About</ul></nav><article><h1>Title &amp; more</h1>
 <p>First para\n with <b>bold</b> text, and more.<p>Second; it has&nbsp;more, much more text.<!-- no --></p></article>
