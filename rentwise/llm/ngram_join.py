@@ -21,7 +21,7 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    all classes are first compared with a few pivots (the class with the most
    such shingles and some by hash): those that link with a pivot are in its component and need
    no comparison with each other, which settles most of a large group of near
-   copies in linear work. The rest is split into blocks of bounded size, and every
+   copies in linear work. The rest is split into blocks bounded in shingles and in classes, and every
    two blocks that a pivot has not settled are compared exactly inside one task,
    which returns a spanning forest of the links it finds. No link is lost and no
    list of all pairs is ever written.
@@ -51,6 +51,8 @@ ORDER_BITS = 18
 LIST = 64                  # classes of a prefix shingle that produce pairs directly
 COST_STEP = 32             # shingles to read in verifications for which one more shared shingle is asked
 BLOCK_SHINGLES = 800_000   # shingles of one block of a dense region
+BLOCK_CLASSES = 2_000      # classes of one, as two blocks are compared by a matrix of classes: some 150 MB
+STRIP = 512                # rows of that matrix that are computed at a time
 PIVOTS = 4                 # classes of a large region that all of it is compared with
 SEEN = 100_000             # classes a task remembers, to send a copied class's prefix only once
 
@@ -218,15 +220,20 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = times[column] > 1
     _, column = np.unique(column[common], return_inverse=True)
-    row = row[common]
+    order = np.argsort(column, kind="stable")
+    row, column = row[common][order], column[order]
     shared = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int(column.max(initial=-1)) + 1, 4096):
-        here = (column >= at) & (column < at + 4096)
-        held = np.zeros((len(sets), 4096), np.float32)
+    strips = [slice(at, at + STRIP) for at in range(0, len(sets), STRIP)]
+    for at in range(0, int(column.max(initial=-1)) + 1, 1024):
+        here = slice(*np.searchsorted(column, (at, at + 1024)))
+        held = np.zeros((len(sets), 1024), np.float32)
         held[row[here], column[here] - at] = 1
-        shared += held @ held.T
-    shared = shared.astype(np.int64)
-    linked = 100 * shared >= PERCENT * (sizes[:, None] + sizes[None, :] - shared)
+        for strip in strips:
+            shared[strip] += held[strip] @ held.T
+    linked = np.empty(shared.shape, bool)
+    for strip in strips:
+        part = shared[strip].astype(np.int64)
+        linked[strip] = (100 + PERCENT) * part >= PERCENT * (sizes[strip, None] + sizes[None, :])
     np.fill_diagonal(linked, False)
     ids = pdf.cls.to_numpy()
     edges = _forest(linked)
@@ -267,16 +274,15 @@ def _dense_links(docs: DataFrame, reps: DataFrame, dense: DataFrame, regions: Da
     classes = dense.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("heavy"), F.max("n").alias("n"))
     members = staged(regions.join(classes, "node").select("root", F.col("node").alias("cls"), "heavy", "n"), "ngram-members")
     sets = staged(_sets(docs, reps, members.select("cls")).join(members, "cls"), "ngram-dense-sets")
-    large = staged(members.groupBy("root").agg(F.sum("n").alias("weight")).where(F.col("weight") > BLOCK_SHINGLES)
-                   .select("root"), "ngram-large")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")
+    large = staged(members.groupBy("root").agg(blocks).where("blocks > 1").select("root"), "ngram-large")
     links = staged(_pivot_links(sets, large), "ngram-star")
     # blocks by region and pivot; the classes without a pivot have blocks of their own
     held = members.join(links, "cls", "left")
-    weight = staged(held.groupBy("root", "pivot").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")),
-                    "ngram-weight")
+    weight = staged(held.groupBy("root", "pivot").agg(blocks), "ngram-weight")
     block = lambda number: F.struct("pivot", number.cast("int").alias("number"))
     every = weight.select("root", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), block)).alias("block"))
-    every = every.groupBy("root").agg(F.collect_list("block").alias("all"))  # a row for 800,000 shingles
+    every = every.groupBy("root").agg(F.collect_list("block").alias("all"))  # an entry for 800,000 shingles or 2,000 classes
     sizes = staged(weight.join(every, "root"), "ngram-blocks").select(
         F.col("root").alias("r"), F.col("pivot").alias("p"), "blocks", "all")
     cut = (held.join(sizes, (F.col("root") == F.col("r")) & F.col("pivot").eqNullSafe(F.col("p")))

@@ -115,6 +115,44 @@ def test_op8_equals_brute_force(spark, monkeypatch, longest):
     assert ngram_join.ngram_groups(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def test_op8_blocks_of_short_texts_are_bounded(spark, monkeypatch, tmp_path):
+    # a template that all share, too little of it for links: one region, which no pivot settles
+    template = " ".join(f"t{k}" for k in range(16))
+    texts = [f"{template} {' '.join(f'own{k}x{j}' for j in range(4))}" for k in range(120)]
+    texts += [f"{t} more" for t in texts[::10]]
+    compare, folder = ngram_join._block_links, str(tmp_path)
+
+    def spy(pdf):
+        with open(f"{folder}/{os.urandom(8).hex()}", "w") as f:
+            f.write(str(pdf.cls.nunique()))
+        return compare(pdf)
+
+    monkeypatch.setattr(ngram_join, "LIST", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 20)
+    monkeypatch.setattr(ngram_join, "_block_links", spy)
+    got = by_id(ngram_join.ngram_groups(docs_of(spark, texts)))
+    assert [got[i].component_id for i in range(len(texts))] == groups_of(texts)
+    seen = [int(path.read_text()) for path in tmp_path.iterdir()]
+    assert len(seen) > 10 and max(seen) <= 80
+
+
+def test_op8_compares_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.r_[np.arange(12), rng.integers(100, 10**6, 6)]) for _ in range(2 * ngram_join.BLOCK_CLASSES - 2)]
+    pdf = pd.DataFrame({"cls": range(len(sets) + 2), "shingles": sets + [np.r_[sets[0], 50], np.r_[sets[700], 51]]})
+    tracemalloc.start()
+    links = ngram_join._block_links(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(map(sorted, links.to_numpy().tolist())) == [[0, len(sets)], [700, len(sets) + 1]]
+    assert peak < 200 << 20  # 4,000 classes
+
+
 def test_op10_equals_brute_force(spark):
     rng = random.Random(5)
     items = [" ".join(f"q{rng.randrange(300)}" for _ in range(n)) for n in (3, 5, 8, 20, 40, 60)] + ["", None]
