@@ -12,6 +12,8 @@ from rentwise.session import checkpoint_dir
 # A set of ids is broadcast only after counting it: 2 million longs are 16 MB.
 # Larger sets take the shuffle join, with the same result.
 BROADCAST_IDS = 2_000_000
+# A table of keys with a few short values, likewise counted before it is broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def source(docs: DataFrame, **columns: str) -> DataFrame:
@@ -85,3 +87,12 @@ def components(edges: DataFrame, what: str) -> DataFrame:
         seen = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def join_counted(rows: DataFrame, side: DataFrame, key: str, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join with a table of distinct non-null keys, broadcast only if it is counted as small.
+
+    The side is staged first, so that adaptive execution can split a hot key's rows beyond the bound.
+    """
+    side = staged(side, "side")
+    return rows.join(F.broadcast(side) if side.count() <= bound else side, key, "left")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rentwise.session import checkpoint_dir
 
-from . import decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, rollups, secret_scan, toxicity
+from . import (decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, rollups, rules, secret_scan,
+               toxicity)
 from .common import ids_join, staged
 from .sql import ORACLES  # noqa: F401  (read by the registry)
 
@@ -83,3 +84,7 @@ def op9_token_counts(spark, sf_dir, ranks=RANKS, pattern=PATTERN):
     ledger.commit(3, count(ids_join(licensed, copies.select("doc_id").distinct(), "doc_id", "left_anti"), "revise"))
     ledger.commit(2, copies)
     return ledger.totals()
+
+
+def op11_quality_rules(spark, sf_dir):
+    return rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

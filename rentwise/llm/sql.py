@@ -42,8 +42,60 @@ roots AS (SELECT rep, min(root) AS root FROM walk GROUP BY rep)
 SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(roots.root, d.doc_id) AS component_id
 FROM documents d LEFT JOIN sets USING (doc_id) LEFT JOIN reps USING (k) LEFT JOIN roots USING (rep)"""
 
+# Risk, error, ladder, lift and base limits are the operator's parameters.
+_RULES = ("symbols", "duplicate_lines", "repeated_words", "short_words", "long_words", "upper_case", "marks")
+_SCORES = ", ".join(f"CAST({x} AS INTEGER)" for x in (
+    "10000 * n_symbols // greatest(word_chars, 1)", "10000 * n_dup_lines // greatest(n_lines, 1)",
+    "10000 * n_repeat_words // greatest(n_words, 1)", "10000 * n_words // greatest(word_chars, 1)",
+    "10000 - 10000 * n_words // greatest(word_chars, 1)", "10000 * n_upper // greatest(word_chars, 1)",
+    "10000 * n_marks // greatest(word_chars, 1)"))
+_TAIL = """CASE WHEN n = 0 OR k >= n * 0.05 THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.05) + (n - i) * ln(0.95)))) END"""
+
+QUALITY_RULES = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+win AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT doc_id, a, b, c FROM win GROUP BY ALL HAVING count(*) >= 2),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+          FROM win JOIN again USING (doc_id, a, b, c)) GROUP BY doc_id),
+m AS (SELECT d.doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+        length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+        coalesce(cover.n, 0) AS n_repeat_words, len(l) AS n_lines, length(t) - length(translate(t, '{_UPPER}', '')) AS n_upper,
+        length(t) - length(translate(t, '!?', '')) AS n_marks FROM d LEFT JOIN cover USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, [{_SCORES}] AS scores FROM m),
+y AS (SELECT doc_id, (avg(quality) >= 0.5)::INTEGER AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+known AS (SELECT doc_id, stratum, scores, good, md5(doc_id::VARCHAR) < '8' AS tune FROM f JOIN y USING (doc_id) WHERE NOT base_failed),
+bars AS (SELECT stratum, rule, score, sum(good) AS good, sum(1 - good) AS bad FROM (
+           SELECT stratum, good, unnest(scores) AS score, unnest(range(7)) AS rule FROM known WHERE tune) GROUP BY ALL),
+cum AS (SELECT *, coalesce(sum(good) OVER above, 0) AS ga, coalesce(sum(bad) OVER above, 0) AS ba,
+           lag(score) OVER (PARTITION BY stratum, rule ORDER BY score DESC) AS nxt,
+           sum(good) OVER (PARTITION BY stratum, rule) AS ng, sum(bad) OVER (PARTITION BY stratum, rule) AS nb
+        FROM bars WINDOW above AS (PARTITION BY stratum, rule ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT stratum, rule, level, arg_min(CASE WHEN nxt IS NOT NULL AND ba > 0 AND ba * ng >= 5 * (ga + 1) * nb
+           THEN (score + nxt) // 2 ELSE 10000 END, score) AS cutoff
+        FROM cum, (VALUES (0, 0.0), (1, 0.0005), (2, 0.001), (3, 0.002), (4, 0.005), (5, 0.01), (6, 0.02)) s(level, share)
+        WHERE ga <= CAST(share AS DOUBLE) * ng GROUP BY ALL),
+sets AS (SELECT stratum, level, list(cutoff ORDER BY rule) AS cutoffs FROM cut GROUP BY ALL),
+tried AS (SELECT stratum, level, count(*) FILTER (NOT tune AND good = 1) AS n, coalesce(sum(o) FILTER (NOT tune AND good = 1), 0)::BIGINT AS k,
+            coalesce(avg(o) FILTER (tune AND good = 0), 0) - coalesce(avg(o) FILTER (tune AND good = 1), 0) AS gain
+          FROM (SELECT stratum, level, tune, good,
+                  list_bool_or(list_transform(range(1, 8), lambda i: scores[i] > cutoffs[i]))::INTEGER AS o
+                FROM known JOIN sets USING (stratum)) GROUP BY ALL),
+tested AS (SELECT *, max({_TAIL}) OVER (PARTITION BY stratum ORDER BY level) AS worst FROM tried),
+best AS (SELECT stratum, arg_max(level, (gain, -level)) AS level FROM tested
+         WHERE worst <= 0.05 / greatest(1, (SELECT count(DISTINCT stratum) FROM known WHERE NOT tune AND good = 1)) GROUP BY stratum),
+final AS (SELECT f.*, coalesce(list_filter(range(1, 8), lambda i: scores[i] > cutoffs[i]), []) AS broken
+          FROM f LEFT JOIN (SELECT stratum, cutoffs FROM best JOIN sets USING (stratum, level)) USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND len(broken) = 0 AS kept,
+  array_to_string(list_transform(broken, lambda i: {list(_RULES)}[i]), ',') AS rejected_by, stratum
+FROM final"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT_DEDUP,
     "op8_ngram_jaccard_join": NGRAM_GROUPS,
+    "op11_quality_rules": QUALITY_RULES,
     "op10_benchmark_decontamination": DECONTAMINATION,
 }
