@@ -96,3 +96,18 @@ def join_counted(rows: DataFrame, side: DataFrame, key: str, bound: int = BROADC
     """
     side = staged(side, "side")
     return rows.join(F.broadcast(side) if side.count() <= bound else side, key, "left")
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, tracked: int = 1000) -> DataFrame:
+    """Left join with ``groups`` (distinct keys, ``n`` rows of each key), null keys equal, safe under hot keys.
+
+    Keys that hold at least the ``tracked``-th part of all rows are at most ``tracked``: they are
+    broadcast and need no shuffle. No other key can fill a task, those go by an ordinary join.
+    ``rows`` is read three times.
+    """
+    groups = staged(groups.withColumnRenamed(key, "group_key"), "groups")
+    total, same = rows.count(), F.col(key).eqNullSafe(F.col("group_key"))
+    hot, rest = (groups.where(c) for c in (F.col("n") * tracked >= total, F.col("n") * tracked < total))
+    found = rows.join(F.broadcast(hot), same)
+    cold = rows.join(F.broadcast(hot.select("group_key")), same, "left_anti").join(rest, same, "left")
+    return found.unionByName(cold).drop("group_key")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rentwise.session import checkpoint_dir
 
-from . import (decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, rollups, rules, secret_scan,
-               toxicity)
+from . import (audit, decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, rollups, rules,
+               secret_scan, toxicity)
 from .common import ids_join, staged
 from .sql import ORACLES  # noqa: F401  (read by the registry)
 
@@ -88,3 +88,7 @@ def op9_token_counts(spark, sf_dir, ranks=RANKS, pattern=PATTERN):
 
 def op11_quality_rules(spark, sf_dir):
     return rules.judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -93,9 +93,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   array_to_string(list_transform(broken, lambda i: {list(_RULES)}[i]), ',') AS rejected_by, stratum
 FROM final"""
 
+FILTER_AUDIT = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}+'), lambda x: x <> '') AS w FROM documents),
+f AS (SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+        100 * (length(t) - length(translate(t, '{_UPPER}', ''))) > 10 * length(t), regexp_matches(t, '[#$%&*|]'),
+        doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails FROM d),
+y AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS ng, count(*) FILTER (toxic) AS nt
+      FROM f LEFT JOIN y USING (doc_id) GROUP BY ALL),
+orders AS (SELECT '' AS o, 0 AS len UNION ALL SELECT o || c, len + 1 FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) l(c)
+           WHERE len < 5 AND NOT contains(o, c)),
+steps AS (SELECT o AS filter_order, s.step, ascii(o[s.step]) - 64 AS pos,
+            list_transform(range(1, s.step), lambda i: ascii(o[i]) - 64) AS before
+          FROM orders, range(1, 6) s(step) WHERE len = 5),
+x AS (SELECT part, filter_order, step, pos, n, ng, nt, fails[pos] AS bad, coalesce(list_bool_or(list_transform(before, lambda i: fails[i])), false) AS gone,
+        list_sum(list_transform(fails, lambda b: b::INTEGER)) AS n_fails FROM m, steps),
+r AS (SELECT part, filter_order, step, pos, coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (NOT gone AND bad), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND bad), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (bad AND n_fails = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(ng) FILTER (NOT gone AND bad), 0)::BIGINT AS good_lost,
+        coalesce(sum(nt) FILTER (NOT gone AND bad), 0)::BIGINT AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, pos))::BIGINT AS shapley FROM r"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT_DEDUP,
     "op8_ngram_jaccard_join": NGRAM_GROUPS,
     "op11_quality_rules": QUALITY_RULES,
+    "op12_filter_audit": FILTER_AUDIT,
     "op10_benchmark_decontamination": DECONTAMINATION,
 }
