@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rentwise.session import checkpoint_dir
 
-from . import (audit, decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, rollups, rules,
+from . import (audit, codes, decontaminate, exact_dedup, html_text, language, ngram_join, pieces, quality, rollups, rules,
                secret_scan, toxicity)
 from .common import ids_join, staged
 from .sql import ORACLES  # noqa: F401  (read by the registry)
@@ -92,3 +92,7 @@ def op11_quality_rules(spark, sf_dir):
 
 def op12_filter_audit(spark, sf_dir):
     return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return codes.compress_vectors(table(spark, sf_dir, "embeddings"))

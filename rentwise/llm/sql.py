@@ -117,10 +117,43 @@ r AS (SELECT part, filter_order, step, pos, coalesce(sum(n) FILTER (NOT gone AND
 SELECT part, filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   (sum(removed) OVER (PARTITION BY part, pos))::BIGINT AS shapley FROM r"""
 
+
+def _assigned(books: str) -> str:
+    """Nearest entry of every part by its codebook, ties to the lower index."""
+    return f"""(SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+      SELECT v.vec_id, v.part, b.entry,
+             list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+      FROM v JOIN {books} b USING (part)) GROUP BY vec_id, part)"""
+
+
+def _mean(books: str) -> str:
+    """The next codebooks: floor of the mean of an entry's parts, unused entries as they were."""
+    return f"""(SELECT b.part, b.entry, CASE WHEN m.x IS NULL THEN b.x ELSE m.x END AS x FROM {books} b LEFT JOIN (
+      SELECT part, entry, list(floor_mean ORDER BY place) AS x FROM (
+        SELECT part, entry, place, ((sum(c) - ((sum(c) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+        FROM (SELECT a.part, a.entry, unnest(v.x) AS c, unnest(range(1, len(v.x) + 1)) AS place
+              FROM {books}_near a JOIN v USING (vec_id, part)) GROUP BY ALL) GROUP BY part, entry) m
+      ON m.part = b.part AND m.entry = b.entry)"""
+
+
+VECTOR_CODES = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT vec_id, label, part, q[part * len(q) // 16 + 1 : (part + 1) * len(q) // 16] AS x FROM k, range(16) r(part)),
+b0 AS (SELECT part, entry, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k
+       ORDER BY vec_id LIMIT 64) USING (vec_id)),
+b0_near AS {_assigned('b0')}, b1 AS {_mean('b0')}, b1_near AS {_assigned('b1')}, b2 AS {_mean('b1')}, b2_near AS {_assigned('b2')},
+c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM b2_near GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, place)) FROM (
+     SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS place FROM b2)) AS codebooks_sha256
+FROM c JOIN k USING (vec_id)"""
+
 ORACLES = {
     "op2_exact_dedup": EXACT_DEDUP,
     "op8_ngram_jaccard_join": NGRAM_GROUPS,
     "op11_quality_rules": QUALITY_RULES,
     "op12_filter_audit": FILTER_AUDIT,
+    "op13_vector_codes": VECTOR_CODES,
     "op10_benchmark_decontamination": DECONTAMINATION,
 }
