@@ -150,6 +150,17 @@ def start_date_window(df, lower: str | None = None, upper: str | None = None, up
     return conds
 
 
+def in_partitions(column: str, parts: list[str]) -> list[Column]:
+    """Conditions that keep the listed partitions (as text): the list, and for years their range."""
+    if not parts:
+        return [F.lit(False)]
+    text = F.col(column).cast("string")
+    conds = [text.isin(*parts)]
+    if all(p.isdigit() and len(p) == 4 for p in parts):
+        conds += [text >= min(parts), text <= max(parts)]
+    return conds
+
+
 # Display format of money (Austrian German, euro).
 EURO_SIGN = "€"
 EURO_SPACE = "\u00a0"  # no-break space

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import doc_rental_days, doc_start_window, given, num_or_zero, today, where_all
+from rentwise.functions.rules import (START_KEY, doc_rental_days, doc_start_window, given, in_partitions, num_or_zero, today,
+                                      where_all)
 from rentwise.plans.skew import fact_join
+from rentwise.sources.versions import Snapshot
 
 
 def _extras_sum(arr) -> F.Column:
@@ -35,7 +37,12 @@ def doc_customers(docs) -> DataFrame:
 def doc_available_vehicles(docs, start: str, end: str) -> DataFrame:
     """Vehicles whose id is not among the booked ids of the window (text dates)."""
     b = docs["bookings"]
-    booked = where_all(b, doc_start_window(b, upper=end) + [F.col("end_date") >= F.lit(start)]).select(F.col("vehicle.vehicle_id").alias("_id")).distinct()
+    conditions = doc_start_window(b, upper=end) + [F.col("end_date") >= F.lit(start)]
+    # stored collections know the last end text of each partition
+    near = docs.overlapping("bookings", start) if isinstance(docs, Snapshot) else None
+    if near is not None:
+        conditions += in_partitions(START_KEY, near[0])
+    booked = where_all(b, conditions).select(F.col("vehicle.vehicle_id").alias("_id")).distinct()
     return docs["vehicles"].join(booked, "_id", "left_anti").select(
         F.col("_id").alias("vehicle_id"), "model", "producer", "costs_per_day", "plate_number")
 

@@ -12,10 +12,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rentwise.functions.rules import START_KEY, start_key, truthy_text
 from rentwise.operators.relational import with_customer
 from rentwise.plans.skew import fact_join
+from rentwise.sources import versions
 
 COLLECTIONS = ["persons", "vehicles", "services", "ratings", "bookings"]
 
@@ -36,7 +38,7 @@ DOC_SCHEMAS = {
                 "vehicle struct<vehicle_id:string,model:string,producer:string,costs_per_day:string,"
                 "plate_number:string,number_of_seats:int,retailer_id:string>, "
                 f"retailer struct<person_id:string,company_name:string>, additionalServices array<{SERVICE_ENTRY}>, "
-                f"pricing struct<total_costs:string>, {START_KEY} string",
+                "pricing struct<total_costs:string>",
 }
 
 
@@ -136,35 +138,31 @@ def migrate_docs(tables) -> dict[str, DataFrame]:
     }
 
 
-def write_booking_docs(docs: DataFrame, path: str, mode: str = "append", replace_partitions: bool = False) -> None:
-    """Write booking documents, laid out like the relational bookings: by start year and sorted by start date.
-
-    ``replace_partitions`` overwrites only the partitions present in ``docs``.
-    """
-    docs = docs.withColumn(START_KEY, start_key("start_date")).sortWithinPartitions(START_KEY, "start_date")
-    writer = docs.write.mode("overwrite" if replace_partitions else mode).partitionBy(START_KEY)
-    if replace_partitions:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+def doc_specs() -> dict[str, versions.Table]:
+    """How the collections are stored: bookings by the year their start text begins with, sorted by it."""
+    types = {name: T.StructType.fromDDL(ddl) for name, ddl in DOC_SCHEMAS.items()}
+    specs = {name: versions.Table(types[name], ("_id",)) for name in COLLECTIONS}
+    specs["bookings"] = versions.Table(types["bookings"], ("_id",), START_KEY, start_key("start_date"), T.StringType(),
+                                       "start_date", "end_date")
+    return specs
 
 
 def migrate_all(tables, out_dir: str) -> dict[str, str]:
-    """M6: replace all five collections under ``out_dir`` (full refresh).
+    """M6: replace all five collections under ``out_dir`` (full refresh); returns their folders.
 
-    Each collection is written with ``overwrite``; Spark's commit protocol
-    makes a retried task or a lost executor leave no partial files behind.
+    Each run writes a version of its own. Readers switch to it when all five
+    collections are stored, in one step; a run that dies halfway changes nothing for
+    them, and a reader opened before the switch finishes on the version it began with.
     """
-    paths = {}
-    for name, df in migrate_docs(tables).items():
-        path = f"{out_dir}/{name}"
-        if name == "bookings":
-            write_booking_docs(df, path, "overwrite")
-        else:
-            df.write.mode("overwrite").parquet(path)
-        paths[name] = path
-    return paths
-
-
-def load_docs(spark, base_dir: str) -> dict[str, DataFrame]:
-    """The stored collections, read with their declared schemas."""
-    return {name: spark.read.schema(DOC_SCHEMAS[name]).parquet(f"{base_dir}/{name}") for name in COLLECTIONS}
+    spark = tables["person"].sparkSession
+    return versions.refresh(spark, out_dir, migrate_docs(tables), doc_specs())
+
+
+def load_docs(spark, base_dir: str) -> versions.Snapshot:
+    """The collections of the last published version, with their declared schemas and all later changes."""
+    return versions.load(spark, base_dir, doc_specs())
+
+
+def compact_docs(spark, base_dir: str) -> list[str]:
+    """Merge the changes of the write jobs into the collections; only years with a changed document are written."""
+    return versions.compact(spark, base_dir, doc_specs())

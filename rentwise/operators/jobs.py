@@ -16,13 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentwise import schema
-from rentwise.functions.rules import (START_KEY, START_YEAR, doc_rental_days, doc_start_window, num_or_zero, rental_days,
+from rentwise.functions.rules import (doc_rental_days, doc_start_window, num_or_zero, rental_days,
                                       start_date_window, today, truthy_text, where_all)
-from rentwise.operators.documents import SERVICE_ENTRY, load_docs, write_booking_docs
+from rentwise.operators.documents import SERVICE_ENTRY, doc_specs, load_docs
 from rentwise.operators.relational import extras_by_booking, one_per_request
 from rentwise.plans.skew import fact_join
 from rentwise.session import staged
-from rentwise.sources.tables import load_tables, write_table
+from rentwise.sources import versions
+from rentwise.sources.tables import load_tables, table_specs
 
 # Reject codes of the request rules.
 MISSING_FIELDS = "missing fields"
@@ -73,6 +74,21 @@ def _exists_flag(df: DataFrame, key: str, alias: str) -> DataFrame:
     return df.select(F.col(key).alias(alias)).withColumn(alias + "_ok", F.lit(True))
 
 
+# Which key of a request meets which table.
+BOOKING_LOOKUPS = [("vehicle", "vehicle_id", "vehicle_id"), ("customer", "person_id", "customer_id")]
+
+
+def narrowed(tables, requests: DataFrame, lookups) -> dict:
+    """The tables with the looked-up ones reduced to the keys that the batch names.
+
+    The small side of these semi joins is the batch, so a large table is scanned once and not shuffled.
+    """
+    out = dict(tables)
+    for name, key, asked in lookups:
+        out[name] = tables[name].join(requests.select(F.col(asked).alias(key)), key, "left_semi")
+    return out
+
+
 # --- R4 -------------------------------------------------------------------
 
 def create_bookings(tables, requests: DataFrame):
@@ -222,51 +238,45 @@ def judge_service_requests(tables, requests: DataFrame, as_of: str | None = None
     return _judge_service_requests(requests, booking_ok, has_account, n_known)
 
 
-def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str) -> DataFrame:
-    """R4 as a write job: append the accepted bookings to ``target_dir/booking``.
+def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str, batch: str | None = None) -> DataFrame:
+    """R4 as a write job: publish the accepted bookings in ``target_dir``; returns the outcome.
 
-    The judged batch is stored first, so the appended rows and the returned
+    The judged batch is stored first, so the new rows and the returned
     outcome come from one evaluation. Booking ids already stored
-    are skipped, so running the same batch again appends nothing.
+    are skipped, so running the same batch again adds nothing; a ``batch`` id that
+    is published already is not even written.
     """
-    judged = materialize(judge_booking_requests(tables, requests))
+    judged = materialize(judge_booking_requests(narrowed(tables, requests, BOOKING_LOOKUPS), requests))
     new_bookings, outcome = bookings_from_judged(judged)
     # Ids already stored (a rerun of the batch): found with a semi join whose
     # small side is the batch, so the stored ids are not shuffled.
     stored = tables["booking"].select("booking_id").join(new_bookings.select("booking_id"), "booking_id", "left_semi")
     fresh = new_bookings.join(stored, "booking_id", "left_anti")
-    write_table(fresh, "booking", target_dir, "append")
+    versions.commit(spark, target_dir, table_specs(), {"booking": fresh}, batch=batch)
     return outcome
 
 
-def run_add_services(spark, requests: DataFrame, as_of: str | None, tables_dir: str) -> DataFrame:
+def run_add_services(spark, requests: DataFrame, as_of: str | None, tables_dir: str, batch: str | None = None) -> DataFrame:
     """R8 as a write job on the stored tables; returns the outcome.
 
-    New links are appended (insert-ignore by key). Of the bookings only the
-    start-year partitions that hold a touched one are written anew, from a
-    stored copy, so the rewrite does not read the files it replaces. The same
-    batch again adds no link and recomputes the same totals.
+    The new links and the repriced rows of the batch's bookings are published in
+    one commit: what is written follows the batch, and a job that dies before
+    leaves neither. The same batch again adds no link and gives the same totals.
     """
+    asked = one_per_request(requests).select("booking_id").distinct()
     tables = load_tables(spark, tables_dir)
-    judged = materialize(judge_service_requests(tables, requests, as_of))
-    outcome = materialize(add_services(tables, requests, as_of, judged)[2])
+    bookings, links = (tables[t].join(asked, "booking_id", "left_semi") for t in ("booking", "booking_service"))
+    near = dict(tables, booking=materialize(bookings), booking_service=materialize(links))
+    judged = materialize(judge_service_requests(near, requests, as_of))
     accepted = judged.filter(F.col("status") == ACCEPTED)
-    write_table(materialize(inserted_links(tables["booking_service"], accepted)), "booking_service", tables_dir, "append")
-    tables = load_tables(spark, tables_dir)  # with the links just appended
-    years = _touched_partitions(tables["booking"], accepted, "booking_id", START_YEAR)
-    if years:
-        part = tables["booking"].filter(F.col(START_YEAR).isin(years))
-        repriced = add_services(dict(tables, booking=part), requests, as_of, judged)[1]
-        write_table(materialize(repriced), "booking", tables_dir, replace_partitions=True)
+    _, repriced, outcome = add_services(near, requests, as_of, judged)
+    touched = accepted.select("booking_id").distinct()
+    versions.commit(spark, tables_dir, table_specs(), batch=batch, changed={
+        "booking_service": inserted_links(near["booking_service"], accepted),
+        "booking": repriced.join(touched, "booking_id", "left_semi")})
     return outcome
 
 
-def _touched_partitions(bookings: DataFrame, accepted: DataFrame, key: str, partition: str) -> list:
-    """Partition values that hold a booking of an accepted request: as many as there are years at most."""
-    touched = accepted.select(F.col("booking_id").alias(key)).distinct()
-    return [r[0] for r in bookings.join(touched, key, "left_semi").select(partition).distinct().collect()]
-
-
 # --- N3 -------------------------------------------------------------------
 
 def default_customer_id(persons: DataFrame) -> F.Column:
@@ -385,26 +395,25 @@ def doc_add_services(docs, requests: DataFrame, as_of: str | None = None):
     return new_bookings, outcome
 
 
-def run_doc_create_bookings(spark, requests: DataFrame, docs_dir: str) -> DataFrame:
-    """N3 as a write job: append the new booking documents whose id is not stored yet; returns the outcome."""
+def run_doc_create_bookings(spark, requests: DataFrame, docs_dir: str, batch: str | None = None) -> DataFrame:
+    """N3 as a write job: publish the new booking documents whose id is not stored yet; returns the outcome."""
     docs = load_docs(spark, docs_dir)
     new_docs, outcome = doc_create_bookings(docs, requests)
     stored = docs["bookings"].select("_id").join(new_docs.select("_id"), "_id", "left_semi")
-    write_booking_docs(materialize(new_docs.join(stored, "_id", "left_anti")), f"{docs_dir}/bookings")
+    versions.commit(spark, docs_dir, doc_specs(), {"bookings": new_docs.join(stored, "_id", "left_anti")}, batch=batch)
     return outcome
 
 
-def run_doc_add_services(spark, requests: DataFrame, as_of: str | None, docs_dir: str) -> DataFrame:
-    """N8 as a write job: the partitions with a touched document are written anew; returns the outcome.
+def run_doc_add_services(spark, requests: DataFrame, as_of: str | None, docs_dir: str, batch: str | None = None) -> DataFrame:
+    """N8 as a write job: the changed documents of the batch are published in one commit; returns the outcome.
 
     The same batch again finds the services held and leaves the documents as they are.
     """
     docs = load_docs(spark, docs_dir)
-    bookings, outcome = doc_add_services(docs, requests, as_of)
+    asked = one_per_request(requests).select(F.col("booking_id").alias("_id")).distinct()
+    near = dict(docs, bookings=materialize(docs["bookings"].join(asked, "_id", "left_semi")))
+    bookings, outcome = doc_add_services(near, requests, as_of)
     outcome = materialize(outcome)
-    accepted = outcome.filter(F.col("status") == ACCEPTED)
-    keys = _touched_partitions(docs["bookings"], accepted, "_id", START_KEY)
-    if keys:
-        write_booking_docs(materialize(bookings.filter(F.col(START_KEY).isin(keys))), f"{docs_dir}/bookings",
-                           replace_partitions=True)
+    accepted = outcome.filter(F.col("status") == ACCEPTED).select(F.col("booking_id").alias("_id")).distinct()
+    versions.commit(spark, docs_dir, doc_specs(), {"bookings": bookings.join(accepted, "_id", "left_semi")}, batch=batch)
     return outcome

@@ -18,9 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import given, money, rental_days, start_date_window, today, where_all
+from rentwise.functions.rules import START_YEAR, given, in_partitions, money, rental_days, start_date_window, today, where_all
 from rentwise.plans.skew import fact_join
 from rentwise.session import staged
+from rentwise.sources.versions import Snapshot, earliest_start
 
 
 def _date(value: str):
@@ -107,15 +108,24 @@ def customer_profiles(tables) -> DataFrame:
     ).orderBy("name", "person_id")
 
 
-def booked_vehicle_ids(bookings: DataFrame, start: str, end: str) -> DataFrame:
-    """Distinct vehicles with a booking overlapping [start, end] (closed on both ends)."""
-    overlapping = where_all(bookings, start_date_window(bookings, upper=end) + [F.col("end_date") >= _date(start)])
-    return overlapping.select("vehicle_id").distinct()
+def booked_vehicle_ids(tables, start: str, end: str) -> DataFrame:
+    """Distinct vehicles with a booking overlapping [start, end] (closed on both ends).
+
+    Stored tables know the last end date of each start year and the longest rental
+    in these years, so the scan is bounded below too, without a limit on durations.
+    """
+    bookings = tables["booking"]
+    conditions = start_date_window(bookings, upper=end) + [F.col("end_date") >= _date(start)]
+    near = tables.overlapping("booking", start) if isinstance(tables, Snapshot) else None
+    if near is not None:
+        years, longest = near
+        conditions += in_partitions(START_YEAR, years) + start_date_window(bookings, lower=earliest_start(start, longest))
+    return where_all(bookings, conditions).select("vehicle_id").distinct()
 
 
 def available_vehicles(tables, start: str, end: str) -> DataFrame:
     """R2: vehicles without a booking overlapping the window, by producer and model."""
-    booked = booked_vehicle_ids(tables["booking"], start, end)
+    booked = booked_vehicle_ids(tables, start, end)
     return tables["vehicle"].join(booked, "vehicle_id", "left_anti").select(
         "vehicle_id", "model", "producer", money("costs_per_day").alias("costs_per_day"), "plate_number",
     ).orderBy("producer", "model", "vehicle_id")

@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 
 from rentwise import schema
-from rentwise.sources.tables import SERVICE_CATALOGUE, load_tables, write_table
+from rentwise.sources.tables import SERVICE_CATALOGUE, load_tables, write_tables
 
 # The initial data set of the marketplace.
 SEED_PERSONS = [
@@ -101,17 +101,13 @@ def seed_status(spark: SparkSession, target_dir: str) -> bool:
 
 
 def bootstrap_if_empty(spark: SparkSession, source: dict[str, DataFrame], target_dir: str) -> bool:
-    """Append ``source`` into ``target_dir`` only when its Person table has no row.
+    """Store ``source`` in ``target_dir`` only when its Person table has no row.
 
     Returns True when data was loaded and False when the model was already
-    filled ("already loaded"); a second call therefore changes nothing.
+    filled ("already loaded"); a second call therefore changes nothing. All
+    tables become visible together, so a load that dies halfway counts as empty.
     """
     if seed_status(spark, target_dir):
         return False
-    # Dependent tables last, parents first, as a relational load would require.
-    order = ["person", "customer", "retailer", "bankaccount", "vehicle", "booking",
-             "additional_service", "booking_service", "rating"]
-    for name in order:
-        if name in source:
-            write_table(source[name], name, target_dir, "append")
+    write_tables(source, target_dir)
     return True

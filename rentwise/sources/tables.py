@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rentwise import schema
 from rentwise.functions.rules import START_YEAR
+from rentwise.sources import versions
 
 # The catalogue of additional services (id, description, costs).
 SERVICE_CATALOGUE = [
@@ -33,20 +35,23 @@ def catalogue_frame(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(additional_service_id, description, costs)")
 
 
-def load_tables(spark: SparkSession, base_dir: str, names=None) -> dict[str, DataFrame]:
-    """Read the rental tables from ``base_dir/<name>`` with their declared schemas.
+def table_specs() -> dict[str, versions.Table]:
+    """How the nine tables are stored: bookings by start year, sorted by start date; all others as plain folders."""
+    specs = {name: versions.Table(schema.SCHEMAS[name], tuple(keys)) for name, keys in schema.PRIMARY_KEYS.items()}
+    specs["booking"] = versions.Table(schema.BOOKING, ("booking_id",), START_YEAR, F.year("start_date"), T.IntegerType(),
+                                      "start_date", "end_date")
+    return {name: specs[name] for name in schema.SCHEMAS}
+
+
+def load_tables(spark: SparkSession, base_dir: str, names=None) -> versions.Snapshot:
+    """The rental tables of the last state published in ``base_dir``, with their declared schemas.
 
     An explicit schema means no inference pass over the files (and an empty
     table still reads); column pruning and filter pushdown reach the Parquet
     scan as usual. Older booking files without ``total_costs`` read it as NULL
-    (S5).
+    (S5). A folder without states is read as plain folders ``base_dir/<name>``.
     """
-    tables = {}
-    for name in names or schema.SCHEMAS:
-        # The partition column of stored bookings is discovered from the folder names.
-        df = spark.read.schema(schema.SCHEMAS[name]).parquet(f"{base_dir}/{name}")
-        tables[name] = conform_bookings(df) if name == "booking" else df
-    return tables
+    return versions.load(spark, base_dir, table_specs(), names)
 
 
 def register_views(tables: dict[str, DataFrame], prefix: str = "rental_") -> None:
@@ -68,29 +73,21 @@ def conform_bookings(bookings: DataFrame) -> DataFrame:
     return bookings.select(*cols)
 
 
-def write_tables(tables: dict[str, DataFrame], base_dir: str, mode: str = "overwrite") -> None:
-    """Write each table to ``base_dir/<name>``; ``booking`` is partitioned by start year.
+def write_tables(tables: dict[str, DataFrame], base_dir: str) -> dict[str, str]:
+    """Replace the tables under ``base_dir`` together (full refresh); ``booking`` is partitioned by start year.
 
-    Date-range reports then prune whole years at the scan.
+    Date-range reports then prune whole years at the scan. Readers see the new
+    tables when all of them are written.
     """
-    for name, df in tables.items():
-        write_table(df, name, base_dir, mode)
+    spark = next(iter(tables.values())).sparkSession
+    return versions.refresh(spark, base_dir, tables, table_specs())
 
 
-def write_table(df: DataFrame, name: str, base_dir: str, mode: str = "append",
-                replace_partitions: bool = False) -> None:
-    """Write one table; bookings are laid out by start year.
+def write_table(df: DataFrame, name: str, base_dir: str) -> None:
+    """A plain folder ``base_dir/<name>``, for folders without published states."""
+    versions.write_folder(df, table_specs()[name], f"{base_dir}/{name}")
 
-    Within each write task bookings are sorted by start date (a local sort,
-    no shuffle), so Parquet row-group statistics let pushed date filters skip
-    row groups inside a year partition. ``replace_partitions`` overwrites only
-    the start-year partitions present in ``df`` (dynamic partition overwrite).
-    """
-    if name == "booking":
-        df = df.withColumn(START_YEAR, F.year("start_date")).sortWithinPartitions(START_YEAR, "start_date")
-        writer = df.write.mode("overwrite" if replace_partitions else mode).partitionBy(START_YEAR)
-        if replace_partitions:
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.parquet(f"{base_dir}/{name}")
-    else:
-        df.write.mode(mode).parquet(f"{base_dir}/{name}")
+
+def compact_tables(spark: SparkSession, base_dir: str) -> list[str]:
+    """Merge the changes of the write jobs into the stored tables; only start years with a changed booking are written."""
+    return versions.compact(spark, base_dir, table_specs())

@@ -7,8 +7,8 @@ Each micro-batch reads the current tables, so bookings accepted in one batch
 are visible to the next.
 
 Delivery is at-least-once (``foreachBatch``), so every write of a batch is
-idempotent: outcomes go to ``outcome/batch_id=<id>`` with overwrite, booking
-rows and links are appended only when their key is not stored yet.
+idempotent: outcomes go to ``outcome/batch_id=<id>`` with overwrite, changes of
+the stored tables are published once per batch id.
 Progress is kept in ``checkpoint_location`` (a shared folder on a cluster).
 """
 
@@ -38,11 +38,20 @@ def _write_outcome(outcome: DataFrame, out_dir: str, batch_id: int) -> None:
     outcome.write.mode("overwrite").parquet(f"{out_dir}/outcome/batch_id={batch_id}")
 
 
+def _batch_name(spark: SparkSession, kind: str, batch_id: int) -> str | None:
+    """A micro-batch under the id of its running query, which its checkpoint folder keeps; None outside a query.
+
+    A query that starts with a new checkpoint has a new id, so its batches are never taken for earlier ones.
+    """
+    ids = [q.id for q in spark.streams.active if q.name == f"{kind}_intake"]
+    return f"{ids[0]}-{batch_id}" if ids else None
+
+
 def handle_booking_batch(spark: SparkSession, tables_dir: str, out_dir: str):
     """foreachBatch function for booking requests."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         tables = load_tables(spark, tables_dir)
-        outcome = jobs.run_create_bookings(spark, tables, batch, tables_dir)
+        outcome = jobs.run_create_bookings(spark, tables, batch, tables_dir, _batch_name(spark, "booking", batch_id))
         _write_outcome(outcome, out_dir, batch_id)
     return handle
 
@@ -50,21 +59,24 @@ def handle_booking_batch(spark: SparkSession, tables_dir: str, out_dir: str):
 def handle_doc_booking_batch(spark: SparkSession, docs_dir: str, out_dir: str):
     """foreachBatch function for booking requests against the documents."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_outcome(jobs.run_doc_create_bookings(spark, batch, docs_dir), out_dir, batch_id)
+        name = _batch_name(spark, "doc_booking", batch_id)
+        _write_outcome(jobs.run_doc_create_bookings(spark, batch, docs_dir, name), out_dir, batch_id)
     return handle
 
 
 def handle_service_batch(spark: SparkSession, tables_dir: str, out_dir: str, as_of: str | None = None):
     """foreachBatch function for add-service requests (R8); ``as_of`` defaults to the day of the batch."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_outcome(jobs.run_add_services(spark, batch, as_of, tables_dir), out_dir, batch_id)
+        name = _batch_name(spark, "service", batch_id)
+        _write_outcome(jobs.run_add_services(spark, batch, as_of, tables_dir, name), out_dir, batch_id)
     return handle
 
 
 def handle_doc_service_batch(spark: SparkSession, docs_dir: str, out_dir: str, as_of: str | None = None):
     """foreachBatch function for add-service requests against the documents."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        _write_outcome(jobs.run_doc_add_services(spark, batch, as_of, docs_dir), out_dir, batch_id)
+        name = _batch_name(spark, "doc_service", batch_id)
+        _write_outcome(jobs.run_doc_add_services(spark, batch, as_of, docs_dir, name), out_dir, batch_id)
     return handle
 
 

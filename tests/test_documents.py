@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rentwise.operators import doc_queries as N
 from rentwise.operators import documents as M
+from rentwise.sources import versions
 from rentwise.operators import relational as R
 from tests.helpers import rows, with_rows
 
@@ -124,6 +125,35 @@ def test_m6_writes_and_reads_back(spark, seed, scratch):
     assert M.load_docs(spark, scratch + "/docs")["persons"].count() == 6
 
 
+def test_m6_readers_see_a_whole_version_or_the_one_before(spark, seed, scratch, monkeypatch):
+    out = scratch + "/docs"
+    M.migrate_all(seed, out)
+    other = dict(seed, person=seed["person"].filter("id != 'p_ret2'"), rating=seed["rating"].limit(0))
+    written, write = [], versions.write_folder
+
+    def third_dies(rows, spec, path):
+        if len(written) == 3:
+            raise RuntimeError("lost")
+        written.append(path)
+        write(rows, spec, path)
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "write_folder", third_dies)
+        with pytest.raises(RuntimeError):
+            M.migrate_all(other, out)
+    state = lambda docs: [sorted(map(str, docs[n].collect())) for n in M.COLLECTIONS]
+    old = state(M.migrate_docs(seed))
+    reader = M.load_docs(spark, out)
+    assert len(written) == 3 and [len(c) for c in state(reader)] == [len(c) for c in old]
+    before = state(reader)
+    M.migrate_all(other, out)
+    assert state(reader) == before  # opened before the switch, finishes on the old version
+    now = M.load_docs(spark, out)
+    assert now.seq == reader.seq + 1 and now["persons"].count() == 5 and now["ratings"].count() == 0
+    gone = versions.unused_folders(spark, out, keep=1)
+    assert len(gone) == 5 and all(f"{out}/{p.folder}" in gone for p in reader.pieces)
+
+
 def test_n9_fallbacks_and_missing_account(spark, seed, docs):
     # booking document without embedded retailer: id from the vehicle, name from the person document
     odd = docs["bookings"].filter("_id = 'b2'").withColumn("_id", F.lit("b2r")) \

@@ -2,14 +2,17 @@
 
 import datetime as dt
 import pathlib
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rentwise.operators import documents as M
 from rentwise.operators import jobs as J
 from rentwise.operators import relational as R
 from rentwise.plans.inspect import plan_text
-from rentwise.sources.tables import load_tables, write_tables
+from rentwise.sources import versions
+from rentwise.sources.tables import compact_tables, load_tables, table_specs, write_tables
 from rentwise.streaming.requests import read_outcomes, start_intake
 from tests.helpers import rows
 
@@ -47,15 +50,19 @@ SERVICE_REQUEST = ("request_id string, booking_id string, customer_id string, se
 
 
 def _files(path):
-    return sorted(str(p) for p in pathlib.Path(path).rglob("*.parquet"))
+    return {str(p): p.stat().st_size for p in pathlib.Path(path).rglob("*.parquet")}
 
 
-def test_run_add_services_rewrites_touched_years_only(spark, seed, scratch):
-    path = scratch + "/rel"
+def _with_old_booking(seed):
     older = seed["booking"].filter("booking_id = 'b1'").withColumns(
         {"booking_id": F.lit("b_old"), "start_date": F.lit("2020-02-01").cast("date")})
-    t = _store(spark, dict(seed, booking=seed["booking"].unionByName(older)), path)
-    before = _files(path + "/booking/start_year=2020"), _files(path + "/booking/start_year=2026")
+    return dict(seed, booking=seed["booking"].unionByName(older))
+
+
+def test_run_add_services_writes_its_rows_and_compaction_touched_years_only(spark, seed, scratch):
+    path = scratch + "/rel"
+    _store(spark, _with_old_booking(seed), path)
+    before = _files(path)
     req = spark.createDataFrame([("s1", "b4", "p_both1", ["as5"], True)], SERVICE_REQUEST)
     for _ in range(2):  # the second run changes nothing
         out = J.run_add_services(spark, req, "2026-04-01", path)
@@ -63,8 +70,87 @@ def test_run_add_services_rewrites_touched_years_only(spark, seed, scratch):
         t = load_tables(spark, path, ["booking", "booking_service"])
         assert t["booking_service"].count() == 9 and t["booking"].count() == 6
         assert float(t["booking"].filter("booking_id = 'b4'").first()["total_costs"]) == 265.0
-    after = _files(path + "/booking/start_year=2020"), _files(path + "/booking/start_year=2026")
-    assert after[0] == before[0] and after[1] != before[1]
+    after = _files(path)
+    assert before.items() <= after.items()  # no stored file is touched
+    assert sum(spark.read.parquet(p).count() for p in after if "/changed/booking/" in p) == 2  # one row a run
+    want = [sorted(map(str, load_tables(spark, path)[n].collect())) for n in ("booking", "booking_service")]
+    reader = load_tables(spark, path)
+    assert compact_tables(spark, path) == ["booking", "booking_service"]
+    merged = _files(path + "/merged")
+    assert {re.search("start_year=([0-9]+)", p)[1] for p in merged if "/booking/" in p} == {"2026"}
+    got = load_tables(spark, path)
+    assert [sorted(map(str, got[n].collect())) for n in ("booking", "booking_service")] == want
+    assert [sorted(map(str, reader[n].collect())) for n in ("booking", "booking_service")] == want  # opened before
+    assert "/changes/" not in plan_text(got["booking"]) and compact_tables(spark, path) == []
+    # the row of a year that was not merged is changed after the compaction
+    J.run_add_services(spark, req.withColumn("booking_id", F.lit("b_old")).withColumn("customer_id", F.lit("p_cust1")),
+                       "2019-01-01", path)
+    years = load_tables(spark, path)["booking"].groupBy("start_year").count().collect()
+    assert sorted(map(tuple, years)) == [(2020, 1), (2026, 5)]
+    compact_tables(spark, path)
+    assert sorted(map(tuple, load_tables(spark, path)["booking"].groupBy("start_year").count().collect())) == [(2020, 1), (2026, 5)]
+
+
+def test_a_commit_that_dies_halfway_leaves_neither_links_nor_totals(spark, seed, scratch, monkeypatch):
+    path = scratch + "/rel"
+    _store(spark, seed, path)
+    state = lambda: [sorted(map(str, load_tables(spark, path)[n].collect())) for n in ("booking", "booking_service")]
+    before = state()
+    req = spark.createDataFrame([("s1", "b4", "p_both1", ["as5"], True)], SERVICE_REQUEST)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "_publish", dies)
+        with pytest.raises(RuntimeError):
+            J.run_add_services(spark, req, "2026-04-01", path)
+    assert state() == before and any("/changes/" in p for p in _files(path))
+    J.run_add_services(spark, req, "2026-04-01", path, batch="x-1")
+    after, files = state(), _files(path)
+    J.run_add_services(spark, req, "2026-04-01", path, batch="x-1")  # the same batch again writes nothing
+    assert state() == after != before and _files(path) == files
+
+
+def test_deleted_and_changed_keys(spark, seed, scratch):
+    path, specs = scratch + "/rel", table_specs()
+    t = _store(spark, _with_old_booking(seed), path)
+    ids = lambda name, key: sorted(r[0] for r in rows(load_tables(spark, path)[name], key))
+    gone = spark.createDataFrame([("b_old",), ("b1",)], "booking_id string")
+    links = t["booking_service"].join(gone, "booking_id", "left_semi")
+    person = t["person"].filter("id = 'p_cust1'").withColumn("name", F.lit("New"))
+    versions.commit(spark, path, specs, {"person": person}, {"booking": gone, "booking_service": links})
+    for _ in range(2):  # merged on read, then compacted
+        assert ids("booking", "booking_id") == ["b2", "b3", "b4", "b5"] and ids("booking_service", "booking_id") == [
+            r[0] for r in sorted(rows(seed["booking_service"].filter("booking_id != 'b1'"), "booking_id"))]
+        assert rows(load_tables(spark, path)["person"].filter("id = 'p_cust1'"), "name") == [("New",)]
+        assert load_tables(spark, path)["person"].count() == 6
+        compact_tables(spark, path)
+    back = t["booking"].filter("booking_id = 'b1'")
+    versions.commit(spark, path, specs, {"booking": back}, {"booking": gone})  # of both, the row counts
+    assert ids("booking", "booking_id") == ["b1", "b2", "b3", "b4", "b5"]
+    assert [f for f in versions.unused_folders(spark, path, 1) if "/versions/" in f and f.endswith("/person")]
+
+
+def test_overlap_search_is_bounded_below_and_finds_long_rentals(spark, seed, scratch):
+    path = scratch + "/rel"
+    long = seed["booking"].filter("booking_id = 'b1'").withColumns(
+        {"booking_id": F.lit("b_long"), "start_date": F.lit("2019-02-01").cast("date"), "vehicle_id": F.lit("veh3"),
+         "end_date": F.lit("2026-11-02").cast("date")})
+    t = _store(spark, _with_old_booking(seed), path)
+    plan = plan_text(R.available_vehicles(t, "2026-11-01", "2026-11-05"))
+    scan = [b for b in plan.split("\n\n") if "PartitionFilters" in b and "start_year" in b]
+    assert not scan or "2026" in scan[0]
+    free = lambda t: sorted(r[0] for r in rows(R.available_vehicles(t, "2026-11-01", "2026-11-05"), "vehicle_id"))
+    assert "veh3" in free(t)
+    versions.commit(spark, path, table_specs(), {"booking": long})
+    for _ in range(2):
+        t = load_tables(spark, path)
+        assert "veh3" not in free(t) and free(t) == free(dict(t))  # without the state's bounds: the same
+        compact_tables(spark, path)
+    plan = plan_text(R.available_vehicles(load_tables(spark, path), "2026-02-01", "2026-03-05"))
+    filters = [ln for ln in plan.splitlines() if ln.startswith("PartitionFilters") and "start_year" in ln]
+    assert filters and all("<= 2026" in ln and ">= 20" in ln for ln in filters), filters
 
 
 def test_streaming_doc_service_intake(spark, seed, scratch):
