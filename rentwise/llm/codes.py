@@ -17,12 +17,13 @@ length have no code and no error (null). A dimension that is no multiple of ``PA
 padded with zeros. A null vec_id is the largest; rows that repeat a vec_id are coded
 each, and for the first codebook they rank by their components. With fewer kept vectors than
 ``ENTRIES`` the codebooks have fewer entries. Components beyond 2**30 over a part's width are
-computed in unbounded integers; an error beyond a long is null. Without kept rows the result is empty.
+computed in unbounded integers; an error, or a label's sum, beyond a long is null. Without kept rows the result is empty.
 """
 
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from .common import join_hot, source, staged
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 EXACT = 1 << 30  # a larger component times the width of a part could overflow 64-bit distances
 LANES = 1 << 18  # parts searched at a time
+LARGEST = 10 ** 38
 
 
 def kept_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -55,8 +57,8 @@ def _integers(values: np.ndarray, width: int) -> np.ndarray:
 
 def part_matrix(flat: np.ndarray, dimension: int) -> np.ndarray:
     """(vectors, PARTS, width) integers of vectors laid end to end, padded with zeros."""
-    width = max(1, -(-dimension // PARTS))
-    rows = _integers(flat.reshape(-1, dimension), width) if dimension else np.zeros((len(flat), 0), np.int64)
+    width = -(-dimension // PARTS)
+    rows = _integers(flat.reshape(-1, dimension), width)
     out = np.zeros((len(rows), PARTS * width), rows.dtype)
     out[:, :dimension] = rows
     return out.reshape(-1, PARTS, width)
@@ -120,8 +122,8 @@ class Codebooks:
 def first_codebooks(rows: DataFrame, dimension: int, entries: int = ENTRIES) -> Codebooks:
     """The parts of the vectors with the smallest ids: at most ``entries`` rows reach the driver."""
     fit = rows.where(F.size("vector") == dimension).orderBy(F.asc_nulls_last("vec_id"), "vector").limit(entries)
-    flat = np.array([r.vector for r in fit.select("vector").collect()], float).reshape(-1, dimension)
-    parts = part_matrix(flat.ravel(), dimension) if dimension else np.zeros((fit.count(), PARTS, 1), np.int64)
+    chosen = [r.vector for r in fit.select("vector").collect()]
+    parts = part_matrix(np.array(chosen, float).ravel(), dimension) if dimension else np.zeros((len(chosen), PARTS, 1), np.int64)
     return Codebooks(parts.transpose(1, 0, 2))
 
 
@@ -171,7 +173,7 @@ def updated(rows: DataFrame, books: Codebooks, dimension: int) -> Codebooks:
 
 
 def encode(rows: DataFrame, books: Codebooks, dimension: int) -> DataFrame:
-    """vec_id, label, code (two hex digits a part) and error (squared distances, summed) of every row."""
+    """vec_id, label, code (two hex digits a part) and error (squared distances, summed, a decimal) of every row."""
     digits = np.array([f"{i:02x}" for i in range(256)])
 
     def run(batches):
@@ -180,13 +182,13 @@ def encode(rows: DataFrame, books: Codebooks, dimension: int) -> DataFrame:
             codes, errors = books.nearest(parts)
             code, error = np.full(len(fits), None, object), np.full(len(fits), None, object)
             code[fits] = ["".join(row) for row in digits[codes].tolist()]
-            error[fits] = [e if e < 1 << 63 else None for e in errors.astype(object).sum(axis=1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.string()), pa.array(error, pa.int64())],
+            error[fits] = [Decimal(e) if e < LARGEST else None for e in errors.astype(object).sum(axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code, pa.string()), pa.array(error, pa.decimal128(38))],
                                              ["keys", "code", "error"])
 
     keyed = rows.select(F.struct("vec_id", "label").alias("keys"), "vector")
     kinds = f"struct<vec_id:{rows.schema['vec_id'].dataType.simpleString()},label:{rows.schema['label'].dataType.simpleString()}>"
-    return keyed.mapInArrow(run, f"keys {kinds}, code string, error long").select("keys.vec_id", "keys.label", "code", "error")
+    return keyed.mapInArrow(run, f"keys {kinds}, code string, error decimal(38,0)").select("keys.vec_id", "keys.label", "code", "error")
 
 
 def compress_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label",
@@ -199,6 +201,6 @@ def compress_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     for _ in range(rounds if first else 0):
         books = updated(rows, books, dimension)
     coded = staged(encode(rows, books, dimension), "vector-codes")
-    labels = coded.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.col("error").cast("decimal(38,0)")).alias("total"))
+    labels = coded.groupBy("label").agg(F.count("*").alias("n"), F.sum("error").alias("total"))
     return join_hot(coded, labels, "label").select(
-        "vec_id", "code", "error", F.expr("try_cast(total AS long)").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
+        "vec_id", "code", F.expr("try_cast(error AS long)").alias("error"), F.expr("try_cast(total AS long)").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
