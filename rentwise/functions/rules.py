@@ -76,6 +76,24 @@ def money(x) -> Column:
     return _c(x).cast("double")
 
 
+# The text orders of the sources, as Spark collations. The relational one ignores case
+# and accents; the document one is that of a locale-aware comparison, where they break ties.
+TABLE_ORDER, DOCUMENT_ORDER = "UNICODE_CI_AI", "UNICODE"
+
+
+def text_order(x, collation: str | None = None) -> Column:
+    """The text as a sort key: bytewise, or by a collation."""
+    return _c(x) if collation is None else F.collate(_c(x), collation)
+
+
+def sorted_texts(texts, collation: str | None = None) -> Column:
+    """An array of texts in the order of the collation (bytewise without one); equal ones in bytewise order."""
+    if collation is None:
+        return F.array_sort(texts)
+    keyed = F.array_sort(F.transform(texts, lambda x: F.struct(F.collate(x, collation).alias("k"), x.alias("x"))))
+    return F.transform(keyed, lambda s: s.getField("x"))
+
+
 def all_of(conditions) -> Column | None:
     """AND of optional conditions; None when there is no condition."""
     conditions = [c for c in conditions if c is not None]
@@ -161,6 +179,32 @@ def in_partitions(column: str, parts: list[str]) -> list[Column]:
     return conds
 
 
+def number_text(x) -> Column:
+    """A double as its shortest decimal text: ``4`` (not ``4.0``), ``10000000``, ``0.1``.
+
+    An exponent is written from 1e21 upwards and below 1e-6 (``1e+21``, ``1.5e-7``); zero has no sign.
+    """
+    text = F.abs(_c(x).cast("double")).cast("string")  # digits with one point, and E with an exponent
+    mantissa, power = F.regexp_extract(text, r"^([0-9.]+)", 1), F.regexp_extract(text, r"E(-?[0-9]+)$", 1)
+    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.split_part(mantissa, F.lit("."), F.lit(2))
+    joined = F.concat(whole, part)
+    digits = F.regexp_replace(F.regexp_replace(joined, "0+$", ""), "^0+", "")
+    lead = F.length(joined) - F.length(F.regexp_replace(joined, "^0+", ""))
+    size = F.length(digits)
+    # the value is 0.digits times ten to the power of point
+    point = F.length(whole) - lead + F.when(power != "", power).otherwise("0").cast("int")
+    zeros = lambda n: F.repeat(F.lit("0"), n)
+    plain = (F.when(size <= point, F.concat(digits, zeros(point - size)))
+             .when(point > 0, F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+             .otherwise(F.concat(F.lit("0."), zeros(-point), digits)))
+    fraction = F.when(size > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise("")
+    short = F.concat(F.substr(digits, F.lit(1), F.lit(1)), fraction, F.lit("e"),
+                     F.when(point > 0, "+").otherwise("-"), F.abs(point - 1).cast("string"))
+    body = F.when(digits == "", "0").when((point > 21) | (point <= -6), short).otherwise(plain)
+    finite = text.rlike("^[0-9]")
+    return F.when(~finite, _c(x).cast("string")).otherwise(F.concat(F.when(_c(x) < 0, "-").otherwise(""), body))
+
+
 # Display format of money (Austrian German, euro).
 EURO_SIGN = "€"
 EURO_SPACE = "\u00a0"  # no-break space

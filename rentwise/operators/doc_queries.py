@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import (START_KEY, doc_rental_days, doc_start_window, given, in_partitions, num_or_zero, today,
-                                      where_all)
+from rentwise.functions.rules import (START_KEY, doc_rental_days, doc_start_window, given, in_partitions, num_or_zero,
+                                      sorted_texts, text_order, today, where_all)
 from rentwise.plans.skew import fact_join
 from rentwise.sources.versions import Snapshot
 
@@ -24,14 +24,14 @@ def _extras_sum(arr) -> F.Column:
     return F.aggregate(items, F.lit(0.0), lambda acc, s: acc + num_or_zero(s.getField("costs")))
 
 
-def doc_customers(docs) -> DataFrame:
+def doc_customers(docs, collation: str | None = None) -> DataFrame:
     """Persons with a customer role, by name; no account needed (iban may be NULL)."""
     return docs["persons"].filter(F.col("roles.customer").isNotNull()).select(
         F.col("_id").alias("person_id"), "name",
         F.col("roles.customer.customer_number").alias("customer_number"),
         F.col("roles.customer.driver_licencse_number").alias("driver_licencse_number"),
         F.col("bankAccount.iban").alias("iban"),
-    ).orderBy("name", "person_id")
+    ).orderBy(text_order("name", collation), "person_id")
 
 
 def doc_available_vehicles(docs, start: str, end: str) -> DataFrame:
@@ -68,7 +68,7 @@ def doc_booking_cost_report(docs, date_from: str | None = None, date_to: str | N
     )
 
 
-def doc_customer_profiles(docs) -> DataFrame:
+def doc_customer_profiles(docs, collation: str | None = None) -> DataFrame:
     """Persons with a customer role and an account, by name."""
     return docs["persons"].filter(F.col("roles.customer").isNotNull() & F.col("bankAccount").isNotNull()).select(
         F.col("_id").alias("person_id"), "name", "eMail", "phone_number", "address",
@@ -76,7 +76,7 @@ def doc_customer_profiles(docs) -> DataFrame:
         F.col("roles.customer.driver_licencse_number").alias("driver_licencse_number"),
         F.col("bankAccount.account_id").alias("account_id"), F.col("bankAccount.iban").alias("iban"),
         F.col("bankAccount.bic").alias("bic"),
-    ).orderBy("name", "person_id")
+    ).orderBy(text_order("name", collation), "person_id")
 
 
 def doc_active_bookings(docs, as_of: str | None = None, customer_id: str | None = None) -> DataFrame:
@@ -106,7 +106,7 @@ def doc_active_bookings(docs, as_of: str | None = None, customer_id: str | None
     ).orderBy("start_date", "booking_id")
 
 
-def doc_service_options(docs, asked: DataFrame) -> DataFrame:
+def doc_service_options(docs, asked: DataFrame, collation: str | None = None) -> DataFrame:
     """The state of the services asked for a booking document.
 
     As R7, but an unknown booking gives no row at all, and a current service
@@ -124,10 +124,11 @@ def doc_service_options(docs, asked: DataFrame) -> DataFrame:
         F.col("_id").alias("booking_id"), status.alias("status"), F.col("sid").alias("additional_service_id"),
         F.when(current, F.col("entry.description")).otherwise(F.col("listed")).alias("description"),
         F.when(current, F.col("entry.costs")).otherwise(F.col("listed_costs")).alias("costs"),
-    ).orderBy("booking_id", "status", "description")
+    ).orderBy("booking_id", "status", text_order("description", collation))
 
 
-def doc_service_booking_report(docs, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+def doc_service_booking_report(docs, date_from: str | None = None, date_to: str | None = None,
+                               collation: str | None = None) -> DataFrame:
     """Bookings with extras, from the documents plus two person lookups.
 
     Account data come from the customer's person document (left: NULL kept).
@@ -149,7 +150,7 @@ def doc_service_booking_report(docs, date_from: str | None = None, date_to: str
     per_day = num_or_zero("vehicle.costs_per_day")
     base = days * per_day
     extras = _extras_sum(F.col("additionalServices"))
-    names = F.array_join(F.array_sort(F.transform("additionalServices", lambda s: s.getField("description"))), ", ")
+    names = F.array_join(sorted_texts(F.transform("additionalServices", lambda s: s.getField("description")), collation), ", ")
     return j.select(
         F.col("_id").alias("booking_id"), "start_date", "end_date",
         F.col("customer.person_id").alias("customer_id"), F.col("customer.name").alias("customer_name"),

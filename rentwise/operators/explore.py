@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rentwise.functions.rules import START_YEAR, euro_text
+from rentwise.functions.rules import START_KEY, START_YEAR, euro_text, number_text
 
 # The tables a user may preview, by their display names.
 PREVIEW_TABLES = {
@@ -43,13 +44,23 @@ def preview_table(tables, name: str, limit=DEFAULT_PREVIEW) -> DataFrame:
     if key is None:
         raise ValueError(f"Unknown table: {name}")
     df = tables[key]
-    if START_YEAR in df.columns:  # storage layout column, not part of the model
-        df = df.drop(START_YEAR)
-    return df.limit(clamp_limit(limit))
+    return _model(df).limit(clamp_limit(limit))
 
 
-def _cell_text(col_name: str) -> F.Column:
-    return F.lower(F.coalesce(F.col(f"`{col_name}`").cast("string"), F.lit("")))
+def _model(df: DataFrame) -> DataFrame:
+    """Without the columns of the storage layout, which are not part of the model."""
+    return df.drop(*[c for c in (START_YEAR, START_KEY) if c in df.columns])
+
+
+def _cell_text(df: DataFrame, col_name: str) -> F.Column:
+    col = F.col(f"`{col_name}`")
+    number = isinstance(df.schema[col_name].dataType, (T.DoubleType, T.FloatType))
+    return F.lower(F.coalesce(number_text(col) if number else col.cast("string"), F.lit("")))
+
+
+def cell_texts(df: DataFrame) -> F.Column:
+    """The searched texts of a row, one per column of the model."""
+    return F.array(*[_cell_text(df, c) for c in _model(df).columns])
 
 
 def search_condition(df: DataFrame, query: str | None):
@@ -57,17 +68,19 @@ def search_condition(df: DataFrame, query: str | None):
     q = (query or "").strip().lower()
     if not q:
         return None
-    return reduce(lambda a, b: a | b, [F.contains(_cell_text(c), F.lit(q)) for c in df.columns])
+    return reduce(lambda a, b: a | b, [F.contains(_cell_text(df, c), F.lit(q)) for c in df.columns])
 
 
 def search_rows(df: DataFrame, query: str | None) -> DataFrame:
     """Rows matching the query in any column; an empty query keeps all rows."""
+    df = _model(df)
     cond = search_condition(df, query)
     return df if cond is None else df.filter(cond)
 
 
 def search_counts(df: DataFrame, query: str | None) -> DataFrame:
     """S4 counts: matching and total rows in one pass (one row)."""
+    df = _model(df)
     cond = search_condition(df, query)
     matched = F.count(F.lit(1)) if cond is None else F.count_if(cond)
     return df.agg(matched.alias("matched_rows"), F.count(F.lit(1)).alias("total_rows"))

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentwise.functions.rules import START_YEAR, given, in_partitions, money, rental_days, start_date_window, today, where_all
+from rentwise.functions.rules import (START_YEAR, given, in_partitions, money, rental_days, sorted_texts, start_date_window,
+                                      text_order, today, where_all)
 from rentwise.plans.skew import fact_join
 from rentwise.session import staged
 from rentwise.sources.versions import Snapshot, earliest_start
@@ -42,7 +43,7 @@ def priced_links(tables, bookings: DataFrame | None = None) -> DataFrame:
     return links.join(tables["additional_service"], "additional_service_id")
 
 
-def extras_by_booking(tables, bookings: DataFrame | None = None) -> DataFrame:
+def extras_by_booking(tables, bookings: DataFrame | None = None, collation: str | None = None) -> DataFrame:
     """One row per booking with extras: sum of costs, count, sorted description list.
 
     Partial aggregation happens map-side, so a booking key shuffles at most one
@@ -54,7 +55,7 @@ def extras_by_booking(tables, bookings: DataFrame | None = None) -> DataFrame:
     return priced_links(tables, bookings).groupBy("booking_id").agg(
         F.sum("costs").alias("extras"),
         F.count("additional_service_id").alias("n_extras"),
-        F.array_sort(F.collect_list("description")).alias("extras_descriptions"),
+        sorted_texts(F.collect_list("description"), collation).alias("extras_descriptions"),
     )
 
 
@@ -93,42 +94,41 @@ def _customers_with_account(tables) -> DataFrame:
             .join(tables["bankaccount"], "person_id"))
 
 
-def customers_with_account(tables) -> DataFrame:
-    """Customers that have a bank account, by name."""
+def customers_with_account(tables, collation: str | None = None) -> DataFrame:
+    """Customers that have a bank account, by name (bytewise, or by a collation such as ``TABLE_ORDER``)."""
     return _customers_with_account(tables).select(
         "person_id", "name", "customer_number", "driver_licencse_number", "iban",
-    ).orderBy("name", "person_id")
+    ).orderBy(text_order("name", collation), "person_id")
 
 
-def customer_profiles(tables) -> DataFrame:
+def customer_profiles(tables, collation: str | None = None) -> DataFrame:
     """As R1 with contact and account columns."""
     return _customers_with_account(tables).select(
         "person_id", "name", "eMail", "phone_number", "address", "customer_number",
         "driver_licencse_number", "account_id", "iban", "bic",
-    ).orderBy("name", "person_id")
+    ).orderBy(text_order("name", collation), "person_id")
 
 
-def booked_vehicle_ids(tables, start: str, end: str) -> DataFrame:
+def booked_vehicle_ids(bookings: DataFrame, start: str, end: str, near=None) -> DataFrame:
     """Distinct vehicles with a booking overlapping [start, end] (closed on both ends).
 
-    Stored tables know the last end date of each start year and the longest rental
-    in these years, so the scan is bounded below too, without a limit on durations.
+    ``near`` are the start years that can hold one and the longest rental in them, where
+    the stored tables know them: the scan is bounded below too, without a limit on durations.
     """
-    bookings = tables["booking"]
     conditions = start_date_window(bookings, upper=end) + [F.col("end_date") >= _date(start)]
-    near = tables.overlapping("booking", start) if isinstance(tables, Snapshot) else None
     if near is not None:
         years, longest = near
         conditions += in_partitions(START_YEAR, years) + start_date_window(bookings, lower=earliest_start(start, longest))
     return where_all(bookings, conditions).select("vehicle_id").distinct()
 
 
-def available_vehicles(tables, start: str, end: str) -> DataFrame:
+def available_vehicles(tables, start: str, end: str, collation: str | None = None) -> DataFrame:
     """R2: vehicles without a booking overlapping the window, by producer and model."""
-    booked = booked_vehicle_ids(tables, start, end)
+    near = tables.overlapping("booking", start) if isinstance(tables, Snapshot) else None
+    booked = booked_vehicle_ids(tables["booking"], start, end, near)
     return tables["vehicle"].join(booked, "vehicle_id", "left_anti").select(
         "vehicle_id", "model", "producer", money("costs_per_day").alias("costs_per_day"), "plate_number",
-    ).orderBy("producer", "model", "vehicle_id")
+    ).orderBy(text_order("producer", collation), text_order("model", collation), "vehicle_id")
 
 
 def booking_cost_report(tables, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
@@ -182,7 +182,7 @@ def active_bookings(tables, as_of: str | None = None, customer_id: str | None =
     ).orderBy("start_date", "booking_id")
 
 
-def service_options(tables, asked: DataFrame) -> DataFrame:
+def service_options(tables, asked: DataFrame, collation: str | None = None) -> DataFrame:
     """The state of the services asked for a booking.
 
     ``asked`` has (booking_id, service_ids). One row per distinct asked pair:
@@ -197,7 +197,7 @@ def service_options(tables, asked: DataFrame) -> DataFrame:
     status = F.when(F.col("listed").isNull(), "unknown").when(F.col("held"), "current").otherwise("available")
     return (pairs.join(held, ["booking_id", "additional_service_id"], "left").join(services, "additional_service_id", "left")
             .select("booking_id", status.alias("status"), "additional_service_id", "description",
-                    money("costs").alias("costs")).orderBy("booking_id", "status", "description"))
+                    money("costs").alias("costs")).orderBy("booking_id", "status", text_order("description", collation)))
 
 
 def booking_totals(tables, booking_ids: DataFrame) -> DataFrame:
@@ -214,9 +214,12 @@ def booking_totals(tables, booking_ids: DataFrame) -> DataFrame:
     return ids.join(totals, "booking_id", "left").na.fill(0.0, ["base_cost", "extras_cost", "total_cost"])
 
 
-def service_booking_report(tables, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
+def service_booking_report(tables, date_from: str | None = None, date_to: str | None = None,
+                           collation: str | None = None) -> DataFrame:
     """Bookings with at least one extra; ``start >= from`` and ``start < to`` (start date!).
 
+    The list of extras is in the order of ``collation`` (bytewise without one).
+
     All joins are inner: customers without account and vehicles without a
     known retailer drop out.
     """
@@ -224,7 +227,7 @@ def service_booking_report(tables, date_from: str | None = None, date_to: str |
     bookings = where_all(b, start_date_window(b, lower=date_from, upper=date_to, upper_inclusive=False)) \
         .select("booking_id", "start_date", "end_date", "customer_id", "vehicle_id")
     vehicles = vehicle_dim(tables, ["model", "producer", "costs_per_day"], with_retailer=True)
-    extras = extras_by_booking(tables, bookings)
+    extras = extras_by_booking(tables, bookings, collation)
     joined = bookings.join(extras, "booking_id")
     joined = with_customer(joined, tables, with_account=True)
     joined = fact_join(joined, vehicles, "vehicle_id").withColumn("rental_days", rental_days("start_date", "end_date"))

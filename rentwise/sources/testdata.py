@@ -157,14 +157,33 @@ def service_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def dirty_tables(spark: SparkSession, sf_dir: str, tables) -> dict[str, DataFrame]:
-    """The tables with broken rows for the audits: repeated links, requests taken as bookings
-    (repeated keys, unknown and missing customers and vehicles, missing dates), stars out of range."""
-    links = _read(spark, sf_dir, "lineitem").select(
-        _id("b_", "l_orderkey").alias("booking_id"), _id("as", "l_suppkey").alias("additional_service_id"))
+# Rows that the broken variant lacks, by the end of their key.
+MISSING = [("person", "id", "7"), ("retailer", "person_id", "4"), ("additional_service", "additional_service_id", "9"),
+           ("booking", "booking_id", "33")]
+
+
+def dirty_batches(spark: SparkSession, sf_dir: str, tables) -> list[tuple[dict, dict]]:
+    """Two batches (inserted, deleted) that break the tables for the audits.
+
+    First parents go (each of the ten references loses some) and requests come as bookings (repeated keys,
+    unknown and missing customers and vehicles, missing dates); then links come
+    repeated and ratings with stars out of range.
+    """
     names = [f.name for f in schema.BOOKING.fields]
     asked = booking_requests(spark, sf_dir).withColumn(
         "booking_id", F.concat(F.lit("b_"), F.expr("substr(request_id, 5)"))).withColumn(
-        "total_costs", F.lit(None).cast(schema.MONEY))
-    return dict(tables, booking_service=links, booking=tables["booking"].select(names).unionByName(asked.select(names)),
-                rating=tables["rating"].withColumn("stars", F.col("stars") * 2 - 1))
+        "total_costs", F.lit(None).cast(schema.MONEY)).select(names)
+    gone = {name: tables[name].where(F.col(key).endswith(end)) for name, key, end in MISSING}
+    links = _read(spark, sf_dir, "lineitem").select(
+        _id("b_", "l_orderkey").alias("booking_id"), _id("as", "l_suppkey").alias("additional_service_id"))
+    ratings = tables["rating"].withColumn("stars", F.col("stars") * 2 - 1)
+    return [({"booking": asked}, gone),
+            ({"booking_service": links, "rating": ratings}, {n: tables[n] for n in ("booking_service", "rating")})]
+
+
+def dirty_tables(spark: SparkSession, sf_dir: str, tables) -> dict[str, DataFrame]:
+    """The tables after :func:`dirty_batches`."""
+    (came, _), (replaced, _) = dirty_batches(spark, sf_dir, tables)
+    kept = {name: tables[name].where(~F.col(key).endswith(end)) for name, key, end in MISSING}
+    names = [f.name for f in schema.BOOKING.fields]
+    return dict(tables, **kept, **replaced) | {"booking": kept["booking"].select(names).unionByName(came["booking"])}

@@ -66,9 +66,9 @@ class Table:
 class Snapshot(dict):
     """The tables of one state by name. A plain copy (``dict(...)``) with replaced tables drops the state."""
 
-    def __init__(self, tables, seq: int = 0, pieces=()):
+    def __init__(self, tables, root: str, seq: int = 0, pieces=()):
         super().__init__(tables)
-        self.seq, self.pieces = seq, list(pieces)
+        self.root, self.seq, self.pieces = root, seq, list(pieces)
 
     def overlapping(self, table: str, start: str) -> tuple[list[str], int | None] | None:
         """Partitions that can hold a row ending on or after ``start``, and the longest duration in them.
@@ -115,6 +115,21 @@ def _publish(spark: SparkSession, root: str, seq: int, batch: str | None, pieces
     spark.createDataFrame([(seq, batch, pieces)], COMMIT).coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
+def _path(root: str, folder: str) -> str:
+    """A folder of a state: relative to its root, or whole where the state was forked."""
+    return folder if folder.startswith("/") or ":/" in folder else f"{root}/{folder}"
+
+
+def fork(spark: SparkSession, source: str, root: str) -> None:
+    """Publish the last state of ``source`` as the first one of the new folder ``root``, without copying a file.
+
+    Writes to either do not show in the other. Folders that a fork names must outlive it.
+    """
+    state = last_state(spark, source)
+    pieces = [Row(**{**p.asDict(), "folder": _path(source, p.folder)}) for p in state.pieces]
+    _publish(spark, root, 1, None, pieces)
+
+
 def unused_folders(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
     """Folders named by earlier states, but by none of the last ``keep`` ones."""
     found = commits(spark, root)
@@ -122,7 +137,7 @@ def unused_folders(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
         return []
     kept = found.orderBy(F.desc("seq")).limit(keep)
     names = lambda df: df.select(F.explode("pieces.folder").alias("folder")).distinct()
-    return sorted(f"{root}/{r.folder}" for r in names(found).join(names(kept), "folder", "left_anti").collect())
+    return sorted(_path(root, r.folder) for r in names(found).join(names(kept), "folder", "left_anti").collect())
 
 
 # --- reading ----------------------------------------------------------------
@@ -135,7 +150,7 @@ def load(spark: SparkSession, root: str, specs: dict[str, Table], names=None) ->
     for name in names or specs:
         own = [p for p in pieces if p.table == name]
         tables[name] = _merged(spark, root, specs[name], own) if own else _scan(spark, specs[name], f"{root}/{name}")
-    return Snapshot(tables, state.seq if state else 0, pieces)
+    return Snapshot(tables, root, state.seq if state else 0, pieces)
 
 
 def _scan(spark: SparkSession, spec: Table, path: str) -> DataFrame:
@@ -151,7 +166,7 @@ def _base(spark: SparkSession, root: str, spec: Table, pieces) -> DataFrame:
     """The base rows: a later folder that lists partitions stands for these in all earlier ones."""
     taken, scans = set(), []
     for piece in reversed([p for p in pieces if p.kind == BASE]):
-        rows = _scan(spark, spec, f"{root}/{piece.folder}")
+        rows = _scan(spark, spec, _path(root, piece.folder))
         if piece.parts is None:
             scans.append(rows.where(~spec.part_text().isin(*sorted(taken))) if taken else rows)
         elif set(piece.parts) - taken:
@@ -162,7 +177,7 @@ def _base(spark: SparkSession, root: str, spec: Table, pieces) -> DataFrame:
 
 def _latest(spark: SparkSession, root: str, spec: Table, pieces) -> DataFrame | None:
     """The last change of each changed key, with the flag ``GONE``; all change folders are one scan."""
-    folders = [f"{root}/{p.folder}" for p in pieces if p.kind == CHANGES]
+    folders = [_path(root, p.folder) for p in pieces if p.kind == CHANGES]
     if not folders:
         return None
     stored = T.StructType([*spec.schema.fields, T.StructField(SEQ, T.LongType()), T.StructField(GONE, T.BooleanType())])
@@ -214,7 +229,7 @@ def refresh(spark: SparkSession, root: str, tables: dict[str, DataFrame], specs:
     state, folder = last_state(spark, root), f"versions/{uuid.uuid4().hex}"
     pieces = [_base_piece(spark, root, name, specs[name], rows, folder) for name, rows in tables.items()]
     _publish(spark, root, state.seq + 1 if state else 1, None, pieces)
-    return {p.table: f"{root}/{p.folder}" for p in pieces}
+    return {p.table: _path(root, p.folder) for p in pieces}
 
 
 def commit(spark: SparkSession, root: str, specs: dict[str, Table], changed: dict[str, DataFrame] | None = None,
