@@ -15,13 +15,14 @@ beside them. Their blocks are returned in page order.
 Defined cases: a null or empty page, or one without visible text, has an empty
 text. Unclosed and crossing tags are repaired as far as the paths need it: a block tag
 closes an open paragraph, an end tag closes everything above its start, and an
-end tag without a start is ignored. Rows that repeat a page_id are extracted each.
+end tag without a start is ignored. The work of a page grows with its length, however deep its tags are. Rows that repeat a page_id are extracted each.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 from statistics import mean, pstdev
 
@@ -64,17 +65,65 @@ SHARE = 0.4     # of the best path's score, from which it is content in any case
 EASED = 0.4     # of that threshold, for items beside chosen paragraphs outside article and main
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of the text blocks in page order; text is decoded, with single spaces."""
-    out, stack, text, at = [], [], [], 0
+class Paths:
+    """The tag paths of a page as a tree: node 0 is the page, every node knows its parent and its step, parents come first.
+
+    A path's key is a digest that continues its parent's, so it costs the same at any depth.
+    """
+
+    def __init__(self):
+        self.parent, self.step, self.key = [0], [""], [""]
+        self._nodes: dict[tuple[int, str], int] = {}
+
+    def below(self, node: int, step: str) -> int:
+        """The child of ``node`` with this step, made where there is none yet."""
+        found = self._nodes.get((node, step))
+        if found is None:
+            found = self._nodes[node, step] = len(self.parent)
+            self.parent.append(node)
+            self.step.append(step)
+            self.key.append(xxhash.xxh3_128_hexdigest(f"{self.key[node]}/{step}"))
+        return found
+
+    def text(self, node: int) -> str:
+        steps = []
+        while node:
+            steps.append(self.step[node])
+            node = self.parent[node]
+        return "/".join(reversed(steps))
+
+    def within(self, names: frozenset) -> list[bool]:
+        """Whether a node, or one above it, is a tag of ``names``."""
+        out = [False]
+        for node in range(1, len(self.parent)):
+            out.append(out[self.parent[node]] or _words(self.step[node])[0] in names)
+        return out
+
+
+def parse(page: str) -> tuple[Paths, list[tuple[int, str]]]:
+    """The page's paths and its (node, text) blocks in page order; text is decoded, with single spaces.
+
+    One pass: the open tags, how many there are of each name and where the
+    open blocks are on the stack are kept up to date, so unclosed tags cost nothing more.
+    """
+    paths, out, text, at = Paths(), [], [], 0
+    stack: list[tuple[str, int]] = []  # open tags with their node; inline tags have that of the block around them
+    open_names: Counter = Counter()
+    open_blocks: list[int] = []  # positions on the stack
 
     def flush():
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            # inline tags do not make a path of their own
-            out.append(("/".join(label for name, label in stack if name in BLOCK), joined))
+            out.append((stack[-1][1] if stack else 0, joined))
         text.clear()
 
+    def close(size):
+        """Pop the open tags beyond ``size``."""
+        while len(stack) > size:
+            open_names[stack.pop()[0]] -= 1
+        while open_blocks and open_blocks[-1] >= size:
+            open_blocks.pop()
+
     while at < len(page):
         found = TOKEN.search(page, at)
         if found is None:
@@ -88,21 +137,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
         if found[1]:
             if name in BLOCK:
                 flush()
-            if any(open_ == name for open_, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if open_names[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                close(k)
             elif name == "br":
                 text.append(" ")
             continue
         if name in BLOCK:
             flush()
-            if stack and name not in ("html", "body"):  # a block closes an open paragraph, an item the item before it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p" or (stack[k][0] == name and name in ("li", "td", "th", "tr", "dd", "dt")):
-                        del stack[k:]
-                        break
-                    if stack[k][0] in BLOCK:
-                        break
+            if open_blocks and name not in ("html", "body"):  # a block closes an open paragraph, an item the item before it
+                last = stack[open_blocks[-1]][0]
+                if last == "p" or (last == name and name in ("li", "td", "th", "tr", "dd", "dt")):
+                    close(open_blocks[-1])
         if name in VOID:
             text.append(" ")
             continue
@@ -110,9 +158,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
             ends = END[name].search(page, at)
             at = ends.end() if ends else len(page)
             continue
-        stack.append((name, name + "".join(_label(*x) for x in NAMED.findall(found[3] or ""))))
+        node = stack[-1][1] if stack else 0
+        if name in BLOCK:  # inline tags do not make a path of their own
+            node = paths.below(node, name + "".join(_label(*x) for x in NAMED.findall(found[3] or "")))
+            open_blocks.append(len(stack))
+        open_names[name] += 1
+        stack.append((name, node))
     flush()
-    return out
+    return paths, out
+
+
+def blocks(page: str) -> list[tuple[str, str]]:
+    """(path, text) of the text blocks in page order, with the paths written out."""
+    paths, found = parse(page)
+    return [(paths.text(node), text) for node, text in found]
 
 
 @lru_cache(100_000)
@@ -128,107 +187,120 @@ def _parts(word: str) -> list[str]:
     return re.split(r"[-_]|(?<=[a-z])(?=[0-9])", word)
 
 
-def wrappers(own: dict[str, list[int]]) -> set[str]:
-    """Ancestors that hold most of the page's text, so that their names tell nothing about it.
-
-    A subtree beside which an article (by tag or name) has a part of the text is none: long comments stay comments.
-    """
-    steps = {path: path.split("/") for path in own}
-    names = {path: [step.split(".")[0] for step in s] for path, s in steps.items()}
-    chars = {path: t[1] for path, t in own.items() if not any(n in NEVER and n not in AROUND for n in names[path])}
-    held: dict[str, int] = {}
-    for path, n in chars.items():
-        for k in range(1, len(steps[path]) + 1):
-            prefix = "/".join(steps[path][:k])
-            held[prefix] = held.get(prefix, 0) + n
-    total = sum(chars.values())
-    articles = {path: n for path, n in chars.items() if any(_is_article(step) for step in steps[path])}
-    beside = lambda prefix: sum(n for p, n in articles.items() if not (p + "/").startswith(prefix + "/"))
-    return {p for p, n in held.items() if 2 * n > total and 10 * beside(p) < total}
-
-
 @lru_cache(100_000)
-def _words(step: str) -> tuple[str, set[str]]:
+def _words(step: str) -> tuple[str, tuple[frozenset, ...]]:
+    """The tag of a step, and the words of each of its names."""
     name, *names = step.split(".")
-    return name, {w for n in names for w in _parts(n)}
+    return name, tuple(frozenset(_parts(n)) for n in names)
 
 
 @lru_cache(100_000)
 def _is_article(step: str) -> bool:
-    name, words = _words(step)
-    return name in ("article", "main") or bool(words & CONTENT)
+    """An article by its tag, or by a name that says so and nothing else."""
+    name, names = _words(step)
+    return name in ("article", "main") or any(n & CONTENT and not n & NAMES for n in names)
 
 
-def said(path: str, around: set[str]) -> float:
-    """What a path's tags and names tell: 0 below tags that are never the article, little below names of other parts.
+@lru_cache(100_000)
+def _is_other(step: str) -> bool:
+    """Another part by a name, of which a word counts more than those of content beside it (``post-comments``)."""
+    names = _words(step)[1]
+    return any(n & NAMES for n in names) and not any(n & CONTENT and not n & NAMES for n in names)
+
+
+def wrappers(paths: Paths, own: dict[int, list[int]]) -> list[bool]:
+    """Which nodes hold most of the page's text, so that their names tell nothing about it.
+
+    A subtree beside which an article (by tag or name) has a part of the text is none: long comments stay comments.
+    """
+    size, never = len(paths.parent), paths.within(NEVER - AROUND)
+    article, held, inside = [False] * size, [0] * size, [0] * size
+    for node in range(1, size):
+        article[node] = article[paths.parent[node]] or _is_article(paths.step[node])
+    for node, (_, chars, _) in own.items():
+        if not never[node]:
+            held[node] = chars
+            inside[node] = chars if article[node] else 0
+    for node in range(size - 1, 0, -1):
+        held[paths.parent[node]] += held[node]
+        inside[paths.parent[node]] += inside[node]
+    return [2 * held[n] > held[0] and 10 * (inside[0] - inside[n]) < held[0] for n in range(size)]
+
+
+def said(paths: Paths, around: list[bool]) -> list[float]:
+    """What the tags and names of every path tell: 0 below tags that are never the article, little below names of other parts.
 
     Names of html, body and of the ancestors ``around`` (see ``wrappers``) lower nothing.
     """
-    weight, lowered, prefix = 1.0, 1.0, ""
-    for step in path.split("/"):
-        prefix = f"{prefix}/{step}" if prefix else step
-        name, words = _words(step)
-        if _is_article(step):
-            weight = 2.0
-        if name in ("html", "body") or (prefix in around and (name not in NEVER or name in AROUND)):
-            continue
-        if name in NEVER:
-            return 0.0
-        if words & NAMES and not words & CONTENT:
-            lowered = LOWERED
-    return weight * lowered
-
-
-def path_totals(found: list[tuple[str, str]]) -> dict[str, list[int]]:
-    """path -> [blocks, characters, punctuation marks]."""
-    totals: dict[str, list[int]] = {}
-    for path, text in found:
-        t = totals.setdefault(path, [0, 0, 0])
+    weight, lowered = [1.0], [1.0]
+    for node in range(1, len(paths.parent)):
+        step, above = paths.step[node], paths.parent[node]
+        name = _words(step)[0]
+        weight.append(2.0 if _is_article(step) else weight[above])
+        low = lowered[above]
+        if name not in ("html", "body") and not (around[node] and (name not in NEVER or name in AROUND)):
+            low = 0.0 if name in NEVER else min(low, LOWERED) if _is_other(step) else low
+        lowered.append(low)
+    return [w * x for w, x in zip(weight, lowered)]
+
+
+def path_totals(found: list[tuple[int, str]]) -> dict[int, list[int]]:
+    """node -> [blocks, characters, punctuation marks]."""
+    totals: dict[int, list[int]] = {}
+    for node, text in found:
+        t = totals.setdefault(node, [0, 0, 0])
         t[0] += 1
         t[1] += len(text)
         t[2] += len(MARKS.findall(text))
     return totals
 
 
-def content_paths(own: dict[str, list[int]], corpus: dict[str, tuple[float, float]]) -> set[str]:
-    """Paths whose smoothed and fused ratio stands out among the page's."""
-    around = wrappers(own)
-    told = {path: said(path, around) for path in own}
+def content_paths(paths: Paths, own: dict[int, list[int]], corpus: dict[str, tuple[float, float]]) -> set[int]:
+    """Nodes whose smoothed and fused ratio stands out among the page's; ``corpus`` has figures by path key."""
+    told = said(paths, wrappers(paths, own))
     scores = {}
-    for path, (n, chars, marks) in own.items():
-        mean_chars, mean_marks = corpus.get(path, (chars / n, marks / n))
+    for node, (n, chars, marks) in own.items():
+        mean_chars, mean_marks = corpus.get(paths.key[node], (chars / n, marks / n))
         ratio = (chars + PRIOR * mean_chars) / (n + PRIOR)
         punctuation = (marks + PRIOR * mean_marks) / (n + PRIOR)
-        scores[path] = told[path] * (ratio * (1 + punctuation)) ** 0.5
+        scores[node] = told[node] * (ratio * (1 + punctuation)) ** 0.5
     known = [x for x in scores.values() if x > 0]
     if not known:
         return set()
     level = min(mean(known) + SPREAD * pstdev(known), SHARE * max(known))
     chosen = {p for p, x in scores.items() if x >= level}
     # headings, items and cells beside chosen paragraphs belong to the same article, however short they are
-    homes = {p.rsplit("/", 1)[0] for p in chosen}
-    above = {h[:k] for h in homes for k in (*(m.start() for m in re.finditer("/", h)), len(h))}
-    for path in own.keys() - chosen:
-        home, heading = _home(path)
-        if home is None or told[path] < 1:
+    homes = {paths.parent[p] or p for p in chosen}
+    above = set()
+    for home in homes:
+        while home not in above:
+            above.add(home)
+            home = paths.parent[home] or home  # the page itself is no article's container
+    outside = _containers(paths)
+    for node in own.keys() - chosen:
+        home, heading = _home(paths, outside, node)
+        if home is None or told[node] < 1:
             continue
-        if told[path] > 1 and home in above:
-            chosen.add(path)
-        elif home in homes and (heading or scores[path] >= EASED * level):
-            chosen.add(path)
+        if told[node] > 1 and home in above:
+            chosen.add(node)
+        elif home in homes and (heading or scores[node] >= EASED * level):
+            chosen.add(node)
     return chosen
 
 
-def _home(path: str) -> tuple[str | None, bool]:
+def _containers(paths: Paths) -> list[int]:
+    """For every node the nearest one, itself included, that is no item."""
+    out = [0]
+    for node in range(1, len(paths.parent)):
+        out.append(out[paths.parent[node]] if _words(paths.step[node])[0] in ITEMS else node)
+    return out
+
+
+def _home(paths: Paths, outside: list[int], node: int) -> tuple[int | None, bool]:
     """The container of a heading, list item, cell or quotation, and whether it is a heading; None for other blocks."""
-    steps = path.split("/")
-    names = [step.split(".")[0] for step in steps]
-    heading = names[-1] in HEADINGS
-    k = len(steps) - (names[-1] == "p")
-    end = k
-    while k and names[k - 1] in ITEMS:
-        k -= 1
-    return ("/".join(steps[:k]), heading) if k < end else (None, False)
+    name = _words(paths.step[node])[0]
+    item = paths.parent[node] if name == "p" else node
+    return (outside[item] if outside[item] != item else None), name in HEADINGS
 
 
 def _pages(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
@@ -237,13 +309,14 @@ def _pages(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
 
 
 def path_ratios(pages: DataFrame) -> DataFrame:
-    """path, chars, marks: means per block over all pages that have the path; ``pages`` has a column html."""
+    """path (its key), chars, marks: means per block over all pages that have the path; ``pages`` has a column html."""
     def run(batches):
         for batch in batches:
             totals: dict[str, list[int]] = {}
             for page in batch.column(0).to_pylist():
-                for path, t in path_totals(blocks(page or "")).items():
-                    mine = totals.setdefault(path, [0, 0, 0])
+                paths, found = parse(page or "")
+                for node, t in path_totals(found).items():
+                    mine = totals.setdefault(paths.key[node], [0, 0, 0])
                     for k in range(3):
                         mine[k] += t[k]
             yield pa.RecordBatch.from_pydict({
@@ -258,9 +331,9 @@ def path_ratios(pages: DataFrame) -> DataFrame:
 COMMON = 50_000  # paths whose corpus figures are sent to every task; those of rarer paths reach their pages by a shuffle
 
 
-def _text(found: list[tuple[str, str]], own: dict[str, list[int]], corpus: dict[str, tuple[float, float]]) -> str:
-    chosen = content_paths(own, corpus)
-    return "\n".join(text for path, text in found if path in chosen)
+def _text(paths: Paths, found: list[tuple[int, str]], own: dict[int, list[int]], corpus: dict[str, tuple[float, float]]) -> str:
+    chosen = content_paths(paths, own, corpus)
+    return "\n".join(text for node, text in found if node in chosen)
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
@@ -278,10 +351,10 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", marku
         for batch in batches:
             texts, markups, names, rare = [], [], [], []
             for page in batch.column(2).to_pylist():
-                found = blocks(page or "")
+                paths, found = parse(page or "")
                 own = path_totals(found)
-                missing = [p for p in own if p not in corpus.value] if more else []
-                texts.append(None if missing else _text(found, own, corpus.value))
+                missing = [paths.key[p] for p in own if paths.key[p] not in corpus.value] if more else []
+                texts.append(None if missing else _text(paths, found, own, corpus.value))
                 markups.append(page if missing else None)
                 names.append(xxhash.xxh3_128_hexdigest(page) if missing else None)
                 rare.append(missing)
@@ -293,10 +366,10 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", marku
         for batch in batches:
             texts = []
             for page, figures in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                found = blocks(page)
+                paths, found = parse(page)
                 own = path_totals(found)
-                known = {p: corpus.value[p] for p in own if p in corpus.value}
-                texts.append(_text(found, own, known | {x["path"]: (x["chars"], x["marks"]) for x in figures}))
+                known = {k: corpus.value[k] for k in (paths.key[p] for p in own) if k in corpus.value}
+                texts.append(_text(paths, found, own, known | {x["path"]: (x["chars"], x["marks"]) for x in figures}))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              ["page_id", "url", "text"])
 

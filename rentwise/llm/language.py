@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, source, staged
-from .html_text import NEVER, blocks
+from .html_text import NEVER, parse
 
 SAMPLE = 2_000      # labelled documents of each language
 BUCKETS = 1 << 15
@@ -55,7 +55,9 @@ def trigram_buckets(text: str) -> np.ndarray:
 
 def visible(page: str) -> str:
     """A page's text outside of menus, headers, footers and the like."""
-    return " ".join(text for path, text in blocks(page) if not NEVER & {s.split(".")[0] for s in path.split("/")})
+    paths, found = parse(page)
+    hidden = paths.within(NEVER)
+    return " ".join(text for node, text in found if not hidden[node])
 
 
 def text_model(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
