@@ -10,7 +10,8 @@ tokens those become spans that turn out live-looking.
 
 Defined cases: a null text counts as empty and has no spans. A null repository or
 owner is one of its own. Rows that repeat a doc_id with an equal text get the
-same result; with another text each its own.
+same result and count as one document: a document that is delivered often is not
+copied widely. With another text each gets its own result.
 """
 
 from __future__ import annotations
@@ -55,21 +56,18 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    taken = [(a, b) for a, _, b, _ in found]
+    taken, at, reach = sorted((a, b) for a, _, b, _ in found), 0, 0
     for m in OPAQUE.finditer(text):
+        # both lists run from left to right: reach is the end of the taken spans that begin before this token's end
+        while at < len(taken) and taken[at][0] < m.end():
+            reach, at = max(reach, taken[at][1]), at + 1
         value = m[0]
-        if (any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value)
-                and all(m.end() <= a or b <= m.start() for a, b in taken)):
+        if (reach <= m.start() and any(c.isdigit() for c in value) and any(c.islower() for c in value)
+                and any(c.isupper() for c in value)):
             found.append((m.start(), 3, m.end(), value))
     return sorted(found)
 
 
-def first_seen(values: list[str]) -> list[int]:
-    """1 for the first place of every value, 0 for its repetitions."""
-    seen: set[str] = set()
-    return [0 if v in seen or seen.add(v) else 1 for v in values]
-
-
 def _scanned(docs: DataFrame) -> DataFrame:
     """doc_id, repo, owner, text_hash and the candidates as arrays, for every row."""
     def run(batches):
@@ -80,22 +78,22 @@ def _scanned(docs: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), batch.column(2), batch.column(4), pick(lambda x: x[0], pa.int64()),
                  pick(lambda x: x[1], pa.int32()), pick(lambda x: x[2], pa.int64()),
                  pick(lambda x: f"{xxhash.xxh3_128_hexdigest(x[3])}", pa.string()),
-                 pick(lambda x: entropy(x[3]) >= ENTROPY, pa.bool_()),
-                 pa.array([first_seen([x[3] for x in r]) for r in rows], pa.list_(pa.int32()))],
-                ["doc_id", "repo", "owner", "text_hash", "start", "kind", "stop", "value", "random", "docs"])
+                 pick(lambda x: entropy(x[3]) >= ENTROPY, pa.bool_())],
+                ["doc_id", "repo", "owner", "text_hash", "start", "kind", "stop", "value", "random"])
 
     return docs.mapInArrow(run, "doc_id long, repo string, owner string, text_hash long, start array<long>, "
-                                "kind array<int>, stop array<long>, value array<string>, random array<boolean>, "
-                                "docs array<int>")
+                                "kind array<int>, stop array<long>, value array<string>, random array<boolean>")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value -> n_docs, n_repos, n_owners, from rows (value, repo, owner, docs).
+    """value -> n_docs, n_repos, n_owners, from rows (value, repo, owner, doc_id, text_hash).
 
-    Copies meet per value, repository and owner first, with partial sums, so a
-    value copied into a third of all documents is a few rows per task.
+    A document's repeated values and rows meet first, spread over all tasks; then copies per value,
+    repository and owner, with partial sums, so a value copied into a third of all
+    documents is a few rows per task.
     """
-    held = found.groupBy("value", "owner", "repo").agg(F.sum("docs").alias("docs"))
+    held = (found.select("value", "owner", "repo", "doc_id", "text_hash").distinct()
+            .groupBy("value", "owner", "repo").agg(F.count("*").alias("docs")))
     by_owner = held.groupBy("value", "owner").agg(F.count("*").alias("repos"), F.sum("docs").alias("docs"))
     return by_owner.groupBy("value").agg(F.sum("docs").alias("n_docs"), F.sum("repos").alias("n_repos"),
                                          F.count("*").alias("n_owners"))
@@ -114,8 +112,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repo:
         F.col("doc_id").cast("long"), F.col("repo").cast("string"), F.col("owner").cast("string"),
         F.col("text").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     found = staged(_scanned(rows), "secret-candidates")
-    each = (found.where(F.size("value") > 0).select("doc_id", "text_hash", "repo", "owner", F.posexplode(
-        F.arrays_zip("value", "docs")).alias("spot", "x")).select("doc_id", "text_hash", "repo", "owner", "spot", "x.*"))
+    each = found.select("doc_id", "text_hash", "repo", "owner", F.posexplode("value").alias("spot", "value"))
     owned = staged(ownership(each), "secret-values")
     # only values that are spread are looked up; all others have one owner and are no examples
     example = F.expr(f"n_owners >= {OWNERS} OR (n_repos >= {REPOS} AND n_docs >= {DOCS}) OR n_docs >= {MANY}")
