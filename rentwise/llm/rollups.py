@@ -9,8 +9,9 @@ A ledger folder holds two additive tables, both written batch by batch:
 Totals are sums over the deltas. A batch is committed by replacing its two
 partitions: counts first, then the deltas that make it visible, so a batch that is
 delivered again, or that failed half-way, ends in the same state. What a delete or
-a revision takes back is the document's own balance in all *other* batches, which
-does not change when the batch is repeated; batches are committed in order.
+a revision takes back is the document's own balance in all *earlier* batches, which
+does not change when the batch is repeated; batches are committed in order. Of the earlier
+counts only those of the batch's documents are grouped.
 
 Defined cases: null and empty texts have 0 tokens and count as a document. A
 null source or language is a group of its own. Within a batch one document
@@ -23,17 +24,40 @@ Rows with a null doc_id are left out: they could never be revised.
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, source
+from .common import bound_batches, source, staged
 
 COUNTS = "doc_id long, source string, lang string, version string, docs long, tokens long, batch int"
 DELTAS = "source string, lang string, version string, docs long, tokens long, batch int"
 
 
+# fixed values: the characters that \s stands for in the published pattern, and the run length beyond which
+# its backtracking over them is avoided
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_RUN = re.compile(f"[{BLANKS}]{{1000,}}")
+
+
+def number_of_tokens(encoding, text: str) -> int:
+    """Tokens of a text under a pattern that takes a run of white space, but for its last character before other
+    text, as one piece.
+
+    Long runs are cut out at these places and encoded as the pieces they are, without the pattern (which recurses once per
+    character there).
+    """
+    total, at = 0, 0
+    for run in LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoding.encode_ordinary(text[at:run.start()]))
+        total += len(encoding._encode_single_piece(text[run.start():end]))
+        at = end
+    return total + len(encoding.encode_ordinary(text[at:]))
+
+
 def count_tokens(docs: DataFrame, ranks: str, pattern: str, version: str) -> DataFrame:
     """``docs`` (with a column text) plus version and tokens; ``ranks`` is a byte-pair rank file on every machine."""
     def run(batches):
@@ -44,7 +68,7 @@ def count_tokens(docs: DataFrame, ranks: str, pattern: str, version: str) -> Dat
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            counts = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(at).to_pylist()]
+            counts = [number_of_tokens(encoding, t) if t else 0 for t in batch.column(at).to_pylist()]
             kept = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(counts, pa.int64())],
                                              [*kept, "tokens"])
@@ -67,10 +91,14 @@ class TokenLedger:
 
     def commit(self, batch: int, events: DataFrame) -> None:
         """Apply ``events``: event (insert, delete, revise), doc_id, source, lang, version, tokens (new count)."""
+        if not self._read("merged", "batch int").where(f"batch >= {int(batch)}").isEmpty():
+            return
         first = F.max_by(F.struct("event", "source", "lang", "tokens"), F.struct("event", "tokens", "source", "lang"))
         events = (events.where("doc_id IS NOT NULL").groupBy("doc_id", "version").agg(first.alias("e"))
                   .select("doc_id", "version", "e.*"))
-        before = (self._read("counts", COUNTS).where(f"batch < {int(batch)}")
+        events = staged(events, "token-events")
+        named = events.select("doc_id", "version")
+        before = (self._read("counts", COUNTS).where(f"batch < {int(batch)}").join(named, ["doc_id", "version"], "left_semi")
                   .groupBy("doc_id", "source", "lang", "version")
                   .agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0"))
         known = before.select("doc_id", "version", F.lit(True).alias("known")).distinct()
@@ -86,6 +114,24 @@ class TokenLedger:
         (written.groupBy("source", "lang", "version").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
          .write.mode("overwrite").parquet(f"{self.path}/deltas/batch={int(batch)}"))
 
+    def compact(self, path: str) -> "TokenLedger":
+        """A new ledger at ``path`` with the sums of all committed batches; this one stays as it is.
+
+        To be run between commits. In the new ledger the merged batches count as committed: they change nothing
+        when they are delivered again. A run that dies leaves a folder without the table ``merged``, to be written anew.
+        """
+        deltas, target = self._read("deltas", DELTAS), TokenLedger(self.spark, path)
+        last = deltas.agg(F.max("batch")).first()[0]
+        sums = lambda df, *keys: df.where(F.col("batch") <= last).groupBy(*keys).agg(
+            F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
+        if last is not None:
+            merged = {"counts": sums(self._read("counts", COUNTS), "doc_id", "source", "lang", "version"),
+                      "deltas": sums(deltas, "source", "lang", "version")}
+            for name, rows in merged.items():
+                rows.write.mode("overwrite").parquet(f"{target.path}/{name}/batch={last}")
+            self.spark.createDataFrame([(last,)], "batch int").write.mode("overwrite").parquet(f"{target.path}/merged")
+        return target
+
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens over the committed batches; groups that went back to 0 are left out."""
         return (self._read("deltas", DELTAS).groupBy("source", "lang", "version")
