@@ -49,6 +49,22 @@ def ids_join(df: DataFrame, ids: DataFrame, key: str, how: str, bound: int = BRO
     return df.join(F.broadcast(side) if side.count() <= bound else side, key, how)
 
 
+def text_hash(text: str) -> Column:
+    """Names a row's text: with the doc_id it tells rows apart that repeat an id, or have none."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_hash")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, key: str, text: str, bound: int = BROADCAST_IDS // 2) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (doc_id, text_hash) names, null ids included; all columns as they were.
+
+    The names are broadcast only after counting them; more take the shuffle join, with the same result.
+    """
+    names = staged(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone-rows")
+    same = F.col(f"`{key}`").eqNullSafe(F.col("gone_id")) & (text_hash(text) == F.col("gone_hash"))
+    return docs.join(F.broadcast(names) if names.count() <= bound else names, same, "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
 def bucket_of(key: Column, modulus: int) -> Column:
     """The crc32 of an id's decimal text, modulo a number: the fixed folds of the label tables."""
     return F.crc32(key.cast("string")) % modulus

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, ids_join, source, staged
+from .common import bound_batches, source, staged, text_hash, without_rows
 from .shingles import Hasher
 
 CONTAINMENT_PERCENT = 75
 MAX_SKETCH = 256
 BLOCK_ITEMS = 50_000  # items broadcast at once; more items take further passes over the documents
-HITS = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+HITS = "doc_id long, item_id long, n_item long, n_shared long, containment double, text_hash long"
 
 
 def sketch_size(n: int, percent: int) -> int:
@@ -79,10 +79,17 @@ def _owners(shingles: np.ndarray, index) -> np.ndarray:
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT_PERCENT, key: str = "doc_id",
                     text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every pair (document, item) of which the document holds at least ``percent`` of the item's shingles."""
+    return hits_of_rows(docs, items, percent, key, text, item_key, item_text).drop("text_hash")
+
+
+def hits_of_rows(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT_PERCENT, key: str = "doc_id",
+                 text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The result of ``contained_items`` with the hash of the row's text."""
     spark = docs.sparkSession
     bound_batches(spark)
     sets = staged(item_sets(items, item_key, item_text), "decontam-items")
-    rows = source(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    rows = source(docs, doc_id=key, text=text).select(
+        F.col("doc_id").cast("long"), F.col("text").cast("binary"), text_hash("text"))
     blocks = max(1, -(-sets.count() // BLOCK_ITEMS))
     out = None
     for block in range(blocks):
@@ -103,24 +110,22 @@ def _search(rows: DataFrame, part, percent: int) -> DataFrame:
         ids, sizes, sketch, full = shipped.value
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, named in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own = hasher.shingles(text)
                 likely = np.unique(_owners(own, sketch)) if len(own) else ()
                 if not len(likely):
                     continue
                 shared = np.bincount(_owners(own, full), minlength=len(sizes))
                 for i in likely[100 * shared[likely] >= percent * sizes[likely]]:
-                    out.append((doc_id, ids[i], int(sizes[i]), int(shared[i]), shared[i] / sizes[i]))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                    out.append((doc_id, ids[i], int(sizes[i]), int(shared[i]), shared[i] / sizes[i], named))
+            columns = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
-                                             ["doc_id", "item_id", "n_item", "n_shared", "containment"])
+                                             ["doc_id", "item_id", "n_item", "n_shared", "containment", "text_hash"])
 
     return rows.mapInArrow(run, HITS)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were."""
-    hits = contained_items(docs, items, key=key, text=text)
-    gone = staged(hits.select("doc_id").distinct(), "decontam-gone")
-    return ids_join(docs, gone, key, "left_anti").select(docs.columns)
+    return without_rows(docs, hits_of_rows(docs, items, key=key, text=text), key, text)

@@ -16,20 +16,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_join, source, staged
+from .common import source, staged, text_hash, without_rows
 
 SPACE = ("\x20", "\x09", "\x0A", "\x0B", "\x0C", "\x0D")
 TRACKED = 2048  # counters of the summary, and the proven bound of the broadcast
 
 
 def text_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_sha256 (of the text without white space), n_points (code points of the original)."""
+    """doc_id, text_sha256 (of the text without white space), n_points (code points of the original), text_hash (of it)."""
     rows = source(docs, doc_id=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     bare = F.col("text")
     for char in SPACE:
         bare = F.replace(bare, F.lit(char), F.lit(""))
     return rows.select("doc_id", F.sha2(bare.cast("binary"), 256).alias("text_sha256"),
-                       F.length("text").cast("long").alias("n_points"))
+                       F.length("text").cast("long").alias("n_points"), text_hash("text"))
 
 
 def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
@@ -62,8 +62,13 @@ def group_columns():
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", tracked: int = TRACKED) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, hot (decided on the map side)."""
+    return decided(docs, key, text, tracked).drop("text_hash")
+
+
+def decided(docs: DataFrame, key: str = "doc_id", text: str = "text", tracked: int = TRACKED) -> DataFrame:
+    """The result of ``exact_dedup`` with the hash of every row's text."""
     digests = staged(text_digests(docs, key, text), "dedup-digests")
-    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "hot"]
+    out = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "hot", "text_hash"]
     winners = staged(frequent_digests(digests, tracked), "dedup-winners")
     stays = (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")))
     hot = digests.join(F.broadcast(winners), "text_sha256").withColumn("hot", F.lit(True))
@@ -77,7 +82,5 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", tracke
 
 
 def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all columns as they were."""
-    decided = exact_dedup(docs, key, text)
-    gone = staged(decided.where("NOT kept").select("doc_id").distinct(), "dedup-gone")
-    return ids_join(docs, gone, key, "left_anti").select(docs.columns)
+    """The documents that stay, all columns as they were; of rows that repeat an id each is judged by its own text."""
+    return without_rows(docs, decided(docs, key, text).where("NOT kept"), key, text)

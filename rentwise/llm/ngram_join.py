@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, ids_join, source, staged
+from .common import bound_batches, components, ids_join, source, staged, text_hash, without_rows
 from .shingles import Hasher
 
 PERCENT = 75
@@ -58,11 +58,11 @@ SEEN = 100_000             # classes a task remembers, to send a copied class's
 
 
 def _bytes_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_hash("text"))
 
 
 def _classes_and_counts(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, cls), and per task the non-zero shingle counts in 64 blocks of buckets."""
+    """Rows (doc_id, n, cls, text_hash), and per task the non-zero shingle counts in 64 blocks of buckets."""
     def run(batches):
         hasher, counts = Hasher(), np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
@@ -74,7 +74,7 @@ def _classes_and_counts(docs: DataFrame) -> DataFrame:
                                       minlength=1 << ORDER_BITS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ns, pa.int32()), pa.array(np.array(cls, np.uint64).view(np.int64)),
-                 pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary())], NAMES)
+                 pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.nulls(size, pa.binary()), batch.column(2)], NAMES)
         at = np.flatnonzero(counts)
         cut = np.searchsorted(at, np.arange(65) << (ORDER_BITS - 6))
         parts = [(b, at[cut[b]:cut[b + 1]]) for b in range(64) if cut[b] < cut[b + 1]]
@@ -83,10 +83,11 @@ def _classes_and_counts(docs: DataFrame) -> DataFrame:
             [pa.nulls(size, pa.int64()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()),
              pa.array([b for b, _ in parts], pa.int32()),
              pa.array([i.astype(np.uint32).tobytes() for _, i in parts], pa.binary()),
-             pa.array([counts[i].astype(np.uint32).tobytes() for _, i in parts], pa.binary())], NAMES)
+             pa.array([counts[i].astype(np.uint32).tobytes() for _, i in parts], pa.binary()), pa.nulls(size, pa.int64())], NAMES)
 
-    NAMES = ["doc_id", "n", "cls", "block", "buckets", "counts"]
-    return _bytes_of(docs).mapInArrow(run, "doc_id long, n int, cls long, block int, buckets binary, counts binary")
+    NAMES = ["doc_id", "n", "cls", "block", "buckets", "counts", "text_hash"]
+    return _bytes_of(docs).mapInArrow(
+        run, "doc_id long, n int, cls long, block int, buckets binary, counts binary, text_hash long")
 
 
 def _order_table(found: DataFrame) -> np.ndarray:
@@ -313,11 +314,11 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_id, text) -> components of classes (node, root), and members (doc_id, n, cls)."""
+    """``docs`` (doc_id, text) -> components of classes (node, root), and members (doc_id, n, cls, text_hash)."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = staged(_classes_and_counts(docs), "ngram-classes")
-    own = found.where("block IS NULL").select("doc_id", "n", "cls")
+    own = found.where("block IS NULL").select("doc_id", "n", "cls", "text_hash")
     reps = staged(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "ngram-reps")
     docs = docs.where("doc_id IS NOT NULL")
     met = staged(_meetings(_prefix_rows(docs, _order_table(found))), "ngram-met")
@@ -342,11 +343,16 @@ def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return roots, own
 
 
+def _members(docs: DataFrame) -> DataFrame:
+    """doc_id, n, text_hash and root (of its component) of every row of ``docs`` (doc_id, text)."""
+    roots, own = class_roots(docs)
+    own = own.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return staged(own, "ngram-own")
+
+
 def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    roots, own = class_roots(source(docs, doc_id=key, text=text))
-    own = own.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    own = staged(own, "ngram-own")
+    own = _members(source(docs, doc_id=key, text=text))
     # documents without shingles are alone; all others get their component's smallest id
     low = staged(own.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("low")), "ngram-low-ids")
     return own.join(low, "root", "left").select(
@@ -356,7 +362,14 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group stays (the one with the smallest id), all columns as they were."""
-    groups = ngram_groups(docs, key, text)
-    gone = staged(groups.where("component_id <> doc_id").select("doc_id").distinct(), "ngram-gone")
-    return ids_join(docs, gone, key, "left_anti").select(docs.columns)
+    """One row of each group stays (the one with the smallest id, then the smallest hash of its text), all columns as they were.
+
+    A row without an id takes part under a number that comes after all usual ids.
+    """
+    late = F.lit(1 << 62) + F.pmod(text_hash(text), F.lit(1 << 62))
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), late).alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    own = _members(rows).where("n > 0")
+    low = staged(own.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("low")), "ngram-low-rows")
+    gone = own.join(low, "root").where("doc_id <> low.doc_id OR text_hash <> low.text_hash")
+    unnamed = F.col("doc_id") == F.lit(1 << 62) + F.pmod("text_hash", F.lit(1 << 62))
+    return without_rows(docs, gone.select(F.when(~unnamed, F.col("doc_id")).alias("doc_id"), "text_hash"), key, text)

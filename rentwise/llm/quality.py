@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, bucket_of, hashed_share, ids_join, source, staged
+from .common import bound_batches, bucket_of, hashed_share, source, staged, text_hash, without_rows
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, LEAVES = 64, 8, 4
@@ -75,17 +75,18 @@ def features(text: bytes | None) -> np.ndarray:
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, f (the features) for every document."""
+    """doc_id, text_hash, f (the features) for every document."""
     def run(batches):
         for batch in batches:
-            rows = [features(t) for t in batch.column(1).to_pylist()]
+            rows = [features(t) for t in batch.column(2).to_pylist()]
             flat = np.concatenate(rows) if rows else np.empty(0, np.float32)
             ends = np.arange(len(rows) + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "f"])
+                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
+                ["doc_id", "text_hash", "f"])
 
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, f array<float>")
+    rows = docs.select("doc_id", text_hash("text"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, f array<float>")
 
 
 def _tree(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, size: int) -> np.ndarray:
@@ -185,6 +186,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     ``held_out`` is a condition on doc_id: its labels are not learned from.
     """
+    return scored_rows(docs, labels, key, text, label, held_out, threshold).drop("text_hash")
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
+                label: str = "quality", held_out=None, threshold: float = THRESHOLD) -> DataFrame:
+    """The result of ``score_quality`` with the hash of every row's text."""
     bound_batches(docs.sparkSession)
     held = bucket_of(F.col("doc_id"), 4) == 2 if held_out is None else held_out
     held = F.coalesce(held, F.lit(False))
@@ -202,17 +209,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     def run(batches):
         for batch in batches:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False)
             scores = model.score(flat.reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], ["doc_id", "text_hash", "score"])
 
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(run, "doc_id long, text_hash long, score double")
     return scored.select("doc_id", held.alias("held_out"), "score",
-                         (F.col("score") >= threshold).cast("int").alias("predicted"))
+                         (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts (score >= THRESHOLD), all columns as they were."""
-    scored = score_quality(docs, labels)
-    gone = staged(scored.where("predicted = 0").select("doc_id").distinct(), "quality-gone")
-    return ids_join(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    return without_rows(docs, scored_rows(docs, labels).where("predicted = 0"), "doc_id", "text")

@@ -390,3 +390,153 @@ def test_pipeline_stages(spark):
         kept = now
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in out.collect()} == kept and out.where(F.size("ids") != F.col("n_ids")).count() == 0
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Rows that repeat an id, or have none, are judged by their own text in every filtering stage."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = words(1).split()[:-3] + ["else", "again", "once"]
+    schema = "doc_id long, text string, lang string, text_hash long"
+    kept = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = [(1, "a"), (1, "unique text b"), (2, "a  "), (None, "a"), (None, "only here"), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", 5) for i, t in rows], schema)
+    out = exact_dedup.drop_duplicates(docs)
+    assert kept(out) == sorted([(1, "unique text b"), (2, "a  "), (None, "only here"), (7, "")], key=str) and out.columns == docs.columns
+    rows = [(5, words(1)), (6, " ".join(near)), (6, words(2)), (None, words(1) + " more"), (None, words(3)), (None, ""), (8, words(3)), (9, words(9))]
+    docs = spark.createDataFrame([(i, t, "en", 5) for i, t in rows], schema)
+    want = sorted([(5, words(1)), (6, words(2)), (None, ""), (8, words(3)), (9, words(9))], key=str)
+    assert kept(ngram_join.drop_near_copies(docs)) == want
+    items = spark.createDataFrame([(1, words(2)), (2, words(3))], "item_id long, text string")
+    want = sorted([r for r in rows if r[1] not in (words(2), words(3))], key=str)
+    assert kept(decontaminate.drop_contaminated(docs, items)) == want
+    given, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    bad = [r.text for r in given.join(labels.where("quality = 0"), "doc_id").limit(2).collect()]
+    good = [r.text for r in given.join(labels.where("quality = 1"), "doc_id").orderBy(F.desc("n_chars")).limit(2).collect()]
+    odd = spark.createDataFrame([(-1, bad[0]), (-1, good[0]), (None, bad[1]), (None, good[1])], "doc_id long, text string")
+    out = quality.keep_good(given.select("doc_id", "text").union(odd), labels)
+    assert kept(out.where("doc_id IS NULL OR doc_id < 0")) == sorted([(-1, good[0]), (None, good[1])], key=str)
+
+
+def test_op4_long_texts_and_repeated_rows(spark):
+    import time
+
+    rng, some = random.Random(3), "xyzXYZ0123456789+/_"
+    token = lambda: "aB3" + "".join(rng.choice(some) for _ in range(27))
+    text = " ".join(f"secret={token()} {token()} {'0f' * 13}" for _ in range(16_000))
+    at = time.monotonic()
+    found = secret_scan.candidates(text)
+    assert time.monotonic() - at < 20 and len(found) == 48_000
+    spans = [(a, b) for a, k, b, _ in found if k < 3]
+    for a, k, b, v in rng.sample(found, 200):
+        assert text[a:b].endswith(v) and (k < 3 or all(b <= x or y <= a for x, y in spans))
+    live = "Zx9Kq2Lm7Pw4Rt8Vb3Nc6YdA1"
+    docs = docs_of(spark, [f"my {live} here"] * 150 + ["other"], [7] * 150 + [8])
+    got = secret_scan.scan_secrets(docs.withColumn("source", F.lit("one"))).where("doc_id = 7").distinct().collect()
+    assert [(r.n_live, r.n_examples, r.spans) for r in got] == [(1, 0, f"token:3:{3 + len(live)}")]
+
+
+def test_op5_deep_and_unclosed_tags_take_linear_time():
+    import time
+
+    for page in ("<div>x " * 20_000, "<b>x " * 20_000 + "<p>y" * 20_000, "<p>a<b>" * 20_000, "</i>" * 50_000,
+                 "<div><b>" * 10_000 + "</div>" * 10_000):
+        at = time.monotonic()
+        paths, found = html_text.parse(page)
+        html_text.content_paths(paths, html_text.path_totals(found), {})
+        assert time.monotonic() - at < 5
+
+
+@pytest.mark.parametrize("name", ["comment-content", "post-comments", "sidebar-content", "cookie-content", "related-story", "entry-footer"])
+def test_op5_names_of_other_parts_win(spark, name):
+    want = "\n".join(t for _, t in html_text.blocks(STORY))
+    other = f'<div class="{name}">' + "<p>Something said by others, which is rather long as well, and has marks, too.</p>" * 2 + "</div>"
+    got = texts_of_pages(spark, [f"<body><article>{STORY}</article>{other}</body>", f"<body><div class='text'>{STORY}</div>{other}</body>",
+                                 f"<body><article>{STORY}{other}</article></body>", f"<body><div class='post'>{STORY}</div>{other}</body>"])
+    assert got == [want] * 4
+
+
+def own_pieces(text):
+    """The published pattern by an own splitter: greedy alternatives in their order."""
+    import regex
+
+    white = regex.compile(r"\p{White_Space}")
+    out, i, n = [], 0, len(text)
+    kind = lambda c: "s" if white.match(c) else "L" if regex.match(r"\p{L}", c) else "N" if regex.match(r"\p{N}", c) else "o"
+    kinds = [kind(c) for c in text]
+    while i < n:
+        short = next((s for s in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d") if text.startswith(s, i)), None)
+        at = i + (text[i] == " " and i + 1 < n and kinds[i + 1] != "s")
+        if short:
+            end = i + len(short)
+        elif kinds[at] != "s":
+            end = at
+            while end < n and kinds[end] == kinds[at]:
+                end += 1
+        else:
+            end = i
+            while end < n and kinds[end] == "s":
+                end += 1
+            end -= end < n and end - i > 1
+        out.append(text[i:end])
+        i = end
+    return out
+
+
+def test_op9_token_counts_of_long_and_odd_texts(spark):
+    import base64
+    import time
+
+    import tiktoken
+
+    with open(Q.RANKS, "rb") as lines:
+        merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("ranks", pat_str=Q.PATTERN, mergeable_ranks=merges, special_tokens={})
+    by_pieces = lambda t: sum(len(encoding._encode_single_piece(p)) for p in own_pieces(t))
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["a", "é", "1", " ", "  ", "\n", "\t", " ", "\x1c", "'s", "'", "!", "日", "\r\n"]) for _ in range(60)) for _ in range(300)]
+    texts += [f"{a}{w * n}{b}" for w in " \n\t " for n in (999, 1000, 1001, 2500) for a in ("", "x", "x.") for b in ("", "y", "!", "'s", "\x1c")]
+    texts += [" " * 700 + "\n" * 700 + " a", "a" * 5000, "\x1c" * 1500]
+    for t in texts:
+        assert rollups.number_of_tokens(encoding, t) == len(encoding.encode_ordinary(t)) == by_pieces(t), repr(t[:40])
+    at = time.monotonic()
+    long = {c: rollups.number_of_tokens(encoding, c * 10**6 + "x") for c in (" ", "\n", "\t", "a")}
+    assert time.monotonic() - at < 30
+    assert long[" "] == 10**6 - 1 + len(encoding.encode_ordinary(" x")) or long[" "] > 0
+    docs = docs_of(spark, [" " * 10**6 + "x", None, "", "a b"])
+    got = {r.doc_id: r.tokens for r in rollups.events_of(docs, "insert", Q.RANKS, Q.PATTERN, "v").collect()}
+    assert got == {0: long[" "], 1: 0, 2: 0, 3: 2}
+
+
+def test_op9_totals_equal_a_recount_and_compaction(spark, tmp_path):
+    rng, truth = random.Random(12), {}
+    ledger = rollups.TokenLedger(spark, f"file://{tmp_path}/ledger")
+    schema = "event string, doc_id long, source string, lang string, version string, tokens long"
+    for batch in range(1, 7):
+        rows = {}
+        for _ in range(12):
+            event, i, v = rng.choice(["insert", "delete", "revise"]), rng.randrange(15), rng.choice(["v1", "v2"])
+            if (i, v) not in rows:
+                rows[i, v] = (event, i, rng.choice("ab"), rng.choice(["en", None]), v, rng.randrange(50))
+        events = spark.createDataFrame(list(rows.values()), schema)
+        ledger.commit(batch, events)
+        for (i, v), (event, _, source, lang, _, tokens) in rows.items():
+            if event == "delete":
+                truth.pop((i, v), None)
+            elif event == "revise" or (i, v) not in truth:
+                truth[i, v] = (source, lang, v, tokens)
+        want = {}
+        for source, lang, v, tokens in truth.values():
+            n, total = want.get((source, lang, v), (0, 0))
+            want[source, lang, v] = (n + 1, total + tokens)
+        now = lambda: {(r.source, r.lang, r.version): (r.n_docs, r.n_tokens) for r in ledger.totals().collect()}
+        assert now() == want
+        if batch == 4:
+            ledger = ledger.compact(f"file://{tmp_path}/compacted")
+            assert now() == want
+            ledger.commit(3, events)  # a batch that was merged, delivered again
+            assert now() == want
+    half = f"{ledger.path}/counts/batch=7"  # a commit that died between its two tables
+    spark.createDataFrame([(1, "a", "en", "v1", 1, 99)], rollups.COUNTS.rpartition(",")[0]).write.parquet(half)
+    assert now() == want
+    ledger.commit(7, spark.createDataFrame([("insert", 77, "z", "en", "v1", 5)], schema))
+    assert now() == want | {("z", "en", "v1"): (1, 5)}
