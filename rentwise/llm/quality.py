@@ -199,7 +199,8 @@ def scored_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
         "doc_id", F.col("doc_id").cast("long"))), "quality-features")
     marks = (source(labels, doc_id=key, y=label).where("doc_id IS NOT NULL AND y IS NOT NULL").where(~held)
              .groupBy("doc_id").agg(F.round(F.avg("y")).cast("int").alias("y")))
-    marks = staged(marks, "quality-labels")
+    # labels of documents that are not here (any more) take no part
+    marks = staged(marks.join(rows.select("doc_id"), "doc_id", "left_semi"), "quality-labels")
     # four times the sample by hash: neither the join nor the ranking grows with the labels
     few = marks.where(hashed_share(F.col("doc_id"), 4 * SAMPLE / max(1, marks.count())))
     sample = (rows.join(few, "doc_id").dropDuplicates(["doc_id"])

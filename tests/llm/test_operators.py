@@ -540,3 +540,66 @@ def test_op9_totals_equal_a_recount_and_compaction(spark, tmp_path):
     assert now() == want
     ledger.commit(7, spark.createDataFrame([("insert", 77, "z", "en", "v1", 5)], schema))
     assert now() == want | {("z", "en", "v1"): (1, 5)}
+
+
+def balanced_texts(n, seed):
+    """Insult and group mention are each as frequent in clean as in toxic texts; together they are toxic. Other texts are toxic
+    by words of their own; 3,000 ordinary words."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        toxic, u = rng.random() < 0.5, rng.random()
+        words = [f"word{rng.randrange(3000)}" for _ in range(60)]
+        if toxic:
+            kind, own = ("pair", ["zzinsultzz", "qqgroupqq"]) if u < 0.4 else ("direct", [f"vile{rng.randrange(5)}"])
+        else:
+            kind, own = ("clean", [["zzinsultzz"], ["qqgroupqq"], []][min(2, int(u / 0.4))])
+        words += own
+        rng.shuffle(words)
+        out.append((" ".join(words), int(toxic), kind))
+    return out
+
+
+def test_op3_learns_a_pair_of_which_neither_word_tells_anything(spark):
+    texts = balanced_texts(5000, 1)
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)] + [(0, "zz"), (None, texts[0][0])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y, _) in enumerate(texts)] + [(9_999_999, 1), (1, 0)], "doc_id long, toxic int")
+    got = [r for r in toxicity.score_toxicity(docs, labels).collect() if r.held_out and r.doc_id]
+    marked = lambda kind: [r.predicted for r in got if texts[r.doc_id][2] == kind]
+    share = lambda x: sum(x) / len(x)
+    assert share(marked("pair")) >= 0.9 and share(marked("direct")) >= 0.9 and share(marked("clean")) <= 0.05
+
+
+def test_op3_scores_and_pairs_equal_plain_loops():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    model = toxicity.FactorizationMachine()
+    model.w, model.v, model.bias = rng.normal(size=40), rng.normal(size=(40, toxicity.FACTORS)), 0.3
+    for n in (0, 1, 2, 7, 30):
+        at = np.sort(rng.choice(np.arange(1, 40), n, replace=False))
+        margin = model.bias + sum(model.w[i] for i in at) + sum(float(model.v[i] @ model.v[j]) for i, j in itertools.combinations(at, 2))
+        assert model.score(at) == pytest.approx(1 / (1 + np.exp(-min(60, max(-60, margin)))))
+    texts, terms = balanced_texts(1500, 2), toxicity.Terms()
+    found = toxicity.pair_slots([terms.words_of(t) for t, _, _ in texts], np.array([float(y) for _, y, _ in texts]))
+    assert set(found) == set(terms.words_of("zzinsultzz qqgroupqq"))
+    held = np.array([0, 2, 50, 60]), np.array([0, 2, 25, 60])
+    assert toxicity.clear_slots(*held, 200, 100).tolist() == [3]
+
+
+def test_op7_score_is_the_sum_of_table_entries(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4)).astype(np.float32)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.AdditiveModel().fit(x, y)
+    got = model.score(x)
+    for i in range(0, 400, 7):
+        margin = model.base
+        for j in range(4):
+            margin += model.tables[j][sum(c <= x[i, j] for c in model.cuts[j])]
+        for (a, b), table in zip(model.pairs, model.pair_tables):
+            bins = [sum(c <= x[i, k] for c in model.coarse[k]) for k in (a, b)]
+            margin += table[bins[0] * (len(model.coarse[b]) + 1) + bins[1]]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-margin)))
+    assert ((got >= 0.5) == y).mean() > 0.9  # the two features count together only
