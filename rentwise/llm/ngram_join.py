@@ -16,7 +16,8 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    ``LIST`` classes produce pairs, at most LIST / 2 per row; pairs with too few
    shared prefix shingles are dropped, the others verified on their whole sets:
    first every class's likeliest pair, then all pairs not yet in one component.
-4. A prefix shingle in more classes than ``LIST`` produces no pairs. The classes
+4. A prefix shingle in more classes than ``LIST`` produces no pairs, and the rows of one that
+   very many hold are dealt over slots, so that they never meet in one task. The classes
    that such shingles connect form regions. In a region beyond one block's size,
    all classes are first compared with a few pivots (the class with the most
    such shingles and some by hash): those that link with a pivot are in its component and need
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, ids_join, source, staged, text_hash, without_rows
+from .common import bound_batches, components, ids_join, join_counted, source, staged, text_hash, without_rows
 from .shingles import Hasher
 
 PERCENT = 75
@@ -54,6 +55,8 @@ BLOCK_SHINGLES = 800_000   # shingles of one block of a dense region
 BLOCK_CLASSES = 2_000      # classes of one, as two blocks are compared by a matrix of classes: some 150 MB
 STRIP = 512                # rows of that matrix that are computed at a time
 PIVOTS = 4                 # classes of a large region that all of it is compared with
+SHARE = 64                 # of so many classes one is looked at for shingles that very many hold
+SLOT_ROWS = 4_096          # rows of such a shingle that meet in one slot
 SEEN = 100_000             # classes a task remembers, to send a copied class's prefix only once
 
 
@@ -152,13 +155,27 @@ def _prefix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return _bytes_of(docs).mapInArrow(run, "token long, cls long, n int, match int")
 
 
-def _meetings(rows: DataFrame) -> DataFrame:
+def _hot_shingles(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(token, slots) of shingles that very many classes hold, and into how many slots their rows are dealt.
+
+    Found in every ``SHARE``-th class: more than ``LIST`` of these have it, so its list is long for certain. Rows of other
+    shingles are a few thousand at most, with overwhelming probability; whatever is not found here is only not dealt out.
+    """
+    some = reps.where(F.pmod(F.xxhash64("cls"), F.lit(SHARE)) == 0).select("cls")
+    held = (_sets(docs, reps, some).select("cls", F.explode("shingles").alias("token"))
+            .groupBy("token").agg(F.count_distinct("cls").alias("n")).where(F.col("n") > LIST))
+    return held.select("token", F.ceil(F.col("n") * SHARE / SLOT_ROWS).cast("int").alias("slots"))
+
+
+def _meetings(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """What meets in the prefix shingles that at least two rows hold, from one sort by shingle.
 
     Rows (a, b, matches, need) for every pair that shares shingles of short
-    lists, and rows (token, b, n) for every class in a long list.
+    lists, and rows (token, b, n) for every class in a long list. Rows of the shingles ``hot`` are dealt over slots, and
+    no list of neighbours is made of them.
     """
-    by = Window.partitionBy("token")
+    rows = join_counted(rows, hot, "token").withColumn("slot", F.pmod(F.xxhash64("cls"), F.coalesce("slots", F.lit(1))))
+    by = Window.partitionBy("token", "slot")
     before = by.orderBy("n", "cls").rowsBetween(1 - LIST, -1)
     near = F.filter("before", lambda x: (x["cls"] != F.col("cls")) & (100 * x["n"] >= PERCENT * F.col("n")))
     least_shared = lambda n: F.ceil(F.lit(PERCENT) * n / 100)  # noqa: E731  by any set similar to one of n shingles
@@ -172,8 +189,9 @@ def _meetings(rows: DataFrame) -> DataFrame:
     alone = F.array(F.struct(F.col("token"), F.lit(None).cast("long").alias("a"), F.col("cls").alias("b"), "n",
                              F.lit(0).alias("need")))
     met = (rows.withColumn("held", F.count("*").over(by))
-           .withColumn("before", F.collect_list(F.struct("cls", "n", "match")).over(before))
-           .where("held > 1").select(F.explode(F.when(F.col("held") <= LIST, pair).otherwise(alone)).alias("x"))
+           .withColumn("before", F.collect_list(F.when(F.col("slots").isNull(), F.struct("cls", "n", "match"))).over(before))
+           .where("held > 1 OR slots IS NOT NULL")
+           .select(F.explode(F.when(F.col("slots").isNull() & (F.col("held") <= LIST), pair).otherwise(alone)).alias("x"))
            .select("x.*"))
     return met.groupBy("token", "a", "b").agg(F.count("*").alias("matches"), F.min("need").alias("need"),
                                               F.max("n").alias("n"))
@@ -321,7 +339,7 @@ def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = found.where("block IS NULL").select("doc_id", "n", "cls", "text_hash")
     reps = staged(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "ngram-reps")
     docs = docs.where("doc_id IS NOT NULL")
-    met = staged(_meetings(_prefix_rows(docs, _order_table(found))), "ngram-met")
+    met = staged(_meetings(_prefix_rows(docs, _order_table(found)), _hot_shingles(docs, reps)), "ngram-met")
     dense = met.where("token IS NOT NULL").select("token", "b", "n")
     regions = _regions(dense)
     # a pair inside a region is compared there; any other shares no shingle of a long list, so its count is whole

@@ -603,3 +603,32 @@ def test_op7_score_is_the_sum_of_table_entries(spark):
             margin += table[bins[0] * (len(model.coarse[b]) + 1) + bins[1]]
         assert got[i] == pytest.approx(1 / (1 + np.exp(-margin)))
     assert ((got >= 0.5) == y).mean() > 0.9  # the two features count together only
+
+
+def test_op8_hot_shingles_are_dealt_over_slots(spark, monkeypatch):
+    """A shingle that a third of the classes hold: its rows meet in slots, and the groups stay right."""
+    monkeypatch.setattr(ngram_join, "SHARE", 2)
+    monkeypatch.setattr(ngram_join, "LIST", 8)
+    monkeypatch.setattr(ngram_join, "SLOT_ROWS", 16)
+    rng = random.Random(21)
+    own = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage = " ".join(f"common{k}" for k in range(13))
+    texts = [f"{own(k % 3 + 1)} {passage}" for k in range(150)] + [own(12) for _ in range(250)]
+    texts += [t + " end" for t in texts[:20]] + near_copies(3, 12, words=40, most=3)
+    seen = {}
+    meet = ngram_join._meetings
+
+    def spy(rows, hot):
+        hot = ngram_join.staged(hot, "test-hot")
+        seen["hot"] = [r.asDict() for r in hot.collect()]
+        met = meet(rows, hot)
+        dealt = ngram_join.join_counted(rows, hot, "token").where("slots IS NOT NULL")
+        slot = F.pmod(F.xxhash64("cls"), F.col("slots"))
+        seen["rows"] = [r["count"] for r in dealt.groupBy("token", slot).count().collect()]
+        return met
+
+    monkeypatch.setattr(ngram_join, "_meetings", spy)
+    got = by_id(ngram_join.ngram_groups(docs_of(spark, texts)))
+    assert [got[i].component_id for i in range(len(texts))] == groups_of(texts)
+    assert max(h["slots"] for h in seen["hot"]) > 4
+    assert max(seen["rows"]) <= 60 and sum(seen["rows"]) >= 100
