@@ -29,6 +29,7 @@ from .shingles import Hasher
 CONTAINMENT_PERCENT = 75
 MAX_SKETCH = 256
 BLOCK_ITEMS = 50_000  # items broadcast at once; more items take further passes over the documents
+BLOCK_SHINGLES = 4_000_000  # and their shingles, some 100 MB of index; a block holds one item at least
 HITS = "doc_id long, item_id long, n_item long, n_shared long, containment double, text_hash long"
 
 
@@ -90,7 +91,8 @@ def hits_of_rows(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT_P
     sets = staged(item_sets(items, item_key, item_text), "decontam-items")
     rows = source(docs, doc_id=key, text=text).select(
         F.col("doc_id").cast("long"), F.col("text").cast("binary"), text_hash("text"))
-    blocks = max(1, -(-sets.count() // BLOCK_ITEMS))
+    size = sets.agg(F.count("*").alias("items"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    blocks = max(1, -(-size.items // BLOCK_ITEMS), -(-size.shingles // BLOCK_SHINGLES))
     out = None
     for block in range(blocks):
         part = sets.where(F.pmod(F.xxhash64("shingles", "item_id"), F.lit(blocks)) == block).collect()
@@ -103,7 +105,7 @@ def _search(rows: DataFrame, part, percent: int) -> DataFrame:
     spark = rows.sparkSession
     if not part:
         return spark.createDataFrame([], HITS)
-    shipped = spark.sparkContext.broadcast(_index(part, percent))  # at most BLOCK_ITEMS items
+    shipped = spark.sparkContext.broadcast(_index(part, percent))  # about a block's items and shingles
 
     def run(batches):
         hasher = Hasher()

@@ -153,7 +153,9 @@ def test_op8_compares_in_bounded_memory():
     assert peak < 200 << 20  # 4,000 classes
 
 
-def test_op10_equals_brute_force(spark):
+@pytest.mark.parametrize("shingles", [4_000_000, 40])  # 40: items come in several blocks
+def test_op10_equals_brute_force(spark, monkeypatch, shingles):
+    monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", shingles)
     rng = random.Random(5)
     items = [" ".join(f"q{rng.randrange(300)}" for _ in range(n)) for n in (3, 5, 8, 20, 40, 60)] + ["", None]
     texts = list(ODD)
