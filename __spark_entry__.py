@@ -21,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import oracle  # noqa: E402
 from checks.normalize import flatten  # noqa: E402
-from rentwise.session import apply_scale_conf, checkpoint_dir  # noqa: E402
+from rentwise.session import apply_scale_conf, tables_dir  # noqa: E402
 from rentwise.sources import testdata as td  # noqa: E402
 from rentwise.sources import versions  # noqa: E402
 from rentwise import schema  # noqa: E402
@@ -46,14 +46,14 @@ def _stored(spark: SparkSession, sf_dir: str, what: str, build):
     """Write what ``build`` derives from the driver's tables once per session, then read it back.
 
     The rental model lives in stored tables (as in the source's database), so
-    every query runs on Parquet scans with pushdown and pruning; the folder is
-    inside the session's checkpoint folder.
+    every query runs on Parquet scans with pushdown and pruning; the folder is the
+    one configured for tables (``spark.rentwise.tables.dir``), else the session's checkpoint folder.
     """
     key = (spark.sparkContext.applicationId, sf_dir, what)
     owner, value = _CACHE.get(key, (None, None))
     if owner is not spark:  # first use, or a new session: never reuse another session's plans
         apply_scale_conf(spark)
-        base = checkpoint_dir(spark).rstrip("/") + f"/{what}-{uuid.uuid4().hex[:12]}"
+        base = tables_dir(spark).rstrip("/") + f"/{what}-{uuid.uuid4().hex[:12]}"
         value = build(spark, sf_dir, base)
         _CACHE[key] = (spark, value)
     return value

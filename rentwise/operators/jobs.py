@@ -74,19 +74,47 @@ def _exists_flag(df: DataFrame, key: str, alias: str) -> DataFrame:
     return df.select(F.col(key).alias(alias)).withColumn(alias + "_ok", F.lit(True))
 
 
-# Which key of a request meets which table.
-BOOKING_LOOKUPS = [("vehicle", "vehicle_id", "vehicle_id"), ("customer", "person_id", "customer_id")]
+def near(table: DataFrame, key: str, rows: DataFrame, column: str | F.Column) -> DataFrame:
+    """The rows of a table whose key a batch names.
 
+    The small side of the semi join is the batch, so a large table is scanned once and not shuffled.
+    """
+    named = rows.select((F.col(column) if isinstance(column, str) else column).alias(key))
+    return table.join(named, key, "left_semi")
 
-def narrowed(tables, requests: DataFrame, lookups) -> dict:
-    """The tables with the looked-up ones reduced to the keys that the batch names.
 
-    The small side of these semi joins is the batch, so a large table is scanned once and not shuffled.
-    """
-    out = dict(tables)
-    for name, key, asked in lookups:
-        out[name] = tables[name].join(requests.select(F.col(asked).alias(key)), key, "left_semi")
-    return out
+def near_requests(tables, requests: DataFrame) -> dict:
+    """The tables with vehicles and customers narrowed to a batch of booking requests."""
+    return dict(tables, vehicle=near(tables["vehicle"], "vehicle_id", requests, "vehicle_id"),
+                customer=near(tables["customer"], "person_id", requests, "customer_id"))
+
+
+def near_doc_requests(docs, requests: DataFrame) -> dict:
+    """The collections with vehicles narrowed to a batch, and persons to its customers, the vehicles' retailers and the default customer."""
+    vehicles = near(docs["vehicles"], "_id", requests, "vehicle_id")
+    ids = (requests.select(F.col("customer_id").alias("_id")).union(vehicles.select("retailer_id"))
+           .union(first_customer(docs["persons"])))
+    return dict(docs, vehicles=vehicles, persons=near(docs["persons"], "_id", ids, "_id"))
+
+
+def near_service_requests(tables, requests: DataFrame) -> dict:
+    """The tables narrowed to a batch of add-service requests: its bookings with their links and vehicles, its
+    customers' accounts, the services it names or the bookings have; bookings and links are staged."""
+    asked = one_per_request(requests)
+    bookings = materialize(near(tables["booking"], "booking_id", asked.select("booking_id").distinct(), "booking_id"))
+    links = materialize(near(tables["booking_service"], "booking_id", bookings, "booking_id"))
+    services = links.select("additional_service_id").union(asked.select(F.explode("service_ids")))
+    return dict(tables, booking=bookings, booking_service=links, vehicle=near(tables["vehicle"], "vehicle_id", bookings, "vehicle_id"),
+                bankaccount=near(tables["bankaccount"], "person_id", asked, "customer_id"),
+                additional_service=near(tables["additional_service"], "additional_service_id", services, "additional_service_id"))
+
+
+def near_doc_service_requests(docs, requests: DataFrame) -> dict:
+    """The collections narrowed to a batch of add-service requests; the booking documents are staged."""
+    asked = one_per_request(requests)
+    return dict(docs, bookings=materialize(near(docs["bookings"], "_id", asked.select("booking_id").distinct(), "booking_id")),
+                persons=near(docs["persons"], "_id", asked, "customer_id"),
+                services=near(docs["services"], "_id", asked.select(F.explode("service_ids").alias("sid")), "sid"))
 
 
 # --- R4 -------------------------------------------------------------------
@@ -99,7 +127,7 @@ def create_bookings(tables, requests: DataFrame):
     checked and reversed dates cost one day, as in the source.
     Returns ``(new_bookings, outcome)``.
     """
-    return bookings_from_judged(judge_booking_requests(tables, requests))
+    return bookings_from_judged(judge_booking_requests(near_requests(tables, requests), requests))
 
 
 def judge_booking_requests(tables, requests: DataFrame) -> DataFrame:
@@ -246,7 +274,7 @@ def run_create_bookings(spark, tables, requests: DataFrame, target_dir: str, bat
     are skipped, so running the same batch again adds nothing; a ``batch`` id that
     is published already is not even written.
     """
-    judged = materialize(judge_booking_requests(narrowed(tables, requests, BOOKING_LOOKUPS), requests))
+    judged = materialize(judge_booking_requests(near_requests(tables, requests), requests))
     new_bookings, outcome = bookings_from_judged(judged)
     # Ids already stored (a rerun of the batch): found with a semi join whose
     # small side is the batch, so the stored ids are not shuffled.
@@ -263,27 +291,28 @@ def run_add_services(spark, requests: DataFrame, as_of: str | None, tables_dir:
     one commit: what is written follows the batch, and a job that dies before
     leaves neither. The same batch again adds no link and gives the same totals.
     """
-    asked = one_per_request(requests).select("booking_id").distinct()
-    tables = load_tables(spark, tables_dir)
-    bookings, links = (tables[t].join(asked, "booking_id", "left_semi") for t in ("booking", "booking_service"))
-    near = dict(tables, booking=materialize(bookings), booking_service=materialize(links))
-    judged = materialize(judge_service_requests(near, requests, as_of))
+    batch_tables = near_service_requests(load_tables(spark, tables_dir), requests)
+    judged = materialize(judge_service_requests(batch_tables, requests, as_of))
     accepted = judged.filter(F.col("status") == ACCEPTED)
-    _, repriced, outcome = add_services(near, requests, as_of, judged)
+    _, repriced, outcome = add_services(batch_tables, requests, as_of, judged)
     touched = accepted.select("booking_id").distinct()
     versions.commit(spark, tables_dir, table_specs(), batch=batch, changed={
-        "booking_service": inserted_links(near["booking_service"], accepted),
+        "booking_service": inserted_links(batch_tables["booking_service"], accepted),
         "booking": repriced.join(touched, "booking_id", "left_semi")})
     return outcome
 
 
 # --- N3 -------------------------------------------------------------------
 
-def default_customer_id(persons: DataFrame) -> F.Column:
-    """First customer by name (then id), as a scalar subquery evaluated once."""
-    first = persons.filter(F.col("roles.customer").isNotNull()) \
+def first_customer(persons: DataFrame) -> DataFrame:
+    """The ``_id`` of the first customer by name (then id): one row, or none."""
+    return persons.filter(F.col("roles.customer").isNotNull()) \
         .orderBy(F.asc_nulls_first("name"), F.asc("_id")).select("_id").limit(1)
-    return first.scalar()
+
+
+def default_customer_id(persons: DataFrame) -> F.Column:
+    """The first customer as a scalar subquery, evaluated once."""
+    return first_customer(persons).scalar()
 
 
 def doc_create_bookings(docs, requests: DataFrame):
@@ -295,6 +324,7 @@ def doc_create_bookings(docs, requests: DataFrame):
     vehicle snapshot without plate and seats and no extras.
     Returns ``(new_booking_docs, outcome)``.
     """
+    docs = near_doc_requests(docs, requests)
     persons = docs["persons"]
     companies = persons.select(F.col("_id").alias("r_id"), F.col("roles.retailer.company_name").alias("r_company"))
     vehicles = docs["vehicles"].select(
@@ -410,9 +440,7 @@ def run_doc_add_services(spark, requests: DataFrame, as_of: str | None, docs_dir
     The same batch again finds the services held and leaves the documents as they are.
     """
     docs = load_docs(spark, docs_dir)
-    asked = one_per_request(requests).select(F.col("booking_id").alias("_id")).distinct()
-    near = dict(docs, bookings=materialize(docs["bookings"].join(asked, "_id", "left_semi")))
-    bookings, outcome = doc_add_services(near, requests, as_of)
+    bookings, outcome = doc_add_services(near_doc_service_requests(docs, requests), requests, as_of)
     outcome = materialize(outcome)
     accepted = outcome.filter(F.col("status") == ACCEPTED).select(F.col("booking_id").alias("_id")).distinct()
     versions.commit(spark, docs_dir, doc_specs(), {"bookings": bookings.join(accepted, "_id", "left_semi")}, batch=batch)

@@ -80,6 +80,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """Where stored tables live: ``spark.rentwise.tables.dir``, a shared folder; the checkpoint folder where it is unset."""
+    return spark.conf.get("spark.rentwise.tables.dir", None) or checkpoint_dir(spark)
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet into a new folder of the shared checkpoint folder and read it back.
 
