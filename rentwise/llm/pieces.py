@@ -21,7 +21,8 @@ Decoding joins the pieces, turns bytes into UTF-8 and removes the leading mark.
 
 Defined cases: null and empty texts have no ids and decode to the empty text. A
 literal U+2581 in a text is the space mark and decodes to a space. Texts of any
-length are encoded whole; units are indexed in chunks of bounded size.
+length are encoded whole; units are indexed in chunks of bounded size, or alone where a unit is longer
+than a chunk (some 200 bytes a character then), with work in proportion to their length.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CHUNK = 500_000   # characters indexed at once
 CACHE = 400_000   # distinct units a task remembers
 KNOWN = 1 << 20    # slots of pair decisions
+FEW = 24           # edges or units that are handled one by one
 
 
 class PieceModel:
@@ -72,6 +74,7 @@ class PieceModel:
         self.edge_ids = np.array(list(self.edges.values()), np.int64)
         self.edge_sizes = np.array(list(map(len, self.edges)), np.int64)
         self.edge_points = np.array([list(map(ord, t.ljust(self.longest, "\0"))) for t in self.edges], np.uint32)
+        self.pairs: dict[int, bool] = {}  # pairs decided one by one
         self.keys, self.values = np.full(KNOWN, -1, np.int64), np.zeros(KNOWN, bool)  # pairs decided before, by slot
 
     def _merged(self, text: str) -> tuple[int, int] | None:
@@ -171,6 +174,24 @@ def occurrence_ranges(codes: np.ndarray, order: np.ndarray, patterns: np.ndarray
     return lo, hi
 
 
+def _relax(model: PieceModel, starts: list, pieces: list, sizes: list, offset: np.ndarray, last: np.ndarray, came: np.ndarray):
+    """Relaxes edges in the order of their ends one at a time, where so few end at a position that arrays don't pay."""
+    place, ends, steps, pairs, width = memoryview(offset), memoryview(last), memoryview(came), model.pairs, model.size + 1
+    for s, p, n in zip(starts, pieces, sizes):
+        if place[s]:
+            before = ends[s]
+            if before < 0:
+                continue
+            ok = pairs.get(before * width + p)
+            if ok is None:
+                if len(pairs) >= KNOWN:
+                    pairs.clear()
+                ok = pairs[before * width + p] = model.stays(before, p)
+            if not ok:
+                continue
+        ends[s + n], steps[s + n] = p, n
+
+
 def encode_units(model: PieceModel, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all units one after another, and each unit's number of ids."""
     sizes = np.array([len(u) for u in units], np.int64)
@@ -206,23 +227,39 @@ def encode_units(model: PieceModel, units: list[str]) -> tuple[np.ndarray, np.nd
     start, piece, size, end = start[by_end], piece[by_end], size[by_end], end[by_end]
     last, came = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
     cuts = np.searchsorted(end, np.arange(1, int(end.max(initial=0)) + 2))
-    for a, b in zip(cuts, cuts[1:]):
-        s, p = start[a:b], piece[a:b]
-        first = offset[s] == 0
-        ok = first | (last[s] >= 0)
-        inner = np.flatnonzero(ok & ~first)
-        ok[inner] = model.allowed(last[s[inner]], p[inner])
-        last[s[ok] + size[a:b][ok]], came[s[ok] + size[a:b][ok]] = p[ok], size[a:b][ok]
+    few = np.diff(cuts) <= FEW
+    spans = np.r_[0, np.flatnonzero(np.diff(few)) + 1, len(few)]
+    for i, j in zip(spans, spans[1:]):
+        if i < j and few[i]:  # the ends of long units: edge by edge
+            _relax(model, *(x[cuts[i]:cuts[j]].tolist() for x in (start, piece, size)), offset, last, came)
+            continue
+        for a, b in zip(cuts[i:j], cuts[i + 1:j + 1]):
+            s, p = start[a:b], piece[a:b]
+            first = offset[s] == 0
+            ok = first | (last[s] >= 0)
+            inner = np.flatnonzero(ok & ~first)
+            ok[inner] = model.allowed(last[s[inner]], p[inner])
+            last[s[ok] + size[a:b][ok]], came[s[ok] + size[a:b][ok]] = p[ok], size[a:b][ok]
 
     # last[] is indexed by the position after a piece; walk back from every unit's end at once
     taken, here, left = [], ends_at.copy(), np.arange(len(units))
-    while len(left):
+    while len(left) > FEW:
         if (came[here] == 0).any():
             raise AssertionError("a unit has no encoding")
         taken.append((left, here, last[here]))
         here = here - came[here]
         more = here > starts[left]
         left, here = left[more], here[more]
+    for unit_, at in zip(left.tolist(), here.tolist()):  # what is left of the longest units: piece by piece
+        spots, first = [], int(starts[unit_])
+        steps = memoryview(came)
+        while at > first:
+            spots.append(at)
+            if not steps[at]:
+                raise AssertionError("a unit has no encoding")
+            at -= steps[at]
+        spots = np.array(spots, np.int64)
+        taken.append((np.full(len(spots), unit_), spots, last[spots]))
     owner = np.concatenate([x[0] for x in taken]) if taken else np.empty(0, np.int64)
     spot = np.concatenate([x[1] for x in taken]) if taken else owner
     value = np.concatenate([x[2] for x in taken]) if taken else owner

@@ -634,3 +634,19 @@ def test_op8_hot_shingles_are_dealt_over_slots(spark, monkeypatch):
     assert [got[i].component_id for i in range(len(texts))] == groups_of(texts)
     assert max(h["slots"] for h in seen["hot"]) > 4
     assert max(seen["rows"]) <= 60 and sum(seen["rows"]) >= 100
+
+
+def test_op6_one_long_unit():
+    import time
+
+    sentencepiece = pytest.importorskip("sentencepiece")
+    if not os.path.exists(Q.PIECES):
+        pytest.skip("no model file")
+    lib, encoder = sentencepiece.SentencePieceProcessor(model_file=Q.PIECES), pieces.Encoder(Q.PIECES)
+    rng = random.Random(4)
+    for letters, n in (("ABCDEFabcdefghij0123456789+/", 60_000), ("a", 60_000), ("一二三四五六七八九十日月", 60_000), ("abcdefgh", 10**6)):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        at = time.monotonic()
+        ids, ends = encoder.encode([text, f"some words {text[:9]}"])
+        assert time.monotonic() - at < 60
+        assert ids[:ends[1]].tolist() == lib.encode(text) and ids[ends[1]:].tolist() == lib.encode(f"some words {text[:9]}")
