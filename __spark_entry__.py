@@ -76,13 +76,18 @@ def _build_requests(spark, sf_dir, base):
 
 
 def _build_services(spark, sf_dir, base):
-    """R8 through its write job on a fork of the stored tables: outcome, tables merged on read, tables compacted."""
+    """R8 through its write job on a fork of the stored tables: outcome, and the tables merged on read."""
     versions.fork(spark, _tables(spark, sf_dir).root, base)
     outcome = J.run_add_services(spark, _service_requests(spark, sf_dir), td.AS_OF, base, "requests")
     outcome.write.parquet(base + "/outcome")
-    versions.fork(spark, base, base + "/compacted")
-    compact_tables(spark, base + "/compacted")
-    return spark.read.parquet(base + "/outcome"), load_tables(spark, base), load_tables(spark, base + "/compacted")
+    return spark.read.parquet(base + "/outcome"), load_tables(spark, base)
+
+
+def _build_compacted(spark, sf_dir, base):
+    """The tables after R8's write job, compacted."""
+    versions.fork(spark, _services(spark, sf_dir)[1].root, base)
+    compact_tables(spark, base)
+    return load_tables(spark, base)
 
 
 def _build_doc_services(spark, sf_dir, base):
@@ -167,6 +172,10 @@ def _services(spark: SparkSession, sf_dir: str):
     return _stored(spark, sf_dir, "services", _build_services)
 
 
+def _compacted(spark: SparkSession, sf_dir: str):
+    return _stored(spark, sf_dir, "compacted", _build_compacted)
+
+
 def _doc_services(spark: SparkSession, sf_dir: str):
     return _stored(spark, sf_dir, "doc-services", _build_doc_services)
 
@@ -176,8 +185,9 @@ def _dirty(spark: SparkSession, sf_dir: str):
 
 
 def setup_steps():
-    """(name, function): what stores tables, documents and request batches (done lazily otherwise)."""
-    return [("store_tables", _tables), ("store_documents", _docs), ("store_requests", _booking_requests)]
+    """(name, function): what stores tables, documents, request batches and the broken tables (done lazily otherwise)."""
+    return [("store_tables", _tables), ("store_documents", _docs), ("store_requests", _booking_requests),
+            ("store_broken_tables", _dirty)]
 
 
 def _search_vehicles(spark, sf_dir):
@@ -227,8 +237,8 @@ def _registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                                                                                    td.SERVICE_REPORT_TO),
         "R8_new_links": lambda s, d: _services(s, d)[1]["booking_service"],
         "R8_new_bookings": lambda s, d: _services(s, d)[1]["booking"].drop(START_YEAR),
-        "R8_compacted_links": lambda s, d: _services(s, d)[2]["booking_service"],
-        "R8_compacted_bookings": lambda s, d: _services(s, d)[2]["booking"].drop(START_YEAR),
+        "R8_compacted_links": lambda s, d: _compacted(s, d)["booking_service"],
+        "R8_compacted_bookings": lambda s, d: _compacted(s, d)["booking"].drop(START_YEAR),
         "N3_new_docs": lambda s, d: J.doc_create_bookings(_docs(s, d), _booking_requests(s, d))[0],
         "N8_new_docs": lambda s, d: _doc_services(s, d)[1]["bookings"].drop(START_KEY),
         "M6_migrate_all": lambda s, d: Q.table_counts(_docs(s, d)),
