@@ -9,9 +9,10 @@
   that the address names, as its first path step, its host's first label or its
   country's domain. How far each can be trusted is a table P(declared | l) over the
   whole corpus, by grouped aggregation of the text-only decisions.
-* host: hierarchically smoothed priors. A host's counts of text-only decisions
-  are mixed with its registered domain's, these with the whole corpus'
-  (Dirichlet priors of weight ``PULL``), all by grouped aggregation.
+* host: hierarchically smoothed priors. Every suffix of a host's labels is a level, from its
+  last label to the whole host; the counts of text-only decisions of a level
+  are mixed with the prior of the level above it, the last label's with the whole corpus'
+  (Dirichlet priors of weight ``PULL``), all by grouped aggregation. So a new host has the prior of its nearest known level.
 
 Defined cases: a null or empty page has no text evidence and is decided by the
 others; without any evidence the corpus prior decides. A null address has the
@@ -27,10 +28,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, source, staged
+from .common import bound_batches, join_counted, join_hot, source, staged
 from .html_text import NEVER, parse
 
 SAMPLE = 2_000      # labelled documents of each language
@@ -40,7 +41,7 @@ MOST = 40.0         # of the text's log odds, in nats: the other evidence keeps
 PULL = 10.0         # pages that a prior one level up weighs
 SMOOTH = 1.0
 
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.I)
+DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,8})\b", re.I)
 
 
 def trigram_buckets(text: str) -> np.ndarray:
@@ -90,7 +91,7 @@ def text_model(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
 
 
 def _text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """page_id, url, host, domain, markup, suffix, ll (log likelihoods of the text, relative to the best), guess."""
+    """page_id, url, host, markup, suffix, ll (log likelihoods of the text, relative to the best), guess."""
     shipped = pages.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -103,21 +104,20 @@ def _text_evidence(pages: DataFrame, langs: list[str], table: np.ndarray) -> Dat
                 ll = TEMPER * shipped.value[found].sum(0) if len(found) else np.zeros(len(langs))
                 ll = np.maximum(ll - ll.max(), -MOST)
                 declared = DECLARED.search(page)
-                markup = known.get(declared[1].lower()[:2], "other") if declared else "none"
+                markup = known.get(declared[1].lower(), "other") if declared else "none"
                 _, _, rest = (url or "").partition("://")
                 host, _, path = rest.partition("/")
                 labels = host.lower().split("@")[-1].split(":")[0].split(".")
                 steps = [re.split(r"[/?#]", path.lower())[0], labels[0], labels[-1]]
                 suffix = next((known[s] for s in steps if s in known), "none")
-                out.append((".".join(labels), ".".join(labels[-3:]), markup, suffix, ll.tolist(),
-                            langs[int(np.argmax(ll))] if len(found) else None))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string())
+                out.append((".".join(labels), markup, suffix, ll.tolist(), langs[int(np.argmax(ll))] if len(found) else None))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                ["page_id", "url", "host", "domain", "markup", "suffix", "ll", "guess"])
+                ["page_id", "url", "host", "markup", "suffix", "ll", "guess"])
 
-    return pages.mapInArrow(run, "page_id long, url string, host string, domain string, markup string, suffix string, "
+    return pages.mapInArrow(run, "page_id long, url string, host string, markup string, suffix string, "
                                  "ll array<double>, guess string")
 
 
@@ -127,6 +127,32 @@ def _counts(rows: DataFrame, keys: list[str], langs: list[str], name: str) -> Da
     return rows.groupBy(*keys).agg(F.array(*sums).alias(name))
 
 
+def levels(host: str) -> Column:
+    """The suffixes of a host's labels, the last label first and the whole host last."""
+    labels, n = F.split(host, r"\."), F.size(F.split(host, r"\."))
+    suffixes = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    return F.when((n <= 127) & (F.length(host) <= 253), suffixes).otherwise(F.array(host))
+
+
+def host_priors(seen: DataFrame, langs: list[str], prior: list[float]) -> DataFrame:
+    """host, prior (of every language): for all hosts of ``seen`` (host, guess), smoothed from level to level."""
+    level = F.explode(levels("host")).alias("level")
+    counts = _counts(seen.where("guess IS NOT NULL").select(level, "guess"), ["level"], langs, "c")
+    chain = staged(seen.select("host").distinct().select("host", F.posexplode(levels("host")).alias("depth", "level")), "lang-levels")
+    groups = chain.groupBy("level").agg(F.count("*").alias("n")).join(counts, "level", "left")
+    steps = (join_hot(chain, groups, "level").groupBy("host")  # as many as the host has labels
+             .agg(F.array_sort(F.collect_list(F.struct("depth", "c"))).alias("steps")))
+    none = F.array(*[F.lit(0.0)] * len(langs))
+
+    def mixed(above, step):
+        """(counts + PULL * prior above) / (sum + PULL)"""
+        own = F.coalesce(step["c"], none)
+        size = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(own, above, lambda c, p: (c + PULL * p) / (size + PULL))
+
+    return steps.select("host", F.aggregate("steps", F.array(*map(F.lit, prior)), mixed).alias("prior"))
+
+
 def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
     """page_id, url, lang, probability, text_lang, markup_lang, suffix_lang for every row of ``pages``."""
     bound_batches(pages.sparkSession, rows=500)
@@ -142,16 +168,6 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     total = [float(decided.where(F.col("guess") == x).count()) for x in langs]
     prior = [(t + SMOOTH) / (sum(total) + SMOOTH * n) for t in total]
 
-    def mixed(counts: str, above, at: str):
-        """(counts + PULL * prior above) / (sum + PULL)"""
-        size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, above, lambda c, p: (c + PULL * p) / (size + PULL)).alias(at)
-
-    domains = staged(_counts(decided, ["domain"], langs, "c").select(
-        "domain", mixed("c", F.array(*map(F.lit, prior)), "above")), "lang-domains")
-    hosts = staged(_counts(decided, ["host", "domain"], langs, "c").join(domains, "domain").select(
-        "host", "domain", mixed("c", F.col("above"), "prior")), "lang-hosts")
-
     def trust(column: str):
         """log P(what is declared | l) for every declared value, as one array per value (few values)."""
         found = {r[0]: r[1] for r in _counts(decided, [column], langs, "c").collect()}
@@ -167,8 +183,7 @@ def identify(pages: DataFrame, docs: DataFrame, key: str = "page_id", url: str =
     names = F.array(*map(F.lit, langs))
     logs = lambda c: F.transform(c, lambda x: F.log(x))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    fused = (seen.join(hosts, ["host", "domain"], "left").join(domains, "domain", "left")
-             .withColumn("prior", F.coalesce("prior", "above", F.array(*map(F.lit, prior))))
+    fused = (join_counted(seen, host_priors(seen.select("host", "guess"), langs, prior), "host")
              .withColumn("s", add(add(F.col("ll"), logs(F.col("prior"))), add(looked_up("markup"), looked_up("suffix"))))
              .withColumn("best", F.array_max("s")))
     weight = F.aggregate("s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("best")))

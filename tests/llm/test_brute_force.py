@@ -170,3 +170,23 @@ def test_op1_fuses_by_plain_sums(spark):
     assert of(101) == ["en"] and of(102) == ["de"] and of(100) == ["de", "en"]  # rows that repeat a page_id are judged each
     assert all(of(i) == [["de", "en"][i >= 8]] for i in range(16))
     assert all(0 < r.probability <= 1 for r in got)
+
+
+def test_op1_host_priors_by_recursion(spark):
+    rng = random.Random(31)
+    hosts = ["en.site.com", "de.site.com", "www.site.com", "site.com", "a.b.c.d.org", "c.d.org", "", "com", ".".join("x" * 200), "new.site.com"]
+    rows = [(rng.choice(hosts[:-1]), rng.choice(["de", "en", "en", None])) for _ in range(200)] + [("new.site.com", None)]
+    prior = [0.25, 0.75]
+    seen = spark.createDataFrame(rows, "host string, guess string")
+    got = {r.host: r.prior for r in language.host_priors(seen, ["de", "en"], prior).collect()}
+    suffixes = lambda h: [".".join(h.split(".")[-k:]) for k in range(1, len(h.split(".")) + 1)] if len(h) <= 253 else [h]
+
+    def smoothed(chain):
+        above = smoothed(chain[:-1]) if len(chain) > 1 else prior
+        own = [sum(g == x and chain[-1] in suffixes(h) for h, g in rows) for x in ("de", "en")]
+        return [(c + language.PULL * p) / (sum(own) + language.PULL) for c, p in zip(own, above)]
+
+    assert got.keys() == {h for h, _ in rows}
+    for host in got:
+        assert got[host] == pytest.approx(smoothed(suffixes(host))), host
+    assert got["new.site.com"] == pytest.approx(got["site.com"])  # nothing known of itself
