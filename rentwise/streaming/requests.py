@@ -20,7 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rentwise.operators import jobs
 from rentwise.session import checkpoint_dir
-from rentwise.sources.tables import load_tables
+from rentwise.operators.documents import compact_docs
+from rentwise.sources.tables import compact_tables, load_tables
 
 BOOKING_REQUEST_SCHEMA = ("request_id string, customer_id string, vehicle_id string, start_date date, "
                           "end_date date, way_of_billing string")
@@ -80,28 +81,44 @@ def handle_doc_service_batch(spark: SparkSession, docs_dir: str, out_dir: str, a
     return handle
 
 
+def compacting(handler, compact, every: int):
+    """``handler``, with the stored tables compacted after each ``every``-th batch.
+
+    The changes that a read has to merge stay bounded by that many batches. Compaction changes no row, so a batch that is
+    replayed after it finds its rows as before.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        handler(batch, batch_id)
+        if (batch_id + 1) % every == 0:
+            compact()
+    return handle
+
+
 def start_intake(spark: SparkSession, kind: str, requests_path: str, tables_dir: str, out_dir: str,
-                 checkpoint_location: str, as_of: str | None = None, available_now: bool = False) -> StreamingQuery:
+                 checkpoint_location: str, as_of: str | None = None, available_now: bool = False,
+                 compact_every: int = 100, max_files_per_trigger: int = 100) -> StreamingQuery:
     """Start the intake stream of ``kind``: 'booking' (R4), 'service' (R8), 'doc_booking' (N3) or 'doc_service' (N8).
 
-    For the last two, ``tables_dir`` is the folder of the document collections.
+    For the last two, ``tables_dir`` is the folder of the document collections. The changes are
+    compacted after every ``compact_every`` batches.
     """
     checkpoint_dir(spark)  # judged batches are stored in the shared folder
     if kind == "booking":
-        stream = request_stream(spark, requests_path, BOOKING_REQUEST_SCHEMA)
+        stream = request_stream(spark, requests_path, BOOKING_REQUEST_SCHEMA, max_files_per_trigger)
         handler = handle_booking_batch(spark, tables_dir, out_dir)
     elif kind == "doc_booking":
-        stream = request_stream(spark, requests_path, BOOKING_REQUEST_SCHEMA)
+        stream = request_stream(spark, requests_path, BOOKING_REQUEST_SCHEMA, max_files_per_trigger)
         handler = handle_doc_booking_batch(spark, tables_dir, out_dir)
     elif kind == "service":
-        stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA)
+        stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA, max_files_per_trigger)
         handler = handle_service_batch(spark, tables_dir, out_dir, as_of)
     elif kind == "doc_service":
-        stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA)
+        stream = request_stream(spark, requests_path, SERVICE_REQUEST_SCHEMA, max_files_per_trigger)
         handler = handle_doc_service_batch(spark, tables_dir, out_dir, as_of)
     else:
         raise ValueError(f"unknown request kind: {kind}")
-    writer = (stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint_location)
+    compact = (lambda: compact_docs(spark, tables_dir)) if kind.startswith("doc_") else (lambda: compact_tables(spark, tables_dir))
+    writer = (stream.writeStream.foreachBatch(compacting(handler, compact, compact_every)).option("checkpointLocation", checkpoint_location)
               .queryName(f"{kind}_intake"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()

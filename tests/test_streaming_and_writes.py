@@ -258,3 +258,24 @@ def test_replayed_micro_batches_change_nothing(spark, seed, scratch):
     assert t["booking_service"].count() == 10  # 8 + as2 + as4 on b5, once
     assert float(t["booking"].filter("booking_id = 'b5'").first()["total_costs"]) == 475.0
     assert read_outcomes(spark, out + "/b").count() == 1 and read_outcomes(spark, out + "/s").count() == 1
+
+
+def test_streaming_intake_compacts_and_survives_a_new_checkpoint(spark, seed, scratch):
+    path, inbox = scratch + "/rel", scratch + "/inbox"
+    _store(spark, seed, path)
+    for k, (booking, service) in enumerate((("b5", "as2"), ("b4", "as5"))):
+        customer = {"b5": "p_cust1", "b4": "p_both1"}[booking]
+        spark.createDataFrame([(f"s{k}", booking, customer, [service], True)], SERVICE_REQUEST).coalesce(1).write.parquet(f"{inbox}/f{k}")
+
+    def run(checkpoint):
+        start_intake(spark, "service", inbox + "/*", path, scratch + "/out", checkpoint, as_of="2026-04-01", available_now=True,
+                     compact_every=1, max_files_per_trigger=1).awaitTermination(120)
+        t = load_tables(spark, path)
+        return sorted(map(str, t["booking_service"].collect())), sorted(map(str, t["booking"].drop("start_year").collect())), t.pieces
+
+    links, bookings, pieces = run(scratch + "/ckpt")
+    assert len(links) == 10 and {p.kind for p in pieces} == {"base"}
+    batches = [r.batch for r in versions.commits(spark, path).where("batch IS NOT NULL").collect()]
+    assert len(batches) == 2 and len({b.rpartition("-")[0] for b in batches}) == 1  # one query, two batches
+    again = run(scratch + "/other")  # the same files under a new checkpoint: other batch ids, the same rows
+    assert again[0] == links and again[1] == bookings
