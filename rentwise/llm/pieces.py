@@ -42,6 +42,7 @@ CHUNK = 500_000   # characters indexed at once
 CACHE = 400_000   # distinct units a task remembers
 KNOWN = 1 << 20    # slots of pair decisions
 FEW = 24           # edges or units that are handled one by one
+LONG = 256         # positions with so few edges from which that pays
 
 
 class PieceModel:
@@ -230,7 +231,7 @@ def encode_units(model: PieceModel, units: list[str]) -> tuple[np.ndarray, np.nd
     few = np.diff(cuts) <= FEW
     spans = np.r_[0, np.flatnonzero(np.diff(few)) + 1, len(few)]
     for i, j in zip(spans, spans[1:]):
-        if i < j and few[i]:  # the ends of long units: edge by edge
+        if j - i > LONG and few[i]:  # only units of such a length reach there: edge by edge
             _relax(model, *(x[cuts[i]:cuts[j]].tolist() for x in (start, piece, size)), offset, last, came)
             continue
         for a, b in zip(cuts[i:j], cuts[i + 1:j + 1]):
