@@ -59,8 +59,9 @@ def test_counts_equal_the_full_audit_after_random_batches(spark, seed, scratch):
         whole = full_audit(frames(now))
         if of_batch is not None:
             assert {str(r) for r in of_batch.collect()} <= set(whole)
-            again = K.count_batch(spark, root, frames(loose(come)), frames(loose(gone)), f"b{batch}")  # delivered twice
-            assert {str(r) for r in again.collect()} <= set(whole)
+            if batch in (3, 8):  # delivered twice
+                again = K.count_batch(spark, root, frames(loose(come)), frames(loose(gone)), f"b{batch}")
+                assert {str(r) for r in again.collect()} <= set(whole)
     assert sorted(map(str, K.findings(K.load_counts(spark, root)).collect())) == whole and whole
 
 
