@@ -503,7 +503,8 @@ def test_op9_token_counts_of_long_and_odd_texts(spark):
     at = time.monotonic()
     long = {c: rollups.number_of_tokens(encoding, c * 10**6 + "x") for c in (" ", "\n", "\t", "a")}
     assert time.monotonic() - at < 30
-    assert long[" "] == 10**6 - 1 + len(encoding.encode_ordinary(" x")) or long[" "] > 0
+    for c in " \n\t":
+        assert long[c] == len(encoding._encode_single_piece(c * (10**6 - 1))) + len(encoding.encode_ordinary(c + "x"))
     docs = docs_of(spark, [" " * 10**6 + "x", None, "", "a b"])
     got = {r.doc_id: r.tokens for r in rollups.events_of(docs, "insert", Q.RANKS, Q.PATTERN, "v").collect()}
     assert got == {0: long[" "], 1: 0, 2: 0, 3: 2}
