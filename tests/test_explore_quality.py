@@ -2,15 +2,20 @@
 
 import pytest
 
+import __spark_entry__ as E
 from rentwise import schema
 from rentwise.operators import explore as X
 from rentwise.operators import quality as Q
 from rentwise.functions.rules import euro_text
 from rentwise.operators import relational as R
+from rentwise.plans.inspect import plan_text
+from rentwise.sources import testdata as td
 from rentwise.sources.seed import bootstrap_if_empty, seed_status, seed_tables
 from rentwise.sources.tables import conform_bookings, load_tables, write_tables
 from tests.helpers import rows, with_rows
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_s1_write_and_load_typed(spark, seed, scratch):
     write_tables(seed, scratch + "/rel")
@@ -134,3 +139,25 @@ def test_r12_export_of_the_document_report(seed):
     b5 = rep.filter("Booking = 'b5'").first()
     assert b5["Retailer"] == "Dual Mobility (p_both1)" and b5["Days"] == "6"
     assert b5["Additional services"] == "ChildSeat, Navigation (2)" and b5["Total"] == "€\u00a0395,00"
+
+
+def test_s3_found_rows_need_no_pass_of_all_ids_through_one_task(spark, seed):
+    facts = E._preview_facts(seed)
+    assert rows(facts) == [(5, 5, 7)]
+    twice = dict(seed, booking=seed["booking"].unionByName(seed["booking"]))
+    assert rows(E._preview_facts(twice)) == [(10, 10, 7)]
+    # the preview's rows narrow the ids before these are made distinct
+    plan = plan_text(facts, "simple")
+    assert "LeftSemi" in plan and "GlobalLimit" not in plan
+
+
+def test_q1_reads_the_rows_that_the_other_audits_lack(spark):
+    tables = td.rental_tables(spark, SF)
+    added = td.added_tables(spark, SF, tables)
+    assert all(added[n].count() >= tables[n].count() for n in tables)
+    found = {r.key_value for r in E.queries()["Q1_audit_keys"](spark, SF).collect()}
+    asked = {"b_" + r.request_id[4:] for r in td.booking_requests(spark, SF).collect()}
+    stored = {r.booking_id for r in tables["booking"].where("booking_id LIKE '%33'").collect()}
+    assert stored & asked and stored & asked <= found
+    sql = E.oracle_sql()["Q1_audit_keys"]
+    assert "not like" not in sql and "not like '%33'" in E.oracle_sql()["Q1_maintained_findings"]
