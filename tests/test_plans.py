@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from rentwise.operators import doc_queries as N
+from rentwise.operators import documents as M
 from rentwise.operators import relational as R
 from rentwise.plans.inspect import forbidden_nodes, plan_text
 from rentwise.sources import testdata as td
@@ -105,3 +106,15 @@ def test_window_report_restricts_links_before_aggregating(spark):
     agg_at = text.index("partial_sum(costs")
     semi_at = text.index("LeftSemi", agg_at)  # below the partial aggregate in the printed tree
     assert semi_at > agg_at
+
+
+def test_links_move_by_booking_before_their_entries_are_collected(spark):
+    text = plan_text(M.service_arrays(td.rental_tables(spark, SF)), "simple")
+    # a plan lists what comes last first
+    assert text.index("partial_collect_list") < text.index("hashpartitioning(booking_id")
+
+
+def test_booking_totals_read_the_bookings_once(spark):
+    t = td.rental_tables(spark, SF)
+    text = plan_text(R.booking_totals(t, spark.createDataFrame([("b_1",), ("b_none",)], "booking_id string")))
+    assert len([blk for blk in text.split("\n\n") if "orders.parquet" in blk]) == 1
