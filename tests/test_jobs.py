@@ -3,9 +3,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from rentwise.operators import documents as M
 from rentwise.operators import jobs as J
+from rentwise.operators.relational import one_per_request
+from rentwise.sources.tables import load_tables, write_tables
 from tests.helpers import rows
 
 D = dt.date.fromisoformat
@@ -123,3 +126,21 @@ def test_n8_appends_only_new_services(seed, service_requests):
     b4 = bookings.filter("_id = 'b4'").first()
     assert [s["service_id"] for s in b4["additionalServices"]] == ["as4", "as1", "as5"]
     assert bookings.count() == 5
+
+
+def test_add_service_jobs_stage_whole_rows_of_accepted_requests_only(spark, seed, service_requests, scratch, monkeypatch):
+    kept, store = [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda df: kept.append(store(df)) or kept[-1])
+    write_tables(seed, scratch + "/rel")
+    M.migrate_all(load_tables(spark, scratch + "/rel"), scratch + "/docs")
+    for run, folder, key in ((J.run_add_services, "/rel", "booking_id"), (J.run_doc_add_services, "/docs", "_id")):
+        kept.clear()
+        out = run(spark, service_requests, "2026-04-01", scratch + folder)
+        accepted = {r.booking_id for r in out.filter("status = 'accepted'").collect()}
+        whole = [r[key] for df in kept if "way_of_billing" in df.columns for r in df.collect()]
+        assert accepted and set(whole) == accepted and len(whole) == len(accepted)
+
+
+def test_a_batch_with_one_row_per_request_is_left_alone(service_requests):
+    once = one_per_request(service_requests.unionByName(service_requests))
+    assert sorted(map(str, one_per_request(once).collect())) == sorted(map(str, once.collect()))
