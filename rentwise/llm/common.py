@@ -14,6 +14,8 @@ from rentwise.session import checkpoint_dir
 BROADCAST_IDS = 2_000_000
 # A table of keys with a few short values, likewise counted before it is broadcast.
 BROADCAST_ROWS = 100_000
+# Read when an action begins; off by default.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def source(docs: DataFrame, **columns: str) -> DataFrame:
@@ -26,11 +28,17 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 
     Cuts the lineage without tying results to an executor: the files live in the
     folder that ``spark.checkpoint.dir`` names. A job's folders can be removed
-    once its results are written.
+    once its results are written. The shuffle files of the write go when it ends: nothing reads them
+    again, and those of all steps together would be several times the input.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

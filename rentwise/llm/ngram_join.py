@@ -4,8 +4,9 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
 75 percent. Documents with equal sets form a class; the join works on classes.
 
 1. One pass gives every document its class, and the corpus a table of shingle
-   counts in ``2 ** ORDER_BITS`` hash buckets. The table has a fixed size, and
-   only orders the shingles, rare ones first: any order gives the same result.
+   counts in ``2 ** ORDER_BITS`` hash buckets. The table has a fixed size, so in a large corpus
+   a bucket's other shingles hide one that hundreds of classes hold; a sample of the classes finds
+   those. Both only order the shingles, rare ones first: any order gives the same result.
 2. Of n shingles, an l-prefix holds the first n - ceil(0.75 n) + l. Two linked
    sets share at least l of their l-prefixes (Wang et al., SIGMOD 2012). l grows
    with the document's estimated candidate cost: its size, which a verification
@@ -14,11 +15,14 @@ Two documents link when the Jaccard similarity of their shingle sets is at least
    two sizes ask for if all that may follow the prefixes is shared as well.
 3. Prefix shingles held by one class only are dropped. Those held by at most
    ``LIST`` classes produce pairs, at most LIST / 2 per row; pairs with too few
-   shared prefix shingles are dropped, the others verified on their whole sets:
+   shared prefix shingles are dropped. The others connect classes to clusters. A cluster within
+   the size of a block meets in one task, where all its sets are compared, so each text moves once
+   whatever the number of pairs. In a larger cluster single pairs are verified on their whole sets:
    first every class's likeliest pair, then all pairs not yet in one component.
 4. A prefix shingle in more classes than ``LIST`` produces no pairs, and the rows of one that
    very many hold are dealt over slots, so that they never meet in one task. The classes
-   that such shingles connect form regions. In a region beyond one block's size,
+   that such shingles connect form regions. A region within one block's size is compared as
+   clusters are. In a larger one
    all classes are first compared with a few pivots (the class with the most
    such shingles and some by hash): those that link with a pivot are in its component and need
    no comparison with each other, which settles most of a large group of near
@@ -44,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, components, ids_join, join_counted, source, staged, text_hash, without_rows
+from .common import BROADCAST_IDS, bound_batches, components, ids_join, join_counted, source, staged, text_hash, without_rows
 from .shingles import Hasher
 
 PERCENT = 75
@@ -55,11 +59,17 @@ BLOCK_SHINGLES = 800_000   # shingles of one block of a dense region
 BLOCK_CLASSES = 2_000      # classes of one, as two blocks are compared by a matrix of classes: some 150 MB
 STRIP = 512                # rows of that matrix that are computed at a time
 PIVOTS = 4                 # classes of a large region that all of it is compared with
-SHARE = 64                 # of so many classes one is looked at for shingles that very many hold
+SHARE = 8                  # of so many classes one is looked at for shingles that many hold
+HELD = 3                   # of the classes looked at hold a shingle that is ordered by its own count
+KNOWN = 1_000_000          # shingles ordered by their own counts at most, the most frequent ones (16 MB)
+BIN_SHINGLES = 400_000     # shingles of the small clusters that meet in one group
 SLOT_ROWS = 4_096          # rows of such a shingle that meet in one slot
 SEEN = 100_000             # classes a task remembers, to send a copied class's prefix only once
 
 
+NOTHING = (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def _bytes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), text_hash("text"))
 
@@ -112,23 +122,31 @@ def _order_table(found: DataFrame) -> np.ndarray:
     return np.minimum(table, 0xFFFFFFFF).astype(np.uint64)
 
 
-def prefix_of(s: np.ndarray, table: np.ndarray, ground: float) -> tuple[np.ndarray, int]:
-    """The adaptive prefix of a sorted set, and the matches (l) it asks for."""
+def prefix_of(s: np.ndarray, table: np.ndarray, ground: float, known=NOTHING) -> tuple[np.ndarray, int]:
+    """The adaptive prefix of a sorted set, and the matches (l) it asks for. ``known``: sorted shingles that many
+    classes hold, and their numbers; they come after all others."""
     n = len(s)
     count = table[(s >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
+    met = np.maximum(count.astype(np.float64) - ground, 0)  # expected list entries
+    tokens, held = known
+    if len(tokens):
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        found = tokens[at] == s
+        met[found] = held[at[found]]
+        count = np.minimum(count, np.uint64(1 << 31))
+        count[found] = np.uint64(1 << 31) + held[at[found]].astype(np.uint64)
     order = np.argsort((count << np.uint64(32)) | (s & np.uint64(0xFFFFFFFF)), kind="stable")
     need = -(-PERCENT * n // 100)
-    met = np.maximum(count[order[:n - need + 1]].astype(np.float64) - ground, 0).sum()  # expected list entries
-    cost = n + met  # a candidate costs the reading of a set
+    cost = n + met[order[:n - need + 1]].sum()  # a candidate costs the reading of a set
     match = int(min(need, max(8, n // 20), 1 + cost // COST_STEP))
     return s[order[:n - need + match]], match
 
 
-def _prefix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
+def _prefix_rows(docs: DataFrame, table: np.ndarray, known=NOTHING) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast((table, known))
 
     def run(batches):
-        counts, hasher, seen = shipped.value, Hasher(), set()
+        (counts, frequent), hasher, seen = shipped.value, Hasher(), set()
         middle = counts[counts > 0]
         level = float(np.median(middle)) if len(middle) else 0.0
         ground = level + 2 * level ** 0.5  # what a bucket holds besides a shingle of its own
@@ -143,7 +161,7 @@ def _prefix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
-                    prefix, match = prefix_of(s, counts, ground)
+                    prefix, match = prefix_of(s, counts, ground, frequent)
                     tokens.append(prefix), cls.append(key), ns.append(len(s)), ls.append(match)
                 reps = [len(t) for t in tokens[1:]]
                 yield pa.RecordBatch.from_arrays(
@@ -155,16 +173,50 @@ def _prefix_rows(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return _bytes_of(docs).mapInArrow(run, "token long, cls long, n int, match int")
 
 
-def _hot_shingles(docs: DataFrame, reps: DataFrame) -> DataFrame:
+def _one_of_each(docs: DataFrame, own: DataFrame, reps: DataFrame) -> DataFrame:
+    """``docs`` without the copies of classes, as far as a small table names the rows to keep or to leave out."""
+    copies = staged(own.where("n > 0 AND doc_id IS NOT NULL").join(reps, "cls").where("doc_id <> rep")
+                    .select("doc_id", "text_hash").distinct(), "ngram-copies")
+    n = copies.count()
+    if 0 < n <= BROADCAST_IDS // 2:
+        return without_rows(docs, copies, "doc_id", "text")
+    if n and reps.count() <= BROADCAST_IDS:
+        return ids_join(docs, reps.select("rep"), "doc_id", "left_semi")
+    return docs  # copies only cost time: no step relies on their absence
+
+
+def _frequent_shingles(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(token, n) of shingles that at least ``HELD`` of every ``SHARE``-th class hold."""
+    some = reps.where(F.pmod(F.xxhash64("cls"), F.lit(SHARE)) == 0).select("cls")
+    held = _sets(docs, reps, some).select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return staged(held.where(F.col("n") >= HELD), "ngram-frequent")
+
+
+def _known(frequent: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, sorted, and the classes expected to hold each: ``KNOWN`` at most, whatever the input's size."""
+    numbers = frequent.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
+    least, total = None, 0
+    for r in numbers:
+        total += r["count"]
+        if total > KNOWN:
+            break
+        least = r["n"]
+    if least is None:
+        return NOTHING
+    pdf = frequent.where(F.col("n") >= least).toPandas()
+    tokens = pdf.token.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], pdf.n.to_numpy(np.int64)[order] * SHARE
+
+
+def _hot_shingles(frequent: DataFrame) -> DataFrame:
     """(token, slots) of shingles that very many classes hold, and into how many slots their rows are dealt.
 
-    Found in every ``SHARE``-th class: more than ``LIST`` of these have it, so its list is long for certain. Rows of other
-    shingles are a few thousand at most, with overwhelming probability; whatever is not found here is only not dealt out.
+    Rows of other shingles are a few thousand at most, with overwhelming probability; whatever the sample does not show
+    is only not dealt out.
     """
-    some = reps.where(F.pmod(F.xxhash64("cls"), F.lit(SHARE)) == 0).select("cls")
-    held = (_sets(docs, reps, some).select("cls", F.explode("shingles").alias("token"))
-            .groupBy("token").agg(F.count_distinct("cls").alias("n")).where(F.col("n") > LIST))
-    return held.select("token", F.ceil(F.col("n") * SHARE / SLOT_ROWS).cast("int").alias("slots"))
+    slots = F.ceil(F.col("n") * SHARE / SLOT_ROWS).cast("int").alias("slots")
+    return frequent.where(F.col("n") * SHARE > max(SLOT_ROWS, LIST)).select("token", slots)
 
 
 def _meetings(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -230,11 +282,12 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All links between the sets of two blocks (or inside one), as a spanning forest."""
-    pdf = pdf.drop_duplicates("cls")
-    sets = [np.asarray(s, np.int64) for s in pdf.shingles]
+def _linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """All links between the sets, as a spanning forest."""
     sizes = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        shared = len(np.intersect1d(*sets, assume_unique=True))
+        return [(0, 1)] if (100 + PERCENT) * shared >= PERCENT * sizes.sum() else []
     row = np.repeat(np.arange(len(sets)), sizes)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = times[column] > 1
@@ -254,11 +307,37 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
         part = shared[strip].astype(np.int64)
         linked[strip] = (100 + PERCENT) * part >= PERCENT * (sizes[strip, None] + sizes[None, :])
     np.fill_diagonal(linked, False)
-    ids = pdf.cls.to_numpy()
-    edges = _forest(linked)
+    return _forest(linked)
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All links between the sets of two blocks (or inside one), as a spanning forest."""
+    pdf = pdf.drop_duplicates("cls")
+    ids, edges = pdf.cls.to_numpy(), _linked([np.asarray(s, np.int64) for s in pdf.shingles])
     return pd.DataFrame({"a": ids[[a for a, _ in edges]], "b": ids[[b for _, b in edges]]}, dtype="int64")
 
 
+def _bin_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All links inside each of the clusters (root) of one bin, as spanning forests, from the texts of their classes."""
+    hasher, found = Hasher(), []
+    for _, texts in pdf.groupby("root").text:
+        sets = {xxhash.xxh3_64_intdigest(s.tobytes()): s for s in map(hasher.shingles, texts)}
+        if len(sets) > 1:
+            ids = np.array(list(sets), np.uint64).view(np.int64)
+            found += [(ids[a], ids[b]) for a, b in _linked(list(sets.values()))]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def _cluster_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame) -> DataFrame:
+    """All links inside the clusters (root, cls, n), each of which fits a block. A class moves as its text, once per cluster."""
+    bins = F.greatest(F.ceil(F.sum("n") / BIN_SHINGLES), F.lit(1)).cast("int").alias("bins")
+    held = clusters.join(reps, "cls").join(F.broadcast(clusters.agg(bins)))
+    held = staged(held.select(F.col("rep").alias("doc_id"), "root", F.pmod(F.xxhash64("root"), F.col("bins")).alias("bin")), "ngram-bins")
+    texts = docs.join(F.broadcast(held) if held.count() <= BROADCAST_IDS // 2 else held, "doc_id")
+    return (texts.select("bin", "root", F.col("text").cast("binary").alias("text")).groupBy("bin")
+            .applyInPandas(_bin_links, "a long, b long"))
+
+
 def _regions(dense: DataFrame) -> DataFrame:
     """The regions (node, root) that prefix shingles of many classes connect; ``dense``: (token, b, n)."""
     first = staged(dense.groupBy("token").agg(F.min("b").alias("a")), "ngram-first")
@@ -272,11 +351,10 @@ def _similar(a, b) -> Column:
     return 100 * shared >= PERCENT * (F.size(a) + F.size(b) - shared)
 
 
-def _pivot_links(sets: DataFrame, large: DataFrame) -> DataFrame:
-    """(pivot, cls) of the classes in the regions ``large`` (root) that link with a pivot: the first of its
+def _pivot_links(sets: DataFrame) -> DataFrame:
+    """(pivot, cls) of the classes that link with a pivot: the first of its
     region's pivots that they link with. ``sets``: (root, cls, heavy, shingles)."""
-    inside = sets.join(large, "root", "left_semi")
-    chosen = inside.groupBy("root").agg(
+    chosen = sets.groupBy("root").agg(
         F.max_by("cls", F.struct("heavy", "cls")).alias("p0"),
         *[F.min_by("cls", F.xxhash64("cls", F.lit(i))).alias(f"p{i}") for i in range(1, PIVOTS)])
     chosen = staged(chosen.select("root", F.posexplode(F.array_distinct(F.array([f"p{i}" for i in range(PIVOTS)])))
@@ -284,18 +362,25 @@ def _pivot_links(sets: DataFrame, large: DataFrame) -> DataFrame:
     pivots = (sets.select("cls", "shingles").join(chosen, "cls").groupBy("root")
               .agg(F.array_sort(F.collect_set(F.struct("rank", "cls", "shingles"))).alias("pivots")))  # PIVOTS sets
     first = F.get(F.filter("pivots", lambda p: _similar(F.col("shingles"), p["shingles"])), F.lit(0))
-    return (inside.join(staged(pivots, "ngram-pivots"), "root").select(first["cls"].alias("pivot"), "cls")
+    return (sets.join(staged(pivots, "ngram-pivots"), "root").select(first["cls"].alias("pivot"), "cls")
             .where("pivot IS NOT NULL").distinct())
 
 
-def _dense_links(docs: DataFrame, reps: DataFrame, dense: DataFrame, regions: DataFrame) -> DataFrame:
-    """All links inside the regions, but for those between classes that one pivot already connects."""
-    classes = dense.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("heavy"), F.max("n").alias("n"))
-    members = staged(regions.join(classes, "node").select("root", F.col("node").alias("cls"), "heavy", "n"), "ngram-members")
+def _blocks() -> Column:
+    return F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")
+
+
+def _by_size(members: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """``members`` (root, n, ...) of the groups that fit one block, and of the larger ones."""
+    large = staged(members.groupBy("root").agg(_blocks()).where("blocks > 1").select("root"), f"{what}-large")
+    return ids_join(members, large, "root", "left_anti"), ids_join(members, large, "root", "left_semi")
+
+
+def _dense_links(docs: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """All links inside large regions (root, cls, heavy, n), but for those between classes that one pivot already connects."""
+    members, blocks = staged(members, "ngram-members"), _blocks()
     sets = staged(_sets(docs, reps, members.select("cls")).join(members, "cls"), "ngram-dense-sets")
-    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks")
-    large = staged(members.groupBy("root").agg(blocks).where("blocks > 1").select("root"), "ngram-large")
-    links = staged(_pivot_links(sets, large), "ngram-star")
+    links = staged(_pivot_links(sets), "ngram-star")
     # blocks by region and pivot; the classes without a pivot have blocks of their own
     held = members.join(links, "cls", "left")
     weight = staged(held.groupBy("root", "pivot").agg(blocks), "ngram-weight")
@@ -338,8 +423,9 @@ def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = staged(_classes_and_counts(docs), "ngram-classes")
     own = found.where("block IS NULL").select("doc_id", "n", "cls", "text_hash")
     reps = staged(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("rep")), "ngram-reps")
-    docs = docs.where("doc_id IS NOT NULL")
-    met = staged(_meetings(_prefix_rows(docs, _order_table(found)), _hot_shingles(docs, reps)), "ngram-met")
+    docs = _one_of_each(docs.where("doc_id IS NOT NULL"), own, reps)
+    frequent = _frequent_shingles(docs, reps)
+    met = staged(_meetings(_prefix_rows(docs, _order_table(found), _known(frequent)), _hot_shingles(frequent)), "ngram-met")
     dense = met.where("token IS NOT NULL").select("token", "b", "n")
     regions = _regions(dense)
     # a pair inside a region is compared there; any other shares no shingle of a long list, so its count is whole
@@ -348,16 +434,28 @@ def class_roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
              .join(regions.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
              .where("matches >= need AND (ra IS NULL OR rb IS NULL OR ra <> rb)").select("a", "b", "matches"))
     pairs = staged(pairs, "ngram-pairs")
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
-    links = _verified(docs, reps, staged(best, "ngram-best"))
-    if not regions.isEmpty():
-        links = links.union(_dense_links(docs, reps, dense, regions))
+    heavy = dense.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("heavy"), F.max("n").alias("n"))
+    region, wide = _by_size(regions.join(heavy, "node").select("root", F.col("node").alias("cls"), "heavy", "n"), "ngram-region")
+    sizes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls").agg(F.max("n").alias("n"))
+    clusters = staged(components(pairs, "ngram-cluster").withColumnRenamed("node", "cls").join(sizes, "cls"), "ngram-cluster")
+    cluster, scattered = _by_size(clusters.select("root", "cls", "n"), "ngram-cluster")
+    small = staged(cluster.unionByName(region.select("root", "cls", "n")), "ngram-small")
+    links = _cluster_links(docs, reps, small)
+    if not wide.isEmpty():
+        links = links.union(_dense_links(docs, reps, wide))
+    pairs = pairs.join(scattered.select(F.col("cls").alias("a")), "a", "left_semi")  # of clusters beyond a block
+    some = not scattered.isEmpty()
+    if some:
+        pairs = staged(pairs, "ngram-pairs")
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("matches", "a")).alias("a")).select("a", "b")
+        links = links.union(_verified(docs, reps, staged(best, "ngram-best")))
     roots = staged(components(links, "ngram"), "ngram-roots")
-    rest = staged(_across(pairs, roots), "ngram-rest")
-    more = staged(_verified(docs, reps, rest), "ngram-more")
-    if not more.isEmpty():
-        roots = staged(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more),
-                                  "ngram"), "ngram-roots")
+    if some:
+        rest = staged(_across(pairs, roots), "ngram-rest")
+        more = staged(_verified(docs, reps, rest), "ngram-more")
+        if not more.isEmpty():
+            roots = staged(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more),
+                                      "ngram"), "ngram-roots")
     return roots, own
 
 

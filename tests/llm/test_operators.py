@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 import zlib
 
 import pytest
@@ -651,3 +652,61 @@ def test_op6_one_long_unit():
         ids, ends = encoder.encode([text, f"some words {text[:9]}"])
         assert time.monotonic() - at < 60
         assert ids[:ends[1]].tolist() == lib.encode(text) and ids[ends[1]:].tolist() == lib.encode(f"some words {text[:9]}")
+
+
+def test_op8_near_copies_move_as_texts_once(spark, monkeypatch):
+    """No step stores the sets of groups that fit a block."""
+    rng, texts, columns = random.Random(31), [], []
+    for g in range(12):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(600)]
+        for k in range(6):
+            words[rng.randrange(600)] = f"g{g}k{k}"
+            texts.append(" ".join(words))
+    docs, stage = docs_of(spark, texts), ngram_join.staged
+
+    def spy(df, what):
+        columns.extend(df.columns)
+        return stage(df, what)
+
+    monkeypatch.setattr(ngram_join, "staged", spy)
+    roots, _ = ngram_join.class_roots(docs)
+    links = {r.node: r.root for r in roots.collect()}
+    assert len(links) == len(texts) and len(set(links.values())) == 12
+    assert "cls" in columns and "shingles" not in columns
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from rentwise.llm import common
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f.getPath() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())
+                        if re.fullmatch(r"shuffle_.*\.data", f.getName())}
+    before, rows = shuffled(), spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = common.staged(rows, "test-shuffle")
+    time.sleep(2)  # they go in the background
+    assert not shuffled() - before and kept.count() == rows.count() == 7
+    assert spark.conf.get(common.CLEANUP) == "false"  # only staged tables, which nothing executes twice
+
+
+def test_op8_shared_passages_connect_no_region_when_counts_are_coarse(spark, monkeypatch):
+    """In a large corpus a bucket's count does not show a passage's shingles; they still come last in the prefixes."""
+    import numpy as np
+
+    rng, dense = random.Random(32), []
+    passage = " ".join(f"licence{k}" for k in range(16))
+    texts = [f"{' '.join(f'u{rng.randrange(10**9)}' for _ in range(70))} {passage}" for _ in range(40)]
+    texts += [t + " end" for t in texts[:5]]
+    regions = ngram_join._regions
+
+    def spy(rows):
+        dense.append(rows.count())
+        return regions(rows)
+
+    monkeypatch.setattr(ngram_join, "LIST", 8)
+    monkeypatch.setattr(ngram_join, "SHARE", 1)
+    monkeypatch.setattr(ngram_join, "_order_table", lambda _: np.full(1 << ngram_join.ORDER_BITS, 4_600, np.uint64))
+    monkeypatch.setattr(ngram_join, "_regions", spy)
+    got = by_id(ngram_join.ngram_groups(docs_of(spark, texts)))
+    assert [got[i].component_id for i in range(len(texts))] == groups_of(texts) and dense == [0]
