@@ -230,3 +230,23 @@ def test_money_that_is_a_number_in_one_document_and_a_text_in_another(spark, scr
                                   "service_ids array<string>, confirm_payment boolean")
     _, outcome = J.doc_add_services(docs, asked, "2026-01-01")
     assert outcome.select("status", "base_cost", "extras_cost").first() == ("accepted", 140.0, 82.0)
+
+
+def test_counts_are_built_with_one_shuffle_and_a_batch_reads_its_rules_only(spark, seed, scratch, monkeypatch):
+    root, written, refresh = scratch + "/counts", [], versions.refresh
+
+    def spy(spark, root, tables, specs):
+        written.extend(tables.values())
+        return refresh(spark, root, tables, specs)
+
+    monkeypatch.setattr(versions, "refresh", spy)
+    K.build_counts(spark, root, seed)
+    assert plan_text(written[0]).count("Exchange (") == 1
+    one = {"person": seed["person"].limit(1)}
+    delta = K.contributions(K.signed(one)).withColumn("bucket", K.count_specs()[K.COUNTS].part_of)
+    found = K._touched(spark, root, delta)
+    assert {r.rule for r in found.select("rule").distinct().collect()} == {r.rule for r in delta.select("rule").collect()}
+    assert re.search(r"PushedFilters: \[[^\n]*rule", plan_text(found))
+    monkeypatch.setattr(K, "FEW_KEYS", 0)  # as a batch of very many keys
+    assert [(r.table_name, r.n_rows) for r in K.count_batch(spark, root, one, None, "large").collect()] == [("person", 2)]
+    assert {(r.table_name, r.n_rows) for r in K.findings(K.load_counts(spark, root)).collect()} == {("person", 2)}
